@@ -10,7 +10,7 @@ from catalog.sqlparts import (bmi_fill_parts, caroc_sql, cte, frax_sql, gender_f
                               rd, round_cols)
 from riskframe.spec import CAROC, FRAX_DLL, FRAX_WEB, MAIN, OLD, RAW
 
-ORACLES: dict[str, str] = {}
+from catalog.common import ORACLES
 
 
 def _out(spec, bmi=True, extra=()):

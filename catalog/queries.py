@@ -2,43 +2,15 @@
 
 Every query reads the driver's tables (or the ``patients`` view Spark derives from orders + lineitem) in full.
 Double outputs are rounded to 6 digits, as are the oracle's, because summation order differs between engines.
+The queries are defined family by family in the ``q_*`` modules next to their oracle SQL.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from riskframe.fixtures import patients, read_table
+from catalog.common import QUERIES, q, rnd
+from riskframe.fixtures import patients
 from riskframe.plans import cleaning
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-
-
-def q(name: str):
-    def deco(fn):
-        QUERIES[name] = fn
-        return fn
-    return deco
-
-
-def r6(c) -> "F.Column":
-    """Round a double to 6 decimals the same way the oracle does: round(x * 1e6) / 1e6, half away from zero
-    on the binary value (Spark's ``round(x, 6)`` rounds the shortest decimal string instead, which disagrees on
-    exact ties), with -0.0 normalised to 0.0."""
-    c = F.col(c) if isinstance(c, str) else c
-    scaled = F.round(c * F.lit(1e6), 0)
-    return F.when(scaled == F.lit(0.0), F.lit(0.0)).otherwise(scaled / F.lit(1e6))
-
-
-def rnd(df: DataFrame) -> DataFrame:
-    """Round every double/float column (top level) to 6 decimals (see ``r6``)."""
-    cols = [f.name for f in df.schema.fields if f.dataType.typeName() in ("double", "float")]
-    return df.withColumns({c: r6(c) for c in cols}) if cols else df
-
-
 # ---- composite cleaners (P1-P6) and the flagship -----------------------------------------------------------
 @q("p4_caroc_label_counts")
 def p4_caroc_label_counts(spark, sf):
@@ -73,3 +45,7 @@ def p5_frax_web_clean(spark, sf):
 @q("p6_frax_dll_clean")
 def p6_frax_dll_clean(spark, sf):
     return rnd(cleaning.clean_frax_dll(patients(spark, sf)))
+
+
+# families (import registers them)
+from catalog import q_basic, q_profile, q_prep, q_eval  # noqa: E402,F401

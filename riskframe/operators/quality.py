@@ -138,13 +138,14 @@ def dedupe_first(df: DataFrame, key: str = "PatientId", order_col: str = "row_se
 
 
 def keep_max_per_key(df: DataFrame, key: str, value: str, tiebreak: str) -> DataFrame:
-    """Keep the row with the highest ``value`` per key; ties go to the smallest ``tiebreak``.
+    """Keep the row with the highest ``value`` per key (NULL values last); ties go to the smallest ``tiebreak``.
 
     ``(key, tiebreak)`` must be unique. The winner per key is an aggregate (partial aggregation absorbs hot
     keys), then a semi-join on the unique pair picks the row.
     """
     best = (df.groupBy(key)
-            .agg(F.min(F.struct((-F.col(value)).alias("neg"), F.col(tiebreak).alias("tb"))).alias("best"))
+            .agg(F.min(F.struct(F.col(value).isNull().alias("missing"), (-F.col(value)).alias("neg"),
+                                F.col(tiebreak).alias("tb"))).alias("best"))
             .select(key, F.col("best.tb").alias(tiebreak)))
     return df.join(best, [key, tiebreak], "left_semi")
 

@@ -23,7 +23,7 @@ from riskframe.session import materialize
 from riskframe.spec import CAROC, FRAX_DLL, FRAX_WEB, MAIN, OLD, RAW, CleaningSpec
 
 
-def _prepare(df: DataFrame, spec: CleaningSpec, suspicion: bool = False, stage: bool = True,
+def prepare(df: DataFrame, spec: CleaningSpec, suspicion: bool = False, stage: bool = True,
              extra: tuple[str, ...] = ()) -> DataFrame:
     """B1 + C1 + D2/D3(/D4) (+ materialise)."""
     df = select_strict(df, [spec.order_col, *spec.columns, *extra])
@@ -40,7 +40,7 @@ def _finish(df: DataFrame, spec: CleaningSpec, extra: tuple[str, ...] = (), bmi:
 def clean_raw(df: DataFrame, spec: CleaningSpec = RAW, stage: bool = True) -> DataFrame:
     """Pound-suspicion rule on; zeros of height/weight -> mean (zeros included), then NULLs -> mean of the
     result; other numeric NULLs -> mean; nominal -> mode; special -> 0. One statistics pass."""
-    df = _prepare(df, spec, suspicion=True, stage=stage)
+    df = prepare(df, spec, suspicion=True, stage=stage)
     hw = (spec.height_col, spec.weight_col)
     others = [c for c in spec.numeric if c not in hw]
     df, _ = fit_apply_all(df, [TwoStepMeanFill(hw[0]), TwoStepMeanFill(hw[1]), MeanFill(others),
@@ -58,7 +58,7 @@ def _bmi_fill(df: DataFrame, spec: CleaningSpec) -> DataFrame:
 
 def clean_main(df: DataFrame, spec: CleaningSpec = MAIN, stage: bool = True) -> DataFrame:
     """Numeric NULL and 0 -> global mean; mode; zero; BMI with its two-step fill."""
-    df = _prepare(df, spec, stage=stage)
+    df = prepare(df, spec, stage=stage)
     df, _ = fit_apply_all(df, [MeanFill(spec.numeric, nulls=True, zeros=True), ModeFill(spec.nominal)])
     df = ZeroFill(spec.special).apply(df)
     return _finish(_bmi_fill(df, spec), spec)
@@ -67,7 +67,7 @@ def clean_main(df: DataFrame, spec: CleaningSpec = MAIN, stage: bool = True) ->
 def clean_old(df: DataFrame, spec: CleaningSpec = OLD, stage: bool = True) -> DataFrame:
     """height/weight zero -> mean then NULL -> mean; BMI computed and never filled; then the remaining
     numeric NULLs -> mean; mode; zero. One statistics pass."""
-    df = _prepare(df, spec, stage=stage)
+    df = prepare(df, spec, stage=stage)
     hw = (spec.height_col, spec.weight_col)
     others = [c for c in spec.numeric if c not in hw]
     df, _ = fit_apply_all(df, [TwoStepMeanFill(hw[0]), TwoStepMeanFill(hw[1]), MeanFill(others),
@@ -86,7 +86,7 @@ def _gender_clean(df: DataFrame, spec: CleaningSpec) -> DataFrame:
 
 def clean_caroc(df: DataFrame, spec: CleaningSpec = CAROC, stage: bool = True) -> DataFrame:
     """Per-gender imputation, BMI, CAROC rule label where missing (D7-D9, F8), drop label 0."""
-    df = _gender_clean(_prepare(df, spec, stage=stage), spec)
+    df = _gender_clean(prepare(df, spec, stage=stage), spec)
     label = spec.targets[0]
     df = rules.fill_caroc_label(df, label)
     df = drop_label_value(df, label, 0)
@@ -95,7 +95,7 @@ def clean_caroc(df: DataFrame, spec: CleaningSpec = CAROC, stage: bool = True) -
 
 def clean_frax_web(df: DataFrame, spec: CleaningSpec = FRAX_WEB, stage: bool = True) -> DataFrame:
     """P5: as P4 without T-score and rule label; the FRAX band comes with the input."""
-    df = _gender_clean(_prepare(df, spec, stage=stage), spec)
+    df = _gender_clean(prepare(df, spec, stage=stage), spec)
     return _finish(df, spec)
 
 
@@ -107,7 +107,7 @@ def clean_frax_dll(df: DataFrame, spec: CleaningSpec = FRAX_DLL, stage: bool = T
     df = select_strict(df, [spec.order_col, *spec.columns])
     df = df.withColumns({k: rules.frax_band(v) for k, v in FRAX_BAND_COLUMNS.items()})
     extra = tuple(FRAX_BAND_COLUMNS)
-    df = _prepare(df, spec, stage=stage, extra=extra)
+    df = prepare(df, spec, stage=stage, extra=extra)
     df = _gender_clean(df, spec)
     return _finish(df, spec, extra=extra)
 
