@@ -50,45 +50,72 @@ CAROC_MODIFIER_FRACTURES = ("ankle", "clavicle", "elbow", "femur", "wrist", "sho
 CAROC_OVERRIDE = ("hip", "spine")
 
 
-def _band_value(age: Column, table, which: int) -> Column:
+def age_band(age) -> Column:
+    """1-based index of the age band (``age < bound``); a missing age falls into the open last band."""
+    a = _c(age)
     expr = None
-    for bound, pair in zip(CAROC_AGE_BOUNDS, table):
-        if bound is None:
-            return expr.otherwise(F.lit(pair[which]))
-        cond = age < F.lit(float(bound))
-        expr = F.when(cond, F.lit(pair[which])) if expr is None else expr.when(cond, F.lit(pair[which]))
-    return expr
+    for i, bound in enumerate(CAROC_AGE_BOUNDS[:-1], start=1):
+        cond = a < F.lit(float(bound))
+        expr = F.when(cond, F.lit(i)) if expr is None else expr.when(cond, F.lit(i))
+    return expr.otherwise(F.lit(len(CAROC_AGE_BOUNDS)))
+
+
+def _threshold(band: Column, female: Column, which: int) -> Column:
+    fem = F.array(*[F.lit(p[which]) for p in CAROC_FEMALE])
+    male = F.array(*[F.lit(p[which]) for p in CAROC_MALE])
+    return F.element_at(F.when(female, fem).otherwise(male), band)
 
 
 def caroc_thresholds(age="PatientAge", gender="PatientGender") -> tuple[Column, Column]:
-    a, g = _c(age), _c(gender)
-    female = F.coalesce(g == F.lit(CAROC_FEMALE_CODE), F.lit(False))
-    high = F.when(female, _band_value(a, CAROC_FEMALE, 0)).otherwise(_band_value(a, CAROC_MALE, 0))
-    low = F.when(female, _band_value(a, CAROC_FEMALE, 1)).otherwise(_band_value(a, CAROC_MALE, 1))
-    return high, low
+    """(high, low) T-score thresholds: a table lookup by sex and age band (each input referenced once)."""
+    band = age_band(age)
+    female = F.coalesce(_c(gender) == F.lit(CAROC_FEMALE_CODE), F.lit(False))
+    return _threshold(band, female, 0), _threshold(band, female, 1)
 
 
-def caroc_base(tscore="bmdtest_tscore_fn", age="PatientAge", gender="PatientGender") -> Column:
-    """0 above the high threshold, 1 above the low one, 2 at or below it, NULL for a missing T-score."""
-    t = _c(tscore)
-    high, low = caroc_thresholds(age, gender)
+def _base_from(t: Column, high: Column, low: Column) -> Column:
     return F.when(t > high, F.lit(0)).when(t > low, F.lit(1)).when(t <= low, F.lit(2))
 
 
-def caroc_risk(tscore="bmdtest_tscore_fn", age="PatientAge", gender="PatientGender") -> Column:
-    """D7 + D8 (one level up for a risk factor) + D9 (hip or spine fracture -> 2)."""
-    base = caroc_base(tscore, age, gender)
+def _risk_from(base: Column) -> Column:
+    """D8 + D9: one level up (below 2) for a risk factor, 2 for a hip or spine fracture."""
     factor = (F.col("oralster") == 1) | (F.col("obreak") > 1)
     for c in CAROC_MODIFIER_FRACTURES:
         factor = factor | (F.col(c) == 1)
-    bumped = F.when(F.coalesce(factor & (base < 2), F.lit(False)), base + 1).otherwise(base)
+    bump = F.coalesce(factor & (base < 2), F.lit(False)).cast("int")
     override = F.coalesce((F.col(CAROC_OVERRIDE[0]) == 1) | (F.col(CAROC_OVERRIDE[1]) == 1), F.lit(False))
-    return F.when(override, F.lit(2)).otherwise(bumped)
+    return F.when(override, F.lit(2)).otherwise(base + bump)
+
+
+def caroc_base(tscore="bmdtest_tscore_fn", age="PatientAge", gender="PatientGender") -> Column:
+    """0 above the high threshold, 1 above the low one, 2 at or below it, NULL for a missing T-score."""
+    high, low = caroc_thresholds(age, gender)
+    return _base_from(_c(tscore), high, low)
+
+
+def caroc_risk(tscore="bmdtest_tscore_fn", age="PatientAge", gender="PatientGender") -> Column:
+    """D7 + D8 (one level up for a risk factor) + D9 (hip or spine fracture -> 2), as one expression."""
+    return _risk_from(caroc_base(tscore, age, gender))
+
+
+def with_caroc_risk(df, out: str = "caroc_risk", tscore="bmdtest_tscore_fn", age="PatientAge",
+                    gender="PatientGender"):
+    """D7-D9 as staged projections: thresholds, then the base band, then modifier/override. Each stage refers to
+    the previous one by column, so the generated code stays linear in the rule size (a single nested expression
+    repeats the threshold and base sub-expressions and overflows the 64 KB method limit of whole-stage codegen)."""
+    df = df.withColumns({"__caroc_band": age_band(age),
+                         "__caroc_female": F.coalesce(_c(gender) == F.lit(CAROC_FEMALE_CODE), F.lit(False))})
+    band, female = F.col("__caroc_band"), F.col("__caroc_female")
+    df = df.withColumns({"__caroc_high": _threshold(band, female, 0), "__caroc_low": _threshold(band, female, 1)})
+    df = df.withColumn("__caroc_base", _base_from(_c(tscore), F.col("__caroc_high"), F.col("__caroc_low")))
+    df = df.withColumn(out, _risk_from(F.col("__caroc_base")))
+    return df.drop("__caroc_band", "__caroc_female", "__caroc_high", "__caroc_low", "__caroc_base")
 
 
 def fill_caroc_label(df, label: str = "bmdtest_10yr_caroc"):
     """F8: the rule fills the label only where it is missing."""
-    return df.withColumn(label, F.coalesce(F.col(label), caroc_risk()).cast("int"))
+    df = with_caroc_risk(df, "__caroc_risk")
+    return df.withColumn(label, F.coalesce(F.col(label), F.col("__caroc_risk")).cast("int")).drop("__caroc_risk")
 
 
 # ---- D11/D12: second fracture within two years --------------------------------------------------------------

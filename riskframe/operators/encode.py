@@ -1,7 +1,7 @@
 """Encoding and reshaping (G1-G10) and feature-preparation switches.
 
-Category levels are fitted state: one distributed ``distinct`` over (feature, value) pairs, fetched with a hard
-bound (``max_levels + 1`` rows), then applied as literal comparisons - no join, no driver-side data.
+Category levels are fitted state: two bounded aggregates (a HyperLogLog estimate, then ``collect_set`` only if the
+estimate is within bounds), then applied as literal comparisons - no join, no driver-side data.
 """
 
 from __future__ import annotations
@@ -19,32 +19,27 @@ class TooManyLevelsError(ValueError):
 
 
 def fit_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list]:
-    """Sorted distinct non-null values per column, from ONE job (a partial/final distinct on (feature, value))."""
+    """Sorted distinct non-null values per column, with memory bounded by ``max_levels``.
+
+    Pass 1: ``approx_count_distinct`` of every column in one aggregate (HyperLogLog, fixed memory). Only if all
+    are within bounds (with a 10 % margin for the estimate), pass 2: ``collect_set`` of every column in one
+    aggregate, whose buffers are then bounded by the level counts.
+    """
     cols = list(cols)
-    pairs = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("f"), F.col(c).cast("string").alias("v"))
-                                          for c in cols])).alias("p")).select("p.f", "p.v")
-    rows = pairs.filter(F.col("v").isNotNull()).distinct().limit(max_levels * len(cols) + 1).collect()
-    if len(rows) > max_levels * len(cols):
-        raise TooManyLevelsError(f"more than {max_levels} levels per column on average in {cols}")
-    types = dict(df.dtypes)
-    out: dict[str, list] = {c: [] for c in cols}
-    for r in rows:
-        out[r["f"]].append(_parse(r["v"], types[r["f"]]))
+    est = agg_row(df, {c: F.approx_count_distinct(c) for c in cols})
+    too_many = [c for c in cols if est[c] > max_levels * 1.1]
+    if too_many:
+        raise TooManyLevelsError(f"more than {max_levels} levels in {too_many}")
+    sets = agg_row(df, {c: F.array_sort(F.collect_set(c)) for c in cols})
+    out: dict[str, list] = {}
     for c in cols:
-        if len(out[c]) > max_levels:
+        vals = list(sets[c] or [])
+        if len(vals) > max_levels:
             raise TooManyLevelsError(f"{c} has more than {max_levels} levels")
-        out[c] = sorted(out[c])
+        out[c] = sorted(vals)
     return out
 
 
-def _parse(v: str, dtype: str):
-    if dtype in ("int", "bigint", "smallint", "tinyint"):
-        return int(v)
-    if dtype in ("double", "float"):
-        return float(v)
-    return v
-
-
 def level_name(prefix: str, value, float_names: bool = False) -> str:
     if float_names and isinstance(value, (int, float)) and not isinstance(value, bool):
         return f"{prefix}_{float(value)}"
