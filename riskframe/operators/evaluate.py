@@ -58,6 +58,7 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: Sequen
 
 def classification_report(df: DataFrame, label: str, prediction: str) -> DataFrame:
     """K5: per class precision, recall, F1 and support (from one grouped aggregate over the confusion cells)."""
+    df = df.filter(F.col(label).isNotNull() & F.col(prediction).isNotNull())
     cells = df.groupBy(F.col(label).alias("l"), F.col(prediction).alias("p")).agg(F.count(F.lit(1)).alias("n"))
     actual = cells.groupBy(F.col("l").alias("class")).agg(F.sum("n").alias("support"),
                                                           F.sum(F.when(F.col("l") == F.col("p"), F.col("n"))
