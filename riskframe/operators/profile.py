@@ -37,6 +37,13 @@ def quantile(c, p: float, approx: bool = False) -> Column:
     return F.percentile_approx(col, p, 100000) if approx else F.percentile(col, F.lit(p))
 
 
+def quantiles(c, ps, approx: bool = False) -> Column:
+    """Several quantiles of one column from ONE aggregate buffer (array result)."""
+    col = F.col(c).cast("double") if isinstance(c, str) else c.cast("double")
+    arr = F.array(*[F.lit(float(p)) for p in ps])
+    return F.percentile_approx(col, arr, 100000) if approx else F.percentile(col, arr)
+
+
 # ---- E1-E5 --------------------------------------------------------------------------------------------------
 def column_means(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
     """Mean per column (NULLs skipped)."""
@@ -85,12 +92,12 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
     for c in cols:
         x = F.col(c).cast("double")
         exprs.update({f"count__{c}": F.count(x), f"mean__{c}": F.avg(x), f"std__{c}": F.stddev_samp(x),
-                      f"min__{c}": F.min(x), f"max__{c}": F.max(x),
-                      f"p25__{c}": quantile(c, 0.25, approx), f"p50__{c}": quantile(c, 0.5, approx),
-                      f"p75__{c}": quantile(c, 0.75, approx)})
+                      f"min__{c}": F.min(x), f"max__{c}": F.max(x), f"q__{c}": quantiles(c, (0.25, 0.5, 0.75), approx)})
     row = agg_row(df, exprs)
     n = row.pop("rows__")
     for c in cols:
+        qs = row.pop(f"q__{c}") or [None, None, None]
+        row[f"p25__{c}"], row[f"p50__{c}"], row[f"p75__{c}"] = qs
         row[f"missing__{c}"] = (n - row[f"count__{c}"]) / n if n else None
     out = _long(df, row, cols, DESCRIBE_STATS, {"count": "long"})
     dtypes = dict(df.dtypes)
@@ -99,38 +106,20 @@ def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = Fa
 
 
 # ---- E7 / E8 correlation ------------------------------------------------------------------------------------
-def _pair_corr(a: str, b: str) -> Column:
-    """Pairwise-complete Pearson: only rows where both are non-null; zero variance -> NULL (no error)."""
-    xa = F.when(F.col(b).isNotNull(), F.col(a).cast("double"))
-    xb = F.when(F.col(a).isNotNull(), F.col(b).cast("double"))
-    den = F.stddev_samp(xa) * F.stddev_samp(xb)
-    return F.when(den > F.lit(0.0), F.covar_samp(F.col(a).cast("double"), F.col(b).cast("double")) / den)
-
-
 def correlation_matrix(df: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """The full matrix in long form (feature_a, feature_b, corr) from ONE aggregate of k(k+1)/2 pairs.
-
-    covar_samp / stddev_samp are Spark's numerically stable (Welford) moment aggregates; the matrix is symmetric
-    so each unordered pair is computed once and mirrored on the driver (k^2 values, bounded by the column count).
-    """
-    cols = list(cols)
-    exprs = {}
-    for i, a in enumerate(cols):
-        for b in cols[i:]:
-            exprs[f"{i}__{cols.index(b)}"] = _pair_corr(a, b)
-    row = agg_row(df, exprs)
-    recs = []
-    for i, a in enumerate(cols):
-        for j, b in enumerate(cols):
-            key = f"{min(i, j)}__{max(i, j)}"
-            recs.append((a, b, row[key]))
+    """The full pairwise-complete Pearson matrix in long form (feature_a, feature_b, corr); a zero-variance
+    column gives NULL. One mean aggregate + one pass of per-partition moment matrices (see ``gram``)."""
+    from riskframe.operators.gram import correlation_matrix as cm
+    recs = [(a, b, None if r is None else float(r)) for a, b, r in cm(df, cols)]
     return df.sparkSession.createDataFrame(recs, "feature_a string, feature_b string, corr double")
 
 
 def correlation_with(df: DataFrame, target: str, cols: Sequence[str]) -> DataFrame:
-    """Correlation of every feature with one target (one aggregate)."""
-    row = agg_row(df, {c: _pair_corr(c, target) for c in cols})
-    return df.sparkSession.createDataFrame([(c, row[c]) for c in cols], "feature string, corr double")
+    """Correlation of every feature with one target (same moment pass, k+1 columns)."""
+    from riskframe.operators.gram import correlation_matrix as cm
+    allc = [*cols, target]
+    recs = [(a, None if r is None else float(r)) for a, b, r in cm(df, allc) if b == target and a != target]
+    return df.sparkSession.createDataFrame(recs, "feature string, corr double")
 
 
 # ---- E9 / E10 counts ----------------------------------------------------------------------------------------
