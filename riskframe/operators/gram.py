@@ -24,7 +24,7 @@ _MOMENT_SCHEMA = "i int, j int, n double, sa double, sb double, saa double, sbb
 
 
 def _means(df: DataFrame, cols: Sequence[str]) -> list[float]:
-    row = agg_row(df, {f"m{i}": F.avg(F.col(c).cast("double")) for i, c in enumerate(cols)})
+    row = agg_row(df, {f"m{i}": F.avg(F.col(f"`{c}`").cast("double")) for i, c in enumerate(cols)})
     return [row[f"m{i}"] or 0.0 for i in range(len(cols))]
 
 
@@ -59,7 +59,7 @@ def pairwise_moments(df: DataFrame, cols: Sequence[str]) -> dict[tuple[int, int]
                             "sa": sa.ravel(), "sb": sa.T.ravel(), "saa": saa.ravel(), "sbb": saa.T.ravel(),
                             "sab": sab.ravel()})
 
-    data = df.select(*[F.col(c).cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
+    data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"c{i}") for i, c in enumerate(cols)])
     parts = data.mapInPandas(part, _MOMENT_SCHEMA)
     sums = parts.groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "sa", "sb", "saa", "sbb", "sab")])
     return {(r["i"], r["j"]): (r["n"], r["sa"], r["sb"], r["saa"], r["sbb"], r["sab"]) for r in sums.collect()}
@@ -91,10 +91,21 @@ def gram(df: DataFrame, features: Sequence[str], label: str, group: str | None =
     Returns {group_value: {"xtx": (p x p), "xty": (p,), "yty": float, "n": float, "sx": (p,), "sy": float}}
     with an intercept-free design; callers centre or add the intercept column themselves.
     """
-    feats = list(features)
-    p = len(feats)
-    keep = [*feats, label] + ([group] if group else []) + ([weight] if weight else [])
-    data = df.select(*[F.col(c).cast("double").alias(c) if c != group else F.col(c) for c in keep]).dropna()
+    p = len(features)
+    # safe positional names: mapInPandas resolves input columns by name, and feature names may contain dots
+    cols = [F.col(f"`{c}`").cast("double").alias(f"f{i}") for i, c in enumerate(features)]
+    cols.append(F.col(f"`{label}`").cast("double").alias("y"))
+    if group:
+        cols.append(F.col(f"`{group}`").alias("g"))
+    if weight:
+        cols.append(F.col(f"`{weight}`").cast("double").alias("w"))
+    data = df.select(*cols)
+    complete = F.lit(True)
+    for c in data.columns:
+        complete = complete & F.col(c).isNotNull()
+    data = data.filter(complete)
+    feats = [f"f{i}" for i in range(p)]
+    label, group, weight = "y", ("g" if group else None), ("w" if weight else None)
 
     def part(batches):
         acc: dict = {}

@@ -142,7 +142,7 @@ class LinearFit:
     def predict_expr(self) -> Column:
         e = F.lit(float(self.intercept))
         for c, b in zip(self.features, self.coef):
-            e = e + F.lit(float(b)) * F.col(c).cast("double")
+            e = e + F.lit(float(b)) * F.col(f"`{c}`").cast("double")
         return e
 
     def coefficients(self, spark) -> DataFrame:
