@@ -48,4 +48,4 @@ def p6_frax_dll_clean(spark, sf):
 
 
 # families (import registers them)
-from catalog import q_basic, q_profile, q_prep, q_eval, q_models, q_io, q_explain  # noqa: E402,F401
+from catalog import q_basic, q_profile, q_prep, q_eval, q_models, q_io, q_explain, q_plans  # noqa: E402,F401

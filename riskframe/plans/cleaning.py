@@ -6,7 +6,7 @@ Shape of every cleaner at scale:
   -> ONE aggregate pass for all statistics that do not depend on each other (means, per-gender means, modes)
   -> narrow projection with the statistics as literals
   -> (only if a statistic depends on filled values, e.g. the BMI mean) one more aggregate pass
-  -> narrow projection, rule labels, filter.
+  -> narrow projection, rule labels, filter -> the cleaned table written once (downstream jobs scan it).
 No step groups raw rows into a single task, and no statistic table is joined back: all are literals.
 """
 
@@ -32,9 +32,16 @@ def prepare(df: DataFrame, spec: CleaningSpec, suspicion: bool = False, stage: b
     return materialize(df, f"clean-{spec.name}") if stage else df
 
 
-def _finish(df: DataFrame, spec: CleaningSpec, extra: tuple[str, ...] = (), bmi: bool = True) -> DataFrame:
+def _finish(df: DataFrame, spec: CleaningSpec, extra: tuple[str, ...] = (), bmi: bool = True,
+            stage: bool = True) -> DataFrame:
+    """Select the output columns and write the cleaned table once (the job's product, as the reference's CSV).
+
+    Every downstream job (profiles, splits, models) then starts from a plain Parquet scan with pushed-down
+    filters and pruned columns, instead of re-planning and re-evaluating the whole imputation/rule expression
+    chain for each of its passes."""
     cols = [*spec.columns, *extra] + (["bmi"] if bmi else [])
-    return df.select(*cols)
+    out = df.select(*cols)
+    return materialize(out, f"cleaned-{spec.name}") if stage else out
 
 
 def clean_raw(df: DataFrame, spec: CleaningSpec = RAW, stage: bool = True) -> DataFrame:
@@ -46,7 +53,7 @@ def clean_raw(df: DataFrame, spec: CleaningSpec = RAW, stage: bool = True) -> Da
     df, _ = fit_apply_all(df, [TwoStepMeanFill(hw[0]), TwoStepMeanFill(hw[1]), MeanFill(others),
                                ModeFill(spec.nominal)])
     df = ZeroFill(spec.special).apply(df)
-    return _finish(df, spec, bmi=False)
+    return _finish(df, spec, bmi=False, stage=stage)
 
 
 def _bmi_fill(df: DataFrame, spec: CleaningSpec) -> DataFrame:
@@ -61,7 +68,7 @@ def clean_main(df: DataFrame, spec: CleaningSpec = MAIN, stage: bool = True) ->
     df = prepare(df, spec, stage=stage)
     df, _ = fit_apply_all(df, [MeanFill(spec.numeric, nulls=True, zeros=True), ModeFill(spec.nominal)])
     df = ZeroFill(spec.special).apply(df)
-    return _finish(_bmi_fill(df, spec), spec)
+    return _finish(_bmi_fill(df, spec), spec, stage=stage)
 
 
 def clean_old(df: DataFrame, spec: CleaningSpec = OLD, stage: bool = True) -> DataFrame:
@@ -74,7 +81,7 @@ def clean_old(df: DataFrame, spec: CleaningSpec = OLD, stage: bool = True) -> Da
                                ModeFill(spec.nominal)])
     df = df.withColumn("bmi", units.bmi(spec.height_col, spec.weight_col))
     df = ZeroFill(spec.special).apply(df)
-    return _finish(df, spec)
+    return _finish(df, spec, stage=stage)
 
 
 def _gender_clean(df: DataFrame, spec: CleaningSpec) -> DataFrame:
@@ -90,13 +97,13 @@ def clean_caroc(df: DataFrame, spec: CleaningSpec = CAROC, stage: bool = True) -
     label = spec.targets[0]
     df = rules.fill_caroc_label(df, label)
     df = drop_label_value(df, label, 0)
-    return _finish(df, spec)
+    return _finish(df, spec, stage=stage)
 
 
 def clean_frax_web(df: DataFrame, spec: CleaningSpec = FRAX_WEB, stage: bool = True) -> DataFrame:
     """P5: as P4 without T-score and rule label; the FRAX band comes with the input."""
     df = _gender_clean(prepare(df, spec, stage=stage), spec)
-    return _finish(df, spec)
+    return _finish(df, spec, stage=stage)
 
 
 FRAX_BAND_COLUMNS = {"Frax_No_BMD_RiskLevel": "CalcFraxNoBMD", "Frax_BMD_RiskLevel": "CalcFraxWithBMD"}
@@ -109,7 +116,7 @@ def clean_frax_dll(df: DataFrame, spec: CleaningSpec = FRAX_DLL, stage: bool = T
     extra = tuple(FRAX_BAND_COLUMNS)
     df = prepare(df, spec, stage=stage, extra=extra)
     df = _gender_clean(df, spec)
-    return _finish(df, spec, extra=extra)
+    return _finish(df, spec, extra=extra, stage=stage)
 
 
 CLEANERS = {"raw": clean_raw, "main": clean_main, "old": clean_old, "caroc": clean_caroc,
