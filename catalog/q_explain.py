@@ -12,7 +12,7 @@ from catalog.sqlparts import rd
 from riskframe.fixtures import patients
 from riskframe.operators import explain, gram as G, models as M
 from riskframe.plans.cleaning import clean_caroc
-from riskframe.session import scratch_path
+from riskframe.session import materialize, scratch_path
 from riskframe.sources import io
 
 
@@ -44,14 +44,12 @@ def _k16_sql():
 base_mse AS (SELECT avg(pow({pred} - y, 2)) AS m FROM b),
 rep AS (SELECT b.*, f.perm_feature, f.fidx, r.range AS repeat FROM b,
    (VALUES ('PatientAge', 0), ('bmi', 1)) f(perm_feature, fidx), range({REPEATS}) r),
-rk AS (SELECT *, CASE fidx WHEN 0 THEN PatientAge ELSE bmi END AS fval,
-   row_number() OVER (PARTITION BY perm_feature, repeat, bucket ORDER BY PatientId) AS r_id,
-   row_number() OVER (PARTITION BY perm_feature, repeat, bucket ORDER BY
-      md5(concat_ws(':', CAST(PatientId AS VARCHAR), perm_feature, CAST(repeat AS VARCHAR), '{SEED}')), PatientId) AS r_h
-   FROM rep),
-sw AS (SELECT a.perm_feature, a.repeat, a.y,
-   CASE WHEN a.fidx = 0 THEN d.fval ELSE a.PatientAge END AS pa, CASE WHEN a.fidx = 1 THEN d.fval ELSE a.bmi END AS pb
-   FROM rk a JOIN rk d ON a.perm_feature = d.perm_feature AND a.repeat = d.repeat AND a.bucket = d.bucket AND a.r_id = d.r_h),
+rk AS (SELECT *, CASE fidx WHEN 0 THEN PatientAge ELSE bmi END AS fval FROM rep),
+dn AS (SELECT *, coalesce(lead(fval) OVER w, first_value(fval) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS donor
+   FROM rk WINDOW w AS (PARTITION BY perm_feature, repeat, bucket ORDER BY
+      md5(concat_ws(':', CAST(PatientId AS VARCHAR), perm_feature, CAST(repeat AS VARCHAR), '{SEED}')), PatientId)),
+sw AS (SELECT perm_feature, repeat, y,
+   CASE WHEN fidx = 0 THEN donor ELSE PatientAge END AS pa, CASE WHEN fidx = 1 THEN donor ELSE bmi END AS pb FROM dn),
 pm AS (SELECT perm_feature, repeat, avg(pow({pp} - y, 2)) AS permuted_mse FROM sw GROUP BY 1, 2)
 SELECT perm_feature AS feature, repeat, {rd('m - permuted_mse')} AS importance, {rd('permuted_mse - m')} AS increase
 FROM pm, base_mse"""
@@ -124,15 +122,17 @@ def _importance_matrices(spark, sf):
               "sci_bayes": (sci_feats, M.bayesian_ridge(s_all, sci_feats)),
               "dnn_ols": (dnn_feats, M.ols(d_all, dnn_feats)), "dnn_ridge": (dnn_feats, M.ridge(d_all, dnn_feats, 100.0))}
     paths = {}
-    for name, (feats, fit) in models.items():
+    for family, feats in (("sci", sci_feats), ("dnn", dnn_feats)):
+        fam = {name: fit for name, (f, fit) in models.items() if name.startswith(family)}
         data = t.select("PatientId", "label", *[F.col(f"`{c}`").alias(c) for c in feats])
-        pi = explain.permutation_importance(data, "PatientId", feats, "label",
-                                            lambda d, fit=fit: d.withColumn("prediction", fit.predict_expr()),
-                                            repeats=5)
-        wide = pi.groupBy("repeat").pivot("feature", feats).agg(F.first("importance")) \
-            .withColumnRenamed("repeat", "index")
-        wide = wide.withColumnsRenamed({"shoulder_x": "shoulder", "wrist_x": "wrist"})
-        paths[name] = io.write_csv(wide, f"{base}/{name}", index_col="index", single_file=True)
+        pi = explain.permutation_importance_many(data, "PatientId", feats, "label",
+                                                 {name: fit.predict_expr() for name, fit in fam.items()}, repeats=5)
+        pi = materialize(pi, f"importances-{family}")
+        for name in fam:
+            wide = (pi.filter(F.col("model") == name).groupBy("repeat").pivot("feature", feats)
+                    .agg(F.first("importance")).withColumnRenamed("repeat", "index"))
+            wide = wide.withColumnsRenamed({"shoulder_x": "shoulder", "wrist_x": "wrist"})
+            paths[name] = io.write_csv(wide, f"{base}/{name}", index_col="index", single_file=True)
     return paths
 
 
