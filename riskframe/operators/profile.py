@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators.stats import agg_row
+from riskframe.session import materialize
 
 
 def _num(df: DataFrame, cols: Sequence[str] | None) -> list[str]:
@@ -81,28 +82,132 @@ def missing_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
     return out.orderBy(F.desc("pct"), "feature")
 
 
+# ---- frequency tables: the shared basis of describe / profile -------------------------------------------------
+def frequency_table(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
+    """(group, feature, value, cnt): one narrow unpivot + a partial/final hash aggregate, so its size is the
+    number of distinct values per column (small for coded survey answers) and no row data is kept in any buffer.
+    NULL values are counted as their own row (value NULL) to give the missing counts."""
+    keys = [group] if group else []
+    wide = df.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
+    long = wide.unpivot(keys, list(cols), "feature", "value")
+    return long.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _moments(freq: DataFrame, keys: list[str]) -> DataFrame:
+    """count, missing, distinct, mean, std, min, max, skewness, kurtosis, top value per (keys, feature) from a
+    frequency table: a sums pass, then a centred pass joined with the (features x groups)-sized means."""
+    v, c = F.col("value"), F.col("cnt")
+    nn = freq.filter(v.isNotNull())
+    first = freq.groupBy(*keys, "feature").agg(
+        F.sum(F.when(v.isNotNull(), c).otherwise(0)).alias("count"),
+        F.sum(F.when(v.isNull(), c).otherwise(0)).alias("missing"),
+        F.count(v).alias("distinct"),
+        (F.sum(v * c) / F.sum(F.when(v.isNotNull(), c))).alias("mean"),
+        F.min(v).alias("min"), F.max(v).alias("max"),
+        F.min(F.when(v.isNotNull(), F.struct((-c).alias("nc"), v.alias("v")))).getField("v").alias("top"))
+    means = first.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("feature").alias("__f"), "mean")
+    cond = F.col("feature") == F.col("__f")
+    for k in keys:      # group keys may be NULL (rows without a gender): null-safe equality
+        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
+    cen = (nn.join(F.broadcast(means), cond).groupBy(*keys, "feature")
+           .agg(*[F.sum(F.pow(v - F.col("mean"), k) * c).alias(f"m{k}") for k in (2, 3, 4)]))
+    cen = cen.select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.col("feature").alias("__cf"), "m2", "m3", "m4")
+    cond2 = F.col("feature") == F.col("__cf")
+    for k in keys:
+        cond2 = cond2 & F.col(k).eqNullSafe(F.col(f"__c_{k}"))
+    out = first.join(cen, cond2, "left")
+    n, m2, m3, m4 = F.col("count").cast("double"), F.col("m2"), F.col("m3"), F.col("m4")
+    return out.select(*keys, "feature", F.col("count").cast("long").alias("count"),
+                      F.col("missing").cast("long").alias("missing"), F.col("distinct").cast("long").alias("distinct"),
+                      "mean", F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("std"), "min", "max",
+                      F.when(m2 > 0, F.sqrt(n) * m3 / F.pow(m2, 1.5)).alias("skewness"),
+                      F.when(m2 > 0, n * m4 / (m2 * m2) - 3.0).alias("kurtosis"), "top")
+
+
+def _quantiles_from_freq(freq: DataFrame, ps: Sequence[float],
+                         max_window_rows: int = 2_000_000) -> dict[str, list[float | None]]:
+    """Exact linear-interpolated quantiles (pandas / ``percentile`` semantics) per feature from a frequency
+    table: running counts in (feature, value) order, then the value whose count interval holds each needed rank.
+
+    When every feature has at most ``max_window_rows`` distinct values (checked from the table itself) the running
+    counts are a window per feature - bounded partitions; beyond that they come from the distributed prefix sum
+    (range partitioning + per-partition offsets), which never puts a whole feature into one task."""
+    from riskframe.operators.ordered import running_totals
+    nn = freq.filter(F.col("value").isNotNull())
+    sizes = nn.groupBy("feature").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("d")).collect()
+    totals = {r["feature"]: r["n"] for r in sizes}
+    small = all(r["d"] <= max_window_rows for r in sizes)
+    feats = sorted(totals)
+    offsets, run = {}, 0
+    for f in feats:
+        offsets[f] = run
+        run += totals[f]
+    fidx = F.lit(None).cast("int")
+    off = F.lit(None).cast("double")
+    for i, f in enumerate(feats):
+        fidx = F.when(F.col("feature") == F.lit(f), F.lit(i)).otherwise(fidx)
+        off = F.when(F.col("feature") == F.lit(f), F.lit(float(offsets[f]))).otherwise(off)
+    if small:
+        w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+        cum = nn.withColumn("within", F.sum("cnt").over(w).cast("double"))
+    else:
+        cum = running_totals(nn.withColumn("fidx", fidx), ["fidx", "value"], ["cnt"])
+        cum = cum.withColumn("within", F.col("cum_cnt") - off)
+    need = {}
+    for f in feats:
+        n = totals[f]
+        for p in ps:
+            pos = p * (n - 1)
+            need[(f, p)] = (pos, int(pos // 1), int(-(-pos // 1)))
+    # each needed rank falls inside exactly one (value, cnt) row: [within - cnt, within); a literal map
+    # feature -> ranks lets every row test its few candidate ranks locally (no join, no wide aggregate)
+    ranks = {f: sorted({r for (g, _), (_, lo, hi) in need.items() if g == f for r in (lo, hi)}) for f in feats}
+    rmap = F.create_map(*[x for f in feats for x in (F.lit(f), F.array(*[F.lit(float(r)) for r in ranks[f]]))])
+    lo_edge = F.col("within") - F.col("cnt")
+    hits = cum.select("feature", "value", F.explode(F.filter(F.element_at(rmap, F.col("feature")),
+                                                             lambda r: (r >= lo_edge) & (r < F.col("within"))))
+                      .alias("rank")).collect()
+    at = {(h["feature"], int(h["rank"])): h["value"] for h in hits}
+    row = {}
+    for (f, p), (_, lo, hi) in need.items():
+        row[f"lo|{f}|{p}"], row[f"hi|{f}|{p}"] = at.get((f, lo)), at.get((f, hi))
+    out: dict[str, list[float | None]] = {}
+    for f in feats:
+        vals = []
+        for p in ps:
+            pos, lo, hi = need[(f, p)]
+            a, b = row[f"lo|{f}|{p}"], row[f"hi|{f}|{p}"]
+            vals.append(None if a is None else a + (pos - lo) * (b - a))
+        out[f] = vals
+    return out
+
+
 # ---- E6 describe ---------------------------------------------------------------------------------------------
 DESCRIBE_STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max", "missing")
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Count, mean, std, min, quartiles, max, missing fraction (and dtype) per column in ONE aggregate."""
+    """Count, mean, std, min, quartiles, max, missing fraction and dtype per column, all from one frequency
+    table (exact quantiles with bounded memory); ``approx=True`` uses ``percentile_approx`` directly instead."""
     cols = _num(df, cols)
-    exprs = {"rows__": F.count(F.lit(1))}
-    for c in cols:
-        x = F.col(c).cast("double")
-        exprs.update({f"count__{c}": F.count(x), f"mean__{c}": F.avg(x), f"std__{c}": F.stddev_samp(x),
-                      f"min__{c}": F.min(x), f"max__{c}": F.max(x), f"q__{c}": quantiles(c, (0.25, 0.5, 0.75), approx)})
-    row = agg_row(df, exprs)
-    n = row.pop("rows__")
-    for c in cols:
-        qs = row.pop(f"q__{c}") or [None, None, None]
-        row[f"p25__{c}"], row[f"p50__{c}"], row[f"p75__{c}"] = qs
-        row[f"missing__{c}"] = (n - row[f"count__{c}"]) / n if n else None
-    out = _long(df, row, cols, DESCRIBE_STATS, {"count": "long"})
+    spark = df.sparkSession
     dtypes = dict(df.dtypes)
-    types = df.sparkSession.createDataFrame([(c, dtypes[c]) for c in cols], "feature string, dtype string")
-    return out.join(F.broadcast(types), "feature")
+    freq = materialize(frequency_table(df, cols), "freq")
+    mom = {r["feature"]: r.asDict() for r in _moments(freq, []).collect()}
+    if approx:
+        row = agg_row(df, {c: quantiles(c, (0.25, 0.5, 0.75), True) for c in cols})
+        qs = {c: list(row[c] or [None] * 3) for c in cols}
+    else:
+        qs = _quantiles_from_freq(freq, (0.25, 0.5, 0.75))
+    recs = []
+    for c in cols:
+        m = mom.get(c, {})
+        n = (m.get("count") or 0) + (m.get("missing") or 0)
+        q3 = qs.get(c, [None, None, None])
+        recs.append((c, m.get("count", 0), m.get("mean"), m.get("std"), m.get("min"), q3[0], q3[1], q3[2],
+                     m.get("max"), (m.get("missing") or 0) / n if n else None, dtypes[c]))
+    return spark.createDataFrame(recs, "feature string, count long, mean double, std double, min double, p25 double, "
+                                       "p50 double, p75 double, max double, missing double, dtype string")
 
 
 # ---- E7 / E8 correlation ------------------------------------------------------------------------------------
@@ -246,31 +351,17 @@ def box_stats(df: DataFrame, col: str, all_cols: Sequence[str] | None = None, ap
 
 
 # ---- E14 / E15 profile ---------------------------------------------------------------------------------------
-PROFILE_STATS = ("count", "missing", "distinct", "mean", "std", "min", "max", "skewness", "kurtosis")
-
-
-def _profile_exprs(c: str) -> list[Column]:
-    x = F.col(c).cast("double")
-    return [F.count(x).alias(f"count__{c}"), F.sum(x.isNull().cast("long")).alias(f"missing__{c}"),
-            F.count_distinct(x).alias(f"distinct__{c}"), F.avg(x).alias(f"mean__{c}"),
-            F.stddev_samp(x).alias(f"std__{c}"), F.min(x).alias(f"min__{c}"), F.max(x).alias(f"max__{c}"),
-            F.skewness(x).alias(f"skewness__{c}"), F.kurtosis(x).alias(f"kurtosis__{c}"),
-            F.mode(x, True).alias(f"top__{c}")]
+PROFILE_STATS = ("count", "missing", "distinct", "mean", "std", "min", "max", "skewness", "kurtosis", "top")
 
 
 def profile(df: DataFrame, cols: Sequence[str] | None = None, group: str | None = None,
             stage: str | None = None) -> DataFrame:
     """E14 (and E15 with ``group``): per column count, missing, distinct, moments (population skewness and
-    excess kurtosis), min/max, top value and its frequency - one (grouped) aggregate, then an ``unpivot`` of the
-    small result. ``stage`` tags the rows (e.g. 'pre' / 'post' cleaning)."""
+    excess kurtosis), min/max and the most frequent value - from one frequency table, so distinct counts and the
+    mode cost no extra pass. ``stage`` tags the rows (e.g. 'pre' / 'post' cleaning)."""
     cols = _num(df, cols)
     keys = [group] if group else []
-    wide = df.groupBy(*keys).agg(*[e for c in cols for e in _profile_exprs(c)])
-    stats = (*PROFILE_STATS, "top")
-    per_col = [F.struct(F.lit(c).alias("feature"),
-                        *[F.col(f"{s}__{c}").cast("long" if s in ("count", "missing", "distinct") else "double")
-                          .alias(s) for s in stats]) for c in cols]
-    out = wide.select(*keys, F.explode(F.array(*per_col)).alias("p")).select(*keys, "p.*")
+    out = _moments(frequency_table(df, cols, group), keys)
     if stage is not None:
         out = out.withColumn("stage", F.lit(stage))
     return out
