@@ -102,7 +102,7 @@ def test_smote_reaches_parity(spark):
 def test_exact_quantiles_both_paths(spark):
     from riskframe.operators import profile
     vals = [float((i * 37) % 101) / 3.0 for i in range(997)] + [None] * 5
-    df = spark.createDataFrame([(v, (v or 0.0) * 2) for v in vals], "a double, b double")
+    df = spark.createDataFrame([(v, None if v is None else v * 2) for v in vals], "a double, b double")
     freq = profile.frequency_table(df, ["a", "b"])
     clean = np.array([v for v in vals if v is not None])
     want = np.percentile(clean, [25, 50, 75])
