@@ -351,3 +351,45 @@ def k22_cv_scores(spark, sf):
     err = F.pow(rule_tscore() - F.col("bmdtest_tscore_fn"), 2)
     per = c.groupBy("fold").agg(F.sqrt(F.avg(err)).alias("rmse"))
     return rnd(evaluate.fold_scores(per, "rmse"))
+
+
+# ---- J10 / J12 / N2 ------------------------------------------------------------------------------------------------
+@q("j10_stacking")
+def j10_stacking(spark, sf):
+    """Forest + logistic bases, 5-fold out-of-fold probabilities, logistic meta-model; hold-out K6 metrics."""
+    t = training_frame(spark, sf, folds=5).filter(F.col("high").isNotNull())
+    train, test = t.filter(F.col("split") == "train"), t.filter(F.col("split") == "test")
+    stack = M.fit_stacking(train, CLS_FEATURES, "high", "fold",
+                           {"rf": M.random_forest_classifier(label="label", trees=15, depth=6),
+                            "lr": M.logistic(label="label")})
+    pred = stack.transform(test).withColumn("p1", vector_to_array("probability")[1])
+    return evaluate.binary_metrics(pred, "high", "p1")
+
+
+@q("j12_mlp_regression_variants")
+def j12_mlp_regression_variants(spark, sf):
+    """Data-parallel MLP regressors (federated averaging per round): plain, L1, L2, dropout and MAE loss, on
+    standardised inputs; test RMSE and the per-round training loss (K20 for these models)."""
+    t = training_frame(spark, sf)
+    feats = ["PatientAge", "PatientGender", "bmi", "parentbreak", "alcohol", "smoke", "arthritis", "diabetes"]
+    train0, test0 = t.filter(F.col("split") == "train"), t.filter(F.col("split") == "test")
+    sc = scaling.fit_standard(train0, feats)
+    train, test = sc.transform(train0), sc.transform(test0)
+    variants = {"plain": {}, "l1": {"l1": 1e-3}, "l2": {"l2": 1e-3}, "dropout": {"dropout": 0.2},
+                "mae": {"loss": "mae"}}
+    rows = []
+    for name, kw in variants.items():
+        m = M.train_mlp_regressor(train, feats, "label", hidden=16, rounds=5, lr=0.01, **kw)
+        rmse = evaluate.regression_metrics(test.withColumn("prediction", m.predict_expr()), "label",
+                                           "prediction").first()["rmse"]
+        rows.append((name, float(rmse), float(m.history[0]), float(m.history[-1])))
+    return spark.createDataFrame(rows, "variant string, test_rmse double, first_round_loss double, "
+                                       "last_round_loss double")
+
+
+@q("n2_boruta_selection")
+def n2_boruta_selection(spark, sf):
+    t = training_frame(spark, sf)
+    res = M.boruta(t, ["PatientAge", "PatientGender", "bmi", "parentbreak", "alcohol", "smoke"], "label",
+                   "PatientId", rounds=6, trees=15)
+    return spark.createDataFrame(res, "feature string, hits int, decision string")

@@ -14,6 +14,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -345,3 +346,192 @@ def objective_history(model, spark) -> DataFrame:
     stage = model.stages[-1] if isinstance(model, PipelineModel) else model
     hist = list(stage.summary.objectiveHistory)
     return spark.createDataFrame([(i, float(v)) for i, v in enumerate(hist)], "iteration int, loss double")
+
+
+# ---- J10: stacking with out-of-fold predictions ------------------------------------------------------------------
+def _with_outputs(est, name: str):
+    """Give a probabilistic classifier unique output columns so several can score the same frame."""
+    est = est.copy()
+    est.setPredictionCol(f"{name}_pred").setRawPredictionCol(f"{name}_raw").setProbabilityCol(f"{name}_prob")
+    return est
+
+
+@dataclass
+class StackingModel:
+    bases: dict
+    meta: object
+    features: list[str]
+
+    def _base_scores(self, df: DataFrame) -> DataFrame:
+        from pyspark.ml.functions import vector_to_array
+        out = assemble(self.features).transform(df)
+        for name, m in self.bases.items():
+            out = m.transform(out).withColumn(f"p_{name}", vector_to_array(f"{name}_prob")[1]) \
+                .drop(f"{name}_pred", f"{name}_raw", f"{name}_prob")
+        return out.drop("features")
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        scored = self._base_scores(df)
+        meta_in = VectorAssembler(inputCols=[f"p_{n}" for n in self.bases], outputCol="meta_features").transform(scored)
+        return self.meta.transform(meta_in)
+
+
+def fit_stacking(df: DataFrame, features: Sequence[str], label: str, fold_col: str, bases: dict) -> StackingModel:
+    """Per fold, every base model is fitted on the other folds and scores the held-out fold; the
+    out-of-fold probabilities (one union over folds, all bases in one pass per fold) train a logistic
+    meta-model; the bases are then refitted on all rows."""
+    from functools import reduce
+    from pyspark.ml.functions import vector_to_array
+    feats = list(features)
+    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
+    data = assemble(feats).transform(df.withColumn("label", F.col(label).cast("double")))
+    named = {n: _with_outputs(e.copy({e.labelCol: "label"}), n) for n, e in bases.items()}
+    oof_parts = []
+    for f in folds:
+        train = data.filter(F.col(fold_col) != f)
+        held = data.filter(F.col(fold_col) == f)
+        for n, e in named.items():
+            held = e.fit(train).transform(held).withColumn(f"p_{n}", vector_to_array(f"{n}_prob")[1]) \
+                .drop(f"{n}_pred", f"{n}_raw", f"{n}_prob")
+        oof_parts.append(held.select("label", *[f"p_{n}" for n in named]))
+    oof = reduce(DataFrame.unionByName, oof_parts)
+    meta_in = VectorAssembler(inputCols=[f"p_{n}" for n in named], outputCol="meta_features").transform(oof)
+    meta = LogisticRegression(featuresCol="meta_features", labelCol="label").fit(meta_in)
+    full = {n: e.fit(data) for n, e in named.items()}
+    return StackingModel(full, meta, feats)
+
+
+# ---- J12: data-parallel MLP regression (parameter averaging) -----------------------------------------------------
+@dataclass
+class MLPRegressorModel:
+    features: list[str]
+    weights: list
+    history: list
+
+    def predict_expr(self) -> Column:
+        """Forward pass as column expressions (one hidden ReLU layer): scoring stays inside codegen."""
+        w1, b1, w2, b2 = self.weights
+        out = F.lit(float(b2[0]))
+        for h in range(w1.shape[1]):
+            z = F.lit(float(b1[h]))
+            for i, c in enumerate(self.features):
+                z = z + F.lit(float(w1[i, h])) * F.col(f"`{c}`").cast("double")
+            out = out + F.lit(float(w2[h, 0])) * F.greatest(z, F.lit(0.0))
+        return out
+
+
+def train_mlp_regressor(df: DataFrame, features: Sequence[str], label: str, hidden: int = 32, rounds: int = 10,
+                        local_epochs: int = 1, lr: float = 0.01, l1: float = 0.0, l2: float = 0.0,
+                        dropout: float = 0.0, loss: str = "mse", batch: int = 64, seed: int = 0) -> MLPRegressorModel:
+    """J12 re-aimed: each round every partition runs local mini-batch SGD (Adam-free, plain momentum-less SGD)
+    from the current weights on its own rows inside ``mapInPandas``; the partition weights are averaged,
+    weighted by row count (federated averaging). The data is never moved or collected; per round only
+    (#partitions x #parameters) numbers reach the driver. Variants: L1 / L2 penalties, dropout, MAE loss."""
+    feats = list(features)
+    k = len(feats)
+    rng = np.random.default_rng(seed)
+    w1 = rng.normal(0, np.sqrt(2.0 / k), size=(k, hidden))
+    b1 = np.zeros(hidden)
+    w2 = rng.normal(0, np.sqrt(1.0 / hidden), size=(hidden, 1))
+    b2 = np.zeros(1)
+    data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(feats)],
+                     F.col(f"`{label}`").cast("double").alias("y")).dropna()
+    history = []
+    sizes = [w1.size, b1.size, w2.size, b2.size]
+
+    for rnd in range(rounds):
+        params = (w1.copy(), b1.copy(), w2.copy(), b2.copy())
+
+        def local(batches, params=params, rnd=rnd):
+            W1, B1, W2, B2 = (p.copy() for p in params)
+            frames = [b for b in batches if not b.empty]
+            if not frames:
+                return
+            pdf = pd.concat(frames, ignore_index=True)
+            X = pdf[[f"x{i}" for i in range(k)]].to_numpy()
+            Y = pdf["y"].to_numpy()[:, None]
+            r = np.random.default_rng(seed * 1000 + rnd)
+            total = 0.0
+            for _ in range(local_epochs):
+                order = r.permutation(len(X))
+                for s in range(0, len(X), batch):
+                    idx = order[s:s + batch]
+                    x, y = X[idx], Y[idx]
+                    z = x @ W1 + B1
+                    a = np.maximum(z, 0.0)
+                    if dropout > 0:
+                        mask = (r.random(a.shape) >= dropout) / (1.0 - dropout)
+                        a = a * mask
+                    pred = a @ W2 + B2
+                    err = pred - y
+                    total += float(np.abs(err).sum() if loss == "mae" else (err ** 2).sum())
+                    g = (np.sign(err) if loss == "mae" else 2.0 * err) / len(idx)
+                    gw2 = a.T @ g
+                    gb2 = g.sum(axis=0)
+                    ga = g @ W2.T
+                    if dropout > 0:
+                        ga = ga * mask
+                    gz = ga * (z > 0)
+                    gw1 = x.T @ gz
+                    gb1 = gz.sum(axis=0)
+                    gw1 += l2 * 2 * W1 + l1 * np.sign(W1)
+                    gw2 += l2 * 2 * W2 + l1 * np.sign(W2)
+                    W1 -= lr * gw1
+                    B1 -= lr * gb1
+                    W2 -= lr * gw2
+                    B2 -= lr * gb2
+            flat = np.concatenate([W1.ravel(), B1, W2.ravel(), B2])
+            yield pd.DataFrame({"n": [float(len(X))], "loss": [total / max(len(X) * local_epochs, 1)],
+                                "w": [flat.tolist()]})
+
+        parts = data.mapInPandas(local, "n double, loss double, w array<double>").collect()
+        n_tot = sum(p["n"] for p in parts)
+        avg = sum(np.array(p["w"]) * p["n"] for p in parts) / n_tot
+        history.append(sum(p["loss"] * p["n"] for p in parts) / n_tot)
+        o = np.cumsum([0, *sizes])
+        w1 = avg[o[0]:o[1]].reshape(k, hidden)
+        b1 = avg[o[1]:o[2]]
+        w2 = avg[o[2]:o[3]].reshape(hidden, 1)
+        b2 = avg[o[3]:o[4]]
+    return MLPRegressorModel(feats, [w1, b1, w2, b2], history)
+
+
+# ---- N2: Boruta-style shadow-feature selection --------------------------------------------------------------
+def boruta(df: DataFrame, features: Sequence[str], label: str, id_col: str, rounds: int = 5, trees: int = 20,
+           seed: int = 0, alpha: float = 0.05) -> list[tuple[str, int, str]]:
+    """Each round adds a shadow copy of every feature, permuted by a seeded hash-order shift inside hash
+    buckets (no global shuffle), fits a random forest, and counts a hit for each feature whose impurity
+    importance beats the best shadow. A two-sided binomial test over the rounds confirms or rejects."""
+    from math import comb
+
+    from pyspark.sql import Window
+    feats = list(features)
+    bucket = (F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":b"))), 1, 8), 16, 10)
+              .cast("long") % F.lit(16))
+    base = df.withColumn("__bucket", bucket)
+    hits = {f: 0 for f in feats}
+    for rnd in range(rounds):
+        shadows = {}
+        for i, f in enumerate(feats):
+            order = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(f), F.lit(str(rnd)), F.lit(str(seed))))
+            w = Window.partitionBy("__bucket").orderBy(order, F.col(id_col))
+            w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+            shadows[f"shadow_{i}"] = F.coalesce(F.lead(F.col(f"`{f}`")).over(w), F.first(F.col(f"`{f}`")).over(w_all))
+        data = base
+        for name, expr in shadows.items():
+            data = data.withColumn(name, expr.cast("double"))
+        cols = [*feats, *shadows]
+        model = pipeline(cols, RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees,
+                                                     seed=seed + rnd)).fit(data)
+        imp = model.stages[-1].featureImportances.toArray()
+        best_shadow = max(imp[len(feats):]) if len(imp) > len(feats) else 0.0
+        for i, f in enumerate(feats):
+            hits[f] += int(imp[i] > best_shadow)
+    out = []
+    for f in feats:
+        h = hits[f]
+        p_hi = sum(comb(rounds, j) for j in range(h, rounds + 1)) / 2 ** rounds
+        p_lo = sum(comb(rounds, j) for j in range(0, h + 1)) / 2 ** rounds
+        decision = "confirmed" if p_hi < alpha else ("rejected" if p_lo < alpha else "tentative")
+        out.append((f, h, decision))
+    return out
