@@ -96,8 +96,9 @@ def clean_caroc(df: DataFrame, spec: CleaningSpec = CAROC, stage: bool = True) -
     df = _gender_clean(prepare(df, spec, stage=stage), spec)
     label = spec.targets[0]
     df = rules.fill_caroc_label(df, label)
-    df = drop_label_value(df, label, 0)
-    return _finish(df, spec, stage=stage)
+    # write the labelled table, then filter the scan: the label filter becomes a Parquet pushed filter instead of
+    # being pushed below the rule projections (where it would evaluate the whole rule chain a second time)
+    return drop_label_value(_finish(df, spec, stage=stage), label, 0)
 
 
 def clean_frax_web(df: DataFrame, spec: CleaningSpec = FRAX_WEB, stage: bool = True) -> DataFrame:
