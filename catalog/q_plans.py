@@ -65,7 +65,41 @@ def p8_fracture_consolidation(spark, sf):
     return out.select("PatientId", "fracture_type", "fractured", "part")
 
 
-@q("p7_model_prep")
+def _p7_sql():
+    from riskframe.spec import CAROC
+    cat = list(modelprep.REG_CATEGORICAL)
+    levels = {c: [0, 1] for c in cat}
+    levels["ptunsteady"] = [0, 1, 2]
+    notnull = " AND ".join(f"{c} IS NOT NULL" for c in [*CAROC.columns, "bmi"])
+    keep = [c for c in [*CAROC.columns, "bmi"] if c not in cat and c != "ankle"]
+    dbl = {"bmdtest_height", "bmdtest_weight", "bmdtest_tscore_fn"}
+    sel = []
+    for c in keep:
+        if c == "PatientAge":
+            sel.append(f"{rd('(PatientAge - ma) / (CASE WHEN sa = 0 THEN 1 ELSE sa END)')} AS PatientAge")
+        elif c == "bmi":
+            sel.append(f"{rd('(bmi - mb) / (CASE WHEN sb = 0 THEN 1 ELSE sb END)')} AS bmi")
+        elif c in dbl:
+            sel.append(f"{rd(c)} AS {c}")
+        else:
+            sel.append(c)
+    for c in cat:
+        for v in levels[c][1:]:
+            sel.append(f'CASE WHEN {c} = {v} THEN 1 ELSE 0 END AS "pt_response_{c}_{float(v)}"')
+    sel += [f"{rd('PatientAge * PatientGender')} AS \"Age*Gender\"", f"{rd('PatientAge * bmi')} AS \"Age*bmi\"",
+            f"{rd('PatientGender * bmi')} AS \"Gender*bmi\"",
+            f"CASE WHEN {_hb(42)} < 20 THEN 'test' ELSE 'train' END AS split"]
+    return _caroc() + f""", d0 AS (SELECT * FROM caroc WHERE {notnull}),
+s1 AS (SELECT avg(bmdtest_height) AS m, stddev_samp(bmdtest_height) AS s FROM d0),
+f1 AS (SELECT d0.* FROM d0, s1 WHERE bmdtest_height > m - 3 * s AND bmdtest_height < m + 3 * s),
+s2 AS (SELECT avg(bmdtest_weight) AS m, stddev_samp(bmdtest_weight) AS s FROM f1),
+f2 AS (SELECT f1.* FROM f1, s2 WHERE bmdtest_weight > m - 3 * s AND bmdtest_weight < m + 3 * s),
+f3 AS (SELECT * FROM f2 WHERE NOT coalesce(ankle = 1, false)),
+zs AS (SELECT avg(PatientAge) AS ma, stddev_pop(PatientAge) AS sa, avg(bmi) AS mb, stddev_pop(bmi) AS sb FROM f3)
+SELECT {', '.join(sel)} FROM f3, zs"""
+
+
+@q("p7_model_prep", _p7_sql())
 def p7_model_prep(spark, sf):
     prepared, _ = modelprep.model_prep(clean_caroc(patients(spark, sf)))
     return rnd(prepared)
