@@ -61,7 +61,7 @@ def classification_pipeline(clean: DataFrame, features: Sequence[str], label_col
     pi = explain.permutation_importance(test, "PatientId", feats, "label",
                                         lambda d: model.transform(d).withColumn("prediction",
                                                                                 vector_to_array("probability")[1]),
-                                        repeats=3)
+                                        repeats=3, order_hash="xxhash64")
     for r in pi.groupBy("feature").agg(F.avg("increase").alias("v")).collect():
         rows.append(("explain", "random_forest", f"perm_increase_{r['feature']}", r["v"]))
     rows.append(("train", "random_forest", "rows_after_rebalance", float(train.count())))
