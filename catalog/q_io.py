@@ -147,7 +147,7 @@ def _frax_model(spark, sf):
     f = clean_frax_dll(patients(spark, sf)).filter(F.col("Frax_No_BMD_RiskLevel") != "")
     f = f.withColumn("band_idx", F.array_position(F.array(*[F.lit(b) for b in BANDS]),
                                                   F.col("Frax_No_BMD_RiskLevel")) - 1)
-    train = sampling.hash_split(f, "PatientId", 20, seed=2)[0]
+    train = sampling.hash_split(f, "PatientId", 20, seed=2)[0].sortWithinPartitions("PatientId", "bmdtest_height")
     sm = ScoringModel.fit(train, "PatientId", SCORING_CATEGORICAL, SCORING_NUMERIC, "band_idx",
                           M.random_forest_classifier(trees=20), BANDS,
                           scaled=["PatientAge", "bmdtest_weight", "bmdtest_height"])

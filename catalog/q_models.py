@@ -40,7 +40,10 @@ def training_frame(spark, sf, folds: int = 10):
     c = c.dropna(subset=["label", *REG_FEATURES])
     c = sampling.kfold(c, "PatientId", folds, seed=0)
     # iterative learners scan their input many times: cut the lineage once, in the shared checkpoint folder
-    return materialize(sampling.with_split(c, "PatientId", 20, seed=2), "training-frame")
+    # rows sorted inside each partition: the forests' per-partition bootstrap then sees a fixed row order, so a
+    # seeded fit is reproducible (shuffle fetch order is not)
+    return materialize(sampling.with_split(c, "PatientId", 20, seed=2).sortWithinPartitions("PatientId"),
+                       "training-frame")
 
 
 def _vec(df, feats):
