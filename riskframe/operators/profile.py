@@ -288,10 +288,18 @@ def auto_histogram_by_group(df: DataFrame, col: str, group: str) -> DataFrame:
     """
     x = F.col(col).cast("double")
     stats = (df.filter(x.isNotNull()).groupBy(group)
-             .agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"),
-                  F.percentile(x, F.lit(0.25)).alias("q25"), F.percentile(x, F.lit(0.75)).alias("q75"))).collect()
-    params = {r[group]: (r["lo"], r["hi"], auto_bin_count(r["n"], r["lo"], r["hi"], r["q25"], r["q75"]))
-              for r in stats}
+             .agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))).limit(10001).collect()
+    if len(stats) > 10000:
+        raise ValueError("too many groups for per-group histograms")
+    # per-group quartiles without holding a group's values in one buffer: frequency table keyed by
+    # "<group>|<column>", exact quantiles from running counts
+    freq = frequency_table(df.filter(F.col(group).isNotNull()), [col], group)
+    freq = freq.withColumn("feature", F.concat_ws("|", F.col(group).cast("string"), F.col("feature"))).drop(group)
+    qs = _quantiles_from_freq(freq, (0.25, 0.75))
+    params = {}
+    for r in stats:
+        q25, q75 = qs.get(f"{r[group]}|{col}", [None, None])
+        params[r[group]] = (r["lo"], r["hi"], auto_bin_count(r["n"], r["lo"], r["hi"], q25, q75))
     g = F.col(group)
 
     def pick(i):
@@ -335,8 +343,12 @@ def box_stats(df: DataFrame, col: str, all_cols: Sequence[str] | None = None, ap
     has_null = agg_row(df, {"n": F.sum(F.col(col).isNull().cast("long"))})["n"] or 0
     data = df.dropna("any", subset=list(all_cols or df.columns)) if has_null else df
     x = F.col(col).cast("double")
-    q = agg_row(data, {"q1": quantile(col, 0.25, approx), "q2": quantile(col, 0.5, approx),
-                       "q3": quantile(col, 0.75, approx)})
+    if approx:
+        q = agg_row(data, {"q1": quantile(col, 0.25, True), "q2": quantile(col, 0.5, True),
+                           "q3": quantile(col, 0.75, True)})
+    else:
+        q1, q2, q3 = _quantiles_from_freq(frequency_table(data, [col]), (0.25, 0.5, 0.75)).get(col, [None] * 3)
+        q = {"q1": q1, "q2": q2, "q3": q3}
     if q["q1"] is None:
         return df.sparkSession.createDataFrame([], "feature string, q1 double, median double, q3 double, iqr double, "
                                                    "whisker_low double, whisker_high double, outliers long")
