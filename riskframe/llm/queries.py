@@ -2,13 +2,21 @@
 
 from __future__ import annotations
 
-from riskframe.llm import exact_dedup
+from riskframe.llm import exact_dedup, packing
 from riskframe.llm.common import documents
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
 
 
+TOKENIZER = "word_bpe_49k.json"
+
+
+def tokenizer_file() -> str:
+    import public_tokenizers
+    return public_tokenizers.path(TOKENIZER)
+
+
 def query(name: str, sql: str | None = None):
     def register(fn):
         QUERIES[name] = fn
@@ -25,3 +33,8 @@ FROM documents WINDOW g AS (PARTITION BY coalesce(text, ''))
 """)
 def op10_block_naming(spark, sf_dir):
     return exact_dedup.exact_groups(documents(spark, sf_dir)).drop("uid")
+
+
+@query("op9_configuration_packing")
+def op9_configuration_packing(spark, sf_dir):
+    return packing.pack(documents(spark, sf_dir), tokenizer_file())
