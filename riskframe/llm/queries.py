@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskframe.llm import exact_dedup, packing
+from riskframe.llm import exact_dedup, packing, simhash
 from riskframe.llm.common import documents
 
 QUERIES: dict = {}
@@ -38,3 +38,8 @@ def op10_block_naming(spark, sf_dir):
 @query("op9_configuration_packing")
 def op9_configuration_packing(spark, sf_dir):
     return packing.pack(documents(spark, sf_dir), tokenizer_file())
+
+
+@query("op3_golay_simhash")
+def op3_golay_simhash(spark, sf_dir):
+    return simhash.near_groups(documents(spark, sf_dir)).drop("uid", "kept")
