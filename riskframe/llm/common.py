@@ -45,3 +45,14 @@ def written(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def labelled_sample(docs: DataFrame, labels: DataFrame, target: str, most: int, id_col: str = "doc_id",
+                    text_col: str = "text") -> DataFrame:
+    """(order, uid, raw, label) of at most ``most`` labelled ids outside the held-out fold, the first by a hash of
+    the id. Only ids and labels are ordered; the few chosen ids are then looked up in the documents. Null labels
+    don't count; of differing labels of one id the smallest does."""
+    chosen = (labels.where(F.col(target).isNotNull() & F.col(id_col).isNotNull() & (fold(id_col) != 0))
+              .groupBy(F.col(id_col).alias("doc_id")).agg(F.min(target).cast("int").alias("label"))
+              .withColumn("order", F.xxhash64("doc_id")).orderBy("order", "doc_id").limit(most))
+    return numbered(docs, id_col, text_col).join(F.broadcast(chosen), "doc_id").select("order", "uid", "raw", "label")

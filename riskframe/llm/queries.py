@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from riskframe.llm import exact_dedup, packing, simhash
-from riskframe.llm.common import documents
+from riskframe.llm import exact_dedup, packing, quality_knn, simhash
+from riskframe.llm.common import documents, labels
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +43,8 @@ def op9_configuration_packing(spark, sf_dir):
 @query("op3_golay_simhash")
 def op3_golay_simhash(spark, sf_dir):
     return simhash.near_groups(documents(spark, sf_dir)).drop("uid", "kept")
+
+
+@query("op8_neighbour_quality")
+def op8_neighbour_quality(spark, sf_dir):
+    return quality_knn.scored(documents(spark, sf_dir), labels(spark, sf_dir))
