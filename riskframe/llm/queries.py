@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskframe.llm import exact_dedup, packing, quality_knn, simhash
+from riskframe.llm import exact_dedup, mixing, packing, quality_knn, simhash
 from riskframe.llm.common import documents, labels
 
 QUERIES: dict = {}
@@ -48,3 +48,8 @@ def op3_golay_simhash(spark, sf_dir):
 @query("op8_neighbour_quality")
 def op8_neighbour_quality(spark, sf_dir):
     return quality_knn.scored(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op4_temperature_mixing")
+def op4_temperature_mixing(spark, sf_dir):
+    return mixing.permuted(mixing.copies(documents(spark, sf_dir))).drop("uid")
