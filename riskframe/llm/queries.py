@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskframe.llm import exact_dedup, mixing, packing, quality_knn, simhash
+from riskframe.llm import divergence, exact_dedup, mixing, packing, quality_knn, simhash
 from riskframe.llm.common import documents, labels
 
 QUERIES: dict = {}
@@ -53,3 +53,8 @@ def op8_neighbour_quality(spark, sf_dir):
 @query("op4_temperature_mixing")
 def op4_temperature_mixing(spark, sf_dir):
     return mixing.permuted(mixing.copies(documents(spark, sf_dir))).drop("uid")
+
+
+@query("op1_distribution_divergence")
+def op1_distribution_divergence(spark, sf_dir):
+    return divergence.rules(documents(spark, sf_dir))
