@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskframe.llm import divergence, exact_dedup, mixing, packing, quality_knn, simhash
+from riskframe.llm import credentials, divergence, exact_dedup, mixing, packing, quality_knn, simhash
 from riskframe.llm.common import documents, labels
 
 QUERIES: dict = {}
@@ -58,3 +58,8 @@ def op4_temperature_mixing(spark, sf_dir):
 @query("op1_distribution_divergence")
 def op1_distribution_divergence(spark, sf_dir):
     return divergence.rules(documents(spark, sf_dir))
+
+
+@query("op6_credential_linking")
+def op6_credential_linking(spark, sf_dir):
+    return credentials.scan(documents(spark, sf_dir))
