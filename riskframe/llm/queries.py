@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskframe.llm import credentials, divergence, exact_dedup, mixing, packing, quality_knn, simhash
+from riskframe.llm import credentials, divergence, exact_dedup, mixing, packing, quality_knn, simhash, toxicity
 from riskframe.llm.common import documents, labels
 
 QUERIES: dict = {}
@@ -63,3 +63,8 @@ def op1_distribution_divergence(spark, sf_dir):
 @query("op6_credential_linking")
 def op6_credential_linking(spark, sf_dir):
     return credentials.scan(documents(spark, sf_dir))
+
+
+@query("op5_ngram_toxicity")
+def op5_ngram_toxicity(spark, sf_dir):
+    return toxicity.scored(documents(spark, sf_dir), labels(spark, sf_dir))
