@@ -18,73 +18,84 @@ from __future__ import annotations
 import os
 import re
 import zlib
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import numbered, written
+from riskframe.llm.common import written
 
 CAPACITY = 4096
 UNIT = 16
 ROUNDS = 2000
 STEP = 0.1
 END_ID = 1
-KEPT_WORDS = 500_000
+KEPT_GROUPS = 300_000
+SLICE_BYTES = 8 << 20
 
 
 _ABC = "a-z\u00df-\u00f6\u00f8-\u00ff\u0153"
 _MARK = "!-/:-@\\[-`{-~\u00a1\u00ab\u00bb\u00bf\u2013\u2014\u2018\u2019\u201c\u201d\u2026"
 #: Characters of which the tokenizer's groups are known, and those groups (in lower case).
-_OTHER = re.compile(f"[^\t-\r 0-9{_ABC}{_MARK}]|<\\|")
+_OTHER = re.compile(f"[^0-9{_ABC}{_MARK}]|<\\|")
 _GROUP = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_ABC}]+|[0-9]|[{_MARK}]+")
 
 
+def _byte_letters() -> list[str]:
+    """The letter that stands for each byte in the tokenizer's vocabulary: itself where it prints, else the next
+    one from 256 on."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return [chr(b) if b in plain else chr(256 + rest.index(b)) for b in range(256)]
+
+
 class TokenIds:
-    """Texts' UTF-8 bytes to their ids as little-endian unsigned 32-bit integers, as the tokenizer gives them.
+    """Texts to their ids as the tokenizer gives them, for the distinct words of a batch at a time.
 
-    The tokenizer lower-cases, cuts a text into groups (letters, a digit, marks) and encodes each group alone, so
-    ids are kept by group and each new group is encoded once, many in one text: the last token of a group is one
-    that ends words. After ``keep`` groups the store starts afresh, which bounds it. Texts with characters beyond
-    Latin letters and common marks go through the tokenizer itself.
+    The tokenizer never joins what ASCII white space parts. It lower-cases a word, cuts it into groups (letters, a
+    digit, marks) and encodes each group alone, so ids are kept by group. After ``keep`` groups the newer half of
+    the store goes (frequent groups come early), which bounds it. Words with characters beyond Latin letters and
+    common marks go through the tokenizer itself.
     """
 
-    def __init__(self, tokenizer_file: str, keep: int = KEPT_WORDS):
+    def __init__(self, tokenizer_file: str, keep: int = KEPT_GROUPS):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tok, self.keep, self.known = Tokenizer.from_file(tokenizer_file), keep, {}
-        self.ends = np.zeros(self.tok.get_vocab_size(), bool)
-        self.ends[[i for t, i in self.tok.get_vocab().items() if t.endswith("</w>")]] = True
-
-    def encoded(self, text: str) -> np.ndarray:
-        return np.array(self.tok.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
-
-    def learn(self, new: list[str]) -> None:
-        for i in range(0, len(new), 512):
-            some = new[i:i + 512]
-            ids = self.encoded(" ".join(some))
-            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-            raw = ids.tobytes()
-            each = [raw[a:b] for a, b in zip([0, *cuts], cuts)]
-            self.known.update(zip(some, each if len(each) == len(some) else [self.encoded(g).tobytes() for g in some]))
-
-    def __call__(self, raw: bytes) -> bytes:
-        text = raw.decode("utf-8", "replace")
-        lower = text.lower()
+        self.tok, self.keep = Tokenizer.from_file(tokenizer_file), keep
+        self.known: dict[str, bytes] = {}
+        self.letters = _byte_letters()
+
+    def learn(self, group: str) -> bytes:
+        if len(self.known) >= self.keep:
+            self.known = dict(islice(self.known.items(), self.keep // 2))
+        spelled = group if group.isascii() else "".join([self.letters[b] for b in group.encode()])
+        ids = self.known[group] = np.array([t.id for t in self.tok.model.tokenize(spelled)], "<u4").tobytes()
+        return ids
+
+    def word(self, word: str) -> bytes:
+        lower = word.lower()
         if _OTHER.search(lower):
-            return self.encoded(text).tobytes()
-        groups = _GROUP.findall(lower)
-        try:
-            return b"".join([self.known[g] for g in groups])
-        except KeyError:
-            distinct = set(groups)
-            if len(self.known) + len(distinct) > self.keep:
-                self.known.clear()
-            self.learn([g for g in distinct if g not in self.known])
-            return b"".join([self.known[g] for g in groups])
+            return np.array(self.tok.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
+        known = self.known
+        return b"".join([known[g] if g in known else self.learn(g) for g in _GROUP.findall(lower)])
+
+    def __call__(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """All ids one after the other, and where each text's begin (one more entry than texts)."""
+        words = pc.ascii_split_whitespace(texts)
+        coded = words.flatten().dictionary_encode()
+        each = [self.word(w) for w in coded.dictionary.to_pylist()]
+        size = np.array([len(x) for x in each], np.int64) // 4
+        code = coded.indices.to_numpy()
+        long = size[code]
+        upto = np.r_[0, np.cumsum(long)]
+        from_ = np.cumsum(size) - size
+        ids = np.frombuffer(b"".join(each), "<u4")[np.repeat(from_[code] - upto[:-1], long) + np.arange(upto[-1])]
+        return ids, upto[words.offsets.to_numpy() - words.offsets[0].as_py()]
 
 
 #: By tokenizer file: a Python worker keeps its store for the tasks to come.
@@ -97,29 +108,43 @@ def token_ids(tokenizer_file: str) -> TokenIds:
     return _IDS[tokenizer_file]
 
 
+def _slices(texts: pa.Array, most: int):
+    """(first row, texts) in parts of about ``most`` bytes, a row at least."""
+    part = np.cumsum(pc.binary_length(texts).to_numpy()) // most
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(texts)]
+    return [(a, texts.slice(a, b - a)) for a, b in zip(cuts, cuts[1:]) if b > a]
+
+
 def _pieces(tokenizer_file: str, capacity: int, end_id: int):
     """Documents to pieces; ``nth`` counts the task's pieces of one length."""
     def cut(batches):
-        ids, task = token_ids(tokenizer_file), TaskContext.get().partitionId()
-        end, seen = np.array([end_id], "<u4").tobytes(), np.zeros(capacity + 1, np.int64)
+        tokens, task = token_ids(tokenizer_file), TaskContext.get().partitionId()
+        seen = np.zeros(capacity + 1, np.int64)
         for batch in batches:
-            row, piece, start, length, crc, nth = [], [], [], [], [], []
-            for r, raw in enumerate(batch.column("raw").to_pylist()):
-                coded = ids(raw) + end
-                for i, at in enumerate(range(0, len(coded), 4 * capacity)):
-                    part = coded[at:at + 4 * capacity]
-                    n = len(part) // 4
-                    row.append(r)
-                    piece.append(i)
-                    start.append(at // 4)
-                    length.append(n)
-                    crc.append(zlib.crc32(part))
-                    nth.append(seen[n])
-                    seen[n] += 1
-            ints = [pa.array(x, t) for x, t in ((piece, pa.int32()), (start, pa.int64()), (length, pa.int64()),
-                                                (crc, pa.int64()), ([task] * len(row), pa.int64()), (nth, pa.int64()))]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id").take(pa.array(row, pa.int64())), *ints],
-                                             ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
+            for at, texts in _slices(batch.column("text"), SLICE_BYTES):
+                ids, upto = tokens(texts)
+                ids = np.insert(ids, upto[1:], end_id)
+                upto = upto + np.arange(len(upto))
+                whole = np.diff(upto)
+                pieces = -(-whole // capacity)
+                row = np.repeat(np.arange(len(texts)), pieces)
+                piece = np.arange(len(row)) - np.repeat(np.cumsum(pieces) - pieces, pieces)
+                start = piece * capacity
+                length = np.minimum(whole[row] - start, capacity)
+                first = upto[row] + start
+                raw = memoryview(ids.astype("<u4")).cast("B")
+                crc = [zlib.crc32(raw[4 * a:4 * b]) for a, b in zip(first.tolist(), (first + length).tolist())]
+                order = np.argsort(length, kind="stable")
+                run = length[order]
+                new = np.flatnonzero(np.r_[True, run[1:] != run[:-1]])
+                counts = np.diff(np.r_[new, len(run)])
+                nth = np.empty(len(run), np.int64)
+                nth[order] = np.arange(len(run)) - np.repeat(new, counts) + seen[run]
+                seen[run[new]] += counts
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column("doc_id").take(pa.array(at + row)), pa.array(piece, pa.int32()), pa.array(start),
+                     pa.array(length), pa.array(crc, pa.int64()), pa.array(np.full(len(row), task)), pa.array(nth)],
+                    ["doc_id", "piece", "start", "length", "ids_crc32", "task", "nth"])
     return cut
 
 
@@ -263,7 +288,7 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
     end id alone; an empty table packs into nothing. ``capacity`` must be a multiple of ``UNIT``. The tokenizer
     file must be at the same path on every executor.
     """
-    src = numbered(docs, id_col, text_col).drop("uid")
+    src = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     kind = src.schema["doc_id"].dataType.simpleString()
     out = f"doc_id {kind}, piece int, start long, length long, ids_crc32 long"
     pieces = written(src.mapInArrow(_pieces(tokenizer_file, capacity, end_id), f"{out}, task long, nth long"), "pieces")
