@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskframe.llm import credentials, divergence, exact_dedup, mixing, packing, quality_knn, simhash, toxicity
+from riskframe.llm import credentials, divergence, exact_dedup, lm_scoring, mixing, packing, quality_knn, simhash, toxicity
 from riskframe.llm.common import documents, labels
 
 QUERIES: dict = {}
@@ -68,3 +68,8 @@ def op6_credential_linking(spark, sf_dir):
 @query("op5_ngram_toxicity")
 def op5_ngram_toxicity(spark, sf_dir):
     return toxicity.scored(documents(spark, sf_dir), labels(spark, sf_dir))
+
+
+@query("op2_log_bilinear")
+def op2_log_bilinear(spark, sf_dir):
+    return lm_scoring.scores(documents(spark, sf_dir))
