@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from riskframe.llm import credentials, divergence, exact_dedup, lm_scoring, mixing, packing, quality_knn, simhash, toxicity
+from riskframe.llm import credentials, divergence, exact_dedup, lm_scoring, mixing, packing, quality_knn, simhash, substrings, toxicity
 from riskframe.llm.common import documents, labels
 
 QUERIES: dict = {}
@@ -73,3 +73,8 @@ def op5_ngram_toxicity(spark, sf_dir):
 @query("op2_log_bilinear")
 def op2_log_bilinear(spark, sf_dir):
     return lm_scoring.scores(documents(spark, sf_dir))
+
+
+@query("op7_suffix_buckets")
+def op7_suffix_buckets(spark, sf_dir):
+    return substrings.cut_repeats(documents(spark, sf_dir))
