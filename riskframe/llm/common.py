@@ -23,6 +23,25 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "labels"))
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has a column of that name in any case."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def quoted(name: str) -> str:
+    return "`" + name.replace("`", "``") + "`"
+
+
+def without(docs: DataFrame, gone: DataFrame) -> DataFrame:
+    """``docs`` without the rows whose uid is in ``gone``; all columns stay as they are."""
+    uid = fresh(docs, "uid")
+    rows = docs.withColumn(uid, F.monotonically_increasing_id())
+    return rows.join(gone.select(F.col("uid").alias(uid)), uid, "left_anti").select(*map(quoted, docs.columns))
+
+
 def fold(id_col) -> Column:
     """crc32 of the id's text, modulo ``FOLDS`` (a null id counts as the empty string)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % FOLDS

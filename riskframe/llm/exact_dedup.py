@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import numbered, written
+from riskframe.llm.common import numbered, without, written
 
 BLOCK_BYTES = 4096
 
@@ -145,6 +145,4 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the rows that are not kept; all columns stay as they are."""
-    gone = exact_groups(docs, id_col, text_col).where("not kept").select(F.col("uid").alias("__uid"))
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id())
-    return rows.join(gone, "__uid", "left_anti").drop("__uid")
+    return without(docs, exact_groups(docs, id_col, text_col).where("not kept"))

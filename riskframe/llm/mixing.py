@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import with_uid, written
+from riskframe.llm.common import fresh, quoted, with_uid, written
 
 WORD = r"[^\x20\x09-\x0D]+"
 SEED = 17
@@ -148,7 +148,8 @@ def permuted(used: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame, **options) -> DataFrame:
     """``docs`` with every row as often as ``copies`` uses it; all columns stay as they are."""
-    used = copies(docs, **options).select(F.col("uid").alias("__uid"), F.col("passes").alias("__passes"))
-    rows = docs.withColumn("__uid", F.monotonically_increasing_id()).join(used, "__uid")
-    return rows.withColumn("__pass", F.explode(F.sequence(F.lit(1).cast("long"), F.col("__passes")))).drop(
-        "__uid", "__passes", "__pass")
+    uid, passes, each = (fresh(docs, x) for x in ("uid", "passes", "pass"))
+    used = copies(docs, **options).select(F.col("uid").alias(uid), F.col("passes").alias(passes))
+    rows = docs.withColumn(uid, F.monotonically_increasing_id()).join(used, uid)
+    return rows.withColumn(each, F.explode(F.sequence(F.lit(1).cast("long"), F.col(passes)))).select(
+        *map(quoted, docs.columns))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import fold, labelled_sample
+from riskframe.llm.common import fold, fresh, labelled_sample, quoted
 
 SAMPLE = 8192
 TERMS = 2048
@@ -130,4 +130,5 @@ def scored(docs: DataFrame, labels: DataFrame, target: str = "quality", threshol
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = KEEP_FROM) -> DataFrame:
     """``docs`` without the rows scored below ``threshold``; all columns stay as they are."""
     model = fit(docs, labels)
-    return docs.withColumn("__score", score(model)).where(F.col("__score") >= threshold).drop("__score")
+    name = fresh(docs, "score")
+    return docs.withColumn(name, score(model)).where(F.col(name) >= threshold).select(*map(quoted, docs.columns))

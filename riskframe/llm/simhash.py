@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.llm.common import numbered, written
+from riskframe.llm.common import numbered, without, written
 from riskframe.llm.graph import components, forest
 
 SHINGLE = 3
@@ -228,5 +228,4 @@ def near_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE,
                      distance: int = DISTANCE) -> DataFrame:
     """``docs`` with one row of each group; all columns stay as they are."""
-    gone = near_groups(docs, id_col, text_col, shingle, distance).where("not kept").select(F.col("uid").alias("__uid"))
-    return docs.withColumn("__uid", F.monotonically_increasing_id()).join(gone, "__uid", "left_anti").drop("__uid")
+    return without(docs, near_groups(docs, id_col, text_col, shingle, distance).where("not kept"))
