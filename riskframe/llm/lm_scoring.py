@@ -1,7 +1,7 @@
 """Language-model scores: a log-bilinear neural model trained by noise-contrastive estimation.
 
-Tokens are words and one end per text. The training texts' exact token counts are a distributed table. The most
-frequent tokens are the neural vocabulary; all others share one further class, within which a token has its smoothed
+Tokens are words and one end per text. The training texts' exact token counts are a distributed table. The end and
+the most frequent tokens are the neural vocabulary; all others share one further class, within which a token has its smoothed
 share of the counts, so the model gives every text a proper probability.
 
 The model predicts a token's vector as the sum of its two predecessors' vectors, each scaled by a weight per
@@ -211,10 +211,11 @@ def train(texts: DataFrame, vocabulary: dict[str, int], counts: np.ndarray) -> M
 
 
 def _scored(model: Model, frequent: list[str], counts: np.ndarray, other: int):
-    """Texts to sums over their tokens; tokens outside ``frequent`` are listed with their number."""
+    """Texts to sums over their tokens; tokens outside ``frequent`` are listed with their number. The end comes first
+    in ``frequent``, the neural vocabulary is its first ``other`` tokens."""
     place = {w: i for i, w in enumerate(frequent)}
-    log_count = np.r_[np.log10(counts + 0.5), 0.0]
-    end = place.get("")
+    log_count, seen = np.r_[np.log10(counts + 0.5), 0.0], np.r_[counts > 0, False]
+    end = place[""]
 
     def run(batches):
         known = np.full((other + 1, other + 1), np.nan, np.float32)
@@ -224,7 +225,7 @@ def _scored(model: Model, frequent: list[str], counts: np.ndarray, other: int):
                 spot = np.array([place.get(w, len(frequent)) for w in distinct])[code]
                 rare = spot == len(frequent)
                 classes = np.minimum(spot, other)
-                one, two = contexts(classes, upto, min(end, other))
+                one, two = contexts(classes, upto, end)
                 new = np.unique((one * (other + 1) + two)[np.isnan(known[one, two])])
                 if len(new):
                     a, b = new // (other + 1), new % (other + 1)
@@ -245,7 +246,7 @@ def _scored(model: Model, frequent: list[str], counts: np.ndarray, other: int):
                     [tokens, pa.array(n.astype(np.int64))], ["token", "n"]))
                 yield pa.RecordBatch.from_arrays(
                     [batch.column("uid").slice(at, len(words)), batch.column("doc_id").slice(at, len(words)),
-                     pa.array(np.diff(upto)), whole(~rare), whole(outside), pa.array(total(log_count[spot])),
+                     pa.array(np.diff(upto)), whole(seen[spot]), whole(outside), pa.array(total(log_count[spot])),
                      pa.array(total(log_count[spot] * outside)), pa.array(total(neural) / math.log(10)), rest],
                     ["uid", "doc_id", "n_tokens", "n_frequent", "n_outside", "logs", "logs_outside", "neural", "rest"])
     return run
@@ -264,13 +265,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     counts = written(training.mapInArrow(_counted, "token string, n long").groupBy("token").agg(F.sum("n").alias("n")),
                      "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    top = counts.orderBy(F.desc("n"), "token").limit(frequent).collect()
-    words, n = [r["token"] for r in top], np.array([r["n"] for r in top], np.int64)
-    if "" in words and words.index("") >= vocabulary:  # the end is always in the vocabulary
-        i = words.index("")
-        words, n = ["", *words[:i], *words[i + 1:]], np.r_[n[i], n[:i], n[i + 1:]]
-    if "" not in words:
-        words, n = ["", *words], np.r_[0, n]
+    ends = counts.where("token = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
+    top = counts.where("token <> ''").orderBy(F.desc("n"), "token").limit(frequent).collect()
+    words, n = ["", *(r["token"] for r in top)], np.array([ends, *(r["n"] for r in top)], np.int64)
     size = min(vocabulary, len(words))
     outside = total - int(n[:size].sum())
     classes = np.r_[n[:size], outside]
