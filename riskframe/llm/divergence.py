@@ -1,8 +1,8 @@
 """Quality rules by distribution divergence.
 
 Two histograms describe a text: of its characters by class, and of its common words (each of the lists below, and
-one place for all other words). The references are the mean histograms of each listed language, over all documents
-of that language that pass the base rules. A text's divergence is the smallest Jensen-Shannon distance (base 2, so
+one place for all other words). The references are histograms of each listed language, from all its documents that pass
+the base rules. A text's divergence is the smallest Jensen-Shannon distance (base 2, so
 0 to 1) to a reference. Short texts stray from their language by chance, so the limit falls with the root of the
 words, and below a number of words a test does not judge at all.
 
@@ -14,7 +14,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.llm.common import written
@@ -34,6 +34,7 @@ SYMBOLS = CLASSES.index("[#*$%&|<>]")
 MIN_WORDS = 50
 MAX_REPEATED = 50
 CHARACTER_WORDS, CHARACTER_LIMIT, CHARACTER_NOISE = 50, 0.10, 1.6
+STEPS = 4096
 WORD_WORDS, WORD_LIMIT, WORD_NOISE = 100, 0.10, 2.4
 
 
@@ -90,15 +91,6 @@ def _base_failed() -> Column:
     return (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
 
 
-def references(counted: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
-    """By listed language: the mean shares of character classes and of common words."""
-    sizes = {"chars": len(CLASSES) + 2, "common": len(WORDS) + 1}
-    means = [F.avg(F.col(c)[i]).alias(f"{c}{i}") for c, n in sizes.items() for i in range(n)]
-    rows = counted.where(F.col("lang").isin(*COMMON) & ~_base_failed()).groupBy("lang").agg(*means).collect()
-    return {r["lang"]: tuple([r[f"{c}{i}"] for i in range(n)] for c, n in sizes.items())
-            for r in sorted(rows, key=lambda r: r["lang"])}
-
-
 def distance(shares: Column, reference: list[float]) -> Column:
     """Jensen-Shannon distance of an array of shares and a reference, base 2."""
     def term(a: Column, b: Column) -> Column:
@@ -108,6 +100,41 @@ def distance(shares: Column, reference: list[float]) -> Column:
     return F.sqrt(F.greatest(F.aggregate(terms, F.lit(0.0), lambda a, b: a + b) / 2, F.lit(0.0)))
 
 
+def _middles(values: DataFrame, *keys: str) -> DataFrame:
+    """(keys, middle): the median of ``value``, numbers from 0 to 1, in steps of 1 / ``STEPS``."""
+    counts = values.groupBy(*keys, F.round(F.col("value") * STEPS).cast("long").alias("step")).agg(F.count("*").alias("n"))
+    upto = Window.partitionBy(*keys).orderBy("step").rowsBetween(Window.unboundedPreceding, 0)
+    return (counts.withColumns({"upto": F.sum("n").over(upto), "all": F.sum("n").over(Window.partitionBy(*keys))})
+            .where("2 * upto >= all").groupBy(*keys).agg((F.min("step") / STEPS).alias("middle")))
+
+
+def references(counted: DataFrame) -> dict[str, tuple[list[float], list[float]]]:
+    """By listed language: shares of character classes and of common words, so found that up to half of a language's
+    documents may be noise: the medians of each share, then the mean of the half of the documents nearest to them."""
+    fine = counted.where(F.col("lang").isin(*COMMON) & ~_base_failed()).select("lang", "chars", "common")
+    n_chars, n_common = len(CLASSES) + 2, len(WORDS) + 1
+    shares = fine.select("lang", F.posexplode(F.concat("chars", "common")).alias("place", "value"))
+    middle: dict[str, list[float]] = {}
+    for r in _middles(shares, "lang", "place").collect():
+        middle.setdefault(r["lang"], [0.0] * (n_chars + n_common))[r["place"]] = r["middle"]
+
+    def far(lang: str) -> Column:
+        parts = middle[lang][:n_chars], middle[lang][n_chars:]
+        return sum((distance(F.col(c), [x / (sum(p) or 1.0) for x in p]) for c, p in zip(("chars", "common"), parts)),
+                   F.lit(0.0)) / 2
+
+    if not middle:
+        return {}
+    away = reduce(lambda c, lang: F.when(F.col("lang") == lang, far(lang)).otherwise(c), sorted(middle), F.lit(1.0))
+    ranked = written(fine.withColumn("value", F.round(away * STEPS) / STEPS), "distances")
+    half = {r["lang"]: r["middle"] for r in _middles(ranked, "lang").collect()}
+    near = reduce(lambda c, lang: c | ((F.col("lang") == lang) & (F.col("value") <= half[lang])), sorted(half), F.lit(False))
+    means = [F.avg(F.col(c)[i]).alias(f"{c}{i}") for c, n in (("chars", n_chars), ("common", n_common)) for i in range(n)]
+    rows = ranked.where(near).groupBy("lang").agg(*means).collect()
+    return {r["lang"]: ([r[f"chars{i}"] for i in range(n_chars)], [r[f"common{i}"] for i in range(n_common)])
+            for r in sorted(rows, key=lambda r: r["lang"])}
+
+
 def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     char_divergence, word_divergence.
