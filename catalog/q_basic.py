@@ -130,14 +130,13 @@ def _b10_sql():
         else:
             c, v = f.rsplit("_", 1)
             cols.append(f"CASE WHEN {c} = {v} THEN 1 ELSE 0 END AS {f}")
-    return P + ", b AS (SELECT * FROM patients WHERE obreak IS DISTINCT FROM 2) SELECT PatientId, " + \
-        ", ".join(cols) + " FROM b"
+    return P + "SELECT PatientId, " + ", ".join(cols) + " FROM patients"
 
 
 @q("b10_backfill_columns", _b10_sql())
 def b10_backfill_columns(spark, sf):
     from riskframe.operators.encode import one_hot
-    batch = patients(spark, sf).filter(~F.col("obreak").eqNullSafe(2))
+    batch = patients(spark, sf)
     enc, _ = one_hot(batch.select("PatientId", "PatientAge", "PatientGender", "bmdtest_weight", "bmdtest_height",
                                   "parentbreak", "alcohol", "obreak", "arthritis", "diabetes", "smoke"),
                      ["parentbreak", "alcohol", "obreak", "arthritis", "diabetes", "smoke"])
@@ -170,11 +169,12 @@ def rule_probability():
     return F.least(F.greatest((-F.col("bmdtest_tscore_fn") - F.lit(1.0)) / F.lit(3.0), F.lit(0.0)), F.lit(1.0))
 
 
-@q("b13_probability_threshold", P + f"SELECT row_seq, {_PROB} > CAST(0.5 AS DOUBLE) AS high FROM patients "
-                                    "WHERE bmdtest_tscore_fn IS NOT NULL")
+@q("b13_probability_threshold", P + f"SELECT row_seq, CASE WHEN bmdtest_tscore_fn IS NOT NULL THEN {_PROB} > CAST(0.5 AS DOUBLE) END "
+                                    "AS high FROM patients")
 def b13_probability_threshold(spark, sf):
-    p = patients(spark, sf).filter(F.col("bmdtest_tscore_fn").isNotNull())
-    return p.select("row_seq", quality.above_threshold(rule_probability(), 0.5).alias("high"))
+    """A row without a T-score has no probability, so the predicate is NULL there."""
+    p = F.when(F.col("bmdtest_tscore_fn").isNotNull(), rule_probability())
+    return patients(spark, sf).select("row_seq", quality.above_threshold(p, 0.5).alias("high"))
 
 
 # ---- C ---------------------------------------------------------------------------------------------------------
@@ -200,7 +200,7 @@ def c2_keep_max_fractured(spark, sf):
 
 
 @q("c3_dense_row_numbers", P + ", dd AS (SELECT PatientId FROM patients GROUP BY PatientId) "
-                               "SELECT PatientId, row_number() OVER (ORDER BY PatientId) AS row_id FROM dd")
+                               "SELECT PatientId, row_number() OVER (ORDER BY PatientId NULLS FIRST) - 1 AS row_id FROM dd")
 def c3_dense_row_numbers(spark, sf):
     ids = patients(spark, sf).select("PatientId").distinct()
     return quality.dense_row_numbers(ids, "PatientId", "row_id").select("PatientId", "row_id")
@@ -389,10 +389,10 @@ def f4_gender_mean_fill(spark, sf):
 
 @q("t3_group_stat_lookup", _M + ", s AS (SELECT PatientGender AS g, avg(bmdtest_weight) AS m FROM metric "
                            "WHERE PatientGender IS NOT NULL GROUP BY PatientGender) "
-                           f"SELECT row_seq, PatientGender, {rd('CASE WHEN bmdtest_weight IS NULL OR bmdtest_weight = 0 THEN s.m ELSE bmdtest_weight END')} "
+                           f"SELECT row_seq, PatientGender, {rd('CASE WHEN (bmdtest_weight IS NULL OR bmdtest_weight = 0) AND s.m IS NOT NULL THEN s.m ELSE bmdtest_weight END')} "
                            "AS bmdtest_weight FROM metric LEFT JOIN s ON metric.PatientGender = s.g")
 def t3_group_stat_lookup(spark, sf):
-    """T3 through the open-group path (grouped statistics, bounded fetch, join fallback)."""
+    """The table of group statistics joined to the rows; rows without a group stay as they are."""
     m = prepare(patients(spark, sf), CAROC, stage=False).select("row_seq", "PatientGender", "bmdtest_weight")
     return rnd(impute.group_mean_fill_any(m, ["bmdtest_weight"], "PatientGender"))
 

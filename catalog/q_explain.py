@@ -82,7 +82,7 @@ def k17_attribution_summary(spark, sf):
 
 @q("k18_waterfalls", _caroc() + """, m AS (SELECT avg(PatientAge) AS ma, avg(bmi) AS mb FROM caroc),
 f AS (SELECT PatientId, PatientGender, -0.04 * (PatientAge - ma) AS phi_a, 0.01 * (bmi - mb) AS phi_b FROM caroc, m
-      QUALIFY row_number() OVER (PARTITION BY PatientGender ORDER BY PatientId) <= 11),
+      QUALIFY row_number() OVER (PARTITION BY PatientGender ORDER BY PatientId NULLS FIRST) <= 11),
 l AS (SELECT PatientId, PatientGender, 'PatientAge' AS feature, phi_a AS phi FROM f UNION ALL
       SELECT PatientId, PatientGender, 'bmi', phi_b FROM f)
 SELECT PatientId, PatientGender, feature, """ + rd("phi") + """ AS phi,

@@ -85,7 +85,7 @@ q("a4_csv_sink_roundtrip", _a4_sql())(a4_csv_sink_roundtrip)
 
 
 @q("a5_csv_sink_with_index", P + ", d AS (SELECT PatientId, min(row_seq) AS rs FROM patients GROUP BY PatientId) "
-                                 "SELECT row_number() OVER (ORDER BY PatientId) AS \"index\", PatientId FROM d")
+                                 "SELECT row_number() OVER (ORDER BY PatientId NULLS FIRST) - 1 AS \"index\", PatientId FROM d")
 def a5_csv_sink_with_index(spark, sf):
     """An explicit dense row index (C3) written as the first CSV column, read back."""
     ids = quality.dedupe_first(patients(spark, sf)).select("PatientId")
@@ -114,10 +114,9 @@ def a7_model_roundtrip(spark, sf):
     model = M.pipeline(REG_FEATURES, M.linear_regression()).fit(t)
     path = io.save_model(model, scratch_path(spark, "model-lr"))
     loaded = io.load_model(path)
-    a = model.transform(t).select("PatientId", F.col("prediction").alias("p_fit"))
-    b = loaded.transform(t).select("PatientId", F.col("prediction").alias("p_loaded"))
-    return a.join(b, "PatientId").select(F.count(F.lit(1)).alias("rows"),
-                                         F.max(F.abs(F.col("p_fit") - F.col("p_loaded"))).alias("max_abs_diff"))
+    both = loaded.transform(model.transform(t).withColumnRenamed("prediction", "p_fit").drop("features"))
+    return both.select(F.count(F.lit(1)).alias("rows"),
+                       F.max(F.abs(F.col("p_fit") - F.col("prediction"))).alias("max_abs_diff"))
 
 
 @q("a9_merge_extracts", P + "SELECT 'merged' AS extract, 2 * count(*) AS rows FROM patients UNION ALL "
@@ -128,9 +127,10 @@ def a9_merge_extracts(spark, sf):
     merged = io.merge_sources({"caroc": io.read_csv(spark, f"{base}/caroc", CAROC_SCHEMA),
                                "frax": io.read_csv(spark, f"{base}/frax", FRAX_SCHEMA)})
     paths = io.write_extracts(merged, scratch_path(spark, "merge-extracts"))
-    parts = [spark.read.option("header", True).csv(p).select(F.lit(k).alias("extract")) for k, p in paths.items()]
-    from functools import reduce
-    return reduce(lambda a, b: a.unionByName(b), parts).groupBy("extract").agg(F.count(F.lit(1)).alias("rows"))
+    csv = spark.read.option("header", True)
+    rows = csv.csv(paths["merged"]).select(F.lit("merged").alias("extract")).unionByName(
+        csv.csv(paths["by_source"]).select(F.col("source").alias("extract")))
+    return rows.groupBy("extract").agg(F.count(F.lit(1)).alias("rows"))
 
 
 # ---- M: scoring ------------------------------------------------------------------------------------------------------

@@ -208,9 +208,9 @@ def j14_random_search_cv(spark, sf):
 
 @q("j15_bayes_search_ridge")
 def j15_bayes_search_ridge(spark, sf):
-    """500 seeded trials x 10 folds of ridge from one pass of per-fold Gram matrices; top 10 by CV RMSE."""
+    """500 seeded trials x 10 folds of ridge from one pass of per-fold Gram matrices: every trial, best first."""
     res = M.random_search_ridge(training_frame(spark, sf), REG_FEATURES, "label", "fold", trials=500)
-    return spark.createDataFrame([(r["params"]["alpha"], r["mean_rmse"], r["std_rmse"]) for r in res[:10]],
+    return spark.createDataFrame([(r["params"]["alpha"], r["mean_rmse"], r["std_rmse"]) for r in res],
                                  "alpha double, mean_rmse double, std_rmse double")
 
 
@@ -293,29 +293,7 @@ SELECT PatientId, {rd('h')} AS leverage, {rd('e * e * h / (2 * mse * pow(1 - h,
 def k14_cooks_distance(spark, sf):
     """Leverage x'(X'X)^-1 x as a column expression with the inverse Gram matrix inlined (p x p, p = 2)."""
     c = clean_caroc(patients(spark, sf)).filter(F.col("PatientAge").isNotNull() & F.col("bmdtest_tscore_fn").isNotNull())
-    return rnd(cooks_distance(c, ["PatientAge"], "bmdtest_tscore_fn").select("PatientId", "leverage", "cooks_distance"))
-
-
-def cooks_distance(df, features, label):
-    import numpy as np
-    s = G.gram(df.withColumn("__one", F.lit(1.0)), ["__one", *features], label)[None]
-    inv = np.linalg.pinv(s["xtx"])
-    beta = inv @ s["xty"]
-    p = len(features) + 1
-    xs = [F.lit(1.0)] + [F.col(c).cast("double") for c in features]
-    lev = F.lit(0.0)
-    for i in range(p):
-        for j in range(p):
-            lev = lev + F.lit(float(inv[i, j])) * xs[i] * xs[j]
-    pred = F.lit(0.0)
-    for i in range(p):
-        pred = pred + F.lit(float(beta[i])) * xs[i]
-    sse = float(s["yty"] - 2 * beta @ s["xty"] + beta @ s["xtx"] @ beta)
-    mse = sse / (s["n"] - p)
-    e = F.col(label).cast("double") - pred
-    out = df.withColumns({"leverage": lev, "residual": e})
-    return out.withColumn("cooks_distance", F.col("residual") * F.col("residual") * F.col("leverage") /
-                          (F.lit(p * mse) * F.pow(F.lit(1.0) - F.col("leverage"), 2)))
+    return rnd(M.cooks_distance(c, ["PatientAge"], "bmdtest_tscore_fn").select("PatientId", "leverage", "cooks_distance"))
 
 
 @q("k15_feature_importances")
@@ -343,7 +321,7 @@ def k21_export_predictions(spark, sf):
     return scaler.inverse(pred.select("PatientId", "PatientAge", "bmi", "label", "prediction"))
 
 
-@q("k22_cv_scores", _caroc() + f""", f AS (SELECT CAST(('0x' || substr(md5(CAST(PatientId AS VARCHAR) || ':0'), 1, 8))::BIGINT % 10 AS INT) AS fold,
+@q("k22_cv_scores", _caroc() + f""", f AS (SELECT CAST(('0x' || substr(md5(coalesce(CAST(PatientId AS VARCHAR), '') || ':0'), 1, 8))::BIGINT % 10 AS INT) AS fold,
   pow({_RULE_T} - bmdtest_tscore_fn, 2) AS se FROM caroc WHERE bmdtest_tscore_fn IS NOT NULL),
 pf AS (SELECT fold, sqrt(avg(se)) AS rmse FROM f GROUP BY fold)
 SELECT {rd('avg(rmse)')} AS mean, {rd('stddev_pop(rmse)')} AS std, count(*) AS folds FROM pf""")

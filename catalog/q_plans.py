@@ -19,7 +19,7 @@ def _caroc():
 
 
 def _hb(seed, buckets=100, col="PatientId"):
-    return f"(('0x' || substr(md5(CAST({col} AS VARCHAR) || ':' || '{seed}'), 1, 8))::BIGINT % {buckets})"
+    return f"(('0x' || substr(md5(coalesce(CAST({col} AS VARCHAR), '') || ':' || '{seed}'), 1, 8))::BIGINT % {buckets})"
 
 
 P9_COLS = ["PatientId", *modelprep.PROXY_COLUMNS]

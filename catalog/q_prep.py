@@ -133,7 +133,7 @@ def g10_binary_target(spark, sf):
 
 # ---- H ---------------------------------------------------------------------------------------------------------
 def hb(seed, buckets=100, col="PatientId"):
-    return f"(('0x' || substr(md5(CAST({col} AS VARCHAR) || ':' || '{seed}'), 1, 8))::BIGINT % {buckets})"
+    return f"(('0x' || substr(md5(coalesce(CAST({col} AS VARCHAR), '') || ':' || '{seed}'), 1, 8))::BIGINT % {buckets})"
 
 
 @q("h1_hash_split", _caroc() + f"SELECT PatientId, CASE WHEN {hb(2)} < 20 THEN 'test' ELSE 'train' END AS split FROM caroc")
@@ -154,7 +154,7 @@ def h3_fraction_sample(spark, sf):
     return sampling.fraction_sample(clean_caroc(patients(spark, sf)), "PatientId", 0.9, 786).select("PatientId")
 
 
-@q("h4_fixed_size_sample", _caroc() + "SELECT PatientId FROM caroc ORDER BY md5(CAST(PatientId AS VARCHAR) || ':0'), "
+@q("h4_fixed_size_sample", _caroc() + "SELECT PatientId FROM caroc ORDER BY md5(coalesce(CAST(PatientId AS VARCHAR), '') || ':0'), "
                                       "PatientId LIMIT 100")
 def h4_fixed_size_sample(spark, sf):
     return sampling.fixed_size_sample(clean_caroc(patients(spark, sf)), "PatientId", 100, 0).select("PatientId")
@@ -165,13 +165,13 @@ def h5_kfold(spark, sf):
     return sampling.kfold(clean_caroc(patients(spark, sf)), "PatientId", 10, 0).select("PatientId", "fold")
 
 
-@q("h7_class_weights", _caroc() + f"SELECT PatientId, bmdtest_10yr_caroc, {rd('CAST(count(*) OVER () AS DOUBLE) / ((SELECT count(*) FROM (SELECT DISTINCT bmdtest_10yr_caroc FROM caroc)) * count(*) OVER (PARTITION BY bmdtest_10yr_caroc))')} AS weight FROM caroc")
+@q("h7_class_weights", _caroc() + f"SELECT PatientId, bmdtest_10yr_caroc, {rd('CAST(count(bmdtest_10yr_caroc) OVER () AS DOUBLE) / ((SELECT count(DISTINCT bmdtest_10yr_caroc) FROM caroc) * nullif(count(bmdtest_10yr_caroc) OVER (PARTITION BY bmdtest_10yr_caroc), 0))')} AS weight FROM caroc")
 def h7_class_weights(spark, sf):
     c = clean_caroc(patients(spark, sf)).select("PatientId", "bmdtest_10yr_caroc")
     return rnd(sampling.class_weights(c, "bmdtest_10yr_caroc"))
 
 
-@q("h8_ordered_validation", _caroc() + "SELECT PatientId, row_number() OVER (ORDER BY PatientId) > "
+@q("h8_ordered_validation", _caroc() + "SELECT PatientId, row_number() OVER (ORDER BY PatientId NULLS FIRST) > "
                                        "CAST(floor(CAST((SELECT count(*) FROM caroc) AS DOUBLE) * "
                                        "(CAST(1 AS DOUBLE) - CAST(0.2 AS DOUBLE))) AS BIGINT) AS is_validation FROM caroc")
 def h8_ordered_validation(spark, sf):

@@ -23,7 +23,7 @@ WITH base AS (
     ON o.o_orderkey = l.l_orderkey
 ), patients AS (
   SELECT k AS row_seq,
-    k - CASE WHEN k % 20 = 0 AND k > 0 THEN 1 ELSE 0 END AS PatientId,
+    CASE WHEN k % 89 = 0 THEN NULL ELSE k - CASE WHEN k % 20 = 0 AND k > 0 THEN 1 ELSE 0 END END AS PatientId,
     CAST(CASE WHEN k % 23 = 0 THEN NULL ELSE 50 + (k * 5) % 49 END AS DOUBLE) AS PatientAge,
     CAST(CASE WHEN k % 41 = 0 THEN NULL WHEN (k * 3) % 7 = 0 THEN 2 ELSE 1 END AS INT) AS PatientGender,
     CASE WHEN k % 31 = 0 THEN NULL
@@ -31,7 +31,7 @@ WITH base AS (
          WHEN k % 10 = 1 THEN CAST(140 + (k * 13) % 50 AS DOUBLE) / CAST(2.54 AS DOUBLE)
          WHEN k % 30 = 2 THEN CAST(95 AS DOUBLE)
          ELSE CAST(140 + (k * 13) % 50 AS DOUBLE) END AS bmdtest_height,
-    CASE WHEN k % 37 = 0 THEN NULL
+    CASE WHEN k % 37 = 0 THEN NULL WHEN k % 41 = 0 AND k % 2 = 1 THEN CAST(0 AS DOUBLE)
          WHEN k % 10 = 1 THEN (CAST(45 AS DOUBLE) + tp / CAST(5000 AS DOUBLE)) / CAST(0.45359237 AS DOUBLE)
          ELSE CAST(45 AS DOUBLE) + tp / CAST(5000 AS DOUBLE) END AS bmdtest_weight,
     CASE WHEN k % 29 = 0 THEN NULL

@@ -1,7 +1,8 @@
 """Encoding and reshaping (G1-G10) and feature-preparation switches.
 
-Category levels are fitted state: two bounded aggregates (a HyperLogLog estimate, then ``collect_set`` only if the
-estimate is within bounds), then applied as literal comparisons - no join, no driver-side data.
+Category levels of a one-hot encoding are fitted state: the distinct values, at most ``max_levels`` per column (each
+becomes a column of the result, so there must be an exact bound), applied as literal comparisons. Label codes have
+no such bound: they are a table that is joined.
 """
 
 from __future__ import annotations
@@ -11,6 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from riskframe.operators.quality import dense_row_numbers
 from riskframe.operators.stats import agg_row
 
 
@@ -19,25 +21,26 @@ class TooManyLevelsError(ValueError):
 
 
 def fit_levels(df: DataFrame, cols: Sequence[str], max_levels: int = 1000) -> dict[str, list]:
-    """Sorted distinct non-null values per column, with memory bounded by ``max_levels``.
+    """Sorted distinct non-null values per column, at most ``max_levels`` of each; more are an error, since each
+    level becomes a column.
 
-    Pass 1: ``approx_count_distinct`` of every column in one aggregate (HyperLogLog, fixed memory). Only if all
-    are within bounds (with a 10 % margin for the estimate), pass 2: ``collect_set`` of every column in one
-    aggregate, whose buffers are then bounded by the level counts.
+    One pass: a column per row of (position, value, ...) with only its own value set, distinct, and at most one row
+    over the bound fetched. The count is exact, so the same table always passes or always fails.
     """
     cols = list(cols)
-    est = agg_row(df, {c: F.approx_count_distinct(c) for c in cols})
-    too_many = [c for c in cols if est[c] > max_levels * 1.1]
+    pairs = F.array(*[F.struct(F.lit(i).alias("at"), *[(F.col(f"`{c}`") if i == j else F.lit(None)).cast(t).alias(f"v{j}")
+                                                      for j, (c, t) in enumerate((x, dict(df.dtypes)[x]) for x in cols)])
+                      for i in range(len(cols))])
+    distinct = df.select(F.explode(pairs).alias("p")).select("p.*").distinct()
+    rows = distinct.limit(len(cols) * (max_levels + 1) + 1).collect()
+    out: dict[str, list] = {c: [] for c in cols}
+    for r in rows:
+        if r[f"v{r['at']}"] is not None:
+            out[cols[r["at"]]].append(r[f"v{r['at']}"])
+    too_many = [c for c in cols if len(out[c]) > max_levels]
     if too_many:
         raise TooManyLevelsError(f"more than {max_levels} levels in {too_many}")
-    sets = agg_row(df, {c: F.array_sort(F.collect_set(c)) for c in cols})
-    out: dict[str, list] = {}
-    for c in cols:
-        vals = list(sets[c] or [])
-        if len(vals) > max_levels:
-            raise TooManyLevelsError(f"{c} has more than {max_levels} levels")
-        out[c] = sorted(vals)
-    return out
+    return {c: sorted(v) for c, v in out.items()}
 
 
 def level_name(prefix: str, value, float_names: bool = False) -> str:
@@ -64,12 +67,19 @@ def one_hot(df: DataFrame, cols: Sequence[str], levels: Mapping[str, list] | Non
     return df.withColumns(new).drop(*cols), lv
 
 
-def label_encode(df: DataFrame, col: str, levels: list | None = None, out: str | None = None) -> tuple[DataFrame, list]:
-    """Sorted distinct values -> 0..n-1 (``array_position`` over the fitted, bounded level list)."""
-    lv = levels if levels is not None else fit_levels(df, [col])[col]
-    arr = F.array(*[F.lit(v) for v in lv])
-    code = (F.array_position(arr, F.col(col)) - F.lit(1)).cast("int")
-    return df.withColumn(out or col, F.when(F.col(col).isNull(), F.lit(None).cast("int")).otherwise(code)), lv
+def label_encode(df: DataFrame, col: str, codes: DataFrame | None = None,
+                 out: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Sorted distinct values -> 0..n-1; NULL and values absent from fitted ``codes`` (level, code) get NULL.
+
+    Any number of levels: the codes are a table numbered by a distributed sort, and a left join applies them (AQE
+    broadcasts a small one and splits a hot level's partition)."""
+    if codes is None:
+        codes = dense_row_numbers(df.select(F.col(col).alias("level")).filter(F.col("level").isNotNull()).distinct(),
+                                  "level", "code")
+    joined = df.join(codes, df[col] == codes["level"], "left").drop("level")
+    name = out or col
+    rest = [c for c in df.columns if c != name]
+    return joined.select(*rest, F.col("code").cast("int").alias(name)), codes
 
 
 def melt(df: DataFrame, ids: Sequence[str], values: Sequence[str], var_name: str = "variable",

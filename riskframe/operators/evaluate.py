@@ -15,6 +15,9 @@ from riskframe.operators.ordered import running_totals
 from riskframe.operators.stats import agg_row
 
 
+MAX_CLASSES = 300
+
+
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
@@ -38,15 +41,15 @@ def residuals(df: DataFrame, label: str, prediction: str, keep: Sequence[str] =
 
 # ---- classification (K4-K6, K9) -------------------------------------------------------------------------------
 def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: Sequence | None = None) -> DataFrame:
-    """K4: (label, prediction, count) for every class pair, zero cells included. The class list is bounded
-    (fetched with a limit) and the grid is a tiny local frame joined with the grouped counts."""
+    """K4: (label, prediction, count) for every class pair, zero cells included. The result has a row per pair, so
+    the number of classes has an exact bound, ``MAX_CLASSES``; K5 has the same figures per class without one."""
     counts = df.groupBy(F.col(label).alias("label"), F.col(prediction).alias("prediction")).agg(
         F.count(F.lit(1)).alias("count"))
     if classes is None:
-        vals = (df.select(F.col(label).alias("c")).union(df.select(F.col(prediction).alias("c")))
-                .filter(F.col("c").isNotNull()).distinct().limit(10001).collect())
-        if len(vals) > 10000:
-            raise ValueError("too many classes for a confusion matrix")
+        vals = (df.select(F.explode(F.array(F.col(label), F.col(prediction))).alias("c"))
+                .filter(F.col("c").isNotNull()).distinct().limit(MAX_CLASSES + 1).collect())
+        if len(vals) > MAX_CLASSES:
+            raise ValueError(f"a full confusion matrix has a cell per class pair; more than {MAX_CLASSES} classes")
         classes = sorted(r["c"] for r in vals)
     dtype = dict(counts.dtypes)["label"]
     grid = df.sparkSession.createDataFrame([(a, b) for a in classes for b in classes],

@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 from riskframe.operators.stats import agg_row
 
+#: Entries of a group's statistics that are shifts, not sums.
+SHIFTS = ("x0", "y0")
 _MOMENT_SCHEMA = "i int, j int, n double, sa double, sb double, saa double, sbb double, sab double"
 
 
@@ -88,8 +90,9 @@ def gram(df: DataFrame, features: Sequence[str], label: str, group: str | None =
          weight: str | None = None) -> dict:
     """X'X, X'y, y'y, n (and sums) per group (e.g. CV fold) for rows with no NULL in features/label.
 
-    Returns {group_value: {"xtx": (p x p), "xty": (p,), "yty": float, "n": float, "sx": (p,), "sy": float}}
-    with an intercept-free design; callers centre or add the intercept column themselves.
+    Features and label are shifted by their global means (one aggregate) before anything is squared, so the sums
+    keep their digits whatever the columns' offset. Returns {group_value: {"xtx": (p x p), "xty": (p,), "yty", "n",
+    "sx": (p,), "sy", "x0": (p,), "y0"}}: sums of the shifted columns, and the shifts, which all groups share.
     """
     p = len(features)
     # safe positional names: mapInPandas resolves input columns by name, and feature names may contain dots
@@ -104,6 +107,9 @@ def gram(df: DataFrame, features: Sequence[str], label: str, group: str | None =
     for c in data.columns:
         complete = complete & F.col(c).isNotNull()
     data = data.filter(complete)
+    shift = _means(data, [f"f{i}" for i in range(p)] + ["y"])
+    data = data.select(*[(F.col(c) - F.lit(m)).alias(c) for c, m in zip([f"f{i}" for i in range(p)] + ["y"], shift)],
+                       *(["g"] if group else []), *(["w"] if weight else []))
     feats = [f"f{i}" for i in range(p)]
     label, group, weight = "y", ("g" if group else None), ("w" if weight else None)
 
@@ -135,7 +141,7 @@ def gram(df: DataFrame, features: Sequence[str], label: str, group: str | None =
     schema = "g string, xtx array<double>, xty array<double>, yty double, n double, sx array<double>, sy double"
     parts = data.mapInPandas(part, schema)
     # element-wise sums of the (k^2-sized) partial arrays per group: explode with position, sum, regroup
-    return dict(_sum_arrays(parts, p))
+    return {g: {**s, "x0": np.array(shift[:p]), "y0": shift[p]} for g, s in _sum_arrays(parts, p)}
 
 
 def _sum_arrays(parts: DataFrame, p: int):
@@ -158,11 +164,12 @@ def _sum_arrays(parts: DataFrame, p: int):
 
 def combine(stats: Sequence[dict]) -> dict:
     """Sum several group statistics (e.g. all folds but one)."""
-    out = {k: (v.copy() if isinstance(v, np.ndarray) else v) for k, v in stats[0].items()}
-    for s in stats[1:]:
-        for k in out:
-            out[k] = out[k] + s[k]
-    return out
+    return {k: v if k in SHIFTS else sum((s[k] for s in stats[1:]), v) for k, v in stats[0].items()}
+
+
+def minus(total: dict, part: dict) -> dict:
+    """The statistics of the rows of ``total`` that are not in ``part`` (e.g. all folds but one)."""
+    return {k: v if k in SHIFTS else v - part[k] for k, v in total.items()}
 
 
 def centred(s: dict) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, float]:
@@ -172,4 +179,4 @@ def centred(s: dict) -> tuple[np.ndarray, np.ndarray, float, np.ndarray, float]:
     sxx = s["xtx"] - n * np.outer(mx, mx)
     sxy = s["xty"] - n * mx * my
     syy = s["yty"] - n * my * my
-    return sxx, sxy, syy, mx, my
+    return sxx, sxy, syy, mx + s["x0"], my + s["y0"]

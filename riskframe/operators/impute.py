@@ -13,7 +13,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from riskframe.operators.stats import agg_row, grouped_rows, lit_or_null
+from riskframe.operators.stats import agg_row, lit_or_null
 
 
 def _k(*parts) -> str:
@@ -85,17 +85,19 @@ class GroupMeanFill(_Imputer):
         return df.withColumns(out)
 
 
-def group_mean_fill_any(df: DataFrame, columns: Sequence[str], group_col: str, max_groups: int = 1024) -> DataFrame:
-    """F4 for an open set of groups: grouped means; inlined if the group count is bounded, else an equi-join
-    with the (small) statistics table, whose broadcast AQE decides from its measured size."""
-    stats = df.groupBy(group_col).agg(*[F.avg(c).alias(_k("gmean", c)) for c in columns])
-    rows = grouped_rows(stats.filter(F.col(group_col).isNotNull()), max_groups)
-    if rows is not None:
-        flat = {_k("gmean", c, r[group_col]): r[_k("gmean", c)] for r in rows for c in columns}
-        return GroupMeanFill(columns, group_col, [r[group_col] for r in rows]).apply(df, flat)
+def group_mean_fill_any(df: DataFrame, columns: Sequence[str], group_col: str) -> DataFrame:
+    """F4 for an open set of groups: NULL and 0 -> mean of the row's group, by an equi-join with the table of group
+    means, whose broadcast AQE decides from its measured size. Rows without a group, and rows of a group without a
+    mean (all its values are NULL), stay as they are."""
+    stats = df.filter(F.col(group_col).isNotNull()).groupBy(group_col).agg(
+        *[F.avg(c).alias(_k("gmean", c)) for c in columns])
     joined = df.join(stats, group_col, "left")
-    out = {c: F.when(F.col(c).isNull() | (F.col(c) == 0), F.col(_k("gmean", c))).otherwise(F.col(c)) for c in columns}
-    return joined.withColumns(out).drop(*[_k("gmean", c) for c in columns])
+    out = {}
+    for c in columns:
+        mean = F.col(_k("gmean", c))
+        missing = F.col(c).isNull() | (F.col(c) == 0)
+        out[c] = F.when(missing & mean.isNotNull(), mean).otherwise(F.col(c))
+    return joined.withColumns(out).select(*df.columns)
 
 
 @dataclass

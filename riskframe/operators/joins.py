@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 
 def complement(df: DataFrame, sample: DataFrame, key: str) -> DataFrame:
-    """Rows of ``df`` not in ``sample`` (left anti join on the row identity; a hash split's complement can
-    instead use the complementary predicate and skip the join)."""
-    return df.join(sample.select(key), key, "left_anti")
+    """Rows of ``df`` not in ``sample`` (null-safe left anti join on the row identity; a hash split's complement
+    can instead use the complementary predicate and skip the join)."""
+    other = sample.select(sample[key].alias("__key"))
+    return df.join(other, df[key].eqNullSafe(other["__key"]), "left_anti")
 
 
 def left_join_features(df: DataFrame, features: DataFrame, key: str) -> DataFrame:

@@ -216,7 +216,7 @@ def omp(s: dict, features: Sequence[str], n_nonzero: int | None = None) -> Linea
 def sse_on(s: dict, fit: LinearFit) -> float:
     """Sum of squared errors of ``fit`` on data summarised by ``s`` (no data pass)."""
     b = np.asarray(fit.coef)
-    c = fit.intercept
+    c = fit.intercept + float(b @ s["x0"]) - s["y0"]
     return float(s["yty"] - 2 * (b @ s["xty"]) - 2 * c * s["sy"] + b @ s["xtx"] @ b + 2 * c * (b @ s["sx"])
                  + c * c * s["n"])
 
@@ -233,7 +233,7 @@ def cv_linear(df: DataFrame, features: Sequence[str], label: str, fold_col: str,
         rmses = []
         for f in folds:
             test = per[f]
-            train = {k: total[k] - test[k] for k in total}
+            train = G.minus(total, test)
             fit = fit_linear(name, train, features, **params)
             rmses.append(math.sqrt(max(sse_on(test, fit), 0.0) / test["n"]))
         out.append({"model": name, "params": params, "fold_rmse": rmses,
@@ -262,6 +262,24 @@ def random_search_ridge(df: DataFrame, features: Sequence[str], label: str, fold
     return sorted(cv_linear(df, features, label, fold_col, cands), key=lambda r: r["mean_rmse"])
 
 
+def cooks_distance(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
+    """Leverage, residual and Cook's distance of every row for the least-squares fit, from one pass of sums. The
+    inverse of the centred cross products (p x p) is inlined; a row's own part is a column expression."""
+    s = G.gram(df, features, label)[None]
+    sxx, _, _, mx, _ = G.centred(s)
+    inv, fit = np.linalg.pinv(sxx), ols(s, features)
+    p, n = len(features) + 1, s["n"]
+    xs = [F.col(f"`{c}`").cast("double") - F.lit(float(m)) for c, m in zip(features, mx)]
+    leverage = F.lit(1.0 / n)
+    for i, a in enumerate(xs):
+        for j, b in enumerate(xs):
+            leverage = leverage + F.lit(float(inv[i, j])) * a * b
+    mse = max(sse_on(s, fit), 0.0) / max(n - p, 1.0)
+    out = df.withColumns({"leverage": leverage, "residual": F.col(f"`{label}`").cast("double") - fit.predict_expr()})
+    h, e = F.col("leverage"), F.col("residual")
+    return out.withColumn("cooks_distance", e * e * h / (F.lit(p * mse) * F.pow(F.lit(1.0) - h, 2)))
+
+
 def rfe_linear(df: DataFrame, features: Sequence[str], label: str, fold_col: str) -> list[dict]:
     """Recursive feature elimination with CV for OLS, from the per-fold Gram matrices (one pass): drop the
     feature with the smallest |standardised coefficient| each round and record the CV RMSE."""
@@ -276,12 +294,12 @@ def rfe_linear(df: DataFrame, features: Sequence[str], label: str, fold_col: str
         def restrict(s):
             idx = np.array(active)
             return {"xtx": s["xtx"][np.ix_(idx, idx)], "xty": s["xty"][idx], "yty": s["yty"], "n": s["n"],
-                    "sx": s["sx"][idx], "sy": s["sy"]}
+                    "sx": s["sx"][idx], "sy": s["sy"], "x0": s["x0"][idx], "y0": s["y0"]}
 
         rm = []
         for f in folds:
             test = restrict(per[f])
-            train = restrict({k: total[k] - per[f][k] for k in total})
+            train = restrict(G.minus(total, per[f]))
             rm.append(math.sqrt(max(sse_on(test, ols(train, sub)), 0.0) / test["n"]))
         full = ols(restrict(total), sub)
         sxx, _, _, _, _ = G.centred(restrict(total))

@@ -127,31 +127,32 @@ def above_threshold(p, threshold: float = 0.5) -> Column:
 
 # ---- C1-C3 --------------------------------------------------------------------------------------------------
 def dedupe_first(df: DataFrame, key: str = "PatientId", order_col: str = "row_seq") -> DataFrame:
-    """Keep the first row per key in file order (``order_col`` must be unique, e.g. the row sequence).
+    """Keep the first row per key in file order (``order_col`` must be unique, e.g. the row sequence). Rows
+    without a key count as one key, as in the reference, so the first of them stays.
 
     ``min(order_col)`` per key is a partial + final hash aggregate over two narrow columns, so a hot key is
-    collapsed map-side before the shuffle; the survivors are then selected with a semi-join on
+    collapsed map-side before the shuffle; the survivors are then selected with a null-safe semi-join on
     ``(key, order_col)``, which hash-partitions on a unique pair and therefore cannot skew.
     """
-    firsts = df.groupBy(key).agg(F.min(order_col).alias(order_col))
-    return df.join(firsts, [key, order_col], "left_semi")
+    firsts = df.groupBy(F.col(key).alias("__key")).agg(F.min(order_col).alias("__first"))
+    return df.join(firsts, df[key].eqNullSafe(firsts["__key"]) & (df[order_col] == firsts["__first"]), "left_semi")
 
 
 def keep_max_per_key(df: DataFrame, key: str, value: str, tiebreak: str) -> DataFrame:
     """Keep the row with the highest ``value`` per key (NULL values last); ties go to the smallest ``tiebreak``.
 
-    ``(key, tiebreak)`` must be unique. The winner per key is an aggregate (partial aggregation absorbs hot
-    keys), then a semi-join on the unique pair picks the row.
+    ``(key, tiebreak)`` must be unique; NULL keys form one key. The winner per key is an aggregate (partial
+    aggregation absorbs hot keys), then a null-safe semi-join on the unique pair picks the row.
     """
-    best = (df.groupBy(key)
+    best = (df.groupBy(F.col(key).alias("__key"))
             .agg(F.min(F.struct(F.col(value).isNull().alias("missing"), (-F.col(value)).alias("neg"),
                                 F.col(tiebreak).alias("tb"))).alias("best"))
-            .select(key, F.col("best.tb").alias(tiebreak)))
-    return df.join(best, [key, tiebreak], "left_semi")
+            .select("__key", F.col("best.tb").alias("__tb")))
+    return df.join(best, df[key].eqNullSafe(best["__key"]) & df[tiebreak].eqNullSafe(best["__tb"]), "left_semi")
 
 
 def dense_row_numbers(df: DataFrame, order_col: str, out: str = "row_id", num_partitions: int | None = None) -> DataFrame:
-    """Dense 1-based row numbers in ``order_col`` order without a single-partition window.
+    """Dense row numbers from 0 (as a fresh row index) in ``order_col`` order, without a single-partition window.
 
     Range-partition and sort within partitions, materialise (so partition contents are stable), count rows per
     partition (one small aggregate, one row per partition), then number locally: offset of the partition plus
@@ -159,15 +160,15 @@ def dense_row_numbers(df: DataFrame, order_col: str, out: str = "row_id", num_pa
     """
     n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranged = materialize(df.repartitionByRange(n, order_col).sortWithinPartitions(order_col), columnar=False)
-    counts = dict((r["pid"], r["n"]) for r in
-                  ranged.groupBy(F.spark_partition_id().alias("pid")).agg(F.count(F.lit(1)).alias("n")).collect())
-    parts = max([ranged.rdd.getNumPartitions(), *[p + 1 for p in counts]])
-    offsets, running = [], 0
-    for p in range(parts):
-        offsets.append(running)
-        running += counts.get(p, 0)
     pid = F.spark_partition_id()
-    pos = F.monotonically_increasing_id() - F.shiftleft(pid.cast("long"), 33)
-    # one offset per partition: an array literal indexed by partition id (O(1), codegen-size independent of n)
-    offset = F.element_at(F.array(*[F.lit(o).cast("long") for o in offsets]), pid + F.lit(1))
-    return ranged.withColumn(out, (offset + pos + F.lit(1)).cast("long"))
+    placed = ranged.withColumns({"__pid": pid, "__pos": F.monotonically_increasing_id()
+                                 - F.shiftleft(pid.cast("long"), 33)})
+    counts = {r["__pid"]: r["n"] for r in placed.groupBy("__pid").agg(F.count(F.lit(1)).alias("n")).collect()}
+    offsets, running = [], 0
+    for p in sorted(counts):
+        offsets.append((p, running))
+        running += counts[p]
+    # one row per partition of this stage, so its size is that of the stage's task list
+    table = df.sparkSession.createDataFrame(offsets, "__pid int, __offset long")
+    return (placed.join(F.broadcast(table), "__pid")
+            .withColumn(out, F.col("__offset") + F.col("__pos")).select(*df.columns, out))

@@ -15,9 +15,14 @@ from pyspark.sql import functions as F
 from riskframe.operators.stats import agg_row
 
 
+def _md5(id_col: str, seed: int) -> Column:
+    return F.md5(F.concat(F.coalesce(F.col(id_col).cast("string"), F.lit("")), F.lit(":"), F.lit(str(seed))))
+
+
 def hash_unit(id_col: str, seed: int) -> Column:
-    """A 32-bit unsigned integer from md5(id ':' seed)."""
-    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":"), F.lit(str(seed))))
+    """A 32-bit unsigned integer from md5(id ':' seed); a NULL id counts as the empty text, so its row is in one
+    part of every split."""
+    h = _md5(id_col, seed)
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("long")
 
 
@@ -44,14 +49,19 @@ def three_way_split(df: DataFrame, id_col: str, test_pct: int = 20, val_pct: int
                          .otherwise("train"))
 
 
+def in_fraction(id_col: str, fraction: float, seed: int = 786) -> Column:
+    """Whether a row is in the ``fraction_sample``; its negation is the complement, without a join."""
+    return hash_bucket(id_col, seed, 10000) < F.lit(int(round(fraction * 10000)))
+
+
 def fraction_sample(df: DataFrame, id_col: str, fraction: float, seed: int = 786) -> DataFrame:
     """H3: without replacement, exact repeatability; resolution 1/10000."""
-    return df.filter(hash_bucket(id_col, seed, 10000) < F.lit(int(round(fraction * 10000))))
+    return df.filter(in_fraction(id_col, fraction, seed))
 
 
 def fixed_size_sample(df: DataFrame, id_col: str, n: int, seed: int = 0) -> DataFrame:
     """H4: n rows with the smallest hash (TakeOrderedAndProject: per-partition top-n, no full sort)."""
-    h = F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":"), F.lit(str(seed))))
+    h = _md5(id_col, seed)
     return df.orderBy(h, F.col(id_col)).limit(n)
 
 
@@ -67,34 +77,13 @@ def ordered_validation(df: DataFrame, order_col: str, fraction: float = 0.2, col
     n = df.count()
     split_at = int(n * (1.0 - fraction))
     numbered = dense_row_numbers(df, order_col, "__rn")
-    return numbered.withColumn(col, F.col("__rn") > F.lit(split_at)).drop("__rn")
+    return numbered.withColumn(col, F.col("__rn") >= F.lit(split_at)).drop("__rn")
 
 
 def class_weights(df: DataFrame, label: str, col: str = "weight") -> DataFrame:
-    """H7: sklearn 'balanced' weights n / (k * n_c) from one grouped aggregate (bounded by the class count)."""
-    rows = df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
-    n, k = sum(r["n"] for r in rows), len(rows)
-    w = None
-    for r in rows:
-        cond = F.col(label).eqNullSafe(F.lit(r[label]))
-        v = F.lit(n / (k * r["n"]))
-        w = F.when(cond, v) if w is None else w.when(cond, v)
-    return df.withColumn(col, w if w is not None else F.lit(1.0))
-
-
-def class_counts(df: DataFrame, label: str) -> dict:
-    return {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
-
-
-def minority_deficits(df: DataFrame, label: str) -> dict:
-    counts = class_counts(df, label)
-    top = max(counts.values()) if counts else 0
-    return {k: top - v for k, v in counts.items() if top - v > 0}
-
-
-def stratified_means(df: DataFrame, label: str, cols: Sequence[str]) -> DataFrame:
-    return df.groupBy(label).agg(*[F.avg(c).alias(c) for c in cols])
-
-
-def row_count(df: DataFrame) -> int:
-    return int(agg_row(df, {"n": F.count(F.lit(1))})["n"])
+    """H7: sklearn 'balanced' weights n / (k * n_c), n and k over the rows with a label; rows without one get NULL.
+    The class counts are a table that is joined, whatever the number of classes."""
+    counts = df.filter(F.col(label).isNotNull()).groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
+    s = agg_row(counts, {"n": F.sum("__n"), "k": F.count(F.lit(1))})
+    weights = counts.select(label, (F.lit(float(s["n"] or 0)) / (F.lit(s["k"]) * F.col("__n"))).alias(col))
+    return df.join(weights, label, "left").select(*df.columns, col)

@@ -54,7 +54,7 @@ def smote_nc(df: DataFrame, label: str, id_col: str, numeric: Sequence[str], nom
         minority = df.filter(F.col(label) == F.lit(cls)).select(*cols)
         numbered = dense_row_numbers(minority, id_col, "__rn")
         q, r = divmod(deficit, m)
-        copies = (F.lit(q) + F.when(F.col("__rn") <= F.lit(r), 1).otherwise(0)).cast("int")
+        copies = (F.lit(q) + F.when(F.col("__rn") < F.lit(r), 1).otherwise(0)).cast("int")
         key = F.lit(0.0)
         for w, c in zip(proj, numeric):
             key = key + F.lit(float(w)) * F.coalesce(F.col(c).cast("double"), F.lit(0.0))

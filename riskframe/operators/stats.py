@@ -3,22 +3,13 @@
 This is the Spark ML ``Estimator``/``Model`` split: ``fit`` runs a single ``agg`` whose output size is fixed by
 the number of statistics (never by the number of rows); ``transform`` inlines the values as literals, so the
 apply step is a narrow projection inside whole-stage codegen with no join at all.
-
-Grouped statistics are fetched with ``limit(max_groups + 1)``: if the group count is within the bound the values
-are inlined as a ``when`` chain; beyond it the caller falls back to an equi-join with the statistics table and
-lets AQE pick broadcast or shuffle from the measured size.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-MAX_INLINE_GROUPS = 1024
-
-
 def agg_row(df: DataFrame, exprs: dict[str, Column]) -> dict:
     """Run one global aggregate with all statistics; return them as a dict (a single row)."""
     if not exprs:
@@ -27,22 +18,6 @@ def agg_row(df: DataFrame, exprs: dict[str, Column]) -> dict:
     return row.asDict()
 
 
-def grouped_rows(stats: DataFrame, max_groups: int = MAX_INLINE_GROUPS) -> list | None:
-    """Fetch a per-group statistics table if it has at most ``max_groups`` rows, else None."""
-    rows = stats.limit(max_groups + 1).collect()
-    if len(rows) > max_groups:
-        return None
-    return rows
-
-
 def lit_or_null(v, dtype: str = "double") -> Column:
     return F.lit(None).cast(dtype) if v is None else F.lit(v).cast(dtype)
 
-
-def lookup_expr(key: Column, mapping: Sequence[tuple[object, object]], dtype: str = "double") -> Column:
-    """``when(key == k1, v1).when(key == k2, v2)...`` with NULL otherwise."""
-    expr = None
-    for k, v in mapping:
-        cond = key == F.lit(k)
-        expr = F.when(cond, lit_or_null(v, dtype)) if expr is None else expr.when(cond, lit_or_null(v, dtype))
-    return F.lit(None).cast(dtype) if expr is None else expr

@@ -53,10 +53,7 @@ def fracture_consolidation(clean: DataFrame, fraction: float = 0.9, seed: int =
     keep = [c for c in df.columns if c not in FRACTURE_TYPES]
     long = encode.melt(df, keep, list(FRACTURE_TYPES), "fracture_type", "fractured")
     best = quality.keep_max_per_key(long, "PatientId", "fractured", "fracture_type")
-    data = sampling.fraction_sample(best, "PatientId", fraction, seed)
-    from riskframe.operators.joins import complement
-    unseen = complement(best, data.select("PatientId"), "PatientId")
-    return data.withColumn("part", F.lit("data")).unionByName(unseen.withColumn("part", F.lit("unseen")))
+    return best.withColumn("part", F.when(sampling.in_fraction("PatientId", fraction, seed), "data").otherwise("unseen"))
 
 
 # fixed column contract of the proxy-variable input

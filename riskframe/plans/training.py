@@ -99,7 +99,7 @@ def regression_pipeline(prepared: DataFrame, features: Sequence[str], label: str
         pred = model.transform(test)
         rows += _metrics_rows("test", name, evaluate.regression_metrics(pred, "label", "prediction").first().asDict())
     from riskframe.operators.stats import agg_row
-    ck = agg_row(_cooks(train, feats), {"max": F.max("cooks_distance"), "n_over_4_n": F.sum(
+    ck = agg_row(M.cooks_distance(train, feats), {"max": F.max("cooks_distance"), "n_over_4_n": F.sum(
         (F.col("cooks_distance") > F.lit(4.0 / max(s_train["n"], 1.0))).cast("long"))})
     rows += _metrics_rows("diagnostics", "ols", ck)
     hist = evaluate.residuals(test.withColumn("prediction", fits["ols"].predict_expr()), "label", "prediction")
@@ -109,26 +109,4 @@ def regression_pipeline(prepared: DataFrame, features: Sequence[str], label: str
     return _frame(spark, rows)
 
 
-def _cooks(df: DataFrame, feats: Sequence[str]) -> DataFrame:
-    import numpy as np
-    s = G.gram(df.withColumn("__one", F.lit(1.0)), ["__one", *feats], "label")[None]
-    inv = np.linalg.pinv(s["xtx"])
-    beta = inv @ s["xty"]
-    p = len(feats) + 1
-    xs = [F.lit(1.0)] + [F.col(f"`{c}`").cast("double") for c in feats]
-    lev = F.lit(0.0)
-    for i in range(p):
-        for j in range(p):
-            if inv[i, j] != 0.0:
-                lev = lev + F.lit(float(inv[i, j])) * xs[i] * xs[j]
-    pred = F.lit(0.0)
-    for i in range(p):
-        pred = pred + F.lit(float(beta[i])) * xs[i]
-    sse = float(s["yty"] - 2 * beta @ s["xty"] + beta @ s["xtx"] @ beta)
-    mse = sse / max(s["n"] - p, 1.0)
-    out = df.withColumns({"leverage": lev, "residual": F.col("label") - pred})
-    return out.withColumn("cooks_distance", F.col("residual") ** 2 * F.col("leverage") /
-                          (F.lit(p * mse) * (F.lit(1.0) - F.col("leverage")) ** 2))
-
-
 __all__ = ["classification_pipeline", "regression_pipeline", "math"]

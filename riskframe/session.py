@@ -5,6 +5,8 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -33,7 +35,8 @@ def build_session(master: str = "local[8]", shuffle_partitions: int = 8, app: st
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by the cluster (``spark.checkpoint.dir``).
 
-    Only when the session has none (local tests) do we set one of our own.
+    Only where the session has none and runs in one process (a local master, as in tests) is it a temporary folder
+    of our own; elsewhere executors could not see such a folder, so a cluster must name one.
     """
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
@@ -41,11 +44,44 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
         return current
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if not configured:
+        if not is_local(sc.master):
+            raise RuntimeError(f"set spark.checkpoint.dir to a folder that all executors share (master {sc.master})")
         configured = tempfile.mkdtemp(prefix="riskframe-ckpt-")
     sc.setCheckpointDir(configured)
     return sc.getCheckpointDir()
 
 
+def is_local(master: str) -> bool:
+    """One process: local, local[n], local[n,f] or local[*], but not local-cluster[...]."""
+    return master == "local" or master.startswith("local[")
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_code(spark: SparkSession) -> None:
+    """Send this package to the executors, once per application, so that functions run there by name whatever the
+    working directory or the packages installed on the workers."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    package = Path(__file__).resolve().parent
+    folder = tempfile.mkdtemp(prefix="riskframe-code-")
+    archive = os.path.join(folder, f"riskframe-{uuid.uuid4().hex[:8]}.zip")
+    with zipfile.ZipFile(archive, "w") as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    spark.sparkContext.addPyFile(archive)
+    _SHIPPED.add(app)
+
+
+def drop_scratch(spark: SparkSession) -> None:
+    """Remove every scratch table of this application. Results that still read them end with it, so call it when a
+    job has written its product."""
+    base = spark._jvm.org.apache.hadoop.fs.Path(ensure_checkpoint_dir(spark).rstrip("/") + "/riskframe")
+    base.getFileSystem(spark._jsc.hadoopConfiguration()).delete(base, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh, unique path under the shared checkpoint folder for written intermediate tables."""
     base = ensure_checkpoint_dir(spark).rstrip("/")

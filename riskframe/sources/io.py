@@ -63,11 +63,9 @@ def write_csv(df: DataFrame, path: str, index_col: str | None = None, single_fil
 
 
 def write_extracts(merged: DataFrame, base: str, source_col: str = "source") -> dict[str, str]:
-    """The merged table plus one extract per source family (each family gets its own rows)."""
-    paths = {"merged": write_csv(merged, f"{base}/merged")}
-    for name in [r[0] for r in merged.select(source_col).distinct().collect()]:
-        paths[name] = write_csv(merged.filter(F.col(source_col) == name), f"{base}/{name}")
-    return paths
+    """The merged table, and in one more pass an extract per source family (a folder ``source=<name>`` each)."""
+    merged.write.mode("overwrite").option("header", True).partitionBy(source_col).csv(f"{base}/by-source")
+    return {"merged": write_csv(merged, f"{base}/merged"), "by_source": f"{base}/by-source"}
 
 
 def append_metrics(spark: SparkSession, path: str, run: str, model: str, metrics: Mapping[str, float]) -> None:
