@@ -23,7 +23,7 @@ def _caroc():
 
 RULE_COEFS = {"PatientAge": -0.04, "bmi": 0.01}     # the linear rule predictor's slopes
 K16_FEATURES = ["PatientAge", "bmi"]
-REPEATS, BUCKETS, SEED = 5, 16, 0
+REPEATS, BUCKETS, SEED = 50, 16, 0
 
 
 def _rule_predict(df):
@@ -35,32 +35,64 @@ def _k16_frame(spark, sf):
         .select("PatientId", "PatientAge", "bmi", "bmdtest_tscore_fn")
 
 
-def _k16_sql():
+def _k16_sql(scorer="mse"):
     pred = _RULE_T
     pp = pred.replace("PatientAge", "pa").replace("bmi", "pb")
-    return _caroc() + f""", b AS (SELECT PatientId, PatientAge, bmi, bmdtest_tscore_fn AS y,
+    rows = _caroc() + f""", b AS (SELECT PatientId, PatientAge, bmi, bmdtest_tscore_fn AS y,
+   CASE WHEN bmdtest_tscore_fn < -1.5 THEN 1 ELSE 0 END AS high,
    CAST(('0x' || substr(md5(CAST(PatientId AS VARCHAR) || ':bucket'), 1, 8))::BIGINT % {BUCKETS} AS INT) AS bucket
    FROM caroc WHERE bmdtest_tscore_fn IS NOT NULL),
-base_mse AS (SELECT avg(pow({pred} - y, 2)) AS m FROM b),
 rep AS (SELECT b.*, f.perm_feature, f.fidx, r.range AS repeat FROM b,
    (VALUES ('PatientAge', 0), ('bmi', 1)) f(perm_feature, fidx), range({REPEATS}) r),
 rk AS (SELECT *, CASE fidx WHEN 0 THEN PatientAge ELSE bmi END AS fval FROM rep),
 dn AS (SELECT *, coalesce(lead(fval) OVER w, first_value(fval) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)) AS donor
    FROM rk WINDOW w AS (PARTITION BY perm_feature, repeat, bucket ORDER BY
       md5(concat_ws(':', CAST(PatientId AS VARCHAR), perm_feature, CAST(repeat AS VARCHAR), '{SEED}')), PatientId)),
-sw AS (SELECT perm_feature, repeat, y,
-   CASE WHEN fidx = 0 THEN donor ELSE PatientAge END AS pa, CASE WHEN fidx = 1 THEN donor ELSE bmi END AS pb FROM dn),
-pm AS (SELECT perm_feature, repeat, avg(pow({pp} - y, 2)) AS permuted_mse FROM sw GROUP BY 1, 2)
-SELECT perm_feature AS feature, repeat, {rd('m - permuted_mse')} AS importance, {rd('permuted_mse - m')} AS increase
-FROM pm, base_mse"""
+sw AS (SELECT perm_feature, repeat, y, high,
+   CASE WHEN fidx = 0 THEN donor ELSE PatientAge END AS pa, CASE WHEN fidx = 1 THEN donor ELSE bmi END AS pb FROM dn)"""
+    if scorer == "roc_auc":  # the score of the high class is the negated predicted T-score; ties count half
+        area = "(sum(tp * (cum - fp / 2.0)) / (sum(tp) * sum(fp)))"
+        per = (f"SELECT {{keys}} round(-({{pred}}) * 1000000) AS s, sum(high) AS tp, sum(1 - high) AS fp FROM {{src}} "
+               "WHERE ({pred}) IS NOT NULL GROUP BY ALL")
+        return rows + f""", s0 AS ({per.format(keys='', pred=pred, src='b')}),
+bm AS (SELECT {area} AS m FROM (SELECT *, sum(fp) OVER (ORDER BY s) AS cum FROM s0)),
+s1 AS ({per.format(keys='perm_feature, repeat,', pred=pp, src='sw')}),
+pm AS (SELECT perm_feature, repeat, {area} AS metric
+   FROM (SELECT *, sum(fp) OVER (PARTITION BY perm_feature, repeat ORDER BY s) AS cum FROM s1) GROUP BY 1, 2)
+SELECT perm_feature AS feature, repeat, {rd('m - metric')} AS importance, {rd('metric - m')} AS increase FROM pm, bm"""
+    metric = "avg(pow({p} - y, 2))" if scorer == "mse" else "1 - avg(pow({p} - y, 2)) / v"
+    return rows + f""", vy AS (SELECT var_pop(y) AS v FROM b),
+bm AS (SELECT {metric.format(p=pred)} AS m FROM b, vy GROUP BY v),
+pm AS (SELECT perm_feature, repeat, {metric.format(p=pp)} AS metric FROM sw, vy GROUP BY 1, 2, v)
+SELECT perm_feature AS feature, repeat, {rd('m - metric')} AS importance, {rd('metric - m')} AS increase FROM pm, bm"""
+
+
+def _k16(spark, sf, scorer):
+    frame = _k16_frame(spark, sf)
+    label, predict = "bmdtest_tscore_fn", _rule_predict
+    if scorer == "roc_auc":
+        frame = frame.withColumn("high", (F.col(label) < -1.5).cast("int"))
+        label, predict = "high", lambda d: d.withColumn("prediction", F.round(-rule_tscore() * 1000000))
+    res = explain.permutation_importance(frame, "PatientId", K16_FEATURES, label, predict, repeats=REPEATS, seed=SEED,
+                                         scorer=scorer)
+    return rnd(res.withColumn("repeat", F.col("repeat").cast("long")))
 
 
 @q("k16_permutation_importance", _k16_sql())
 def k16_permutation_importance(spark, sf):
-    """MSE-scorer permutation importance of the rule predictor (bucketed permutation, 5 repeats)."""
-    res = explain.permutation_importance(_k16_frame(spark, sf), "PatientId", K16_FEATURES, "bmdtest_tscore_fn",
-                                         _rule_predict, repeats=REPEATS, seed=SEED, buckets=BUCKETS)
-    return rnd(res.withColumn("repeat", F.col("repeat").cast("long")))
+    """MSE-scorer permutation importance of the rule predictor (bucketed permutation, 50 repeats)."""
+    return _k16(spark, sf, "mse")
+
+
+@q("k16_permutation_importance_r2", _k16_sql("r2"))
+def k16_permutation_importance_r2(spark, sf):
+    return _k16(spark, sf, "r2")
+
+
+@q("k16_permutation_importance_auc", _k16_sql("roc_auc"))
+def k16_permutation_importance_auc(spark, sf):
+    """The same for the AUC of telling T-scores below -1.5 by the rule's score (in steps of a millionth)."""
+    return _k16(spark, sf, "roc_auc")
 
 
 @q("k16_permutation_importance_model")
@@ -70,7 +102,7 @@ def k16_permutation_importance_model(spark, sf):
     t = training_frame(spark, sf)
     model = M.pipeline(REG_FEATURES, M.random_forest_regressor(trees=20, depth=5)).fit(t)
     return explain.permutation_importance(t.select("PatientId", "label", *REG_FEATURES), "PatientId", REG_FEATURES,
-                                          "label", lambda d: model.transform(d), repeats=3, order_hash="xxhash64")
+                                          "label", lambda d: model.transform(d), order_hash="xxhash64")
 
 
 @q("k17_attribution_summary", _caroc() + ", m AS (SELECT avg(PatientAge) AS ma, avg(bmi) AS mb FROM caroc) "
@@ -137,14 +169,17 @@ def _importance_matrices(spark, sf):
 
 
 def importance_long(spark, sf):
-    """L1: read every model's matrix, harmonise the names, stack by name, tag model and family (from the
+    """L1: read a family's matrices in one scan, harmonise the names, stack by name, tag model and family (from the
     file path), and go long (feature, importance)."""
+    paths = _importance_matrices(spark, sf)
     frames = []
-    for name, path in _importance_matrices(spark, sf).items():
-        df = io.read_csv(spark, path).withColumn("model", F.regexp_extract(F.col("_metadata.file_path"),
-                                                                           r"/(sci_[a-z]+|dnn_[a-z]+)/", 1))
-        df = explain.harmonise(df, SCI_RENAME if name.startswith("sci") else DNN_RENAME)
-        frames.append(df)
+    for family, rename in (("sci", SCI_RENAME), ("dnn", DNN_RENAME)):
+        mine = [p for name, p in paths.items() if name.startswith(family)]
+        schema = spark.read.option("header", True).csv(mine[0]).columns  # the header; all values are numbers
+        df = spark.read.option("header", True).schema(
+            ", ".join(f"`{c}` {'long' if c == 'index' else 'double'}" for c in schema)).csv(mine)
+        df = df.withColumn("model", F.regexp_extract(F.col("_metadata.file_path"), r"/(sci_[a-z]+|dnn_[a-z]+)/", 1))
+        frames.append(explain.harmonise(df, rename))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     feats = [c for c in stacked.columns if c not in ("index", "model")]
     long = stacked.unpivot(["index", "model"], feats, "feature", "importance").filter(F.col("importance").isNotNull())
