@@ -133,14 +133,28 @@ def p14_batch_scoring(spark, sf):
     return m1_batch_scoring(spark, sf).groupBy("risk").agg(F.count(F.lit(1)).alias("n"))
 
 
-@q("h6_smote_nc")
+def _h6_sql():
+    from catalog.oracles import _CAROC
+    return _CAROC + f""", t AS (SELECT * FROM caroc WHERE bmdtest_10yr_caroc IS NOT NULL AND PatientAge IS NOT NULL
+  AND bmi IS NOT NULL AND {_hb(2)} >= 20),
+n AS (SELECT bmdtest_10yr_caroc, count(*) AS real, min(PatientAge) AS lo, max(PatientAge) AS hi FROM t GROUP BY 1)
+SELECT bmdtest_10yr_caroc, (SELECT max(real) FROM n) AS rows, (SELECT max(real) FROM n) - real AS synthetic,
+  {rd('lo')} AS min_age, {rd('hi')} AS max_age, true AS in_range FROM n"""
+
+
+@q("h6_smote_nc", _h6_sql())
 def h6_smote_nc(spark, sf):
-    """Class counts before / after SMOTE-NC on the training split (parity is exact)."""
+    """Classes after SMOTE-NC on the training split: parity is exact, and synthetic values stay within the range of
+    their class's own."""
     c = clean_caroc(patients(spark, sf)).filter(F.col("bmdtest_10yr_caroc").isNotNull())
     c = c.dropna(subset=["PatientAge", "bmi"])
     train = sampling.hash_split(c, "PatientId", 20, seed=2)[0]
     out = smote_nc(train, "bmdtest_10yr_caroc", "PatientId", ["PatientAge", "bmi"],
                    ["PatientGender", "alcohol", "smoke"])
-    return out.groupBy("bmdtest_10yr_caroc").agg(F.count(F.lit(1)).alias("rows"),
-                                                 F.sum((F.col("synthetic") > 0).cast("long")).alias("synthetic"),
-                                                 F.min("PatientAge").alias("min_age"), F.max("PatientAge").alias("max_age"))
+    made = F.col("synthetic") > 0
+    per = out.groupBy("bmdtest_10yr_caroc").agg(
+        F.count(F.lit(1)).alias("rows"), F.sum(made.cast("long")).alias("synthetic"),
+        F.min("PatientAge").alias("min_age"), F.max("PatientAge").alias("max_age"),
+        F.min(F.when(~made, F.col("PatientAge"))).alias("lo"), F.max(F.when(~made, F.col("PatientAge"))).alias("hi"))
+    return rnd(per.withColumn("in_range", (F.col("min_age") >= F.col("lo")) & (F.col("max_age") <= F.col("hi")))
+               .drop("lo", "hi"))

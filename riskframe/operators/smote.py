@@ -1,112 +1,105 @@
 """H6: SMOTE-NC oversampling of minority classes to parity, without an all-pairs neighbour search.
 
-Neighbour candidates come from a sorted neighbourhood: minority rows are range-partitioned and sorted by a
-seeded random projection of the (scaled) numeric features; each row considers only the ``window`` rows on either
-side inside its partition and keeps the k nearest of those by the SMOTE-NC distance (numeric Euclidean plus the
-median numeric std for every nominal mismatch). Work per row is O(window), memory per task is one partition,
-and no group or pair set can grow with the data.
-
-The number of synthetic rows per seed is exact: with deficit d and m minority rows every seed makes d // m
-rows and the first d % m seeds (by a dense row number, C3) one more, so the class reaches parity exactly.
-Synthetic numeric values interpolate towards a neighbour chosen by a hash of (id, copy); nominal values are the
-majority vote of the k neighbours (smallest value on ties).
+Neighbour candidates come from a sorted neighbourhood: the rows of a class are numbered in the order of a seeded
+random projection of their numeric features, and each row considers the ``window`` rows on either side. The numbers
+are global, and runs of them are dealt into blocks that also get the rows just beyond their ends, so the candidates
+do not depend on how the table is partitioned, and a block's size is fixed whatever the class's. Of its candidates a
+row keeps the k nearest by the SMOTE-NC distance: Euclidean over the numeric features plus, for every nominal
+mismatch, the square of the median of the class's numeric standard deviations.
+
+The number of synthetic rows per seed row is exact: with deficit d and m rows of the class every row makes d // m
+and the first d % m one more, so the class reaches parity exactly. Synthetic numeric values interpolate towards a
+neighbour chosen by a hash; nominal values are the majority vote of the k neighbours (smallest value on ties).
+Everything is column expressions: per-class figures are a joined table, neighbours an array per row.
 """
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Sequence
 
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from riskframe.operators.quality import dense_row_numbers
-from riskframe.operators.stats import agg_row
+from riskframe.session import materialize
+
+BLOCK_ROWS = 4096
+
 
+def _class_figures(df: DataFrame, label: str, numeric: Sequence[str]) -> DataFrame:
+    """Per class with a deficit: rows, deficit, means of the numeric features, median of their deviations."""
+    sizes = df.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("__class")).agg(
+        F.count(F.lit(1)).alias("__n"),
+        F.array(*[F.avg(F.col(c).cast("double")) for c in numeric]).alias("__means"),
+        F.array_sort(F.array_compact(F.array(*[F.stddev_pop(F.col(c).cast("double")) for c in numeric]))).alias("__stds"))
+    top = sizes.agg(F.max("__n")).head()[0] or 0
+    middle = F.size("__stds") / 2
+    median = (F.get("__stds", F.floor(middle - 0.5).cast("int")) + F.get("__stds", F.floor(middle).cast("int"))) / 2
+    return sizes.withColumns({"__deficit": F.lit(top) - F.col("__n"), "__gap": F.coalesce(median, F.lit(0.0))}).filter(
+        F.col("__deficit") > 0).drop("__stds")
 
-def _u(*parts) -> float:
-    h = hashlib.md5(":".join(str(p) for p in parts).encode()).hexdigest()
-    return int(h[:8], 16) / 2**32
+
+def _unit(*parts: Column) -> Column:
+    """A hash as a number from 0 to 1 (never 1)."""
+    return F.pmod(F.xxhash64(*parts), F.lit(1 << 32)) / F.lit(float(1 << 32))
 
 
 def smote_nc(df: DataFrame, label: str, id_col: str, numeric: Sequence[str], nominal: Sequence[str] = (),
-             k: int = 5, window: int = 10, seed: int = 0, num_partitions: int | None = None) -> DataFrame:
+             k: int = 5, window: int = 10, seed: int = 0) -> DataFrame:
+    """``df`` with a column ``synthetic`` (0), and the synthetic rows (1, 2, ... per seed row). Rows without a label
+    are kept and take no part. A missing numeric value counts as its class's mean."""
     numeric, nominal = list(numeric), list(nominal)
-    counts = {r[label]: r["n"] for r in df.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()
-              if r[label] is not None}
-    if not counts:
-        return df.withColumn("synthetic", F.lit(0))
-    top = max(counts.values())
-    stds = agg_row(df, {c: F.stddev_samp(F.col(c).cast("double")) for c in numeric})
-    med_std = float(np.median([v for v in stds.values() if v is not None])) if stds else 0.0
-    rng = np.random.default_rng(seed)
-    proj = rng.normal(size=len(numeric))
-    proj = proj / (np.linalg.norm(proj) or 1.0)
-    cols = [id_col, label, *numeric, *nominal]
-    out = df.withColumn("synthetic", F.lit(0))
-    n_parts = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    for cls, m in counts.items():
-        deficit = top - m
-        if deficit <= 0:
-            continue
-        minority = df.filter(F.col(label) == F.lit(cls)).select(*cols)
-        numbered = dense_row_numbers(minority, id_col, "__rn")
-        q, r = divmod(deficit, m)
-        copies = (F.lit(q) + F.when(F.col("__rn") < F.lit(r), 1).otherwise(0)).cast("int")
-        key = F.lit(0.0)
-        for w, c in zip(proj, numeric):
-            key = key + F.lit(float(w)) * F.coalesce(F.col(c).cast("double"), F.lit(0.0))
-        prepared = numbered.withColumns({"__copies": copies, "__key": key}).drop("__rn")
-        ranged = prepared.repartitionByRange(n_parts, "__key", id_col).sortWithinPartitions("__key", id_col)
-        schema = df.select(*cols).withColumn("synthetic", F.lit(0)).schema
-
-        def synth(batches, cls=cls):
-            parts = [b for b in batches if not b.empty]
-            if not parts:
-                return
-            pdf = pd.concat(parts, ignore_index=True)
-            x = pdf[numeric].to_numpy(dtype="float64", na_value=np.nan)
-            x = np.where(np.isnan(x), np.nanmean(x, axis=0) if len(x) else 0.0, x)
-            nom = pdf[nominal].to_numpy() if nominal else np.empty((len(pdf), 0))
-            n = len(pdf)
-            rows = []
-            for i in range(n):
-                c = int(pdf["__copies"].iat[i])
-                if c <= 0:
-                    continue
-                lo, hi = max(0, i - window), min(n, i + window + 1)
-                cand = [j for j in range(lo, hi) if j != i]
-                if not cand:
-                    cand = [i]
-                d = np.sqrt(((x[cand] - x[i]) ** 2).sum(axis=1) +
-                            (med_std ** 2) * (nom[cand] != nom[i]).sum(axis=1) if nominal else
-                            ((x[cand] - x[i]) ** 2).sum(axis=1))
-                nn = [cand[j] for j in np.argsort(d, kind="stable")[:k]]
-                vote = []
-                for jcol in range(len(nominal)):
-                    vals = pd.Series(nom[nn, jcol]).dropna()
-                    vote.append(vals.value_counts().sort_index().idxmax() if len(vals) else None)
-                rid = pdf[id_col].iat[i]
-                for t in range(c):
-                    j = nn[int(_u(rid, t, seed, "nn") * len(nn)) % len(nn)]
-                    gap = _u(rid, t, seed, "gap")
-                    rec = {id_col: rid, label: cls, "synthetic": t + 1}
-                    for a, colname in enumerate(numeric):
-                        rec[colname] = float(x[i, a] + gap * (x[j, a] - x[i, a]))
-                    for a, colname in enumerate(nominal):
-                        rec[colname] = vote[a]
-                    rows.append(rec)
-            if rows:
-                res = pd.DataFrame(rows)[[f.name for f in schema.fields]]
-                for f in schema.fields:
-                    t = f.dataType.typeName()
-                    if t in ("integer", "long", "short"):
-                        res[f.name] = pd.array(pd.to_numeric(res[f.name]).round(),
-                                               dtype={"integer": "Int32", "long": "Int64", "short": "Int16"}[t])
-                yield res
-
-        synthetic = ranged.mapInPandas(synth, schema)
-        out = out.unionByName(synthetic, allowMissingColumns=True)
-    return out
+    direction = np.random.default_rng(seed).normal(size=len(numeric))
+    direction = direction / (np.linalg.norm(direction) or 1.0)
+    cols = list(dict.fromkeys([id_col, label, *numeric, *nominal]))
+    figures = _class_figures(df, label, numeric)
+    rows = df.select(*cols).join(figures, F.col(label) == F.col("__class"))
+    rows = rows.withColumn("__x", F.array(*[F.coalesce(F.col(c).cast("double"), F.get("__means", F.lit(i)))
+                                            for i, c in enumerate(numeric)]))
+    key = sum((F.lit(float(w)) * F.coalesce(F.get("__x", F.lit(i)), F.lit(0.0)) for i, w in enumerate(direction)), F.lit(0.0))
+    rows = rows.withColumn("__order", F.struct(F.col("__class"), key.alias("key"), F.col(id_col).alias("id"),
+                                               F.xxhash64(*cols).alias("row")))
+    rows = materialize(dense_row_numbers(rows, "__order", "__rn"), "smote-rows")
+    firsts = rows.groupBy("__class").agg(F.min("__rn").alias("__first"))
+    rows = rows.join(firsts, "__class").withColumn("__at", F.col("__rn") - F.col("__first"))
+
+    own = F.floor(F.col("__at") / BLOCK_ROWS)
+    after = F.floor((F.col("__at") + window) / BLOCK_ROWS)
+    before = F.floor((F.col("__at") - window) / BLOCK_ROWS)
+    dealt = rows.withColumn("__block", F.explode(F.array_distinct(F.array(own, after, F.greatest(before, F.lit(0))))))
+    frame = Window.partitionBy("__class", "__block").orderBy("__at").rowsBetween(-window, window)
+    features = F.struct(F.col("__at").alias("at"), F.col("__x").alias("x"), *[F.col(c).alias(f"n{i}") for i, c in enumerate(nominal)])
+    seen = dealt.withColumn("__near", F.collect_list(features).over(frame)).filter(F.col("__block") == own)
+
+    def ranked(other: Column) -> Column:
+        apart = F.aggregate(F.zip_with(other["x"], F.col("__x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
+        differ = sum(((~other[f"n{i}"].eqNullSafe(F.col(c))).cast("double") for i, c in enumerate(nominal)), F.lit(0.0))
+        return F.struct((apart + differ * F.col("__gap") * F.col("__gap")).alias("far"), *[
+            other[f].alias(f) for f in ("at", "x", *(f"n{i}" for i in range(len(nominal))))])
+
+    others = F.sort_array(F.transform(F.filter("__near", lambda o: o["at"] != F.col("__at")), ranked))
+    nearest = F.when(F.size(others) > 0, F.slice(others, 1, k)).otherwise(F.transform("__near", ranked))
+    seen = seen.withColumn("__near", nearest)
+    copies = F.floor(F.col("__deficit") / F.col("__n")) + (F.col("__at") < F.col("__deficit") % F.col("__n")).cast("long")
+    made = seen.withColumn("__copies", copies).filter(F.col("__copies") > 0).withColumn(
+        "synthetic", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))
+    chance = lambda what: _unit(F.col(id_col), F.col("__at"), F.col("synthetic"), F.lit(seed), F.lit(what))
+    chosen = F.get("__near", F.floor(chance("neighbour") * F.size("__near")).cast("int"))
+    made = made.withColumns({"__to": chosen["x"], "__step": chance("step")})
+
+    types = dict(df.dtypes)
+
+    def mixed(i: int, c: str) -> Column:
+        x = F.get("__x", F.lit(i)) + F.col("__step") * (F.get("__to", F.lit(i)) - F.get("__x", F.lit(i)))
+        return (F.round(x) if types[c] in ("int", "bigint", "smallint", "tinyint") else x).cast(types[c]).alias(c)
+
+    def voted(i: int, c: str) -> Column:
+        votes = F.array_compact(F.transform("__near", lambda o: o[f"n{i}"]))
+        counts = F.transform(F.array_distinct(votes), lambda v: F.struct(
+            (-F.size(F.filter(votes, lambda u: u == v))).alias("n"), v.alias("v")))
+        return F.get(F.sort_array(counts), F.lit(0))["v"].alias(c)
+
+    synthetic = made.select(id_col, label, *[mixed(i, c) for i, c in enumerate(numeric)],
+                            *[voted(i, c) for i, c in enumerate(nominal)], "synthetic")
+    return df.withColumn("synthetic", F.lit(0)).unionByName(synthetic, allowMissingColumns=True)

@@ -48,12 +48,12 @@ def test_scoring_batch_and_stream_agree(spark):
     model = _frax_model(spark, SF_SMALL)
     up = _upload(spark, SF_SMALL)
     # the upload repeats some PatientIds (the dedupe fixture), so compare multisets of (id, risk)
-    batch = sorted((r.PatientId, r.risk) for r in model.score(up).collect())
+    batch = sorted(((r.PatientId, r.risk) for r in model.score(up).collect()), key=str)
     src = scratch_path(spark, "test-stream-in")
     up.repartition(3).write.parquet(src)
     out = run_to_completion(spark, model, src, UPLOAD_SCHEMA, scratch_path(spark, "test-stream-out"),
                             scratch_path(spark, "test-stream-ckpt"))
-    stream = sorted((r.PatientId, r.risk) for r in out.collect())
+    stream = sorted(((r.PatientId, r.risk) for r in out.collect()), key=str)
     assert batch and batch == stream
     assert {r for _, r in batch} <= {"High", "Low", "Moderate"}
 
