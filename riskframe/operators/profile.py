@@ -8,7 +8,6 @@ values (use it for very large continuous columns).
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -83,60 +82,42 @@ def missing_report(df: DataFrame, cols: Sequence[str] | None = None) -> DataFram
 
 
 # ---- frequency tables: the shared basis of describe / profile -------------------------------------------------
-def frequency_table(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
-    """(group, feature, value, cnt): one narrow unpivot + a partial/final hash aggregate, so its size is the
-    number of distinct values per column (small for coded survey answers) and no row data is kept in any buffer.
-    NULL values are counted as their own row (value NULL) to give the missing counts."""
+def long_values(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
+    """(group, feature, value): one narrow unpivot."""
     keys = [group] if group else []
     wide = df.select(*[F.col(f"`{k}`") for k in keys], *[F.col(f"`{c}`").cast("double").alias(c) for c in cols])
-    long = wide.unpivot(keys, list(cols), "feature", "value")
-    return long.groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
-
-
-def _moments(freq: DataFrame, keys: list[str]) -> DataFrame:
-    """count, missing, distinct, mean, std, min, max, skewness, kurtosis, top value per (keys, feature) from a
-    frequency table: a sums pass, then a centred pass joined with the (features x groups)-sized means."""
-    v, c = F.col("value"), F.col("cnt")
-    nn = freq.filter(v.isNotNull())
-    first = freq.groupBy(*keys, "feature").agg(
-        F.sum(F.when(v.isNotNull(), c).otherwise(0)).alias("count"),
-        F.sum(F.when(v.isNull(), c).otherwise(0)).alias("missing"),
-        F.count(v).alias("distinct"),
-        (F.sum(v * c) / F.sum(F.when(v.isNotNull(), c))).alias("mean"),
-        F.min(v).alias("min"), F.max(v).alias("max"),
-        F.min(F.when(v.isNotNull(), F.struct((-c).alias("nc"), v.alias("v")))).getField("v").alias("top"))
-    means = first.select(*[F.col(k).alias(f"__k_{k}") for k in keys], F.col("feature").alias("__f"), "mean")
-    cond = F.col("feature") == F.col("__f")
-    for k in keys:      # group keys may be NULL (rows without a gender): null-safe equality
-        cond = cond & F.col(k).eqNullSafe(F.col(f"__k_{k}"))
-    cen = (nn.join(F.broadcast(means), cond).groupBy(*keys, "feature")
-           .agg(*[F.sum(F.pow(v - F.col("mean"), k) * c).alias(f"m{k}") for k in (2, 3, 4)]))
-    cen = cen.select(*[F.col(k).alias(f"__c_{k}") for k in keys], F.col("feature").alias("__cf"), "m2", "m3", "m4")
-    cond2 = F.col("feature") == F.col("__cf")
-    for k in keys:
-        cond2 = cond2 & F.col(k).eqNullSafe(F.col(f"__c_{k}"))
-    out = first.join(cen, cond2, "left")
-    n, m2, m3, m4 = F.col("count").cast("double"), F.col("m2"), F.col("m3"), F.col("m4")
-    return out.select(*keys, "feature", F.col("count").cast("long").alias("count"),
-                      F.col("missing").cast("long").alias("missing"), F.col("distinct").cast("long").alias("distinct"),
-                      "mean", F.when(n > 1, F.sqrt(m2 / (n - 1))).alias("std"), "min", "max",
-                      F.when(m2 > 0, F.sqrt(n) * m3 / F.pow(m2, 1.5)).alias("skewness"),
-                      F.when(m2 > 0, n * m4 / (m2 * m2) - 3.0).alias("kurtosis"), "top")
+    return wide.unpivot(keys, list(cols), "feature", "value")
+
+
+def frequency_table(df: DataFrame, cols: Sequence[str], group: str | None = None) -> DataFrame:
+    """(group, feature, value, cnt): a partial/final hash aggregate over the unpivoted table, so its size is the
+    number of distinct values per column and no row data is kept in any buffer. NULL values are counted as their own
+    row (value NULL)."""
+    keys = [group] if group else []
+    return long_values(df, cols, group).groupBy(*keys, "feature", "value").agg(F.count(F.lit(1)).alias("cnt"))
+
+
+def _moments(df: DataFrame, cols: Sequence[str], keys: list[str]) -> DataFrame:
+    """count, missing, mean, std, min, max, skewness, kurtosis per (keys, feature): built-in aggregates of the
+    unpivoted table in one scan; a task sends one row per feature and group."""
+    v = F.col("value")
+    varies = F.var_pop(v) > 0
+    return long_values(df, cols, keys[0] if keys else None).groupBy(*keys, "feature").agg(
+        F.count(v).alias("count"), F.sum(v.isNull().cast("long")).alias("missing"), F.avg(v).alias("mean"),
+        F.when(F.count(v) > 1, F.stddev_samp(v)).alias("std"), F.min(v).alias("min"), F.max(v).alias("max"),
+        F.when(varies, F.skewness(v)).alias("skewness"), F.when(varies, F.kurtosis(v)).alias("kurtosis"))
 
 
 def _quantiles_from_freq(freq: DataFrame, ps: Sequence[float],
-                         max_window_rows: int = 2_000_000) -> dict[str, list[float | None]]:
+                         totals: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles (pandas / ``percentile`` semantics) per feature from a frequency
-    table: running counts in (feature, value) order, then the value whose count interval holds each needed rank.
-
-    When every feature has at most ``max_window_rows`` distinct values (checked from the table itself) the running
-    counts are a window per feature - bounded partitions; beyond that they come from the distributed prefix sum
-    (range partitioning + per-partition offsets), which never puts a whole feature into one task."""
+    table: running counts in (feature, value) order, then the value whose count interval holds each needed rank. The
+    running counts are a distributed prefix sum (range partitioning + per-partition offsets), so a feature's values
+    are never one task's, however many there are."""
     from riskframe.operators.ordered import running_totals
     nn = freq.filter(F.col("value").isNotNull())
-    sizes = nn.groupBy("feature").agg(F.sum("cnt").alias("n"), F.count(F.lit(1)).alias("d")).collect()
-    totals = {r["feature"]: r["n"] for r in sizes}
-    small = all(r["d"] <= max_window_rows for r in sizes)
+    if totals is None:
+        totals = {r["feature"]: r["n"] for r in nn.groupBy("feature").agg(F.sum("cnt").alias("n")).collect()}
     feats = sorted(totals)
     offsets, run = {}, 0
     for f in feats:
@@ -147,12 +128,8 @@ def _quantiles_from_freq(freq: DataFrame, ps: Sequence[float],
     for i, f in enumerate(feats):
         fidx = F.when(F.col("feature") == F.lit(f), F.lit(i)).otherwise(fidx)
         off = F.when(F.col("feature") == F.lit(f), F.lit(float(offsets[f]))).otherwise(off)
-    if small:
-        w = Window.partitionBy("feature").orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
-        cum = nn.withColumn("within", F.sum("cnt").over(w).cast("double"))
-    else:
-        cum = running_totals(nn.withColumn("fidx", fidx), ["fidx", "value"], ["cnt"])
-        cum = cum.withColumn("within", F.col("cum_cnt") - off)
+    cum = running_totals(nn.withColumn("fidx", fidx), ["fidx", "value"], ["cnt"])
+    cum = cum.withColumn("within", F.col("cum_cnt") - off)
     need = {}
     for f in feats:
         n = totals[f]
@@ -187,18 +164,19 @@ DESCRIBE_STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max", "mi
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Count, mean, std, min, quartiles, max, missing fraction and dtype per column, all from one frequency
-    table (exact quantiles with bounded memory); ``approx=True`` uses ``percentile_approx`` directly instead."""
+    """Count, mean, std, min, quartiles, max, missing fraction and dtype per column: one aggregate of the
+    unpivoted table, and exact quartiles from its frequency table by a distributed prefix sum. ``approx=True`` takes
+    the quartiles from a sketch instead, without the frequency table."""
     cols = _num(df, cols)
     spark = df.sparkSession
     dtypes = dict(df.dtypes)
-    freq = materialize(frequency_table(df, cols), "freq")
-    mom = {r["feature"]: r.asDict() for r in _moments(freq, []).collect()}
+    mom = {r["feature"]: r.asDict() for r in _moments(df, cols, []).collect()}
     if approx:
         row = agg_row(df, {c: quantiles(c, (0.25, 0.5, 0.75), True) for c in cols})
         qs = {c: list(row[c] or [None] * 3) for c in cols}
     else:
-        qs = _quantiles_from_freq(freq, (0.25, 0.5, 0.75))
+        qs = _quantiles_from_freq(frequency_table(df, cols), (0.25, 0.5, 0.75),
+                                  {c: m["count"] for c, m in mom.items() if m["count"]})
     recs = []
     for c in cols:
         m = mom.get(c, {})
@@ -234,13 +212,11 @@ def value_counts(df: DataFrame, col: str) -> DataFrame:
 
 
 def category_share(df: DataFrame, col: str) -> DataFrame:
-    """Share of each category in percent, 1 decimal. The total is a window over the (small) grouped
-    result, not over the raw rows."""
+    """Share of each category in percent, 1 decimal, of the number of rows."""
+    total = df.count()
+    pct = F.col("count") * F.lit(100.0) / F.lit(total)
     counts = df.groupBy(col).agg(F.count(F.lit(1)).alias("count"))
-    total = F.sum("count").over(Window.partitionBy())
-    pct = F.col("count") * F.lit(100.0) / total
-    scaled = F.round(pct * F.lit(10.0), 0)
-    return counts.withColumn("pct", scaled / F.lit(10.0))
+    return counts.withColumn("pct", F.round(pct * F.lit(10.0), 0) / F.lit(10.0))
 
 
 # ---- E11 / E12 / E18 histograms -----------------------------------------------------------------------------
@@ -269,56 +245,44 @@ def histogram(df: DataFrame, col: str, bins: int = 40) -> DataFrame:
             .select("bin", "lower", "upper", F.coalesce("count", F.lit(0).cast("long")).alias("count")))
 
 
-def auto_bin_count(n: int, lo: float, hi: float, q25: float, q75: float) -> int:
-    """numpy ``bins='auto'``: the smaller of the Sturges and Freedman-Diaconis widths (FD only if IQR > 0)."""
-    rng = hi - lo
-    if n == 0 or rng == 0:
-        return 1
-    sturges = rng / (math.log2(n) + 1.0)
-    fd = 2.0 * (q75 - q25) * n ** (-1.0 / 3.0)
-    width = min(fd, sturges) if fd > 0 else sturges
-    return max(1, int(math.ceil(rng / width)))
-
-
 def auto_histogram_by_group(df: DataFrame, col: str, group: str) -> DataFrame:
-    """Per group, the bin count from one grouped aggregate (n, min, max, quartiles), then the histogram.
+    """Per group, the bin count from one grouped aggregate (n, min, max) and its quartiles, then the histogram.
 
-    Per-group bin parameters come back to the driver (one row per group, bounded by the group count) and are
-    inlined into the bin expression; the counting itself is one grouped aggregate over (group, bin).
-    """
-    x = F.col(col).cast("double")
-    stats = (df.filter(x.isNotNull()).groupBy(group)
-             .agg(F.count(x).alias("n"), F.min(x).alias("lo"), F.max(x).alias("hi"))).limit(10001).collect()
-    if len(stats) > 10000:
-        raise ValueError("too many groups for per-group histograms")
-    # per-group quartiles without holding a group's values in one buffer: frequency table keyed by
-    # "<group>|<column>", exact quantiles from running counts
-    freq = frequency_table(df.filter(F.col(group).isNotNull()), [col], group)
-    freq = freq.withColumn("feature", F.concat_ws("|", F.col(group).cast("string"), F.col("feature"))).drop(group)
-    qs = _quantiles_from_freq(freq, (0.25, 0.75))
-    params = {}
-    for r in stats:
-        q25, q75 = qs.get(f"{r[group]}|{col}", [None, None])
-        params[r[group]] = (r["lo"], r["hi"], auto_bin_count(r["n"], r["lo"], r["hi"], q25, q75))
-    g = F.col(group)
-
-    def pick(i):
-        e = None
-        for k, v in params.items():
-            e = F.when(g == F.lit(k), F.lit(v[i])) if e is None else e.when(g == F.lit(k), F.lit(v[i]))
-        return e
-
-    lo, hi, nb = pick(0), pick(1), pick(2)
-    counts = (df.filter(x.isNotNull() & g.isNotNull())
-              .select(g, _bin_index(x, lo.cast("double"), hi.cast("double"), nb).alias("bin"))
-              .groupBy(group, "bin").agg(F.count(F.lit(1)).alias("count")))
-    spark = df.sparkSession
-    edges = spark.createDataFrame(
-        [(k, b, lo_ + b * (hi_ - lo_) / n_, lo_ + (b + 1) * (hi_ - lo_) / n_, n_)
-         for k, (lo_, hi_, n_) in params.items() for b in range(n_)],
-        f"{group} {dict(df.dtypes)[group]}, bin long, lower double, upper double, nbins long")
-    return (edges.join(counts, [group, "bin"], "left")
-            .withColumn("count", F.coalesce("count", F.lit(0).cast("long"))))
+    The groups' figures are a table that is joined, so any number of groups will do: exact quartiles come from a
+    prefix sum over (group, value) counts, ranked within the group by the groups' offsets."""
+    from riskframe.operators.ordered import running_totals
+    rows = df.select(F.col(group).alias("g"), F.col(col).cast("double").alias("x")).filter("g is not null and x is not null")
+    freq = rows.groupBy("g", "x").agg(F.count(F.lit(1)).alias("cnt"))
+    cum = running_totals(freq, ["g", "x"], ["cnt"])
+    cum = materialize(cum.withColumn("upto", F.col("cum_cnt")), "group-ranks")
+    figures = cum.groupBy("g").agg(F.sum("cnt").alias("n"), F.min("x").alias("lo"), F.max("x").alias("hi"),
+                                   F.min(F.col("upto") - F.col("cnt")).alias("first"))
+    ranked = cum.join(figures, "g")
+    rank = lambda p, up: F.when(F.lit(up), F.ceil(F.lit(p) * (F.col("n") - 1))).otherwise(
+        F.floor(F.lit(p) * (F.col("n") - 1)))
+    at = lambda p, up: F.max(F.when((F.col("upto") - F.col("cnt") - F.col("first") <= rank(p, up))
+                                    & (rank(p, up) < F.col("upto") - F.col("first")), F.col("x")))
+    per = ranked.groupBy("g", "n", "lo", "hi").agg(
+        at(0.25, False).alias("a25"), at(0.25, True).alias("b25"), at(0.75, False).alias("a75"), at(0.75, True).alias("b75"))
+    part = lambda p: F.lit(p) * (F.col("n") - 1) - F.floor(F.lit(p) * (F.col("n") - 1))
+    q25 = F.col("a25") + part(0.25) * (F.col("b25") - F.col("a25"))
+    q75 = F.col("a75") + part(0.75) * (F.col("b75") - F.col("a75"))
+    span = F.col("hi") - F.col("lo")
+    # numpy bins='auto': the smaller of the Sturges and the Freedman-Diaconis widths (the latter only if it is positive)
+    sturges = span / (F.log2("n") + 1.0)
+    narrow = 2.0 * (q75 - q25) * F.pow(F.col("n").cast("double"), F.lit(-1.0 / 3.0))
+    width = F.when(narrow > 0, F.least(narrow, sturges)).otherwise(sturges)
+    bins = F.when(span == 0, F.lit(1)).otherwise(F.greatest(F.lit(1), F.ceil(span / width)))
+    per = materialize(per.select("g", "lo", "hi", bins.cast("int").alias("nbins")), "group-bins")
+    counts = rows.join(per, "g").select("g", _bin_index(F.col("x"), F.col("lo"), F.col("hi"), F.col("nbins")).alias("bin")
+                                        ).groupBy("g", "bin").agg(F.count(F.lit(1)).alias("count"))
+    step = (F.col("hi") - F.col("lo")) / F.col("nbins")
+    edges = per.withColumn("bin", F.explode(F.sequence(F.lit(0).cast("long"), F.col("nbins").cast("long") - 1))).select(
+        "g", "bin", (F.col("lo") + F.col("bin") * step).alias("lower"),
+        (F.col("lo") + (F.col("bin") + 1) * step).alias("upper"), "nbins")
+    return edges.join(counts, ["g", "bin"], "left").select(
+        F.col("g").alias(group), "bin", "lower", "upper", "nbins",
+        F.coalesce("count", F.lit(0).cast("long")).alias("count"))
 
 
 def binned_scatter(df: DataFrame, x: str, y: str, bins: int = 20) -> DataFrame:
@@ -369,11 +333,20 @@ PROFILE_STATS = ("count", "missing", "distinct", "mean", "std", "min", "max", "s
 def profile(df: DataFrame, cols: Sequence[str] | None = None, group: str | None = None,
             stage: str | None = None) -> DataFrame:
     """E14 (and E15 with ``group``): per column count, missing, distinct, moments (population skewness and
-    excess kurtosis), min/max and the most frequent value - from one frequency table, so distinct counts and the
-    mode cost no extra pass. ``stage`` tags the rows (e.g. 'pre' / 'post' cleaning)."""
+    excess kurtosis), min/max and the most frequent value (the smallest on ties). The moments are one aggregate of the
+    unpivoted table, distinct counts and modes one of its frequency table. ``stage`` tags the rows (e.g. 'pre' /
+    'post' cleaning)."""
     cols = _num(df, cols)
     keys = [group] if group else []
-    out = _moments(frequency_table(df, cols, group), keys)
+    freq = frequency_table(df, cols, group)
+    v = F.col("value")
+    modes = freq.groupBy(*[F.col(k).alias(f"__{k}") for k in keys], F.col("feature").alias("__feature")).agg(
+        F.count(v).alias("distinct"),
+        F.min(F.when(v.isNotNull(), F.struct((-F.col("cnt")).alias("n"), v.alias("v")))).getField("v").alias("top"))
+    same = F.col("feature") == F.col("__feature")
+    for k in keys:  # group keys may be NULL (rows without a gender)
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    out = _moments(df, cols, keys).join(modes, same).select(*keys, "feature", *PROFILE_STATS)
     if stage is not None:
         out = out.withColumn("stage", F.lit(stage))
     return out
