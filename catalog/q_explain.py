@@ -196,3 +196,64 @@ def l1_stack_importances(spark, sf):
 def p13_importance_aggregation(spark, sf):
     """P13 = L1 + L3 (drop cohort-only features) + L2 (mean, sqrt|.|, rank per family)."""
     return explain.aggregate_importances(importance_long(spark, sf), drop=["shoulder", "wrist"])
+
+
+# ---- L1-L3 on rule predictors: the whole chain in SQL -----------------------------------------------------------
+RULES = {"sci_ruleA": (-0.04, 0.01), "sci_ruleB": (-0.02, 0.05), "dnn_ruleC": (-0.01, 0.03)}
+RULE_NAMES = {"sci": {"PatientAge": "age", "bmi": "bmi"}, "dnn": {"years": "age", "bmi_raw": "bmi"}}
+
+
+def _rule_sql(a, b, x="PatientAge", y="bmi"):
+    return (f"(CAST(-1.5 AS DOUBLE) + CAST({a} AS DOUBLE) * ({x} - CAST(60 AS DOUBLE)) + CAST({b} AS DOUBLE) * "
+            f"({y} - CAST(25 AS DOUBLE)))")
+
+
+def _l_sql(final):
+    rows = _k16_sql().split(", vy AS (")[0]
+    each = []
+    for name, (a, b) in RULES.items():
+        base = f"(SELECT avg(pow({_rule_sql(a, b)} - y, 2)) FROM b)"
+        each.append(f"SELECT '{name}' AS model, CASE perm_feature WHEN 'PatientAge' THEN 'age' ELSE 'bmi' END AS feature, "
+                    f"repeat, {base} - avg(pow({_rule_sql(a, b, 'pa', 'pb')} - y, 2)) AS importance FROM sw "
+                    "GROUP BY perm_feature, repeat")
+    return rows + f", long AS (SELECT *, split_part(model, '_', 1) AS family FROM ({' UNION ALL '.join(each)})) " + final
+
+
+def _rule_matrices(spark, sf):
+    """A (repeat x feature) matrix per rule, written as CSV with a row index under the family's own names."""
+    frame, base = _k16_frame(spark, sf), scratch_path(spark, "rule-importances")
+    for name, (a, b) in RULES.items():
+        rule = (F.lit(-1.5) + F.lit(a) * (F.col("PatientAge") - F.lit(60.0)) + F.lit(b) * (F.col("bmi") - F.lit(25.0)))
+        pi = explain.permutation_importance(frame, "PatientId", K16_FEATURES, "bmdtest_tscore_fn",
+                                            lambda d, r=rule: d.withColumn("prediction", r), seed=SEED)
+        wide = pi.groupBy("repeat").pivot("feature", K16_FEATURES).agg(F.first("importance"))
+        own = ["PatientAge", "bmi"] if name.startswith("sci") else ["years", "bmi_raw"]
+        io.write_csv(wide.toDF("index", *own), f"{base}/{name}", index_col="index")
+    return base
+
+
+def _rule_long(spark, sf):
+    base = _rule_matrices(spark, sf)
+    frames = []
+    for family, names in RULE_NAMES.items():
+        schema = "index long, " + ", ".join(f"{c} double" for c in names)
+        df = io.read_csv(spark, f"{base}/{family}_*", schema).withColumn(
+            "model", F.regexp_extract(F.col("_metadata.file_path"), r"/([a-z]+_rule[A-Z])/", 1))
+        frames.append(explain.harmonise(df, names))
+    long = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames).unpivot(
+        ["index", "model"], ["age", "bmi"], "feature", "importance")
+    return long.withColumn("family", F.split("model", "_").getItem(0))
+
+
+@q("l1_stack_rule_importances", _l_sql(f"SELECT family, model, feature, repeat AS index, {rd('importance')} AS importance FROM long"))
+def l1_stack_rule_importances(spark, sf):
+    return rnd(_rule_long(spark, sf).select("family", "model", "feature", "index", "importance"))
+
+
+@q("l2_l3_rule_importance_ranking", _l_sql(f"""SELECT family, feature, {rd('m')} AS mean_importance, {rd('sqrt(abs(m))')} AS score,
+row_number() OVER (PARTITION BY family ORDER BY sqrt(abs(m)) DESC, feature) AS rank
+FROM (SELECT family, feature, avg(importance) AS m FROM long GROUP BY 1, 2)"""))
+def l2_l3_rule_importance_ranking(spark, sf):
+    """P13 on rule predictors: permute, write, read, harmonise, stack, average, root, rank."""
+    out = explain.aggregate_importances(_rule_long(spark, sf), drop=["shoulder", "wrist"])
+    return rnd(out.withColumn("rank", F.col("rank").cast("long")))

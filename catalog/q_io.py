@@ -170,7 +170,8 @@ def m1_batch_scoring(spark, sf):
     return model.score(_upload(spark, sf))
 
 
-@q("a8_upload_scoring_source")
+@q("a8_upload_scoring_source", P + "SELECT " + ", ".join(
+    f"count({c.split()[0]}) AS {c.split()[0]}" for c in UPLOAD_SCHEMA.split(", ")) + " FROM patients")
 def a8_upload_scoring_source(spark, sf):
     """The uploaded batch read with the contract schema (counts by column completeness)."""
     up = _upload(spark, sf)

@@ -112,6 +112,28 @@ def p10_feature_report(spark, sf):
     return modelprep.report_long(modelprep.feature_report(clean, feats))
 
 
+_P10_FEATURES = ["PatientAge", "bmdtest_height", "bmdtest_weight", "bmdtest_tscore_fn", "bmi", "parentbreak", "alcohol"]
+
+
+def _p10_sql():
+    from catalog.q_profile import _auto_hist_sql
+    from catalog.common import ORACLES
+    k = len(_P10_FEATURES)
+    sizes = {"describe": k, "correlation": k * k, "profile": k, "target_correlation": k - 1, "age_histogram": 40,
+             "box_weight": 1, "profile_by_group": f"{k} * (SELECT count(*) FROM (SELECT DISTINCT PatientGender FROM caroc))",
+             "gender_share": "(SELECT count(*) FROM (SELECT DISTINCT PatientGender FROM caroc))",
+             "bmi_histogram_by_gender": f"(SELECT count(*) FROM ({_auto_hist_sql()}))",
+             "scatter_age_tscore": f"(SELECT count(*) FROM ({ORACLES['e18_binned_scatter']}))"}
+    return _caroc() + " UNION ALL ".join(f"SELECT '{s}' AS section, CAST({n} AS BIGINT) AS rows" for s, n in sizes.items())
+
+
+@q("p10_report_sections", _p10_sql())
+def p10_report_sections(spark, sf):
+    """P10: the report's sections and how many rows each has (their values are the E queries')."""
+    sections = modelprep.feature_report(clean_caroc(patients(spark, sf)), _P10_FEATURES)
+    return modelprep.report_long(sections).groupBy("section").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @q("p11_classification_pipeline")
 def p11_classification_pipeline(spark, sf):
     clean = clean_caroc(patients(spark, sf))

@@ -293,11 +293,27 @@ def n4_low_variance(spark, sf):
     return spark.createDataFrame([(x,) for x in encode.low_variance_columns(c, _N4)], "feature string")
 
 
-@q("n6_collinear_drops")
+_N6 = ["PatientAge", "bmdtest_height", "bmdtest_weight", "bmi", "PatientGender"]
+
+
+def _n6_sql(threshold=0.8, target="bmdtest_tscore_fn"):
+    """The pairs in order, each a step that may add one of its members to the list of dropped columns."""
+    r = lambda a, b: f"corr(CAST({a} AS DOUBLE), CAST({b} AS DOUBLE))"
+    pairs = [(a, b) for a in sorted(_N6) for b in sorted(_N6) if a < b]
+    cols = [f"abs({r(c, target)}) AS t_{c}" for c in _N6] + [f"abs({r(a, b)}) AS r_{a}_{b}" for a, b in pairs]
+    steps = [f"r AS (SELECT {', '.join(cols)} FROM caroc)", "d0 AS (SELECT *, CAST([] AS VARCHAR[]) AS d FROM r)"]
+    for i, (a, b) in enumerate(pairs, 1):
+        steps.append(f"d{i} AS (SELECT * REPLACE (CASE WHEN list_contains(d, '{a}') OR list_contains(d, '{b}') THEN d "
+                     f"WHEN r_{a}_{b} > {threshold} THEN list_append(d, CASE WHEN t_{a} >= t_{b} THEN '{b}' ELSE '{a}' END) "
+                     f"ELSE d END AS d) FROM d{i - 1})")
+    return _caroc() + ", " + ", ".join(steps) + f" SELECT unnest(d) AS feature FROM d{len(pairs)}"
+
+
+@q("n6_collinear_drops", _n6_sql())
 def n6_collinear_drops(spark, sf):
     from riskframe.operators import profile
     c = clean_caroc(patients(spark, sf))
-    cols = ["PatientAge", "bmdtest_height", "bmdtest_weight", "bmi", "PatientGender"]
+    cols = _N6
     m = [(r["feature_a"], r["feature_b"], r["corr"]) for r in profile.correlation_matrix(c, cols).collect()]
     t = {r["feature"]: r["corr"] for r in profile.correlation_with(c, "bmdtest_tscore_fn", cols).collect()}
     return spark.createDataFrame([(x,) for x in encode.collinear_drops(m, t, 0.8)], "feature string")
