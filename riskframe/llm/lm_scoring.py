@@ -252,6 +252,23 @@ def _scored(model: Model, frequent: list[str], counts: np.ndarray, other: int):
     return run
 
 
+def most_frequent(counts: DataFrame, most: int) -> DataFrame:
+    """At most ``most`` rows (token, n), the largest counts, chosen by a threshold rather than a sort: counts fall in
+    classes of a sixteenth of a power of two, whole classes are taken from the top, and of the class that no longer
+    fits the tokens whose hash is below its share."""
+    rank = F.floor(16 * F.log2("n")).cast("long")
+    sizes = sorted(counts.groupBy(rank.alias("rank")).agg(F.count("*").alias("tokens")).collect(), reverse=True)
+    taken, least, cut, share = 0, None, -1, 0.0
+    for r in sizes:
+        if taken + r["tokens"] > most:
+            cut, share = r["rank"], 0.99 * (most - taken) / r["tokens"]
+            break
+        taken, least = taken + r["tokens"], r["rank"]
+    unit = F.xxhash64("token") / F.lit(2.0 ** 64) + 0.5
+    whole = F.lit(False) if least is None else rank >= least
+    return counts.where(whole | ((rank == cut) & (unit < share))).limit(most)
+
+
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = HELD_OUT,
            vocabulary: int = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
@@ -266,8 +283,9 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
                      "token-counts")
     total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
     ends = counts.where("token = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).head()[0]
-    top = counts.where("token <> ''").orderBy(F.desc("n"), "token").limit(frequent).collect()
-    words, n = ["", *(r["token"] for r in top)], np.array([ends, *(r["n"] for r in top)], np.int64)
+    top = sorted(((r["n"], r["token"]) for r in most_frequent(counts.where("token <> ''"), frequent).collect()),
+                 key=lambda x: (-x[0], x[1]))
+    words, n = ["", *(w for _, w in top)], np.array([ends, *(c for c, _ in top)], np.int64)
     size = min(vocabulary, len(words))
     outside = total - int(n[:size].sum())
     classes = np.r_[n[:size], outside]
