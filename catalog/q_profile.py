@@ -251,6 +251,24 @@ def e15_profile_by_gender(spark, sf):
     return rnd(profile.profile(patients(spark, sf), _E15_COLS, group="PatientGender", stage="pre"))
 
 
+def _e15_post_sql():
+    mus, body = _profile_sql("caroc", _E15_COLS, group="PatientGender", stage="post")
+    pre_mus, pre = _profile_sql("patients", _E15_COLS, group="PatientGender", stage="pre")
+    names = [m.split(" AS ")[0] for m in mus]
+    for n in names:  # the two halves need names of their own
+        pre_mus = [m.replace(n, "pre_" + n) for m in pre_mus]
+        pre = pre.replace(n, "pre_" + n)
+    return _caroc() + ", " + ", ".join(mus + pre_mus) + "\n" + body + " UNION ALL " + pre
+
+
+@q("e15_profile_before_and_after", _e15_post_sql())
+def e15_profile_before_and_after(spark, sf):
+    """E15 as the cleaners report it: the same profile of the input and of the cleaned table."""
+    p = patients(spark, sf)
+    pre = profile.profile(p, _E15_COLS, group="PatientGender", stage="pre")
+    return rnd(pre.unionByName(profile.profile(clean_caroc(p), _E15_COLS, group="PatientGender", stage="post")))
+
+
 # ---- E16 / E17 / E19 ---------------------------------------------------------------------------------------------
 @q("e16_shape", _caroc() + f"SELECT (SELECT count(*) FROM caroc) AS rows, {len(CAROC.columns) + 1} AS columns, "
                            "(SELECT count(*) FROM patients) - (SELECT count(*) FROM caroc) AS removed")

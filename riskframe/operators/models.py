@@ -113,7 +113,9 @@ class KernelSVC:
 
     def fit(self, df: DataFrame, label: str = "label") -> "KernelSVC":
         mapped = self._map(df)
-        self.svm = LinearSVC(featuresCol="rff", labelCol=label, regParam=1.0 / (self.c * 100), maxIter=50).fit(mapped)
+        # the summed-loss penalty 1/2 |w|^2 + C sum(loss) as a mean loss: 1 / (C n)
+        self.svm = LinearSVC(featuresCol="rff", labelCol=label, regParam=1.0 / (self.c * max(mapped.count(), 1)),
+                             maxIter=50).fit(mapped)
         margin = self._margin(self.svm.transform(mapped))
         self.calib = Pipeline(stages=[VectorAssembler(inputCols=["margin"], outputCol="mfeat"),
                                       LogisticRegression(featuresCol="mfeat", labelCol=label)]).fit(margin)
@@ -228,16 +230,20 @@ def cv_linear(df: DataFrame, features: Sequence[str], label: str, fold_col: str,
     per = G.gram(df, features, label, group=fold_col)
     folds = sorted(per)
     total = G.combine([per[f] for f in folds])
+    trains = {f: G.minus(total, per[f]) for f in folds}
     out = []
     for name, params in candidates:
-        rmses = []
+        rmses, r2s = [], []
         for f in folds:
             test = per[f]
-            train = G.minus(total, test)
-            fit = fit_linear(name, train, features, **params)
-            rmses.append(math.sqrt(max(sse_on(test, fit), 0.0) / test["n"]))
+            fit = fit_linear(name, trains[f], features, **params)
+            sse = max(sse_on(test, fit), 0.0)
+            rmses.append(math.sqrt(sse / test["n"]))
+            sst = test["yty"] - test["sy"] ** 2 / test["n"]
+            r2s.append(1.0 - sse / sst if sst > 0 else float("nan"))
         out.append({"model": name, "params": params, "fold_rmse": rmses,
-                    "mean_rmse": float(np.mean(rmses)), "std_rmse": float(np.std(rmses))})
+                    "mean_rmse": float(np.mean(rmses)), "std_rmse": float(np.std(rmses)),
+                    "mean_r2": float(np.nanmean(r2s)), "std_r2": float(np.nanstd(r2s))})
     return out
 
 
@@ -262,6 +268,15 @@ def random_search_ridge(df: DataFrame, features: Sequence[str], label: str, fold
     return sorted(cv_linear(df, features, label, fold_col, cands), key=lambda r: r["mean_rmse"])
 
 
+def random_search_bayesian_ridge(df: DataFrame, features: Sequence[str], label: str, fold_col: str, trials: int = 500,
+                                 seed: int = 123) -> list[dict]:
+    """J15 over the four Gamma priors of the Bayesian ridge (log-uniform), from the same per-fold sums."""
+    rng = random.Random(seed)
+    priors = ("alpha_1", "alpha_2", "lambda_1", "lambda_2")
+    cands = [("bayesian_ridge", {p: 10 ** rng.uniform(-10, 1) for p in priors}) for _ in range(trials)]
+    return sorted(cv_linear(df, features, label, fold_col, cands), key=lambda r: r["mean_rmse"])
+
+
 def cooks_distance(df: DataFrame, features: Sequence[str], label: str = "label") -> DataFrame:
     """Leverage, residual and Cook's distance of every row for the least-squares fit, from one pass of sums. The
     inverse of the centred cross products (p x p) is inlined; a row's own part is a column expression."""
@@ -324,8 +339,9 @@ def random_param_maps(estimator, space: dict, n_iter: int, seed: int) -> list[di
 
 def cross_validate(estimator, param_maps, evaluator, df: DataFrame, fold_col: str, parallelism: int = 4):
     """CrossValidator over a fold column (deterministic hash folds)."""
+    folds = df.agg(F.max(fold_col)).head()[0] + 1
     cv = CrossValidator(estimator=estimator, estimatorParamMaps=param_maps, evaluator=evaluator, foldCol=fold_col,
-                        parallelism=parallelism, collectSubModels=False)
+                        numFolds=folds, parallelism=parallelism, collectSubModels=False)
     return cv.fit(df)
 
 
@@ -422,100 +438,96 @@ def fit_stacking(df: DataFrame, features: Sequence[str], label: str, fold_col: s
 # ---- J12: data-parallel MLP regression (parameter averaging) -----------------------------------------------------
 @dataclass
 class MLPRegressorModel:
+    """``weights`` are (W, b) per layer; hidden layers are rectified."""
+
     features: list[str]
     weights: list
     history: list
 
+    def predict(self, x: np.ndarray) -> np.ndarray:
+        for i, (w, b) in enumerate(self.weights):
+            x = x @ w + b
+            if i < len(self.weights) - 1:
+                x = np.maximum(x, 0.0)
+        return x[:, 0]
+
     def predict_expr(self) -> Column:
-        """Forward pass as column expressions (one hidden ReLU layer): scoring stays inside codegen."""
-        w1, b1, w2, b2 = self.weights
-        out = F.lit(float(b2[0]))
-        for h in range(w1.shape[1]):
-            z = F.lit(float(b1[h]))
-            for i, c in enumerate(self.features):
-                z = z + F.lit(float(w1[i, h])) * F.col(f"`{c}`").cast("double")
-            out = out + F.lit(float(w2[h, 0])) * F.greatest(z, F.lit(0.0))
-        return out
-
-
-def train_mlp_regressor(df: DataFrame, features: Sequence[str], label: str, hidden: int = 32, rounds: int = 10,
-                        local_epochs: int = 1, lr: float = 0.01, l1: float = 0.0, l2: float = 0.0,
-                        dropout: float = 0.0, loss: str = "mse", batch: int = 64, seed: int = 0) -> MLPRegressorModel:
-    """J12 re-aimed: each round every partition runs local mini-batch SGD (Adam-free, plain momentum-less SGD)
-    from the current weights on its own rows inside ``mapInPandas``; the partition weights are averaged,
-    weighted by row count (federated averaging). The data is never moved or collected; per round only
-    (#partitions x #parameters) numbers reach the driver. Variants: L1 / L2 penalties, dropout, MAE loss."""
-    feats = list(features)
-    k = len(feats)
+        """The forward pass over Arrow batches (a few matrix products, whatever the width)."""
+        @F.pandas_udf("double")
+        def forward(*cols: pd.Series) -> pd.Series:
+            return pd.Series(self.predict(np.stack([c.to_numpy(dtype="float64") for c in cols], axis=1)))
+        return forward(*[F.col(f"`{c}`").cast("double") for c in self.features])
+
+
+def train_mlp_regressor(df: DataFrame, features: Sequence[str], label: str, hidden: Sequence[int] = (64, 32),
+                        rounds: int = 20, lr: float = 0.01, l1: float = 0.0, l2: float = 0.0, dropout: float = 0.0,
+                        loss: str = "mse", batch: int = 64, seed: int = 0) -> MLPRegressorModel:
+    """J12 re-aimed: each round every partition runs mini-batch gradient steps from the current weights over its own
+    rows, one Arrow batch at a time, and the weights are averaged by rows (federated averaging). The sums are a
+    grouped aggregate by position, so the driver receives one number per weight and round. The average, and so the
+    fit, depends on how the rows are partitioned. Variants: L1 / L2 penalties, dropout, absolute loss."""
+    feats, k = list(features), len(features)
+    sizes = [k, *hidden, 1]
     rng = np.random.default_rng(seed)
-    w1 = rng.normal(0, np.sqrt(2.0 / k), size=(k, hidden))
-    b1 = np.zeros(hidden)
-    w2 = rng.normal(0, np.sqrt(1.0 / hidden), size=(hidden, 1))
-    b2 = np.zeros(1)
+    shapes = [shape for a, b in zip(sizes, sizes[1:]) for shape in ((a, b), (b,))]
+    flat = np.concatenate([rng.normal(0, np.sqrt(2.0 / s[0]), size=s).ravel() if len(s) == 2 else np.zeros(s)
+                           for s in shapes])
+    cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
+
+    def unpack(v: np.ndarray) -> list:
+        parts = [p.reshape(s) for p, s in zip(np.split(v, cuts), shapes)]
+        return list(zip(parts[::2], parts[1::2]))
+
     data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(feats)],
                      F.col(f"`{label}`").cast("double").alias("y")).dropna()
     history = []
-    sizes = [w1.size, b1.size, w2.size, b2.size]
-
-    for rnd in range(rounds):
-        params = (w1.copy(), b1.copy(), w2.copy(), b2.copy())
-
-        def local(batches, params=params, rnd=rnd):
-            W1, B1, W2, B2 = (p.copy() for p in params)
-            frames = [b for b in batches if not b.empty]
-            if not frames:
-                return
-            pdf = pd.concat(frames, ignore_index=True)
-            X = pdf[[f"x{i}" for i in range(k)]].to_numpy()
-            Y = pdf["y"].to_numpy()[:, None]
-            r = np.random.default_rng(seed * 1000 + rnd)
-            total = 0.0
-            for _ in range(local_epochs):
-                order = r.permutation(len(X))
-                for s in range(0, len(X), batch):
-                    idx = order[s:s + batch]
-                    x, y = X[idx], Y[idx]
-                    z = x @ W1 + B1
-                    a = np.maximum(z, 0.0)
-                    if dropout > 0:
-                        mask = (r.random(a.shape) >= dropout) / (1.0 - dropout)
-                        a = a * mask
-                    pred = a @ W2 + B2
-                    err = pred - y
-                    total += float(np.abs(err).sum() if loss == "mae" else (err ** 2).sum())
-                    g = (np.sign(err) if loss == "mae" else 2.0 * err) / len(idx)
-                    gw2 = a.T @ g
-                    gb2 = g.sum(axis=0)
-                    ga = g @ W2.T
-                    if dropout > 0:
-                        ga = ga * mask
-                    gz = ga * (z > 0)
-                    gw1 = x.T @ gz
-                    gb1 = gz.sum(axis=0)
-                    gw1 += l2 * 2 * W1 + l1 * np.sign(W1)
-                    gw2 += l2 * 2 * W2 + l1 * np.sign(W2)
-                    W1 -= lr * gw1
-                    B1 -= lr * gb1
-                    W2 -= lr * gw2
-                    B2 -= lr * gb2
-            flat = np.concatenate([W1.ravel(), B1, W2.ravel(), B2])
-            yield pd.DataFrame({"n": [float(len(X))], "loss": [total / max(len(X) * local_epochs, 1)],
-                                "w": [flat.tolist()]})
-
-        parts = data.mapInPandas(local, "n double, loss double, w array<double>").collect()
-        n_tot = sum(p["n"] for p in parts)
-        avg = sum(np.array(p["w"]) * p["n"] for p in parts) / n_tot
-        history.append(sum(p["loss"] * p["n"] for p in parts) / n_tot)
-        o = np.cumsum([0, *sizes])
-        w1 = avg[o[0]:o[1]].reshape(k, hidden)
-        b1 = avg[o[1]:o[2]]
-        w2 = avg[o[2]:o[3]].reshape(hidden, 1)
-        b2 = avg[o[3]:o[4]]
-    return MLPRegressorModel(feats, [w1, b1, w2, b2], history)
+    for turn in range(rounds):
+        def local(batches, start=flat, turn=turn):
+            from pyspark import TaskContext
+            layers = [(w.copy(), b.copy()) for w, b in unpack(start)]
+            r = np.random.default_rng((seed, turn, TaskContext.get().partitionId()))
+            n, total = 0, 0.0
+            for pdf in batches:
+                x_all, y_all = pdf.iloc[:, :k].to_numpy(), pdf["y"].to_numpy()[:, None]
+                order = r.permutation(len(x_all))
+                for at in range(0, len(order), batch):
+                    x, y = x_all[order[at:at + batch]], y_all[order[at:at + batch]]
+                    seen, masks = [x], []
+                    for i, (w, b) in enumerate(layers):
+                        x = x @ w + b
+                        if i < len(layers) - 1:
+                            mask = x > 0
+                            if dropout > 0:
+                                mask = mask * (r.random(x.shape) >= dropout) / (1.0 - dropout)
+                            x = x * mask
+                            masks.append(mask)
+                            seen.append(x)
+                    err = x - y
+                    n, total = n + len(err), total + float(np.abs(err).sum() if loss == "mae" else (err ** 2).sum())
+                    g = (np.sign(err) if loss == "mae" else 2.0 * err) / len(err)
+                    for i in range(len(layers) - 1, -1, -1):
+                        w, b = layers[i]
+                        step = seen[i].T @ g + 2.0 * l2 * w + l1 * np.sign(w)
+                        down = g.sum(axis=0)
+                        if i:
+                            g = (g @ w.T) * masks[i - 1]
+                        w -= lr * step
+                        b -= lr * down
+            if n:
+                v = np.concatenate([p.ravel() for layer in layers for p in layer])
+                yield pd.DataFrame({"v": [[float(n), total, *(v * n)]]})
+
+        parts = data.mapInPandas(local, "v array<double>").select(F.posexplode("v").alias("pos", "x"))
+        sums = {r["pos"]: r["x"] for r in parts.groupBy("pos").agg(F.sum("x").alias("x")).collect()}
+        if not sums:
+            break
+        flat = np.array([sums[i + 2] for i in range(len(flat))]) / sums[0]
+        history.append(sums[1] / sums[0])
+    return MLPRegressorModel(feats, unpack(flat), history)
 
 
 # ---- N2: Boruta-style shadow-feature selection --------------------------------------------------------------
-def boruta(df: DataFrame, features: Sequence[str], label: str, id_col: str, rounds: int = 5, trees: int = 20,
+def boruta(df: DataFrame, features: Sequence[str], label: str, id_col: str, rounds: int = 10, trees: int = 20,
            seed: int = 0, alpha: float = 0.05) -> list[tuple[str, int, str]]:
     """Each round adds a shadow copy of every feature, permuted by a seeded hash-order shift inside hash
     buckets (no global shuffle), fits a random forest, and counts a hit for each feature whose impurity
@@ -523,21 +535,20 @@ def boruta(df: DataFrame, features: Sequence[str], label: str, id_col: str, roun
     from math import comb
 
     from pyspark.sql import Window
+
+    from riskframe.operators.explain import bucket_count, bucket_of
+    from riskframe.session import materialize
     feats = list(features)
-    bucket = (F.conv(F.substring(F.md5(F.concat(F.col(id_col).cast("string"), F.lit(":b"))), 1, 8), 16, 10)
-              .cast("long") % F.lit(16))
-    base = df.withColumn("__bucket", bucket)
+    base = df.withColumn("__bucket", bucket_of(id_col, bucket_count(df.count())))
     hits = {f: 0 for f in feats}
     for rnd in range(rounds):
         shadows = {}
         for i, f in enumerate(feats):
             order = F.md5(F.concat_ws(":", F.col(id_col).cast("string"), F.lit(f), F.lit(str(rnd)), F.lit(str(seed))))
             w = Window.partitionBy("__bucket").orderBy(order, F.col(id_col))
-            w_all = w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-            shadows[f"shadow_{i}"] = F.coalesce(F.lead(F.col(f"`{f}`")).over(w), F.first(F.col(f"`{f}`")).over(w_all))
-        data = base
-        for name, expr in shadows.items():
-            data = data.withColumn(name, expr.cast("double"))
+            here = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+            shadows[f"shadow_{i}"] = F.coalesce(F.lead(F.col(f"`{f}`")).over(w), F.first(F.col(f"`{f}`")).over(here))
+        data = materialize(base.withColumns({name: expr.cast("double") for name, expr in shadows.items()}), "shadows")
         cols = [*feats, *shadows]
         model = pipeline(cols, RandomForestRegressor(featuresCol="features", labelCol=label, numTrees=trees,
                                                      seed=seed + rnd)).fit(data)

@@ -70,7 +70,7 @@ def classification_pipeline(clean: DataFrame, features: Sequence[str], label_col
 
 
 def regression_pipeline(prepared: DataFrame, features: Sequence[str], label: str = "bmdtest_tscore_fn",
-                        trials: int = 100) -> DataFrame:
+                        trials: int = 500) -> DataFrame:
     """Per-fold Gram matrices in one pass -> seeded search of the ridge penalty (J15) -> the linear
     family (J1-J4) on the training split -> test RMSE / MAE / R^2 (K1-K3) -> forest and boosting (J5, J6) from
     Spark ML -> Cook's distance summary (K14) -> error histogram (K10)."""
