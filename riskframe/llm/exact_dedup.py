@@ -136,8 +136,9 @@ def exact_groups(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     gives an empty result.
     """
     rows = written(identities(docs, id_col, text_col, block_bytes), "identities")
-    groups = rows.groupBy("level", "name").agg(F.max(F.struct("doc_id", "uid")).alias("keep"),
-                                               F.count("*").alias("group_size"))
+    # written first: then both sides of the join are plain shuffles, and adaptive execution splits a hot group's part
+    groups = written(rows.groupBy("level", "name").agg(F.max(F.struct("doc_id", "uid")).alias("keep"),
+                                                       F.count("*").alias("group_size")), "groups")
     return rows.join(groups, ["level", "name"]).select(
         "uid", "doc_id", F.col("keep.doc_id").alias("keep_id"), "group_size",
         (F.col("uid") == F.col("keep.uid")).alias("kept"), "text_sha256")
