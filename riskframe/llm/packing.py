@@ -297,5 +297,5 @@ def pack(docs: DataFrame, tokenizer_file: str, id_col: str = "doc_id", text_col:
     plan, _ = packing_plan(histogram, capacity, rounds=rounds)
     before = Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = per_task.select("length", "task", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before"))
-    ranked = pieces.join(offsets, ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
+    ranked = pieces.join(offsets.hint("merge"), ["length", "task"]).withColumn("rank", F.col("before") + F.col("nth"))
     return ranked.mapInArrow(_places(plan), f"{out}, sequence_id long, offset long")
