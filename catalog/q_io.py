@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from catalog.common import q, rnd
 from catalog.sqlparts import cte, rd
 from riskframe.fixtures import patients, read_table
+from riskframe.functions import scalar
 from riskframe.functions.rules import frax_band
-from riskframe.operators import evaluate, models as M, quality, sampling
+from riskframe.operators import encode, evaluate, models as M, quality, sampling, scaling
 from riskframe.operators.scoring import ScoringModel, payload, record_frame
 from riskframe.plans.cleaning import clean_caroc, clean_frax_dll
 from riskframe.session import scratch_path
@@ -170,6 +171,40 @@ def m1_batch_scoring(spark, sf):
     return model.score(_upload(spark, sf))
 
 
+_RULE_MEANS = ["PatientAge", "bmdtest_weight"]
+
+
+def _m1_rule_sql():
+    """Training means and deviations from the FRAX cleaner's training rows, then the same linear rule."""
+    from catalog.oracles import ORACLES
+    from catalog.q_prep import hb
+    # the cleaned table, less the rounding of the registered query's outputs
+    clean = ORACLES["p6_frax_dll_clean"].rpartition("SELECT ")[0]
+    tr = (f"rtr AS (SELECT * FROM filled WHERE Frax_No_BMD_RiskLevel <> '' AND {hb(2, 100)} >= 20), "
+          "rst AS (SELECT " + ", ".join(f"avg({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _RULE_MEANS) + " FROM rtr)")
+    z = lambda c: f"((coalesce(p.{c}, m_{c}) - m_{c}) / s_{c})"
+    s = f"({z('PatientAge')} - CAST(0.5 AS DOUBLE) * {z('bmdtest_weight')} + CASE WHEN p.parentbreak = 1 THEN 1 ELSE 0 END)"
+    return clean.rstrip() + ", " + tr + (f" SELECT p.row_seq, {rd(s)} AS score, CASE WHEN {s} > 1 THEN 'High' WHEN {s} < 0 THEN 'Low' "
+                                         "ELSE 'Moderate' END AS risk FROM patients p, rst")
+
+
+@q("m1_rule_scoring", _m1_rule_sql())
+def m1_rule_scoring(spark, sf):
+    """M1's chain with a rule for the model: levels, means and scaling fitted on the cleaned training rows and applied
+    to the raw batch (G1, F1, I5), the contract's columns in order (B10), a linear score, a class name (D14)."""
+    f = clean_frax_dll(patients(spark, sf)).filter(F.col("Frax_No_BMD_RiskLevel") != "")
+    train = sampling.hash_split(f, "PatientId", 20, seed=2)[0]
+    levels = encode.fit_levels(train, ["parentbreak"])
+    means = {c: v for c, v in zip(_RULE_MEANS, train.agg(*[F.avg(c) for c in _RULE_MEANS]).head())}
+    enc, _ = encode.one_hot(patients(spark, sf).select("row_seq", "parentbreak", *_RULE_MEANS), ["parentbreak"], levels=levels)
+    enc = enc.fillna(means)
+    enc = scaling.fit_standard(train, _RULE_MEANS).transform(enc)
+    enc = quality.backfill_columns(enc, [*_RULE_MEANS, "parentbreak_0", "parentbreak_1"], fill=0.0, keep=["row_seq"])
+    score = F.col("PatientAge") - F.lit(0.5) * F.col("bmdtest_weight") + F.col("parentbreak_1")
+    idx = F.when(score > 1, 0).when(score < 0, 1).otherwise(2)
+    return rnd(enc.select("row_seq", score.alias("score"), scalar.class_name(idx, BANDS).alias("risk")))
+
+
 @q("a8_upload_scoring_source", P + "SELECT " + ", ".join(
     f"count({c.split()[0]}) AS {c.split()[0]}" for c in UPLOAD_SCHEMA.split(", ")) + " FROM patients")
 def a8_upload_scoring_source(spark, sf):

@@ -62,9 +62,3 @@ def residual(pred, label) -> Column:
 def to_percent(p) -> Column:
     """D18."""
     return _c(p) * F.lit(100.0)
-
-
-def blank_to_null(c) -> Column:
-    """Whitespace-only strings become NULL."""
-    c = _c(c)
-    return F.when(F.trim(c) == F.lit(""), F.lit(None)).otherwise(c)

@@ -39,12 +39,6 @@ def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
-def nan_to_null(c) -> Column:
-    """pandas treats NaN as missing and NaN compares false; Spark orders NaN above everything. Normalise."""
-    c = _c(c)
-    return F.when(F.isnan(c), F.lit(None).cast("double")).otherwise(c)
-
-
 def lbs_to_kg(w) -> Column:
     """D1."""
     return _c(w) * F.lit(LB_TO_KG)

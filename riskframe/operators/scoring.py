@@ -110,6 +110,3 @@ def record_frame(spark: SparkSession, record: Mapping, schema: str) -> DataFrame
     names = [f.split()[0] for f in schema.split(",")]
     return spark.createDataFrame([tuple(row.get(n) for n in names)], schema)
 
-
-def model_dir(base: str, name: str) -> str:
-    return os.path.join(base, name)

@@ -64,11 +64,13 @@ class CohortSpec:
     filter_value: int | None = None
 
 
-@dataclass(frozen=True)
-class FeatureSpec:
-    """Feature roles for model preparation (declared categorical / numeric, target)."""
-
-    numeric: tuple[str, ...]
-    categorical: tuple[str, ...] = ()
-    target: str = "bmdtest_tscore_fn"
-    drop: tuple[str, ...] = field(default_factory=tuple)
+# feature lists of the T-score networks per cohort (fixed values)
+CONTROL_FEATURES = ("PatientAge", "PatientGender", "bmdtest_weight", "bmdtest_height", "shoulder", "wrist",
+                    "heartdisease", "diabetes", "arthritis", "respdisease", "smoke")
+COHORTS = (
+    CohortSpec("control", CONTROL_FEATURES),
+    CohortSpec("wrist", tuple(f for f in CONTROL_FEATURES if f not in ("shoulder", "wrist")), "wrist", 1),
+    CohortSpec("shoulder", tuple(f for f in CONTROL_FEATURES if f not in ("shoulder", "wrist")), "shoulder", 1),
+    CohortSpec("male", tuple(f for f in CONTROL_FEATURES if f != "PatientGender"), "PatientGender", 2),
+    CohortSpec("female", tuple(f for f in CONTROL_FEATURES if f != "PatientGender"), "PatientGender", 1),
+)
