@@ -263,6 +263,24 @@ def d7_d9_caroc_rule(spark, sf):
                     rules.caroc_risk().cast("int").alias("risk"))
 
 
+@q("d1_d9_sql_functions", P + "SELECT row_seq, {lbs} AS kg, {h} AS height_cm, {w} AS weight_kg, {ws} AS weight_kg_suspicion, "
+   "{b} AS bmi, {f} AS band, CAST({base} AS INT) AS base_risk, CAST({risk} AS INT) AS risk FROM patients".format(
+       lbs=rd("wtcurr_lbs * " + LB), h=rd(height_sql()), w=rd(weight_sql()), ws=rd(weight_sql(suspicion=True)),
+       b=rd(bmi_sql()), f=frax_sql("CalcFraxNoBMD"), base=_caroc_base_sql()[0], risk=_caroc_base_sql()[1]))
+def d1_d9_sql_functions(spark, sf):
+    """The rules as SQL functions, called from a SQL statement."""
+    rules.register_sql_functions(spark)
+    flags = ", ".join(["oralster", "obreak", *rules.CAROC_MODIFIER_FRACTURES, *rules.CAROC_OVERRIDE])
+    return rnd(spark.sql(f"""
+        SELECT row_seq, rf_lbs_to_kg(wtcurr_lbs) AS kg, rf_height_cm(bmdtest_height) AS height_cm,
+               rf_weight_kg(bmdtest_height, bmdtest_weight) AS weight_kg,
+               rf_weight_kg_suspicion(bmdtest_height, bmdtest_weight) AS weight_kg_suspicion,
+               rf_bmi(bmdtest_height, bmdtest_weight) AS bmi, rf_frax_band(CalcFraxNoBMD) AS band, base_risk,
+               rf_caroc_risk(base_risk, {flags}) AS risk
+        FROM (SELECT *, rf_caroc_base(bmdtest_tscore_fn, PatientAge, PatientGender) AS base_risk FROM {{patients}})
+        """, patients=patients(spark, sf)))
+
+
 @q("d10_parse_timestamp", "SELECT o_orderkey, TRY_CAST(s AS TIMESTAMP) AS parsed FROM (SELECT o_orderkey, "
                           "CASE WHEN o_orderkey % 13 = 0 THEN 'not a date' ELSE strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') "
                           "END AS s FROM orders) t")

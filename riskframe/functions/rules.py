@@ -7,6 +7,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from riskframe.functions import units
+
 
 def _c(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
@@ -133,13 +135,52 @@ def within_days(days, limit: int = SECOND_FRACTURE_DAYS) -> Column:
     return F.coalesce(_c(days) <= F.lit(limit), F.lit(False))
 
 
-def register_sql_functions(spark: SparkSession) -> None:
-    """``register(name, fn)``: expose the rules to SQL as temporary SQL functions (no Python UDF involved)."""
-    spark.sql("CREATE OR REPLACE TEMPORARY FUNCTION rf_lbs_to_kg(w DOUBLE) RETURNS DOUBLE RETURN w * 0.45359237D")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION rf_height_cm(h DOUBLE) RETURNS DOUBLE RETURN
-                 CASE WHEN h > 1D AND h < 2.2D THEN h * 100D WHEN h > 50D AND h < 84D THEN h * 2.54D
-                      WHEN h > 125D THEN h ELSE 0D END""")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION rf_bmi(h DOUBLE, w DOUBLE) RETURNS DOUBLE RETURN
-                 try_divide(w, power(h / 100D, 2D))""")
-    spark.sql("""CREATE OR REPLACE TEMPORARY FUNCTION rf_frax_band(p DOUBLE) RETURNS STRING RETURN
-                 CASE WHEN p < 10D THEN 'Low' WHEN p <= 20D THEN 'Moderate' WHEN p > 20D THEN 'High' ELSE '' END""")
+def _d(x) -> str:
+    return f"{float(x)!r}D"
+
+
+def _sql_definitions() -> dict[str, tuple[str, str, str]]:
+    """name -> (parameters, result type, SQL), from the same tables as the column expressions."""
+    inches = f"(h > {_d(units.INCH_RANGE[0])} AND h < {_d(units.INCH_RANGE[1])})"
+    pounds = f"w * {_d(units.LB_TO_KG)}"
+    bands = []
+    for lo, hi, limit in units.SUSPICION_BANDS:
+        test = [f"w >= {_d(limit)} + {_d(units.SUSPICION_BUFFER)}"]
+        test += [f"h > {_d(lo)}"] if lo is not None else []
+        test += [f"h <= {_d(hi)}"] if hi is not None else []
+        bands.append(f"WHEN {' AND '.join(test)} THEN {pounds}")
+
+    def threshold(which: int) -> str:
+        def by_age(table):
+            cases = [f"WHEN age < {_d(b)} THEN {_d(v[which])}" for b, v in zip(CAROC_AGE_BOUNDS[:-1], table)]
+            return f"CASE {' '.join(cases)} ELSE {_d(table[-1][which])} END"
+        return f"CASE WHEN gender = {CAROC_FEMALE_CODE} THEN {by_age(CAROC_FEMALE)} ELSE {by_age(CAROC_MALE)} END"
+
+    factors = " OR ".join(["oralster = 1", "obreak > 1", *(f"{c} = 1" for c in CAROC_MODIFIER_FRACTURES)])
+    flags = ", ".join(f"{c} INT" for c in ("oralster", "obreak", *CAROC_MODIFIER_FRACTURES, *CAROC_OVERRIDE))
+    override = " OR ".join(f"{c} = 1" for c in CAROC_OVERRIDE)
+    return {
+        "rf_lbs_to_kg": ("w DOUBLE", "DOUBLE", pounds),
+        "rf_height_cm": ("h DOUBLE", "DOUBLE",
+                         f"CASE WHEN h > {_d(units.METRE_RANGE[0])} AND h < {_d(units.METRE_RANGE[1])} THEN h * 100D "
+                         f"WHEN {inches} THEN h * {_d(units.INCH_TO_CM)} WHEN h > {_d(units.CM_LOWER)} THEN h ELSE 0D END"),
+        "rf_weight_kg": ("h DOUBLE, w DOUBLE", "DOUBLE", f"CASE WHEN {inches} THEN {pounds} ELSE w END"),
+        "rf_weight_kg_suspicion": ("h DOUBLE, w DOUBLE", "DOUBLE",
+                                   f"CASE WHEN {inches} THEN {pounds} {' '.join(bands)} ELSE w END"),
+        "rf_bmi": ("h DOUBLE, w DOUBLE", "DOUBLE", "try_divide(w, power(h / 100D, 2D))"),
+        "rf_frax_band": ("p DOUBLE", "STRING", f"CASE WHEN p < {_d(FRAX_LOW)} THEN 'Low' WHEN p <= {_d(FRAX_HIGH)} "
+                                               f"THEN 'Moderate' WHEN p > {_d(FRAX_HIGH)} THEN 'High' ELSE '' END"),
+        "rf_caroc_base": ("t DOUBLE, age DOUBLE, gender INT", "INT",
+                          f"CASE WHEN t > {threshold(0)} THEN 0 WHEN t > {threshold(1)} THEN 1 "
+                          f"WHEN t <= {threshold(1)} THEN 2 END"),
+        "rf_caroc_risk": (f"base INT, {flags}", "INT",
+                          f"CASE WHEN {override} THEN 2 WHEN ({factors}) AND base < 2 THEN base + 1 ELSE base END"),
+    }
+
+
+def register_sql_functions(spark: SparkSession) -> list[str]:
+    """Expose the rules D1-D9 to SQL as temporary SQL functions (no Python UDF involved); returns their names."""
+    definitions = _sql_definitions()
+    for name, (parameters, kind, body) in definitions.items():
+        spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({parameters}) RETURNS {kind} RETURN {body}")
+    return sorted(definitions)

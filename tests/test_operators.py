@@ -99,16 +99,13 @@ def test_smote_reaches_parity(spark):
     assert 0.0 <= lo and hi <= 12.0
 
 
-def test_exact_quantiles_both_paths(spark):
+def test_exact_quantiles(spark):
     from riskframe.operators import profile
     vals = [float((i * 37) % 101) / 3.0 for i in range(997)] + [None] * 5
     df = spark.createDataFrame([(v, None if v is None else v * 2) for v in vals], "a double, b double")
-    freq = profile.frequency_table(df, ["a", "b"])
-    clean = np.array([v for v in vals if v is not None])
-    want = np.percentile(clean, [25, 50, 75])
-    for bound in (2_000_000, 0):      # window path and distributed prefix-sum path
-        got = profile._quantiles_from_freq(freq, (0.25, 0.5, 0.75), max_window_rows=bound)
-        assert np.allclose(got["a"], want) and np.allclose(got["b"], want * 2)
+    want = np.percentile(np.array([v for v in vals if v is not None]), [25, 50, 75])
+    got = profile._quantiles_from_freq(profile.frequency_table(df, ["a", "b"]), (0.25, 0.5, 0.75))
+    assert np.allclose(got["a"], want) and np.allclose(got["b"], want * 2)
 
 
 def test_dedupe_keeps_the_first_row_without_a_key(spark):
