@@ -3,12 +3,11 @@ sf0.01); plus the entry smoke test."""
 
 import pytest
 
+import catalog.oracles  # noqa: F401  (registers the cleaners' SQL)
+import catalog.queries  # noqa: F401
+from catalog.common import ORACLES
 from tests.conftest import SF_SMALL
 
-FAST = ["p4_caroc_label_counts", "p2_main_clean", "c1_dedupe_first", "d7_d9_caroc_rule", "f4_gender_mean_fill",
-        "e6_describe", "e7_correlation_matrix", "g1_one_hot", "h2_three_way_split", "k7_k8_curve_areas",
-        "k16_permutation_importance", "a1_csv_scan", "p8_fracture_consolidation"]
-
 
 @pytest.fixture(scope="module")
 def registry():
@@ -22,7 +21,16 @@ def test_every_oracle_has_a_query(registry):
     assert len(qs) >= 150
 
 
-@pytest.mark.parametrize("name", FAST)
+def same(a: str, b: str) -> bool:
+    def cell(x: str, y: str) -> bool:
+        try:
+            return x == y or abs(float(x) - float(y)) <= 1.5e-6
+        except ValueError:
+            return False
+    return all(map(cell, a.split("|"), b.split("|")))
+
+
+@pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_oracle(spark, registry, name):
     from catalog.check import duck, frame_hash
     qs, orc = registry
@@ -30,7 +38,9 @@ def test_query_matches_oracle(spark, registry, name):
     o = duck(SF_SMALL).execute(orc[name]).df()
     assert sorted(s.columns) == sorted(o.columns)
     assert len(s) == len(o)
-    assert frame_hash(s)[0] == frame_hash(o)[0]
+    (hash_s, rows_s), (hash_o, rows_o) = frame_hash(s), frame_hash(o)
+    if hash_s != hash_o:  # a sum's last digit may depend on the order in which tasks finish
+        assert all(map(same, rows_s, rows_o)), [x for x in zip(rows_s, rows_o) if not same(*x)][:3]
 
 
 def test_entry_smoke(spark):
