@@ -95,16 +95,31 @@ def a5_csv_sink_with_index(spark, sf):
     return io.read_csv(spark, path, "index long, PatientId long")
 
 
-@q("a6_metrics_report")
+def _a6_sql():
+    """The one-feature least-squares fit and its report, in SQL."""
+    from catalog.oracles import _CAROC
+    x, y = "PatientAge", "bmdtest_tscore_fn"
+    parts = {("metric", "rmse"): "sqrt(avg(pow(y - a - b * x, 2)))", ("metric", "mae"): "avg(abs(y - a - b * x))",
+             ("metric", "r2"): "1 - sum(pow(y - a - b * x, 2)) / (var_pop(y) * count(*))", ("parameter", "alpha"): "max(0.0)",
+             ("coefficient", x): "any_value(b)", ("coefficient", "(intercept)"): "any_value(a)"}
+    rows = " UNION ALL ".join(f"SELECT '{run}' AS run, 'ols' AS model, '{k}' AS kind, '{n}' AS name, {rd(f'CAST({e} AS DOUBLE)')} "
+                              "AS value FROM d, f" for run in ("run-1", "run-2") for (k, n), e in parts.items())
+    return _CAROC + (f", d AS (SELECT {x} AS x, {y} AS y FROM caroc WHERE {x} IS NOT NULL AND {y} IS NOT NULL), "
+                     f"f AS (SELECT regr_intercept(y, x) AS a, regr_slope(y, x) AS b FROM d) ") + rows
+
+
+@q("a6_metrics_report", _a6_sql())
 def a6_metrics_report(spark, sf):
-    """Metric rows of two runs appended to one Parquet report table."""
-    from catalog.q_basic import rule_tscore
-    c = clean_caroc(patients(spark, sf)).withColumn("pred", rule_tscore())
-    m = evaluate.regression_metrics(c, "bmdtest_tscore_fn", "pred").first().asDict()
+    """The reports of two runs of a least-squares fit (metrics, parameters, coefficients) appended to one table."""
+    from riskframe.operators import gram
+    c = clean_caroc(patients(spark, sf)).filter("PatientAge IS NOT NULL AND bmdtest_tscore_fn IS NOT NULL")
+    fit = M.ols(gram.gram(c, ["PatientAge"], "bmdtest_tscore_fn")[None], ["PatientAge"])
+    m = evaluate.regression_metrics(c.withColumn("pred", fit.predict_expr()), "bmdtest_tscore_fn", "pred").first().asDict()
     path = scratch_path(spark, "metrics-report")
     for run in ("run-1", "run-2"):
-        io.append_metrics(spark, path, run, "rule", {k: v for k, v in m.items() if k != "n"})
-    return spark.read.parquet(path)
+        io.append_metrics(spark, path, run, "ols", {k: v for k, v in m.items() if k != "n"}, {"alpha": 0.0},
+                          {"PatientAge": float(fit.coef[0]), "(intercept)": fit.intercept})
+    return rnd(spark.read.parquet(path))
 
 
 @q("a7_model_roundtrip")

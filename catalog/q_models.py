@@ -353,12 +353,15 @@ def k22_cv_scores(spark, sf):
 # ---- J10 / J12 / N2 ------------------------------------------------------------------------------------------------
 @q("j10_stacking")
 def j10_stacking(spark, sf):
-    """Forest + logistic bases, 5-fold out-of-fold probabilities, logistic meta-model; hold-out K6 metrics."""
+    """Kernel SVC + forest + network bases, 5-fold out-of-fold probabilities, logistic meta-model; hold-out K6
+    metrics."""
     t = training_frame(spark, sf, folds=5).filter(F.col("high").isNotNull())
+    t, _ = scaling.scale(t, ["PatientAge", "bmi"], "standard")
     train, test = t.filter(F.col("split") == "train"), t.filter(F.col("split") == "test")
     stack = M.fit_stacking(train, CLS_FEATURES, "high", "fold",
-                           {"rf": M.random_forest_classifier(label="label", trees=15, depth=6),
-                            "lr": M.logistic(label="label")})
+                           {"svc": M.KernelSVC(CLS_FEATURES, n_components=32),
+                            "rf": M.random_forest_classifier(label="label", trees=20, depth=6),
+                            "mlp": M.mlp_classifier(len(CLS_FEATURES), (32, 16), label="label", iters=30)})
     pred = stack.transform(test).withColumn("p1", vector_to_array("probability")[1])
     return evaluate.binary_metrics(pred, "high", "p1")
 

@@ -11,7 +11,7 @@ from __future__ import annotations
 import math
 import random
 from collections.abc import Sequence
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
 import numpy as np
 import pandas as pd
@@ -383,11 +383,19 @@ def objective_history(model, spark) -> DataFrame:
 
 
 # ---- J10: stacking with out-of-fold predictions ------------------------------------------------------------------
-def _with_outputs(est, name: str):
-    """Give a probabilistic classifier unique output columns so several can score the same frame."""
-    est = est.copy()
-    est.setPredictionCol(f"{name}_pred").setRawPredictionCol(f"{name}_raw").setProbabilityCol(f"{name}_prob")
-    return est
+def _fitted(est, data: DataFrame, name: str, label: str = "label"):
+    """Fit a base (a probabilistic Spark ML classifier or a ``KernelSVC``) and return a function that adds its
+    probability of class 1 as ``p_<name>``."""
+    from pyspark.ml.functions import vector_to_array
+    out = f"p_{name}"
+    if isinstance(est, KernelSVC):
+        svc = replace(est, svm=None, calib=None).fit(data, label)
+        return lambda df: svc.transform(df).withColumnRenamed("probability_1", out).drop("prediction")
+    own = est.copy({est.labelCol: label})
+    own.setPredictionCol(f"{name}_pred").setRawPredictionCol(f"{name}_raw").setProbabilityCol(f"{name}_prob")
+    model = own.fit(data)
+    return lambda df: model.transform(df).withColumn(out, vector_to_array(f"{name}_prob")[1]).drop(
+        f"{name}_pred", f"{name}_raw", f"{name}_prob")
 
 
 @dataclass
@@ -396,18 +404,12 @@ class StackingModel:
     meta: object
     features: list[str]
 
-    def _base_scores(self, df: DataFrame) -> DataFrame:
-        from pyspark.ml.functions import vector_to_array
-        out = assemble(self.features).transform(df)
-        for name, m in self.bases.items():
-            out = m.transform(out).withColumn(f"p_{name}", vector_to_array(f"{name}_prob")[1]) \
-                .drop(f"{name}_pred", f"{name}_raw", f"{name}_prob")
-        return out.drop("features")
-
     def transform(self, df: DataFrame) -> DataFrame:
-        scored = self._base_scores(df)
-        meta_in = VectorAssembler(inputCols=[f"p_{n}" for n in self.bases], outputCol="meta_features").transform(scored)
-        return self.meta.transform(meta_in)
+        out = assemble(self.features).transform(df)
+        for score in self.bases.values():
+            out = score(out)
+        meta_in = VectorAssembler(inputCols=[f"p_{n}" for n in self.bases], outputCol="meta_features")
+        return self.meta.transform(meta_in.transform(out.drop("features")))
 
 
 def fit_stacking(df: DataFrame, features: Sequence[str], label: str, fold_col: str, bases: dict) -> StackingModel:
@@ -415,24 +417,18 @@ def fit_stacking(df: DataFrame, features: Sequence[str], label: str, fold_col: s
     out-of-fold probabilities (one union over folds, all bases in one pass per fold) train a logistic
     meta-model; the bases are then refitted on all rows."""
     from functools import reduce
-    from pyspark.ml.functions import vector_to_array
     feats = list(features)
-    folds = sorted(r[0] for r in df.select(fold_col).distinct().collect())
     data = assemble(feats).transform(df.withColumn("label", F.col(label).cast("double")))
-    named = {n: _with_outputs(e.copy({e.labelCol: "label"}), n) for n, e in bases.items()}
-    oof_parts = []
-    for f in folds:
-        train = data.filter(F.col(fold_col) != f)
-        held = data.filter(F.col(fold_col) == f)
-        for n, e in named.items():
-            held = e.fit(train).transform(held).withColumn(f"p_{n}", vector_to_array(f"{n}_prob")[1]) \
-                .drop(f"{n}_pred", f"{n}_raw", f"{n}_prob")
-        oof_parts.append(held.select("label", *[f"p_{n}" for n in named]))
-    oof = reduce(DataFrame.unionByName, oof_parts)
-    meta_in = VectorAssembler(inputCols=[f"p_{n}" for n in named], outputCol="meta_features").transform(oof)
+    parts = []
+    for f in range(data.agg(F.max(fold_col)).head()[0] + 1):
+        train, held = data.filter(F.col(fold_col) != f), data.filter(F.col(fold_col) == f)
+        for n, e in bases.items():
+            held = _fitted(e, train, n)(held)
+        parts.append(held.select("label", *[f"p_{n}" for n in bases]))
+    meta_in = VectorAssembler(inputCols=[f"p_{n}" for n in bases], outputCol="meta_features").transform(
+        reduce(DataFrame.unionByName, parts))
     meta = LogisticRegression(featuresCol="meta_features", labelCol="label").fit(meta_in)
-    full = {n: e.fit(data) for n, e in named.items()}
-    return StackingModel(full, meta, feats)
+    return StackingModel({n: _fitted(e, data, n) for n, e in bases.items()}, meta, feats)
 
 
 # ---- J12: data-parallel MLP regression (parameter averaging) -----------------------------------------------------

@@ -68,10 +68,14 @@ def write_extracts(merged: DataFrame, base: str, source_col: str = "source") ->
     return {"merged": write_csv(merged, f"{base}/merged"), "by_source": f"{base}/by-source"}
 
 
-def append_metrics(spark: SparkSession, path: str, run: str, model: str, metrics: Mapping[str, float]) -> None:
-    """Metric report rows (run, model, metric, value) appended to a Parquet table."""
-    rows = [(run, model, k, float(v) if v is not None else None) for k, v in metrics.items()]
-    spark.createDataFrame(rows, "run string, model string, metric string, value double") \
+def append_metrics(spark: SparkSession, path: str, run: str, model: str, metrics: Mapping[str, float],
+                   params: Mapping[str, float] = {}, coefficients: Mapping[str, float] = {}) -> None:
+    """Report rows (run, model, kind, name, value) appended to a Parquet table: the metrics, and the model's
+    parameters and coefficients where given."""
+    rows = [(run, model, kind, k, float(v) if v is not None else None)
+            for kind, values in (("metric", metrics), ("parameter", params), ("coefficient", coefficients))
+            for k, v in values.items()]
+    spark.createDataFrame(rows, "run string, model string, kind string, name string, value double") \
         .coalesce(1).write.mode("append").parquet(path)
 
 
