@@ -3,7 +3,7 @@
 Two histograms describe a text: of its characters by class, and of its common words (each of the lists below, and
 one place for all other words). The references are histograms of each listed language, from all its documents that pass
 the base rules. A text's divergence is the smallest Jensen-Shannon distance (base 2, so
-0 to 1) to a reference. Short texts stray from their language by chance, so the limit falls with the root of the
+0 to 1) to a reference or, where that is over the limit, to a mix of two, as a text may be in two languages. Short texts stray from their language by chance, so the limit falls with the root of the
 words, and below a number of words a test does not judge at all.
 
 Only built-in functions run. One scan counts everything a text needs and writes it; the references are one small
@@ -13,6 +13,7 @@ aggregate of that table, and the verdict is a projection of it.
 from __future__ import annotations
 
 from functools import reduce
+from itertools import combinations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -31,11 +32,13 @@ SPACE = r"[\x20\x09-\x0D]"
 #: Classes of the characters left after the classes before them.
 CLASSES = ["[a-z]", "[A-Z]", "[0-9]", "[.,;:]", "[!?]", "[#*$%&|<>]", r"[\x21-\x7e]"]
 SYMBOLS = CLASSES.index("[#*$%&|<>]")
+#: How much of the first language a mix of two references has.
+SHARES = (0.25, 0.5, 0.75)
 MIN_WORDS = 50
 MAX_REPEATED = 50
 CHARACTER_WORDS, CHARACTER_LIMIT, CHARACTER_NOISE = 50, 0.10, 1.6
 STEPS = 4096
-WORD_WORDS, WORD_LIMIT, WORD_NOISE = 100, 0.10, 2.4
+WORD_WORDS, WORD_LIMIT, WORD_NOISE = 100, 0.14, 2.4
 
 
 def _windows(w: Column) -> Column:
@@ -146,17 +149,26 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     counted = written(counts(docs, id_col, text_col, lang_col), "text-counts")
     known = references(counted)
 
-    def nearest(col: str, which: int) -> Column:
-        each = [distance(F.col(col), r[which]) for r in known.values()]
+    def nearest(col: str, to: list[list[float]]) -> Column:
+        each = [distance(F.col(col), r) for r in to]
         return reduce(F.least, each) if each else F.lit(None).cast("double")
 
-    df = counted.select("*", nearest("chars", 0).alias("char_divergence"), nearest("common", 1).alias("word_divergence"),
-                        _base_failed().alias("base_failed"))
     n = F.col("n_words")
 
     def strays(col: str, least: int, limit: float, noise: float) -> Column:
         return F.coalesce((n >= least) & (F.col(col) > limit + noise / F.sqrt(n)), F.lit(False))
 
+    one = {c: [r[i] for r in known.values()] for i, c in enumerate(("chars", "common"))}
+    two = {c: [[share * x + (1 - share) * y for x, y in zip(a, b)] for a, b in combinations(refs, 2) for share in SHARES]
+           for c, refs in one.items()}
+    df = counted.select("*", nearest("chars", one["chars"]).alias("char_divergence"),
+                        nearest("common", one["common"]).alias("word_divergence"), _base_failed().alias("base_failed"))
+    if two["chars"]:  # most texts are near one language, so few are compared with the mixes
+        df = df.withColumns({
+            f: F.when(strays(f, *limits), F.least(F.col(f), nearest(c, two[c]))).otherwise(F.col(f))
+            for f, c, limits in (
+                ("char_divergence", "chars", (CHARACTER_WORDS, CHARACTER_LIMIT, CHARACTER_NOISE)),
+                ("word_divergence", "common", (WORD_WORDS, WORD_LIMIT, WORD_NOISE)))})
     kept = (~F.col("base_failed") & ~strays("char_divergence", CHARACTER_WORDS, CHARACTER_LIMIT, CHARACTER_NOISE)
             & ~strays("word_divergence", WORD_WORDS, WORD_LIMIT, WORD_NOISE))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",

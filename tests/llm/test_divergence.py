@@ -81,6 +81,20 @@ def test_prose_stays_and_noise_goes(table, odd_rows):
     assert not any(got[200 + i].kept for i in range(5)) and not got[303].kept and not got[300].kept
 
 
+def test_a_text_in_two_languages_stays(table):
+    rng = random.Random(15)
+
+    def german(words):
+        common = divergence.COMMON["de"].split()
+        return " ".join(rng.choice(common) if rng.random() < 0.45 else "".join(rng.choices(["schen", "ung", "ber", "ge"], k=2))
+                        for _ in range(words))
+    rows = [(i, prose(rng, 400), "en", "s") for i in range(20)] + [(100 + i, german(400), "de", "s") for i in range(20)]
+    rows += [(200, prose(rng, 500) + " " + german(500), "en", "s")]
+    got = {r.doc_id: r for r in divergence.rules(table(rows)).collect()}
+    assert all(r.kept for r in got.values())
+    assert got[200].word_divergence < divergence.WORD_LIMIT + divergence.WORD_NOISE / 1000 ** 0.5
+
+
 def test_unknown_languages_and_empty_tables(table, no_rows):
     rng = random.Random(6)
     rows = [(i, prose(rng, 100), None if i % 2 else "xx", "s") for i in range(4)]
