@@ -55,7 +55,9 @@ def counts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang
     ``chars`` and ``common`` as shares."""
     df = docs.select(F.col(id_col).alias("doc_id"), F.col(lang_col).alias("lang"),
                      F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    df = df.select("doc_id", "lang", "text", F.filter(F.split("text", f"{SPACE}+"), lambda x: x != "").alias("w"),
+    inner = F.btrim("text", F.lit(" \t\n\x0b\x0c\r"))
+    words = F.when(inner != "", F.split(inner, f"{SPACE}+")).otherwise(F.array().cast("array<string>"))
+    df = df.select("doc_id", "lang", "text", words.alias("w"),
                    F.filter(F.split("text", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")).alias("lines"),
                    F.regexp_replace("text", f"{SPACE}+", "").alias("left0"))
     for i, kind in enumerate(CLASSES):
