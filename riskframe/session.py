@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import io
 import os
 import tempfile
 import uuid
@@ -61,18 +62,22 @@ _SHIPPED: set[str] = set()
 
 def ship_code(spark: SparkSession) -> None:
     """Send this package to the executors, once per application, so that functions run there by name whatever the
-    working directory or the packages installed on the workers."""
-    app = spark.sparkContext.applicationId
-    if app in _SHIPPED:
+    working directory or the packages installed on the workers. The archive is in the shared folder, where executors
+    that start later find it too."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
         return
-    package = Path(__file__).resolve().parent
-    folder = tempfile.mkdtemp(prefix="riskframe-code-")
-    archive = os.path.join(folder, f"riskframe-{uuid.uuid4().hex[:8]}.zip")
-    with zipfile.ZipFile(archive, "w") as z:
+    package, held = Path(__file__).resolve().parent, io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
         for f in sorted(package.rglob("*.py")):
             z.write(f, f.relative_to(package.parent))
-    spark.sparkContext.addPyFile(archive)
-    _SHIPPED.add(app)
+    place = f"{ensure_checkpoint_dir(spark).rstrip('/')}/riskframe-code/riskframe-{uuid.uuid4().hex[:8]}.zip"
+    path = spark._jvm.org.apache.hadoop.fs.Path(place)
+    out = path.getFileSystem(spark._jsc.hadoopConfiguration()).create(path)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    sc.addPyFile(place)
+    _SHIPPED.add(sc.applicationId)
 
 
 def drop_scratch(spark: SparkSession) -> None:
