@@ -1,14 +1,22 @@
 """Language-model scores: a log-bilinear neural model trained by noise-contrastive estimation.
 
 Tokens are words and one end per text. The training texts' exact token counts are a distributed table. The end and
-the most frequent tokens are the neural vocabulary; all others share one further class, within which a token has its smoothed
-share of the counts, so the model gives every text a proper probability.
+every token counted at least ``LEAST`` times, up to ``VOCABULARY`` of the most frequent, are the neural vocabulary, each
+with a context and a target vector of its own; all others share one further class, within which a token has its
+smoothed share of the counts, so the model gives every text a proper probability.
+
+The output is factored. The ``HEAD`` most frequent tokens, groups of the further ones and the class of the others are
+the outputs of one softmax, a group's tokens those of a second one within the group. Groups are runs of tokens in the
+order of their counts, ``RUN`` times the root of their rank in size, so frequent tokens stand in small groups and a
+token costs some hundred products. A vocabulary up to ``HEAD`` is one flat softmax.
 
 The model predicts a token's vector as the sum of its two predecessors' vectors, each scaled by a weight per
-dimension; a token's score is the product of the predicted and its own vector plus a bias. Every input split trains
-a copy on all its training tokens, with noise drawn from the counts instead of a sum over the vocabulary, and the
-copies are averaged by their tokens. Scoring multiplies the predictions of all distinct contexts of a batch with all
-token vectors, which gives the exact normaliser, and sums the normalised log-probabilities by text.
+dimension; a token's score is the product of the predicted and its own vector plus a bias. Input splits are joined
+to about ``COPY_TOKENS`` tokens, and each trains a copy on all its training tokens, with noise drawn from the counts
+instead of a sum over the outputs, and from a token's group instead of a sum over the group. The copies are averaged
+by their tokens. Scoring multiplies the predictions of all distinct contexts of a batch with all output vectors, and
+those of a group's tokens with the group's vectors, which gives the exact normalisers, and sums the normalised
+log-probabilities by text.
 
 Counts beyond a bounded number of frequent tokens stay distributed: what a text has of rarer tokens is joined with
 the count table.
@@ -29,15 +37,22 @@ from pyspark.sql import functions as F
 from riskframe.llm.common import fold, with_uid, written
 
 HELD_OUT = 1
-VOCABULARY = 512
+VOCABULARY = 1 << 17
+LEAST = 3
+HEAD = 64
+RUN = 3
 FREQUENT = 200_000
 DIMENSIONS = 24
 NOISE = 64
+GROUP_NOISE = 2
 BATCH = 4096
+ROWS = 512
 RATE = 0.1
 SEED = 5
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 FAN_IN = 32
+COPY_TOKENS = 8_000_000
+PIECE = 1 << 16
 
 
 def _slices(batch: pa.RecordBatch):
@@ -73,30 +88,53 @@ def _counted(batches):
                                              ["token", "n"])
 
 
+class Outputs:
+    """Which output and, beyond the head, which group's run of tail places each class has; ``classes`` counts the
+    last, all tokens outside the vocabulary."""
+
+    def __init__(self, classes: int):
+        self.head = classes - 1 if classes - 1 <= HEAD else HEAD
+        edges = [self.head]
+        while edges[-1] < classes - 1:
+            edges.append(min(classes - 1, edges[-1] + math.ceil(RUN * math.sqrt(edges[-1]))))
+        self.edges = np.array(edges) - self.head
+        self.width = np.diff(self.edges)
+        self.group = np.repeat(np.arange(len(self.width)), self.width)
+        self.of = np.r_[np.arange(self.head), self.head + self.group, self.head + len(self.width)]
+
+    def counts(self, counts: np.ndarray) -> np.ndarray:
+        return np.bincount(self.of, counts)
+
+
 @dataclass
 class Model:
-    """``context`` and ``target`` have a row per class (the last is all tokens outside the vocabulary), ``scale`` one
-    per context place, nearest first."""
+    """``context`` has a row per class (the last is all tokens outside the vocabulary), ``target`` and ``bias`` one per
+    output, ``scale`` one per context place, nearest first, ``tail`` and ``tail_bias`` one per token beyond the head."""
 
     context: np.ndarray
     target: np.ndarray
     bias: np.ndarray
     scale: np.ndarray
+    tail: np.ndarray
+    tail_bias: np.ndarray
 
     @classmethod
     def start(cls, counts: np.ndarray, dimensions: int = DIMENSIONS) -> Model:
         """Before training: the unigram model of the classes' counts."""
         rng = np.random.default_rng(SEED)
-        size = (len(counts), dimensions)
-        share = (counts + 0.5) / (counts + 0.5).sum()
-        return cls(rng.normal(0, 0.1, size).astype(np.float32), rng.normal(0, 0.1, size).astype(np.float32),
-                   np.log(share).astype(np.float32), np.ones((2, dimensions), np.float32))
+        out = Outputs(len(counts))
+        n = out.counts(counts + 0.5)
+        vectors = lambda rows: rng.normal(0, 0.1, (rows, dimensions)).astype(np.float32)
+        inside = (counts + 0.5)[out.head:-1]
+        return cls(vectors(len(counts)), vectors(len(n)), np.log(n / n.sum()).astype(np.float32),
+                   np.ones((2, dimensions), np.float32), vectors(len(inside)),
+                   np.log(inside / n[out.head + out.group]).astype(np.float32))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.context, self.target, self.bias, self.scale]
+        return [self.context, self.target, self.bias, self.scale, self.tail, self.tail_bias]
 
     def packed(self) -> np.ndarray:
-        return np.concatenate([x.ravel() for x in self.arrays()]).astype(np.float64)
+        return np.concatenate([x.ravel() for x in self.arrays()])
 
     def unpacked(self, flat: np.ndarray) -> Model:
         cuts = np.cumsum([x.size for x in self.arrays()])[:-1]
@@ -106,14 +144,40 @@ class Model:
         return self.context[one] * self.scale[0] + self.context[two] * self.scale[1]
 
     def normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
-        """Log of the summed exponentials over all classes, for each context."""
+        """Log of the summed exponentials over all outputs, for each context."""
         out = np.empty(len(one), np.float32)
-        for i in range(0, len(one), BATCH):
-            s = self.predicted(one[i:i + BATCH], two[i:i + BATCH]) @ self.target.T + self.bias
-            top = s.max(axis=1)
-            out[i:i + BATCH] = top + np.log(np.exp(s - top[:, None]).sum(axis=1))
+        for i in range(0, len(one), ROWS):
+            s = self.predicted(one[i:i + ROWS], two[i:i + ROWS]) @ self.target.T
+            s += self.bias
+            out[i:i + ROWS] = _log_sums(s)
         return out
 
+    def within(self, q: np.ndarray, place: np.ndarray, out: Outputs) -> np.ndarray:
+        """Log-probabilities within their groups of the tail places ``place`` after the predictions ``q``."""
+        group = out.group[place]
+        order = np.argsort(group, kind="stable")
+        cuts = np.searchsorted(group[order], np.arange(len(out.width) + 1))
+        found = np.empty(len(place), np.float32)
+        for g in np.flatnonzero(np.diff(cuts)):
+            a, b = out.edges[g], out.edges[g + 1]
+            for i in range(cuts[g], cuts[g + 1], ROWS):
+                rows = order[i:min(i + ROWS, cuts[g + 1])]
+                s = q[rows] @ self.tail[a:b].T
+                s += self.tail_bias[a:b]
+                own = s[np.arange(len(rows)), place[rows] - a]
+                found[rows] = own - _log_sums(s)
+        return found
+
+
+def _log_sums(s: np.ndarray) -> np.ndarray:
+    """Log of the summed exponentials of each row; rows beyond the range of exponentials are taken from their top."""
+    with np.errstate(over="ignore", divide="ignore", under="ignore"):
+        out = np.log(np.exp(s) @ np.ones(s.shape[1], s.dtype))
+    if (far := np.flatnonzero(~(np.abs(out) < 80))).size:
+        top = s[far].max(axis=1)
+        out[far] = top + np.log(np.exp(s[far] - top[:, None]).sum(axis=1))
+    return out
+
 
 def contexts(classes: np.ndarray, upto: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
     """The classes one and two places before each token; before a text stands the end."""
@@ -132,30 +196,66 @@ class Trainer:
     def __init__(self, model: Model, counts: np.ndarray, seed: int):
         self.model = model.unpacked(model.packed())
         self.rng = np.random.default_rng((SEED, seed))
-        self.share = (counts + 0.5) / (counts + 0.5).sum()
+        self.out = Outputs(len(counts))
+        n = self.out.counts(counts + 0.5)
+        self.share = n / n.sum()
         self.upto = np.cumsum(self.share)
         self.log_noise = np.log(NOISE * self.share).astype(np.float32)
+        self.log_group = np.log(GROUP_NOISE / self.out.width).astype(np.float32)
         self.sums = [np.full_like(x, 1.0) for x in self.model.arrays()]
 
+    def moved(self, k: int, row: np.ndarray, g: np.ndarray) -> None:
+        """An AdaGrad step of rows of the model's array ``k``, whose gradients are summed by row first."""
+        x, seen = self.model.arrays()[k], self.sums[k]
+        order = np.argsort(row)
+        row = row[order]
+        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
+        g, row = np.add.reduceat(g[order], first, axis=0), row[first]
+        now = seen[row] + g * g
+        seen[row] = now
+        x[row] += RATE * g / np.sqrt(now)
+
     def step(self, one: np.ndarray, two: np.ndarray, aim: np.ndarray) -> None:
         m = self.model
         noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), len(self.share) - 1)
         near, far = m.context[one], m.context[two]
         q = near * m.scale[0] + far * m.scale[1]
-        own, other = m.target[aim], m.target[noise]
-        wrong = 1 / (1 + np.exp((q * own).sum(1) + m.bias[aim] - self.log_noise[aim]))
-        taken = -1 / (1 + np.exp(self.log_noise[noise] - (q @ other.T + m.bias[noise])))
+        to = self.out.of[aim]
+        own, other = m.target[to], m.target[noise]
+        wrong = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) + m.bias[to] - self.log_noise[to]))
+        taken = q @ -other.T
+        taken += self.log_noise[noise] - m.bias[noise]
+        np.exp(taken, out=taken)
+        taken += 1
+        np.divide(-1, taken, out=taken)
         dq = wrong[:, None] * own + taken @ other
-        size = len(m.bias)
-        context = _summed(one, dq * m.scale[0], size) + _summed(two, dq * m.scale[1], size)
-        target = _summed(aim, wrong[:, None] * q, size)
-        np.add.at(target, noise, taken.T @ q)
-        bias = np.bincount(aim, wrong, size)
-        np.add.at(bias, noise, taken.sum(0))
-        scale = np.stack([(dq * near).sum(0), (dq * far).sum(0)])
-        for x, seen, g in zip(m.arrays(), self.sums, (context, target, bias, scale)):
-            seen += (g * g).astype(np.float32)
-            x += (RATE * g / np.sqrt(seen)).astype(np.float32)
+        self.inner(q, aim, dq)
+        self.moved(1, np.r_[to, noise], np.concatenate([wrong[:, None] * q, taken.T @ q]))
+        self.moved(2, np.r_[to, noise], np.r_[wrong, taken.sum(0)])
+        self.moved(0, np.r_[one, two], np.concatenate([dq * m.scale[0], dq * m.scale[1]]))
+        g = np.stack([(dq * near).sum(0), (dq * far).sum(0)])
+        self.sums[3] += g * g
+        m.scale += RATE * g / np.sqrt(self.sums[3])
+
+    def inner(self, q: np.ndarray, aim: np.ndarray, dq: np.ndarray) -> None:
+        """The step within the groups, with noise evenly from each token's group; adds to ``dq``."""
+        m = self.model
+        at = np.flatnonzero((aim >= self.out.head) & (aim < len(m.context) - 1))
+        if not len(at):
+            return
+        q, place = q[at], aim[at] - self.out.head
+        group = self.out.group[place]
+        width = self.out.width[group][:, None]
+        noise = self.out.edges[group][:, None] + (self.rng.random((len(at), GROUP_NOISE)) * width).astype(np.int64)
+        rows = np.concatenate([place[:, None], noise], axis=1)
+        vectors = m.tail[rows]
+        s = np.matmul(vectors, q[:, :, None])[:, :, 0] + m.tail_bias[rows] - self.log_group[group][:, None]
+        g = -1 / (1 + np.exp(-s))
+        g[:, 0] += 1
+        dq[at] += np.matmul(g[:, None, :], vectors)[:, 0]
+        rows = rows.ravel()
+        self.moved(4, rows, (g[:, :, None] * q[:, None, :]).reshape(len(rows), -1))
+        self.moved(5, rows, g.ravel())
 
     def learn(self, classes: np.ndarray, upto: np.ndarray, end: int) -> None:
         one, two = contexts(classes, upto, end)
@@ -163,13 +263,6 @@ class Trainer:
             self.step(one[i:i + BATCH], two[i:i + BATCH], classes[i:i + BATCH])
 
 
-def _summed(row: np.ndarray, value: np.ndarray, size: int) -> np.ndarray:
-    """Rows of ``value`` summed by ``row``."""
-    width = value.shape[1]
-    at = (row[:, None] * width + np.arange(width)).ravel()
-    return np.bincount(at, value.ravel(), size * width).reshape(size, width)
-
-
 def _trained(model: Model, counts: np.ndarray, vocabulary: dict[str, int]):
     """A split's training texts to its trained copy and how many tokens it saw."""
     def run(batches):
@@ -182,32 +275,41 @@ def _trained(model: Model, counts: np.ndarray, vocabulary: dict[str, int]):
                 trainer.learn(classes, upto, vocabulary[""])
                 seen += len(code)
         if seen:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([seen]), pa.array([(seen * trainer.model.packed()).tobytes()], pa.binary())], ["n", "sums"])
+            flat = trainer.model.packed()
+            for piece, i in enumerate(range(0, len(flat), PIECE)):
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([TaskContext.get().partitionId()]), pa.array([piece]), pa.array([seen]),
+                     pa.array([flat[i:i + PIECE].tobytes()], pa.binary())], ["copy", "piece", "n", "mean"])
     return run
 
 
-def _added(batches):
-    n, sums = 0, 0.0
+def _averaged(batches):
+    """Copies of pieces to the mean of each piece by the copies' tokens."""
+    sums = {}
     for batch in batches:
-        for k, raw in zip(batch.column("n").to_pylist(), batch.column("sums").to_pylist()):
-            n, sums = n + k, sums + np.frombuffer(raw)
-    if n:
-        yield pa.RecordBatch.from_arrays([pa.array([n]), pa.array([sums.tobytes()], pa.binary())], ["n", "sums"])
+        for copy, piece, k, raw in zip(*(batch.column(c).to_pylist() for c in ("copy", "piece", "n", "mean"))):
+            n, x = sums.get((copy, piece), (0, 0.0))
+            sums[copy, piece] = n + k, x + k * np.frombuffer(raw, np.float32).astype(np.float64)
+    for (copy, piece), (n, x) in sums.items():
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([copy]), pa.array([piece]), pa.array([n]), pa.array([(x / n).astype(np.float32).tobytes()], pa.binary())],
+            ["copy", "piece", "n", "mean"])
 
 
 def train(texts: DataFrame, vocabulary: dict[str, int], counts: np.ndarray) -> Model:
-    """One pass of every input split over its texts, averaged in steps of ``FAN_IN`` copies."""
-    model = Model.start(counts)
-    copies = written(texts.mapInArrow(_trained(model, counts, vocabulary), "n long, sums binary"), "model-copies")
-    rows = copies.count()
-    while rows > FAN_IN:
+    """One pass of every copy over its texts, averaged in steps of ``FAN_IN`` copies."""
+    model, schema = Model.start(counts), "copy long, piece long, n long, mean binary"
+    rows = max(1, -(-int(counts.sum()) // COPY_TOKENS))
+    copies = written(texts.coalesce(rows).mapInArrow(_trained(model, counts, vocabulary), schema), "model-copies")
+    pieces = -(-len(model.packed()) // PIECE)
+    while rows > 1:
         rows = -(-rows // FAN_IN)
-        copies = written(copies.repartition(rows).mapInArrow(_added, "n long, sums binary"), "model-sums")
-    parts = copies.collect()
+        joined = copies.withColumn("copy", (F.col("copy") % rows)).repartition(rows * pieces, "copy", "piece")
+        copies = written(joined.mapInArrow(_averaged, schema), "model-means")
+    parts = sorted((r["piece"], r["mean"]) for r in copies.select("piece", "mean").collect())
     if not parts:
         return model
-    return model.unpacked(sum(np.frombuffer(r["sums"]) for r in parts) / sum(r["n"] for r in parts))
+    return model.unpacked(np.concatenate([np.frombuffer(x, np.float32) for _, x in parts]))
 
 
 def _scored(model: Model, frequent: list[str], counts: np.ndarray, other: int):
@@ -215,10 +317,9 @@ def _scored(model: Model, frequent: list[str], counts: np.ndarray, other: int):
     in ``frequent``, the neural vocabulary is its first ``other`` tokens."""
     place = {w: i for i, w in enumerate(frequent)}
     log_count, seen = np.r_[np.log10(counts + 0.5), 0.0], np.r_[counts > 0, False]
-    end = place[""]
+    end, out = place[""], Outputs(other + 1)
 
     def run(batches):
-        known = np.full((other + 1, other + 1), np.nan, np.float32)
         for batch in batches:
             for at, words in _slices(batch):
                 distinct, code, upto = _coded(words)
@@ -226,15 +327,15 @@ def _scored(model: Model, frequent: list[str], counts: np.ndarray, other: int):
                 rare = spot == len(frequent)
                 classes = np.minimum(spot, other)
                 one, two = contexts(classes, upto, end)
-                new = np.unique((one * (other + 1) + two)[np.isnan(known[one, two])])
-                if len(new):
-                    a, b = new // (other + 1), new % (other + 1)
-                    known[a, b] = model.normalisers(a, b)
+                pairs, pair = np.unique(one * (other + 1) + two, return_inverse=True)
+                known = model.normalisers(pairs // (other + 1), pairs % (other + 1))[pair]
                 neural = np.empty(len(code))
                 for i in range(0, len(code), 1 << 16):
                     s = slice(i, i + (1 << 16))
-                    neural[s] = ((model.predicted(one[s], two[s]) * model.target[classes[s]]).sum(1)
-                                 + model.bias[classes[s]] - known[one[s], two[s]])
+                    q, to = model.predicted(one[s], two[s]), out.of[classes[s]]
+                    neural[s] = (q * model.target[to]).sum(1) + model.bias[to] - known[s]
+                    tail = np.flatnonzero((classes[s] >= out.head) & (classes[s] < other))
+                    neural[i + tail] += model.within(q[tail], classes[s][tail] - out.head, out)
                 outside = classes == other
                 total = lambda x: np.add.reduceat(x.astype(np.float64), upto[:-1])
                 whole = lambda x: pa.array(np.add.reduceat(x.astype(np.int64), upto[:-1]))
@@ -270,7 +371,7 @@ def most_frequent(counts: DataFrame, most: int) -> DataFrame:
 
 
 def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held_out: int = HELD_OUT,
-           vocabulary: int = VOCABULARY, frequent: int = FREQUENT) -> DataFrame:
+           vocabulary: int = VOCABULARY, frequent: int = FREQUENT, least: int = LEAST) -> DataFrame:
     """One row per input row: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score.
 
     ``base_score`` is the smoothed unigram log10 probability of the text, ``score`` the model's. Null text counts as
@@ -286,7 +387,7 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     top = sorted(((r["n"], r["token"]) for r in most_frequent(counts.where("token <> ''"), frequent).collect()),
                  key=lambda x: (-x[0], x[1]))
     words, n = ["", *(w for _, w in top)], np.array([ends, *(c for c, _ in top)], np.int64)
-    size = min(vocabulary, len(words))
+    size = min(vocabulary, 1 + int((n[1:] >= least).sum()))
     outside = total - int(n[:size].sum())
     classes = np.r_[n[:size], outside]
     model = train(training, {w: i for i, w in enumerate(words[:size])}, classes)

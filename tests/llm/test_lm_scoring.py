@@ -93,3 +93,43 @@ def test_empty_table_and_nothing_to_learn(table, no_rows):
     only = [d for d in range(200) if held(d)][:2]
     got = lm_scoring.scores(table([(d, "a b") for d in only])).collect()
     assert [(r.n_tokens, r.n_known, r.train_tokens) for r in got] == [(3, 0, 0)] * 2
+
+
+def test_every_counted_word_has_its_own_probability_in_the_factored_model():
+    rng = np.random.default_rng(1)
+    counts = np.sort(rng.integers(20, 900, 1500))[::-1]
+    model, out = lm_scoring.Model.start(counts, 8), lm_scoring.Outputs(len(counts))
+    assert len(model.context) == 1500 and out.head < 1499 and out.width.max() > 1
+    follows = rng.permutation(1499)
+    text = np.empty(120_000, np.int64)
+    text[0::2] = rng.integers(0, 1499, 60_000)
+    text[1::2] = follows[text[0::2]]
+    trainer = lm_scoring.Trainer(model, counts, 1)
+    for _ in range(6):
+        trainer.learn(text, np.array([0, len(text)]), 0)
+    one, two = lm_scoring.contexts(text, np.array([0, len(text)]), 0)
+
+    def logp(m, a, b, classes):
+        q, to = m.predicted(a, b), out.of[classes]
+        s = (q * m.target[to]).sum(1) + m.bias[to] - m.normalisers(a, b)
+        tail = np.flatnonzero((classes >= out.head) & (classes < 1499))
+        s[tail] += m.within(q[tail], classes[tail] - out.head, out)
+        return s
+
+    every = np.arange(1500)
+    for a, b in ((3, 700), (1200, 5)):
+        assert abs(np.exp(logp(trainer.model, np.full(1500, a), np.full(1500, b), every)).sum() - 1) < 1e-3
+    late = np.flatnonzero((text > 700) & (np.arange(len(text)) % 2 == 1))  # words beyond any fixed 512, told by words
+    gain = logp(trainer.model, one[late], two[late], text[late]) - logp(model, one[late], two[late], text[late])
+    assert gain.mean() > 0.3
+
+
+def test_the_vocabulary_follows_the_corpus(table, monkeypatch):
+    sizes = []
+    real = lm_scoring.train
+    monkeypatch.setattr(lm_scoring, "train", lambda t, v, c: sizes.append(len(v)) or real(t, v, c))
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(900)]
+    rows = [(d, " ".join(rng.sample(words, 900))) for d in range(12)]
+    got = lm_scoring.scores(table(rows)).collect()
+    assert sizes == [901] and all(np.isfinite(r.score) for r in got)
