@@ -41,7 +41,8 @@ PATTERNS = (
     Pattern("access", r"AKIA[A-Z0-9]+", 20),
     Pattern("hex", r"[0-9a-f]{24,}", 24),
     Pattern("id", r"(?<![A-Za-z0-9])(?:ASIA|AROA|AIDA)[A-Z0-9]{16}(?![A-Za-z0-9])", 20),
-    Pattern("key", r"(?<![A-Za-z0-9/+=])[A-Za-z0-9/+]{32,64}={0,2}(?![A-Za-z0-9/+=])", 32,
+    # "=" may end an assignment before a key, but neither padding nor a base64 run
+    Pattern("key", r"(?<![A-Za-z0-9/+])(?<!==)(?<![A-Za-z0-9/+]{32}=)[A-Za-z0-9/+]{32,}+={0,2}+(?![A-Za-z0-9/+=])", 32,
             needs=("[a-z]", "[A-Z]", "[0-9]")),
     Pattern("endpoint", r"""https?://[A-Za-z0-9.-]+(?:[:/][^\x20\x09-\x0D"'<>]*)?""", 10),
 )

@@ -67,3 +67,19 @@ def test_weak_parts_need_their_complement(table):
 
 def test_empty_table(no_rows):
     assert credentials.scan(no_rows).count() == 0
+
+
+ASIA = "ASIAABCDEFGHIJKLMNOP"
+LONG = ("aB3+" * 22)[:86] + "=="
+
+
+def test_keys_after_an_assignment_and_of_any_length(table):
+    at = lambda text, part: f"{text.index(part)}:{text.index(part) + len(part)}"
+    for text in (f"AWS_ACCESS_KEY_ID={ASIA}\nAWS_SECRET_ACCESS_KEY={KEY}\n", f"id={ASIA}&key={KEY}&x=1"):
+        assert weak(table, text) == ["id:" + at(text, ASIA), "key:" + at(text, KEY)], text
+    for text in (f"{ASIA} AccountKey={LONG};EndpointSuffix=x", f"{ASIA} '{LONG}'", f"{ASIA} {'aB3+' * 5000}"):
+        assert [x.split(":")[0] for x in weak(table, text)] == ["id", "key"], text
+    text = f"{ASIA} AccountKey={LONG};EndpointSuffix=x"
+    assert weak(table, text)[1] == "key:" + at(text, LONG)
+    for text in (f"{ASIA} {KEY}={KEY}", f"{ASIA} {LONG}{KEY}"):  # inside a run or after its padding
+        assert weak(table, text) == [], text
