@@ -7,8 +7,8 @@ interval of the text around the candidate: a token near an access identifier, an
 endpoint near both.
 
 Only built-in functions run. One scan finds the matches of each pattern and keeps their lengths and the gaps between
-them; positions are running sums of those, and the interval join is a range window over a text's matches, so no
-pairs are made. Texts without a match end after the scan.
+them; positions are running sums of those, and the interval join compares a match with the last end before it and the next
+start after it, so no pairs are made. Texts without a match end after the scan.
 """
 
 from __future__ import annotations
@@ -89,15 +89,20 @@ def spans(found: DataFrame, scope: int = SCOPE) -> DataFrame:
 
     name = F.array(*(F.lit(p.kind) for p in PATTERNS))[F.col("kind")]
     strong = F.col("kind") < STRONG
-    near = Window.partitionBy("uid").orderBy("start").rangeBetween(-scope, scope)
     earlier = Window.partitionBy("uid").orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
-    later = Window.partitionBy("uid").orderBy("start").rangeBetween(0, Window.unboundedFollowing)
+    later = Window.partitionBy("uid").orderBy(F.desc("start")).rangeBetween(Window.unboundedPreceding, 0)
+
+    def near(kinds):
+        """Whether at most ``scope`` characters lie between a match and one of ``kinds`` before, after or over it."""
+        own = name.isin(*kinds)
+        return (F.coalesce(F.max(F.when(own, F.col("stop"))).over(earlier) >= F.col("start") - scope, F.lit(False))
+                | F.coalesce(F.min(F.when(own, F.col("start"))).over(later) <= F.col("stop") + scope, F.lit(False)))
+
     at = at.select(
         "uid", "kind", "start", "stop",
         F.coalesce(F.max(F.when(strong, F.col("stop"))).over(earlier) > F.col("start"), F.lit(False)).alias("under"),
         F.coalesce(F.min(F.when(strong, F.col("start"))).over(later) < F.col("stop"), F.lit(False)).alias("over"),
-        F.coalesce(F.max(name.isin(*IDENTIFIERS)).over(near), F.lit(False)).alias("with_id"),
-        F.coalesce(F.max(name.isin(*SECRETS)).over(near), F.lit(False)).alias("with_secret"))
+        near(IDENTIFIERS).alias("with_id"), near(SECRETS).alias("with_secret"))
     complete = (F.when(name == "id", F.col("with_secret")).when(name == "key", F.col("with_id"))
                 .otherwise(F.col("with_id") & F.col("with_secret")))
     return at.where(strong | (complete & ~F.col("under") & ~F.col("over"))).select("uid", "kind", "start", "stop")

@@ -83,3 +83,14 @@ def test_keys_after_an_assignment_and_of_any_length(table):
     assert weak(table, text)[1] == "key:" + at(text, LONG)
     for text in (f"{ASIA} {KEY}={KEY}", f"{ASIA} {LONG}{KEY}"):  # inside a run or after its padding
         assert weak(table, text) == [], text
+
+
+def test_scope_is_the_gap_between_the_parts(table):
+    token = "token=" + "aB3+" * 75
+    url = "https://host.example.com/a?sig=" + "x" * 300
+    texts = {f"{token} {ASIA}": ["id"], f"{ASIA} {'x ' * 99} {token}": ["id"], f"{token} {'x ' * 100}{ASIA}": [],
+             f"{url} {ASIA} {KEY}": ["endpoint", "id", "key"], f"{ASIA} {KEY} {url}": ["id", "key", "endpoint"]}
+    got = {r.doc_id: r.spans for r in credentials.scan(table(list(enumerate(texts)))).collect()}
+    for i, want in enumerate(texts.values()):
+        kinds = [x.split(":")[0] for x in got[i].split(",")]
+        assert [k for k in kinds if k in ("id", "key", "endpoint")] == want, i
