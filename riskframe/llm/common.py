@@ -23,6 +23,10 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, "labels"))
 
 
+def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.read.parquet(table_path(sf_dir, "embeddings"))
+
+
 def fresh(df: DataFrame, name: str) -> str:
     """``name``, or a longer one if ``df`` has a column of that name in any case."""
     taken = {c.lower() for c in df.columns}
