@@ -7,8 +7,7 @@ from pyspark.sql import functions as F
 from catalog.common import q, rnd
 from catalog.sqlparts import rd
 from riskframe.fixtures import patients
-from riskframe.operators import sampling
-from riskframe.operators.smote import smote_nc
+from riskframe.operators import sampling, smote
 from riskframe.plans import modelprep, training
 from riskframe.plans.cleaning import clean_caroc
 
@@ -164,15 +163,40 @@ SELECT bmdtest_10yr_caroc, (SELECT max(real) FROM n) AS rows, (SELECT max(real)
   {rd('lo')} AS min_age, {rd('hi')} AS max_age, true AS in_range FROM n"""
 
 
+def _h6_train(spark, sf):
+    c = clean_caroc(patients(spark, sf)).filter(F.col("bmdtest_10yr_caroc").isNotNull())
+    return sampling.hash_split(c.dropna(subset=["PatientAge", "bmi"]), "PatientId", 20, seed=2)[0]
+
+
+_H6_NOMINAL = ["PatientGender", "alcohol", "smoke"]
+
+
+def _h6_near_sql():
+    differ = " + ".join(f"CAST(a.{c} IS DISTINCT FROM b.{c} AS INT)" for c in _H6_NOMINAL)
+    return _h6_sql().rpartition("SELECT bmdtest_10yr_caroc, (SELECT max(real)")[0].rstrip() + f""",
+g AS (SELECT bmdtest_10yr_caroc AS label, (stddev_pop(PatientAge) + stddev_pop(bmi)) / 2 AS gap, count(*) AS real FROM t GROUP BY 1),
+m AS (SELECT t.*, row_number() OVER () AS place, gap FROM t JOIN g ON bmdtest_10yr_caroc = label WHERE real < (SELECT max(real) FROM g)),
+d AS (SELECT a.bmdtest_10yr_caroc AS label, a.place, a.PatientId, sqrt(pow(a.PatientAge - b.PatientAge, 2) + pow(a.bmi - b.bmi, 2)
+      + ({differ}) * a.gap * a.gap) AS distance FROM m a JOIN m b ON a.bmdtest_10yr_caroc = b.bmdtest_10yr_caroc AND a.place <> b.place)
+SELECT label, PatientId, rank, {rd('distance')} AS distance
+FROM (SELECT *, row_number() OVER (PARTITION BY label, place ORDER BY distance) AS rank FROM d) WHERE rank <= 5"""
+
+
+@q("h6_nearest_neighbours", _h6_near_sql())
+def h6_nearest_neighbours(spark, sf):
+    """The distances of every minority row to its 5 nearest rows of the class, over numeric and nominal features."""
+    rows = smote.class_rows(_h6_train(spark, sf), "bmdtest_10yr_caroc", "PatientId", ["PatientAge", "bmi"], _H6_NOMINAL)
+    near = smote.class_neighbours(rows, ["PatientAge", "bmi"], _H6_NOMINAL, k=5)
+    named = rows.select(F.col("__class").alias("group"), F.col("__at").alias("id"), "PatientId")
+    return rnd(near.join(named, ["group", "id"]).select(F.col("group").alias("label"), "PatientId",
+                                                        F.col("rank").cast("long").alias("rank"), F.sqrt("far").alias("distance")))
+
+
 @q("h6_smote_nc", _h6_sql())
 def h6_smote_nc(spark, sf):
     """Classes after SMOTE-NC on the training split: parity is exact, and synthetic values stay within the range of
     their class's own."""
-    c = clean_caroc(patients(spark, sf)).filter(F.col("bmdtest_10yr_caroc").isNotNull())
-    c = c.dropna(subset=["PatientAge", "bmi"])
-    train = sampling.hash_split(c, "PatientId", 20, seed=2)[0]
-    out = smote_nc(train, "bmdtest_10yr_caroc", "PatientId", ["PatientAge", "bmi"],
-                   ["PatientGender", "alcohol", "smoke"])
+    out = smote.smote_nc(_h6_train(spark, sf), "bmdtest_10yr_caroc", "PatientId", ["PatientAge", "bmi"], _H6_NOMINAL)
     made = F.col("synthetic") > 0
     per = out.groupBy("bmdtest_10yr_caroc").agg(
         F.count(F.lit(1)).alias("rows"), F.sum(made.cast("long")).alias("synthetic"),

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from riskframe.session import materialize
+from riskframe.session import input_partitions, materialize
 
 
 def running_totals(df: DataFrame, order_cols: Sequence[str], value_cols: Sequence[str], ascending: bool = True,
@@ -25,8 +25,7 @@ def running_totals(df: DataFrame, order_cols: Sequence[str], value_cols: Sequenc
 
     ``order_cols`` must identify rows uniquely (ties would make the running sum order-dependent).
     """
-    spark = df.sparkSession
-    n = num_partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or input_partitions(df)
     keys = [F.col(c).asc() if ascending else F.col(c).desc() for c in order_cols]
     ranged = materialize(df.repartitionByRange(n, *keys).sortWithinPartitions(*keys), columnar=False)
     ranged = ranged.withColumn("__pid", F.spark_partition_id())

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from riskframe.operators.stats import agg_row
-from riskframe.session import materialize
+from riskframe.session import input_partitions, materialize
 
 
 class MissingColumnsError(ValueError):
@@ -158,7 +158,7 @@ def dense_row_numbers(df: DataFrame, order_col: str, out: str = "row_id", num_pa
     partition (one small aggregate, one row per partition), then number locally: offset of the partition plus
     the position inside it, which ``monotonically_increasing_id`` encodes in its low 33 bits.
     """
-    n = num_partitions or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = num_partitions or input_partitions(df)
     ranged = materialize(df.repartitionByRange(n, order_col).sortWithinPartitions(order_col), columnar=False)
     pid = F.spark_partition_id()
     placed = ranged.withColumns({"__pid": pid, "__pos": F.monotonically_increasing_id()

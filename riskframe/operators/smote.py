@@ -1,31 +1,26 @@
 """H6: SMOTE-NC oversampling of minority classes to parity, without an all-pairs neighbour search.
 
-Neighbour candidates come from a sorted neighbourhood: the rows of a class are numbered in the order of a seeded
-random projection of their numeric features, and each row considers the ``window`` rows on either side. The numbers
-are global, and runs of them are dealt into blocks that also get the rows just beyond their ends, so the candidates
-do not depend on how the table is partitioned, and a block's size is fixed whatever the class's. Of its candidates a
-row keeps the k nearest by the SMOTE-NC distance: Euclidean over the numeric features plus, for every nominal
-mismatch, the square of the median of the class's numeric standard deviations.
+Neighbours are the exact k nearest rows of the class by the SMOTE-NC distance: Euclidean over the numeric features
+plus, for every nominal mismatch, the square of the median of the class's numeric standard deviations
+(``neighbours.k_nearest``, which searches blocks of rows and only the blocks within a row's reach).
 
 The number of synthetic rows per seed row is exact: with deficit d and m rows of the class every row makes d // m
 and the first d % m one more, so the class reaches parity exactly. Synthetic numeric values interpolate towards a
 neighbour chosen by a hash; nominal values are the majority vote of the k neighbours (smallest value on ties).
-Everything is column expressions: per-class figures are a joined table, neighbours an array per row.
+Per-class figures are a joined table, neighbours an array per row.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from riskframe.operators.neighbours import k_nearest
 from riskframe.operators.quality import dense_row_numbers
 from riskframe.session import materialize
 
-BLOCK_ROWS = 4096
-
 
 def _class_figures(df: DataFrame, label: str, numeric: Sequence[str]) -> DataFrame:
     """Per class with a deficit: rows, deficit, means of the numeric features, median of their deviations."""
@@ -45,42 +40,43 @@ def _unit(*parts: Column) -> Column:
     return F.pmod(F.xxhash64(*parts), F.lit(1 << 32)) / F.lit(float(1 << 32))
 
 
+def class_rows(df: DataFrame, label: str, id_col: str, numeric: Sequence[str], nominal: Sequence[str] = ()) -> DataFrame:
+    """The rows of the classes that need synthetic ones, numbered within their class (``__at``), with the numeric
+    features (``__x``, a missing value counts as its class's mean) and the nominal ones as text (``__named``)."""
+    cols = list(dict.fromkeys([id_col, label, *numeric, *nominal]))
+    rows = df.select(*cols).join(_class_figures(df, label, numeric), F.col(label) == F.col("__class"))
+    x = [F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.get("__means", F.lit(i)), F.lit(0.0))
+         for i, c in enumerate(numeric)]
+    # a missing nominal value is a value of its own
+    named = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("")) for c in nominal]
+    rows = rows.withColumns({"__x": F.array(*x).cast("array<double>"), "__named": F.array(*named).cast("array<string>")})
+    order = F.struct(F.col("__class"), F.col(id_col).alias("id"), F.xxhash64(*cols).alias("row"))
+    rows = materialize(dense_row_numbers(rows.withColumn("__order", order), "__order", "__rn"), "smote-rows")
+    firsts = rows.groupBy("__class").agg(F.min("__rn").alias("__first"))
+    return rows.join(firsts, "__class").withColumn("__at", F.col("__rn") - F.col("__first")).drop("__order", "__first", "__rn")
+
+
+def class_neighbours(rows: DataFrame, numeric: Sequence[str], nominal: Sequence[str] = (), k: int = 5) -> DataFrame:
+    """(group, id, rank, far, other): the k nearest rows of its class for each row of ``class_rows``, by ``__at``."""
+    given = rows.select(F.col("__class").alias("group"), F.col("__at").alias("id"), F.col("__x").alias("x"),
+                        F.col("__named").alias("nominal"), F.col("__gap").alias("gap"))
+    return k_nearest(given, len(numeric), len(nominal), k)
+
+
 def smote_nc(df: DataFrame, label: str, id_col: str, numeric: Sequence[str], nominal: Sequence[str] = (),
-             k: int = 5, window: int = 10, seed: int = 0) -> DataFrame:
+             k: int = 5, seed: int = 0) -> DataFrame:
     """``df`` with a column ``synthetic`` (0), and the synthetic rows (1, 2, ... per seed row). Rows without a label
-    are kept and take no part. A missing numeric value counts as its class's mean."""
+    are kept and take no part. A missing numeric value counts as its class's mean; the only row of a class is its own
+    neighbour."""
     numeric, nominal = list(numeric), list(nominal)
-    direction = np.random.default_rng(seed).normal(size=len(numeric))
-    direction = direction / (np.linalg.norm(direction) or 1.0)
-    cols = list(dict.fromkeys([id_col, label, *numeric, *nominal]))
-    figures = _class_figures(df, label, numeric)
-    rows = df.select(*cols).join(figures, F.col(label) == F.col("__class"))
-    rows = rows.withColumn("__x", F.array(*[F.coalesce(F.col(c).cast("double"), F.get("__means", F.lit(i)))
-                                            for i, c in enumerate(numeric)]))
-    key = sum((F.lit(float(w)) * F.coalesce(F.get("__x", F.lit(i)), F.lit(0.0)) for i, w in enumerate(direction)), F.lit(0.0))
-    rows = rows.withColumn("__order", F.struct(F.col("__class"), key.alias("key"), F.col(id_col).alias("id"),
-                                               F.xxhash64(*cols).alias("row")))
-    rows = materialize(dense_row_numbers(rows, "__order", "__rn"), "smote-rows")
-    firsts = rows.groupBy("__class").agg(F.min("__rn").alias("__first"))
-    rows = rows.join(firsts, "__class").withColumn("__at", F.col("__rn") - F.col("__first"))
-
-    own = F.floor(F.col("__at") / BLOCK_ROWS)
-    after = F.floor((F.col("__at") + window) / BLOCK_ROWS)
-    before = F.floor((F.col("__at") - window) / BLOCK_ROWS)
-    dealt = rows.withColumn("__block", F.explode(F.array_distinct(F.array(own, after, F.greatest(before, F.lit(0))))))
-    frame = Window.partitionBy("__class", "__block").orderBy("__at").rowsBetween(-window, window)
-    features = F.struct(F.col("__at").alias("at"), F.col("__x").alias("x"), *[F.col(c).alias(f"n{i}") for i, c in enumerate(nominal)])
-    seen = dealt.withColumn("__near", F.collect_list(features).over(frame)).filter(F.col("__block") == own)
-
-    def ranked(other: Column) -> Column:
-        apart = F.aggregate(F.zip_with(other["x"], F.col("__x"), lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda a, b: a + b)
-        differ = sum(((~other[f"n{i}"].eqNullSafe(F.col(c))).cast("double") for i, c in enumerate(nominal)), F.lit(0.0))
-        return F.struct((apart + differ * F.col("__gap") * F.col("__gap")).alias("far"), *[
-            other[f].alias(f) for f in ("at", "x", *(f"n{i}" for i in range(len(nominal))))])
-
-    others = F.sort_array(F.transform(F.filter("__near", lambda o: o["at"] != F.col("__at")), ranked))
-    nearest = F.when(F.size(others) > 0, F.slice(others, 1, k)).otherwise(F.transform("__near", ranked))
-    seen = seen.withColumn("__near", nearest)
+    rows = class_rows(df, label, id_col, numeric, nominal)
+    features = [F.col("__x").alias("x"), *[F.col(c).alias(f"n{i}") for i, c in enumerate(nominal)]]
+    to = rows.select(F.col("__class").alias("group"), F.col("__at").alias("other"), *features)
+    near = (class_neighbours(rows, numeric, nominal, k).join(to, ["group", "other"])
+            .groupBy(F.col("group").alias("__class"), F.col("id").alias("__at"))
+            .agg(F.array_sort(F.collect_list(F.struct("rank", "x", *[f"n{i}" for i in range(len(nominal))]))).alias("__near")))
+    itself = F.array(F.struct(F.lit(1).alias("rank"), *features))
+    seen = rows.join(near, ["__class", "__at"], "left").withColumn("__near", F.coalesce("__near", itself))
     copies = F.floor(F.col("__deficit") / F.col("__n")) + (F.col("__at") < F.col("__deficit") % F.col("__n")).cast("long")
     made = seen.withColumn("__copies", copies).filter(F.col("__copies") > 0).withColumn(
         "synthetic", F.explode(F.sequence(F.lit(1), F.col("__copies").cast("int"))))

@@ -80,6 +80,21 @@ def ship_code(spark: SparkSession) -> None:
     _SHIPPED.add(sc.applicationId)
 
 
+#: Bytes of input per partition where a fixed number of partitions is needed.
+PARTITION_BYTES = 128 << 20
+
+
+def input_partitions(df: DataFrame) -> int:
+    """How many partitions an ordered pass over ``df`` is dealt to: as many as shuffles have by default, and more where
+    the tables it reads are larger. For passes whose number of partitions must stay fixed, which adaptive execution
+    then neither merges nor splits."""
+    least = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
+    sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    # a table without statistics counts as the largest size there is
+    return max(least, sum(s for s in sizes if s < 1 << 62) // PARTITION_BYTES)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove every scratch table of this application. Results that still read them end with it, so call it when a
     job has written its product."""

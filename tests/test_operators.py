@@ -190,8 +190,8 @@ def test_a_cluster_must_name_its_shared_folder():
 
 
 def test_smote_reaches_parity_whatever_the_partitions(spark, monkeypatch):
-    from riskframe.operators import smote
-    monkeypatch.setattr(smote, "BLOCK_ROWS", 16)
+    from riskframe.operators import neighbours, smote
+    monkeypatch.setattr(neighbours.k_nearest, "__defaults__", (5, 16))
     rng = np.random.default_rng(2)
     rows = [(i, int(i % 5 == 0), float(rng.normal() * (3 if i % 5 else 1)), float(rng.normal() * 10), int(rng.integers(3)))
             for i in range(400)] + [(400, None, 1.0, 1.0, 0)]
@@ -209,7 +209,7 @@ def test_smote_reaches_parity_whatever_the_partitions(spark, monkeypatch):
 
 
 def test_smote_neighbours_match_brute_force(spark):
-    """With a window over the whole class the neighbours are the true nearest ones."""
+    """The only neighbour of each row is one of the two next to it."""
     from riskframe.operators.smote import smote_nc
     rows = [(i, 1, float(i), 0) for i in range(6)] + [(100 + i, 0, float(-i), 1) for i in range(12)]
     df = spark.createDataFrame(rows, "id int, y int, a double, c int")
