@@ -91,24 +91,27 @@ def k6_binary_metrics(spark, sf):
 
 def _roc_sql(tail):
     return _scored_sql() + """, g AS (SELECT p_high AS score, sum(CASE WHEN y_high = 1 THEN 1.0 ELSE 0.0 END) AS tp,
-  sum(CASE WHEN y_high = 1 THEN 0.0 ELSE 1.0 END) AS fp FROM sc WHERE y_high IS NOT NULL AND p_high IS NOT NULL GROUP BY p_high),
+  sum(CASE WHEN y_high = 1 THEN 0.0 ELSE 1.0 END) AS fp FROM sc WHERE y_high IS NOT NULL AND p_high IS NOT NULL AND coalesce(PatientId, 1) % 5 <> 0 GROUP BY p_high),
 c AS (SELECT score, tp, fp, sum(tp) OVER (ORDER BY score DESC) AS cum_tp, sum(fp) OVER (ORDER BY score DESC) AS cum_fp FROM g),
 tot AS (SELECT sum(tp) AS P, sum(fp) AS N FROM g)
 """ + tail
 
 
+def _partly_labelled(df):
+    """A fifth of the rows without a label: they take no part in the curves."""
+    return df.withColumn("y_high", F.when(F.coalesce("PatientId", F.lit(1)) % 5 != 0, F.col("y_high")))
+
+
 @q("k7_roc_curve", _roc_sql(f"SELECT {rd('score')} AS threshold, {rd('cum_fp / N')} AS fpr, {rd('cum_tp / P')} AS tpr FROM c, tot"))
 def k7_roc_curve(spark, sf):
-    s = scored(spark, sf).filter(F.col("y_high").isNotNull())
-    return rnd(evaluate.roc_curve(s, "y_high", "p_high"))
+    return rnd(evaluate.roc_curve(_partly_labelled(scored(spark, sf)), "y_high", "p_high"))
 
 
 @q("k7_k8_curve_areas", _roc_sql(f"""SELECT {rd('sum(fp / N * (cum_tp + cum_tp - tp) / (2 * P))')} AS roc_auc,
   {rd('sum(tp / P * (cum_tp / (cum_tp + cum_fp) + coalesce((cum_tp - tp) / nullif(cum_tp - tp + cum_fp - fp, 0), cum_tp / (cum_tp + cum_fp))) / 2)')} AS pr_auc
 FROM c, tot"""))
 def k7_k8_curve_areas(spark, sf):
-    s = scored(spark, sf).filter(F.col("y_high").isNotNull())
-    return rnd(evaluate.curve_areas(s, "y_high", "p_high"))
+    return rnd(evaluate.curve_areas(_partly_labelled(scored(spark, sf)), "y_high", "p_high"))
 
 
 @q("k9_predicted_counts", _scored_sql() + "SELECT pred_class AS prediction, count(*) AS count FROM sc GROUP BY pred_class")

@@ -13,7 +13,7 @@ from riskframe.fixtures import patients
 from riskframe.operators import explain, gram as G, models as M
 from riskframe.plans.cleaning import clean_caroc
 from riskframe.session import materialize, scratch_path
-from riskframe.sources import io
+from riskframe.sources import contract, io
 
 
 def _caroc():
@@ -175,10 +175,9 @@ def importance_long(spark, sf):
     frames = []
     for family, rename in (("sci", SCI_RENAME), ("dnn", DNN_RENAME)):
         mine = [p for name, p in paths.items() if name.startswith(family)]
-        schema = spark.read.option("header", True).csv(mine[0]).columns  # the header; all values are numbers
-        df = spark.read.option("header", True).schema(
-            ", ".join(f"`{c}` {'long' if c == 'index' else 'double'}" for c in schema)).csv(mine)
-        df = df.withColumn("model", F.regexp_extract(F.col("_metadata.file_path"), r"/(sci_[a-z]+|dnn_[a-z]+)/", 1))
+        columns = dict.fromkeys(c for header in contract.file_headers(spark, mine) for c in header)
+        df = io.read_csv(spark, mine, ", ".join(f"`{c}` {'long' if c == 'index' else 'double'}" for c in columns), with_source=True)
+        df = df.withColumn("model", F.regexp_extract("source_file", r"/(sci_[a-z]+|dnn_[a-z]+)/", 1)).drop("source_file")
         frames.append(explain.harmonise(df, rename))
     stacked = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     feats = [c for c in stacked.columns if c not in ("index", "model")]

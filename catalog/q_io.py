@@ -15,7 +15,7 @@ from riskframe.operators import encode, evaluate, models as M, quality, sampling
 from riskframe.operators.scoring import ScoringModel, payload, record_frame
 from riskframe.plans.cleaning import clean_caroc, clean_frax_dll
 from riskframe.session import scratch_path
-from riskframe.sources import io
+from riskframe.sources import contract, io
 from riskframe.streaming.scorer import run_to_completion
 
 P = cte()
@@ -58,6 +58,67 @@ def a2_csv_glob(spark, sf):
     return rnd(df.select("PatientId", "PatientAge"))
 
 
+#: Every so many patients by id: written with the columns in another order, or as a line that breaks the contract.
+_BROKEN = {"fields": 11, "PatientAge: not double": 13, "PatientGender: not int": 17, "PatientId: missing": 19}
+
+
+def _mixed_extracts(spark, sf):
+    """The CAROC extract as files that differ: the contract's column order, the reverse one with a column of another
+    name between, one without T-scores, and lines that break the contract (one field too many, an age in words, half a
+    gender, no id), told by the patient's id."""
+    p = patients(spark, sf).select(*CAROC_EXTRACT).where("PatientId IS NOT NULL")
+    base = scratch_path(spark, "mixed-extracts")
+    third, mixed = F.col("PatientId") % 3, list(reversed(CAROC_EXTRACT))
+    io.write_csv(p.where(third == 0), f"{base}/plain")
+    io.write_csv(p.where(third == 1).select(*mixed[:3], F.lit('a "b", c').alias("remark"), *mixed[3:]), f"{base}/turned")
+    io.write_csv(p.where(third == 2).drop("bmdtest_tscore_fn"), f"{base}/short")
+    every = [F.col("PatientId") % n == 0 for n in _BROKEN.values()]
+    first = F.when(every[0], 0).when(every[1], 1).when(every[2], 2).when(every[3], 3)
+    bad = p.withColumn("which", first).where("which IS NOT NULL")
+    fields = {"PatientId": F.when(F.col("which") != 3, F.col("PatientId").cast("string")),
+              "PatientAge": F.when(F.col("which") == 1, F.lit("sixty")).otherwise(F.lit("60.5")),
+              "PatientGender": F.when(F.col("which") == 2, F.lit("1.5")).otherwise(F.lit("1.0"))}
+    line = F.concat_ws(",", *[F.coalesce(c, F.lit("")) for c in fields.values()], F.when(F.col("which") == 0, F.lit("more")))
+    # a header, then the lines, in every file
+    lines = bad.select(line.alias("value")).withColumn("at", F.spark_partition_id())
+    heads = lines.select("at").distinct().select("at", F.lit(",".join(fields)).alias("value"))
+    (heads.withColumn("n", F.lit(0)).unionByName(lines.withColumn("n", F.lit(1))).repartition("at")
+     .sortWithinPartitions("at", "n").select("value", "at").write.partitionBy("at").text(f"{base}/broken"))
+    return base
+
+
+def _first_reason():
+    return "CASE " + " ".join(f"WHEN PatientId % {n} = 0 THEN '{r}'" for r, n in _BROKEN.items()) + " END"
+
+
+@q("a1_contract_scan", P + f"SELECT {_sel(c for c in CAROC_EXTRACT if c != 'bmdtest_tscore_fn')}, "
+   f"CASE WHEN PatientId % 3 <> 2 THEN {rd('bmdtest_tscore_fn')} END AS bmdtest_tscore_fn FROM patients WHERE PatientId IS NOT NULL")
+def a1_contract_scan(spark, sf):
+    """Files whose headers differ in order and columns, with lines that break the contract: the good rows, by name."""
+    base = _mixed_extracts(spark, sf)
+    return rnd(contract.scan(spark, f"{base}/*", CAROC_SCHEMA, required=["PatientId"]).rows)
+
+
+@q("a1_contract_quarantine", P + f"SELECT {_first_reason()} AS reason, count(*) AS rows FROM patients "
+   "WHERE PatientId IS NOT NULL GROUP BY 1 HAVING reason IS NOT NULL")
+def a1_contract_quarantine(spark, sf):
+    """The lines that break the contract, kept in a sink of their own and counted by reason."""
+    base = _mixed_extracts(spark, sf)
+    return contract.write_quarantine(contract.scan(spark, f"{base}/*", CAROC_SCHEMA, required=["PatientId"]),
+                                     scratch_path(spark, "quarantine"))
+
+
+@q("a2_glob_differing_headers", P + f"SELECT PatientId, {rd('PatientAge')} AS PatientAge, "
+   f"CASE WHEN PatientId % 3 <> 2 THEN {rd('bmdtest_tscore_fn')} END AS bmdtest_tscore_fn, CAST(CASE WHEN PatientId % 3 = 1 "
+   "THEN 'a \"b\", c' END AS VARCHAR) AS remark FROM patients WHERE PatientId IS NOT NULL")
+def a2_glob_differing_headers(spark, sf):
+    """A glob over files with differing headers and no contract: inferred types, columns by name, missing ones NULL."""
+    base = _mixed_extracts(spark, sf)
+    df = io.read_csv_glob(spark, [f"{base}/plain", f"{base}/turned", f"{base}/short"])
+    return rnd(df.select(F.col("PatientId").cast("long"), F.col("PatientAge").cast("double"),
+                         F.col("bmdtest_tscore_fn").cast("double"), "remark"))
+
+
 @q("a3_merge_sources", P + f"SELECT {_sel(CAROC_EXTRACT)}, NULL::DOUBLE AS CalcFraxWithBMD, NULL::DOUBLE AS CalcFraxNoBMD, "
                            f"'caroc' AS source FROM patients UNION ALL SELECT PatientId, {rd('PatientAge')}, PatientGender, "
                            f"{rd('bmdtest_height')}, {rd('bmdtest_weight')}, NULL::DOUBLE, NULL::INT, {rd('CalcFraxWithBMD')}, "
@@ -228,6 +289,16 @@ def a8_upload_scoring_source(spark, sf):
     return up.agg(*[F.count(c).alias(c) for c in up.columns])
 
 
+@q("a8_reordered_upload", P + "SELECT PatientId, " + rd("PatientAge") + " AS PatientAge, PatientGender, "
+   + rd("bmdtest_weight") + " AS bmdtest_weight, smoke, CAST(NULL AS INT) AS alcohol FROM patients")
+def a8_reordered_upload(spark, sf):
+    """An upload whose columns stand in another order, one of them missing: each value under its own name."""
+    names = [c.split()[0] for c in UPLOAD_SCHEMA.split(", ")]
+    p = patients(spark, sf).select(*[c for c in reversed(names) if c != "alcohol"])
+    up = io.read_csv(spark, io.write_csv(p, scratch_path(spark, "upload-turned")), UPLOAD_SCHEMA)
+    return rnd(up.select("PatientId", "PatientAge", "PatientGender", "bmdtest_weight", "smoke", "alcohol"))
+
+
 @q("m2_single_record_scoring")
 def m2_single_record_scoring(spark, sf):
     """One request record (request field names) renamed to the table contract and scored; JSON payload."""

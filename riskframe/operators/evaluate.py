@@ -54,7 +54,7 @@ def confusion_matrix(df: DataFrame, label: str, prediction: str, classes: Sequen
     dtype = dict(counts.dtypes)["label"]
     grid = df.sparkSession.createDataFrame([(a, b) for a in classes for b in classes],
                                            f"label {dtype}, prediction {dtype}")
-    return (grid.join(F.broadcast(counts.filter(F.col("label").isNotNull() & F.col("prediction").isNotNull())),
+    return (grid.join(counts.filter(F.col("label").isNotNull() & F.col("prediction").isNotNull()),
                       ["label", "prediction"], "left")
             .select("label", "prediction", F.coalesce("count", F.lit(0).cast("long")).alias("count")))
 
@@ -102,9 +102,10 @@ def predicted_counts(df: DataFrame, prediction: str) -> DataFrame:
 
 # ---- curves (K7, K8) -------------------------------------------------------------------------------------------
 def score_table(df: DataFrame, label: str, score: str) -> DataFrame:
-    """Per distinct score (descending): positives, negatives and their running totals."""
+    """Per distinct score (descending): positives, negatives and their running totals. Rows without a label or a score
+    count for neither."""
     y = F.col(label).cast("double")
-    per = df.filter(F.col(score).isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
+    per = df.filter(F.col(score).isNotNull() & y.isNotNull()).groupBy(F.col(score).cast("double").alias("score")).agg(
         F.sum(F.when(y == 1.0, 1.0).otherwise(0.0)).alias("tp"),
         F.sum(F.when(y == 1.0, 0.0).otherwise(1.0)).alias("fp"))
     return running_totals(per, ["score"], ["tp", "fp"], ascending=False)

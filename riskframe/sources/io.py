@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from riskframe.sources import contract
+
 
 def _nan_to_null(df: DataFrame) -> DataFrame:
     """pandas reads 'NaN' as missing; Spark keeps NaN (which compares greater than everything): normalise."""
@@ -19,14 +21,41 @@ def _nan_to_null(df: DataFrame) -> DataFrame:
     return df.withColumns({c: F.when(F.isnan(q[c]), F.lit(None).cast("double")).otherwise(q[c]) for c in cols})
 
 
-def read_csv(spark: SparkSession, path: str, schema: T.StructType | str | None = None, header: bool = True,
-             with_row_seq: bool = False) -> DataFrame:
-    """CSV scan; blank fields are NULL; an explicit schema (the contract) is used when given, otherwise
-    types are inferred (the generic profile path). ``with_row_seq`` adds a file-order key."""
+def read_csv(spark: SparkSession, path: str | Sequence[str], schema: T.StructType | str | None = None, header: bool = True,
+             with_row_seq: bool = False, with_source: bool = False) -> DataFrame:
+    """CSV scan; blank fields are NULL. With an explicit schema (the contract) the columns are picked by the
+    names in each file's header, whatever their order; a value that can't be read is NULL and every row stays
+    (``contract.scan`` keeps such rows apart). Otherwise types are inferred per header. ``with_row_seq`` adds a
+    file-order key, ``with_source`` the file."""
+    paths = [path] if isinstance(path, str) else list(path)
+    if schema is not None and header:
+        return _nan_to_null(contract.scan(spark, paths, schema, keep_broken=True, with_row_seq=with_row_seq,
+                                          with_source=with_source).rows)
+    if header:
+        groups = list(contract.file_headers(spark, paths).values()) or [paths]
+    else:
+        groups = [paths]
     r = spark.read.option("header", header).option("mode", "PERMISSIVE")
     r = r.schema(schema) if schema is not None else r.option("inferSchema", True)
-    df = _nan_to_null(r.csv(path))
-    return add_row_seq(df) if with_row_seq else df
+    parts = []
+    for files in groups:
+        df = _nan_to_null(r.csv(files))
+        df = df.withColumn("source_file", F.col("_metadata.file_path")) if with_source else df
+        parts.append(add_row_seq(df) if with_row_seq else df)
+    return reduce(_stacked, parts)
+
+
+def _stacked(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Union by name, missing columns NULL. Where the inferred types differ, whole numbers become doubles beside
+    doubles, and anything else text."""
+    left, right = {f.name: f.dataType for f in a.schema}, {f.name: f.dataType for f in b.schema}
+    for c in left.keys() & right.keys():
+        if left[c] != right[c]:
+            numbers = all(isinstance(t, T.NumericType) for t in (left[c], right[c]))
+            whole = all(isinstance(t, (T.IntegerType, T.LongType)) for t in (left[c], right[c]))
+            to = "long" if whole else "double" if numbers else "string"
+            a, b = (d.withColumn(c, F.col(f"`{c}`").cast(to)) for d in (a, b))
+    return a.unionByName(b, allowMissingColumns=True)
 
 
 def add_row_seq(df: DataFrame) -> DataFrame:
@@ -39,10 +68,8 @@ def add_row_seq(df: DataFrame) -> DataFrame:
 
 
 def read_csv_glob(spark: SparkSession, pattern: str | Sequence[str], schema=None) -> DataFrame:
-    """A2: many files in one scan (a glob or a list), with the source file of each row."""
-    paths = [pattern] if isinstance(pattern, str) else list(pattern)
-    df = read_csv(spark, paths if len(paths) > 1 else paths[0], schema)
-    return df.withColumn("source_file", F.col("_metadata.file_path"))
+    """A2: many files (a glob or a list), stacked by column name, with the source file of each row."""
+    return read_csv(spark, pattern, schema, with_source=True)
 
 
 def merge_sources(frames: Mapping[str, DataFrame], source_col: str = "source") -> DataFrame:
