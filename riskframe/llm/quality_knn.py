@@ -28,6 +28,9 @@ POWER = 4
 MARK_WEIGHT = 0.6
 KEEP_FROM = 0.3
 BLOCK = 256
+#: Similarities that differ by less count as equal.
+TIE = 1e-6
+_PARTS = ("idf", "axes", "vectors", "labels")
 
 
 def terms(raw: bytes) -> np.ndarray:
@@ -72,21 +75,30 @@ class Neighbours:
 
     @classmethod
     def fit(cls, counts: np.ndarray, labels: np.ndarray, dimensions: int = DIMENSIONS) -> Neighbours:
-        idf = np.log((1 + len(counts)) / (1 + (counts > 0).sum(0))).astype(np.float32)
-        x = cls.weighted(counts, idf)
-        _, vectors = np.linalg.eigh((x.T @ x).astype(np.float64))
+        """The term-by-term products are summed and the vectors placed by blocks of rows, so that what is held beside
+        the counts is a few matrices of terms by terms."""
+        idf = np.log((1 + len(counts)) / (1 + sum(((counts[i:i + BLOCK] > 0).sum(0) for i in range(0, len(counts), BLOCK)),
+                                                  np.zeros(counts.shape[1], np.int64)))).astype(np.float32)
+        products = np.zeros((counts.shape[1],) * 2)
+        for i in range(0, len(counts), BLOCK):
+            x = cls.weighted(counts[i:i + BLOCK], idf)
+            products += x.T @ x
+        _, vectors = np.linalg.eigh(products)
         axes = np.ascontiguousarray(vectors[:, ::-1][:, :dimensions], np.float32)
-        return cls(idf, axes, cls.unit(x @ axes), labels.astype(np.float32))
+        placed = [cls.unit(cls.weighted(counts[i:i + BLOCK], idf) @ axes) for i in range(0, len(counts), BLOCK)]
+        return cls(idf, axes, np.concatenate([np.zeros((0, axes.shape[1]), np.float32), *placed]), labels.astype(np.float32))
 
     def scores(self, counts: np.ndarray, neighbours: int = NEIGHBOURS) -> np.ndarray:
         if not len(self.labels):
             return np.full(len(counts), 0.5)
         cosine = self.unit(self.weighted(counts, self.idf) @ self.axes) @ self.vectors.T
         k = min(neighbours, len(self.labels))
-        near = np.argpartition(cosine, -k, axis=1)[:, -k:]
-        weight = np.maximum(np.take_along_axis(cosine, near, 1), 0) ** POWER
-        total = weight.sum(1)
-        vote = (weight * self.labels[near]).sum(1) / np.maximum(total, 1e-12)
+        # all that are as near as the k-th vote, so that ties need no order
+        least = np.partition(cosine, -k, axis=1)[:, -k] - TIE
+        i, j = np.nonzero(cosine >= least[:, None])
+        weight = np.maximum(cosine[i, j], 0) ** POWER
+        total = np.bincount(i, weight, len(counts))
+        vote = np.bincount(i, weight * self.labels[j], len(counts)) / np.maximum(total, 1e-12)
         return np.clip(np.where(total > 0, vote, self.labels.mean()), 0, 1).astype(np.float64)
 
 
@@ -98,14 +110,29 @@ def _counted(batches):
             ["order", "uid", "label", "terms"])
 
 
+def _fitted(batches):
+    """The model of one partition's counts, as one row."""
+    labels, held = [], []
+    for batch in batches:
+        labels += batch.column("label").to_pylist()
+        held += batch.column("terms").to_pylist()
+    counts = np.frombuffer(b"".join(held), np.uint16).reshape(-1, TERMS + MARKS)
+    del held
+    if len(labels):
+        model = Neighbours.fit(counts, np.array(labels, np.float32))
+        parts = [x.astype(np.float32).tobytes() for x in (model.idf, model.axes, model.vectors, model.labels)]
+        yield pa.RecordBatch.from_arrays([pa.array([x], pa.binary()) for x in parts], list(_PARTS))
+
+
 def fit(docs: DataFrame, labels: DataFrame, target: str = "quality", sample: int = SAMPLE, id_col: str = "doc_id",
         text_col: str = "text") -> Neighbours:
-    """Fit on at most ``sample`` labelled texts outside the held-out fold (4 KB of counts each)."""
+    """Fit on at most ``sample`` labelled texts outside the held-out fold (4 KB of counts each). The bounded sample
+    meets in one task, which fits; the driver gets only the model, ``sample`` vectors of few dimensions."""
     rows = (labelled_sample(docs, labels, target, sample, id_col, text_col)
-            .mapInArrow(_counted, "order long, uid long, label int, terms binary")
-            .orderBy("order", "uid").limit(sample).collect())
-    counts = np.frombuffer(b"".join(r["terms"] for r in rows), np.uint16).reshape(-1, TERMS + MARKS)
-    return Neighbours.fit(counts, np.array([r["label"] for r in rows], np.float32))
+            .mapInArrow(_counted, "order long, uid long, label int, terms binary").orderBy("order", "uid").limit(sample)
+            .mapInArrow(_fitted, ", ".join(f"{x} binary" for x in _PARTS)).collect())
+    idf, axes, vectors, known = (np.frombuffer(rows[0][x] if rows else b"", np.float32) for x in _PARTS)
+    return Neighbours(idf, axes.reshape(-1, DIMENSIONS), vectors.reshape(-1, DIMENSIONS), known)
 
 
 def score(model: Neighbours, text_col: str = "text") -> Column:
@@ -120,7 +147,7 @@ def score(model: Neighbours, text_col: str = "text") -> Column:
 def scored(docs: DataFrame, labels: DataFrame, target: str = "quality", threshold: float = KEEP_FROM,
            id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per input row: doc_id, held_out, score, predicted. Repeated rows are scored each; an empty table
-    gives an empty result, and without labels every score is 0.5."""
+    gives an empty result, and without labels every score is 0.5. Neighbours as near as the last that counts all vote."""
     model = fit(docs, labels, target, id_col=id_col, text_col=text_col)
     rows = docs.select(F.col(id_col).alias("doc_id"), (fold(id_col) == 0).alias("held_out"),
                        score(model, text_col).alias("score"))

@@ -35,6 +35,17 @@ def test_votes_match_brute_force(table, labelled):
         assert abs(got[d] - (w * model.labels[best]).sum() / w.sum()) < 1e-3
 
 
+def test_equally_near_neighbours_all_vote():
+    at = np.eye(2, dtype=np.float32)
+    model = quality_knn.Neighbours(np.ones(quality_knn.TERMS + quality_knn.MARKS, np.float32),
+                                   np.zeros((quality_knn.TERMS + quality_knn.MARKS, 2), np.float32), at[[0] * 9 + [1] * 3],
+                                   np.array([1] * 4 + [0] * 5 + [1] * 3, np.float32))
+    model.axes[0] = at[0]
+    counts = np.zeros((2, len(model.idf)), np.uint16)
+    counts[:, 0] = 3
+    assert np.allclose(model.scores(counts), 4 / 9) and np.allclose(model.scores(counts, neighbours=12), 4 / 9)
+
+
 def test_odd_rows_scores_and_columns(table, labelled, odd_rows):
     rows, labels = labelled
     docs = table(rows + odd_rows)
