@@ -8,7 +8,7 @@ from catalog.common import q, rnd
 from catalog.q_basic import _RULE_T, rule_tscore
 from catalog.sqlparts import cte, mode_sql, rd
 from riskframe.fixtures import patients
-from riskframe.operators import profile
+from riskframe.operators import associations, profile
 from riskframe.plans.cleaning import clean_caroc
 from riskframe.spec import CAROC
 
@@ -238,6 +238,67 @@ def e14_profile(spark, sf):
     return rnd(profile.profile(clean_caroc(patients(spark, sf)), _PROFILE_COLS))
 
 
+_NOMINAL = ["PatientGender", "parentbreak", "alcohol", "smoke", "obreak", "bmdtest_10yr_caroc"]
+_NUMERIC = ["PatientAge", "bmi", "bmdtest_tscore_fn"]
+
+
+def _associations_sql(group=None):
+    """Every ordered pair of different columns by DuckDB's own entropy and corr, and sums by category."""
+    from itertools import permutations
+    nominal = [c for c in _NOMINAL if c != group]
+    g, by = (f"{group}, ", f" GROUP BY {group}") if group else ("", "")
+    parts = []
+    for a, b in permutations(nominal, 2):
+        ha, hb, hab = f"entropy({a})", f"entropy({b})", f"entropy({a}::VARCHAR || '|' || {b}::VARCHAR)"
+        value = f"CASE WHEN {ha} <= 1e-12 THEN 1 ELSE greatest(0, ({ha} - ({hab} - {hb})) / {ha}) END"
+        parts.append(f"SELECT {g}'{a}' AS feature_a, '{b}' AS feature_b, 'uncertainty' AS measure, {rd(value)} AS value, "
+                     f"count(*) AS n FROM caroc WHERE {a} IS NOT NULL AND {b} IS NOT NULL{by}")
+    for a in nominal:
+        for b in _NUMERIC:
+            per = f"SELECT {g}count(*) AS k, avg({b}) AS m, var_pop({b}) AS v FROM caroc WHERE {a} IS NOT NULL AND {b} IS NOT NULL GROUP BY {g}{a}"
+            mean = "sum(k * m) / sum(k)"
+            value = (f"CASE WHEN sum(k * (v + m * m)) / sum(k) - pow({mean}, 2) <= 1e-12 THEN 0 ELSE sqrt(greatest(0, (sum(k * m * m) / sum(k) "
+                     f"- pow({mean}, 2)) / (sum(k * (v + m * m)) / sum(k) - pow({mean}, 2)))) END")
+            for x, y in ((a, b), (b, a)):
+                parts.append(f"SELECT {g}'{x}', '{y}', 'correlation_ratio', {rd(value)}, CAST(sum(k) AS BIGINT) FROM ({per}){by}")
+    for a, b in permutations(_NUMERIC, 2):
+        parts.append(f"SELECT {g}'{a}', '{b}', 'pearson', {rd(f'corr({a}, {b})')}, count(*) FROM caroc "
+                     f"WHERE {a} IS NOT NULL AND {b} IS NOT NULL{by}")
+    return _caroc() + "\n" + _union(parts)
+
+
+@q("e14_associations", _associations_sql())
+def e14_associations(spark, sf):
+    """Nominal and numeric columns of the cleaned table against each other."""
+    return rnd(associations.associations(clean_caroc(patients(spark, sf)), _NOMINAL, _NUMERIC))
+
+
+@q("e15_associations_by_gender", _associations_sql("PatientGender"))
+def e15_associations_by_gender(spark, sf):
+    c = clean_caroc(patients(spark, sf))
+    return rnd(associations.associations(c, [x for x in _NOMINAL if x != "PatientGender"], _NUMERIC, group="PatientGender"))
+
+
+_TOP = ["PatientGender", "parentbreak", "obreak", "howbreak", "bmdtest_10yr_caroc"]
+
+
+def _top_sql(group=None):
+    g = f"{group}, " if group else ""
+    parts = [f"SELECT {g}'{c}' AS feature, {c}::VARCHAR AS value, count(*) AS count FROM caroc WHERE {c} IS NOT NULL GROUP BY ALL" for c in _TOP]
+    w = f"PARTITION BY {g}feature"
+    return _caroc() + f""", counts AS ({_union(parts)})
+SELECT {g}feature, row_number() OVER ({w} ORDER BY count DESC, value) AS rank, value, count,
+  {rd(f"count / CAST(sum(count) OVER ({w}) AS DOUBLE)")} AS share
+FROM counts QUALIFY row_number() OVER ({w} ORDER BY count DESC, value) <= 5"""
+
+
+@q("e14_top_values", _top_sql())
+def e14_top_values(spark, sf):
+    """The five most frequent values of each column, with their share."""
+    top = associations.top_values(clean_caroc(patients(spark, sf)), _TOP)
+    return rnd(top.withColumn("rank", F.col("rank").cast("long")))
+
+
 _E15_COLS = ["PatientAge", "bmdtest_weight", "bmdtest_tscore_fn", "parentbreak"]
 
 
