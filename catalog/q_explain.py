@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from catalog.common import q, rnd
 from catalog.q_basic import _RULE_T, rule_tscore
 from catalog.sqlparts import rd
 from riskframe.fixtures import patients
-from riskframe.operators import explain, gram as G, models as M
+from riskframe.operators import attribution, explain, gram as G, models as M, sampling
+from riskframe.operators.stats import agg_row
 from riskframe.plans.cleaning import clean_caroc
 from riskframe.session import materialize, scratch_path
 from riskframe.sources import contract, io
@@ -124,6 +126,94 @@ def k18_waterfalls(spark, sf):
     return rnd(w.withColumn("rank", F.col("rank").cast("long")))
 
 
+# A tree by hand: two splits on age and BMI, covers counted in the table. With two features the Shapley values have a
+# closed form.
+_T_AGE, _T_BMI, _T_LEAVES = 65.0, 25.0, (-0.8, -1.4, -2.3)
+
+
+def _rule_tree(df):
+    young = F.col("PatientAge") <= _T_AGE
+    n = agg_row(df, {"all": F.count(F.lit(1)), "young": F.sum(young.cast("long")), "thin": F.sum((young & (F.col("bmi") <= _T_BMI)).cast("long"))})
+    covers = [n["all"], n["young"], n["thin"], n["young"] - n["thin"], n["all"] - n["young"]]
+    tree = attribution.Tree(np.array([0, 1, -1, -1, -1]), np.array([_T_AGE, _T_BMI, 0, 0, 0]), np.array([1, 2, -1, -1, -1]),
+                            np.array([4, 3, -1, -1, -1]), np.array(covers, float), np.array([0, 0, *_T_LEAVES]))
+    return attribution.Ensemble([tree], [1.0])
+
+
+def _rule_tree_sql():
+    a, b, c = _T_LEAVES
+    return _caroc() + f""", d AS (SELECT * FROM caroc WHERE PatientAge IS NOT NULL AND bmi IS NOT NULL),
+s AS (SELECT avg(CAST(PatientAge <= {_T_AGE} AS INT)) AS young, sum(CAST(PatientAge <= {_T_AGE} AND bmi <= {_T_BMI} AS INT))
+      / CAST(sum(CAST(PatientAge <= {_T_AGE} AS INT)) AS DOUBLE) AS thin FROM d),
+v AS (SELECT PatientId, PatientGender, young * (thin * {a} + (1 - thin) * {b}) + (1 - young) * {c} AS v0,
+      CASE WHEN PatientAge <= {_T_AGE} THEN thin * {a} + (1 - thin) * {b} ELSE {c} END AS v_age,
+      young * CASE WHEN bmi <= {_T_BMI} THEN {a} ELSE {b} END + (1 - young) * {c} AS v_bmi,
+      CASE WHEN PatientAge > {_T_AGE} THEN {c} WHEN bmi <= {_T_BMI} THEN {a} ELSE {b} END AS v2 FROM d, s),
+p AS (SELECT *, (v_age - v0 + v2 - v_bmi) / 2 AS phi_age, (v_bmi - v0 + v2 - v_age) / 2 AS phi_bmi FROM v)
+"""
+
+
+def _tree_rows(spark, sf):
+    return clean_caroc(patients(spark, sf)).dropna(subset=["PatientAge", "bmi"])
+
+
+@q("k17_tree_summary", _rule_tree_sql() + f"SELECT 'PatientAge' AS feature, {rd('avg(abs(phi_age))')} AS mean_abs_phi FROM p "
+   f"UNION ALL SELECT 'bmi', {rd('avg(abs(phi_bmi))')} FROM p")
+def k17_tree_summary(spark, sf):
+    """Exact attributions of a tree, with the covers of the table itself."""
+    c = _tree_rows(spark, sf)
+    return rnd(attribution.summary(attribution.tree_attributions(c, ["PatientAge", "bmi"], _rule_tree(c)), ["PatientAge", "bmi"]))
+
+
+@q("k18_tree_waterfalls", _rule_tree_sql() + """, f AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY PatientGender
+  ORDER BY PatientId NULLS FIRST) <= 11),
+l AS (SELECT PatientId, PatientGender, 'PatientAge' AS feature, phi_age AS phi, v0 FROM f UNION ALL
+      SELECT PatientId, PatientGender, 'bmi', phi_bmi, v0 FROM f),
+r AS (SELECT *, row_number() OVER w AS rank, v0 + sum(phi) OVER w AS stop FROM l
+      WINDOW w AS (PARTITION BY PatientId, PatientGender ORDER BY abs(phi) DESC, feature ROWS UNBOUNDED PRECEDING))
+SELECT PatientId, PatientGender, feature, """ + f"{rd('phi')} AS phi, rank, {rd('stop - phi')} AS \"from\", {rd('stop')} AS \"to\" FROM r")
+def k18_tree_waterfalls(spark, sf):
+    c = _tree_rows(spark, sf)
+    done = attribution.tree_attributions(c, ["PatientAge", "bmi"], _rule_tree(c), ["PatientId", "PatientGender"])
+    # sizes that differ by rounding only must rank as equal
+    done = done.withColumn("phi", F.transform("phi", lambda x: F.round(x * 1e12) / 1e12))
+    w = attribution.waterfalls(done, ["PatientAge", "bmi"], "PatientId", "PatientGender")
+    return rnd(w.withColumn("rank", F.col("rank").cast("long")))
+
+
+@q("k17_forest_attributions")
+def k17_forest_attributions(spark, sf):
+    """Exact attributions of a fitted forest for every row: mean size per feature, and how far they are from adding up
+    to the predictions (rounding only)."""
+    from catalog.q_models import REG_FEATURES, training_frame
+    t = training_frame(spark, sf)
+    model = M.pipeline(REG_FEATURES, M.random_forest_regressor(trees=20, depth=6)).fit(t)
+    done = attribution.tree_attributions(t, REG_FEATURES, attribution.from_model(model.stages[-1]), ["PatientId"])
+    done = materialize(done, "attributions")
+    off = F.abs(F.aggregate("phi", F.lit(0.0), lambda a, x: a + x) - (F.col("prediction") - F.col("base")))
+    gap = agg_row(done, {"gap": F.max(off)})["gap"]
+    return attribution.summary(done, REG_FEATURES).withColumn("largest_gap", F.lit(gap).cast("double"))
+
+
+_BACKGROUND = 25
+
+
+@q("k17_sampled_attributions", _caroc() + f""", d AS (SELECT * FROM caroc WHERE PatientId IS NOT NULL AND PatientAge IS NOT NULL AND bmi IS NOT NULL),
+b AS (SELECT avg(PatientAge) AS ma, avg(bmi) AS mb FROM (SELECT * FROM d ORDER BY md5(CAST(PatientId AS VARCHAR) || ':0'), PatientId LIMIT {_BACKGROUND}))
+SELECT PatientId, {rd("-0.04 * (PatientAge - ma)")} AS phi_age, {rd("0.01 * (bmi - mb)")} AS phi_bmi FROM d, b""")
+def k17_sampled_attributions(spark, sf):
+    """Sampled attributions of the rule predictor against a fixed-size background sample (H4): as many draws as the
+    background has rows meet each of them once, so a linear rule's values are exact."""
+    c = clean_caroc(patients(spark, sf)).dropna(subset=["PatientId", "PatientAge", "bmi"])
+    features = list(RULE_COEFS)
+    background = sampling.fixed_size_sample(c, "PatientId", _BACKGROUND, 0)
+    rule = sum((F.col(f) * b for f, b in RULE_COEFS.items()), F.lit(0.0))
+    done = attribution.sampled_attributions(c, "PatientId", features, lambda d: d.withColumn("prediction", rule), background,
+                                            draws=_BACKGROUND)
+    return rnd(done.select("PatientId", *[F.get("phi", F.lit(features.index(f))).alias(n)
+                                          for f, n in (("PatientAge", "phi_age"), ("bmi", "phi_bmi"))]))
+
+
 # ---- L1-L3 / P13 ------------------------------------------------------------------------------------------------
 # column-name vocabularies of the two model families (harmonised by L1); fixed values
 SCI_RENAME = {"pt_response_parentbreak_1.0": "parentbreak", "pt_response_alcohol_1.0": "alcohol",

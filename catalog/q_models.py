@@ -15,6 +15,7 @@ from riskframe.fixtures import patients
 from riskframe.functions import rules
 from riskframe.operators import evaluate, gram as G, models as M, sampling, scaling
 from riskframe.plans.cleaning import clean_caroc, clean_frax_dll
+from riskframe.plans.training import VALIDATION_POINTS
 from riskframe.session import materialize
 from riskframe.spec import COHORTS
 
@@ -282,8 +283,8 @@ def k11_learning_curve(spark, sf):
 
 @q("k12_validation_curve")
 def k12_validation_curve(spark, sf):
-    """R^2 over 10 folds against the Bayesian ridge's alpha_1 (31 points from 0 to 3)."""
-    cands = [("bayesian_ridge", {"alpha_1": i / 10.0}) for i in range(31)]
+    """R^2 over 10 folds against the Bayesian ridge's alpha_1 (50 points from 0 to 3)."""
+    cands = [("bayesian_ridge", {"alpha_1": a}) for a in VALIDATION_POINTS]
     res = M.cv_linear(training_frame(spark, sf), REG_FEATURES, "label", "fold", cands)
     return spark.createDataFrame([(r["params"]["alpha_1"], r["mean_r2"], r["std_r2"]) for r in res],
                                  "alpha_1 double, mean_r2 double, std_r2 double")
@@ -391,5 +392,5 @@ def j12_mlp_regression_variants(spark, sf):
 def n2_boruta_selection(spark, sf):
     t = training_frame(spark, sf)
     res = M.boruta(t, ["PatientAge", "PatientGender", "bmi", "parentbreak", "alcohol", "smoke"], "label",
-                   "PatientId", rounds=6, trees=15)
+                   "PatientId")
     return spark.createDataFrame(res, "feature string, hits int, decision string")

@@ -13,7 +13,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from riskframe.operators import evaluate, explain, gram as G, models as M, sampling, scaling
+from riskframe.operators import attribution, evaluate, explain, gram as G, models as M, sampling, scaling
 from riskframe.session import materialize, scratch_path
 from riskframe.sources import io
 
@@ -27,11 +27,11 @@ def _frame(spark: SparkSession, rows: list[tuple]) -> DataFrame:
 
 
 def classification_pipeline(clean: DataFrame, features: Sequence[str], label_col: str = "bmdtest_10yr_caroc",
-                            positive=2, n_iter: int = 4, folds: int = 3, seed: int = 6,
-                            rebalance: bool = True) -> DataFrame:
+                            positive=2, n_iter: int = 10, folds: int = 10, seed: int = 6,
+                            rebalance: bool = True, repeats: int = explain.REPEATS) -> DataFrame:
     """Binary target (G10) -> scale (I1) -> train/validation/test (H2) -> SMOTE-NC on train (H6) ->
     random search on the validation split (J14, as in the reference) -> refit on train (J7) -> test metrics
-    (K4-K9) -> permutation importance (K16) -> save (A7)."""
+    (K4-K9) -> exact attributions of the forest (K17) -> permutation importance (K16) -> save (A7)."""
     spark = clean.sparkSession
     feats = list(features)
     df = clean.withColumn("label", (F.col(label_col) == positive).cast("double")).dropna(subset=[*feats, "label"])
@@ -57,11 +57,18 @@ def classification_pipeline(clean: DataFrame, features: Sequence[str], label_col
     rows += _metrics_rows("test", "random_forest", evaluate.curve_areas(pred, "label", "p1").first().asDict())
     for r in evaluate.confusion_matrix(pred, "label", "prediction", [0.0, 1.0]).collect():
         rows.append(("test", "random_forest", f"confusion_{int(r['label'])}_{int(r['prediction'])}", float(r["count"])))
+    for r in evaluate.classification_report(pred, "label", "prediction").collect():
+        rows += _metrics_rows("test", "random_forest", {f"{k}_{int(r['class'])}": r[k] for k in ("precision", "recall", "f1", "support")})
+    for r in evaluate.predicted_counts(pred, "prediction").collect():
+        rows.append(("test", "random_forest", f"predicted_{int(r['prediction'])}", float(r["count"])))
     test = df.filter(F.col("split") == "test").select("PatientId", "label", *feats)
+    phi = attribution.tree_attributions(test, feats, attribution.from_model(model.stages[-1]))
+    for r in attribution.summary(phi, feats).collect():
+        rows.append(("explain", "random_forest", f"mean_abs_phi_{r['feature']}", r["mean_abs_phi"]))
     pi = explain.permutation_importance(test, "PatientId", feats, "label",
                                         lambda d: model.transform(d).withColumn("prediction",
                                                                                 vector_to_array("probability")[1]),
-                                        repeats=3, order_hash="xxhash64")
+                                        repeats=repeats, order_hash="xxhash64")
     for r in pi.groupBy("feature").agg(F.avg("increase").alias("v")).collect():
         rows.append(("explain", "random_forest", f"perm_increase_{r['feature']}", r["v"]))
     rows.append(("train", "random_forest", "rows_after_rebalance", float(train.count())))
@@ -70,10 +77,12 @@ def classification_pipeline(clean: DataFrame, features: Sequence[str], label_col
 
 
 def regression_pipeline(prepared: DataFrame, features: Sequence[str], label: str = "bmdtest_tscore_fn",
-                        trials: int = 500) -> DataFrame:
+                        trials: int = 500, repeats: int = explain.REPEATS) -> DataFrame:
     """Per-fold Gram matrices in one pass -> seeded search of the ridge penalty (J15) -> the linear
     family (J1-J4) on the training split -> test RMSE / MAE / R^2 (K1-K3) -> forest and boosting (J5, J6) from
-    Spark ML -> Cook's distance summary (K14) -> error histogram (K10)."""
+    Spark ML -> learning and validation curves and feature elimination (K11-K13) -> Cook's distance summary (K14) ->
+    coefficients and importances (K15) -> permutation importance (K16) -> attributions of the forest (K17, K18) ->
+    error histogram (K10) -> test rows with predictions, written (K21)."""
     spark = prepared.sparkSession
     # Spark ML resolves input columns as (nested) paths: give dotted one-hot names plain aliases
     safe = {c: c.replace(".", "_") for c in prepared.columns if "." in c}
@@ -98,6 +107,21 @@ def regression_pipeline(prepared: DataFrame, features: Sequence[str], label: str
         model = M.pipeline(feats, est).fit(train)
         pred = model.transform(test)
         rows += _metrics_rows("test", name, evaluate.regression_metrics(pred, "label", "prediction").first().asDict())
+        rows += [("importance", name, r["feature"], r["value"]) for r in M.feature_importances(model, feats, spark).collect()]
+        if name == "random_forest":
+            forest = attribution.from_model(model.stages[-1])
+    for name, fit in fits.items():
+        rows += [("coefficient", name, f, float(v)) for f, v in zip(feats, fit.coef)]
+    rows += _curves(train, test, feats)
+    shown = test.select("PatientId", "label", *[F.col(f"`{c}`") for c in feats])
+    pi = explain.permutation_importance_many(shown, "PatientId", feats, "label",
+                                             {name: fit.predict_expr() for name, fit in fits.items()}, repeats=repeats)
+    for r in pi.groupBy("model", "feature").agg(F.avg("increase").alias("v")).collect():
+        rows.append(("permutation", r["model"], r["feature"], r["v"]))
+    phi = materialize(attribution.tree_attributions(test.withColumn("__all", F.lit(0)), feats, forest, ["PatientId", "__all"]), "p12-phi")
+    rows += [("attribution", "random_forest", r["feature"], r["mean_abs_phi"]) for r in attribution.summary(phi, feats).collect()]
+    for r in attribution.waterfalls(phi, feats, "PatientId", "__all").collect():
+        rows.append(("waterfall", "random_forest", f"{r['PatientId']}:{r['rank']}:{r['feature']}", r["phi"]))
     from riskframe.operators.stats import agg_row
     ck = agg_row(M.cooks_distance(train, feats), {"max": F.max("cooks_distance"), "n_over_4_n": F.sum(
         (F.col("cooks_distance") > F.lit(4.0 / max(s_train["n"], 1.0))).cast("long"))})
@@ -106,7 +130,30 @@ def regression_pipeline(prepared: DataFrame, features: Sequence[str], label: str
     from riskframe.operators.profile import histogram
     for r in histogram(hist, "residual", 25).collect():
         rows.append(("residual_histogram", "ols", f"bin_{r['bin']:02d}", float(r["count"])))
+    evaluate.residuals(test.withColumn("prediction", fits["ols"].predict_expr()), "label", "prediction", ["PatientId", *feats]) \
+        .write.parquet(scratch_path(spark, "p12-predictions"))
     return _frame(spark, rows)
 
 
+def _curves(train: DataFrame, test: DataFrame, feats: Sequence[str]) -> list[tuple]:
+    """K11 (R^2 on test by training share), K12 (R^2 over the folds by the Bayesian ridge's alpha_1) and K13 (RMSE over
+    the folds by number of features), all from grouped Gram passes."""
+    tenth = train.withColumn("decile", (sampling.hash_unit("PatientId", 9) % 10).cast("int"))
+    per, on = G.gram(tenth, feats, "label", group="decile"), G.gram(test, feats, "label")[None]
+    rows = []
+    for upto in (1, 2, 5, 8, 10):
+        fit = M.ols(G.combine([per[str(d)] for d in range(upto) if str(d) in per]), feats)
+        total = on["yty"] - on["sy"] ** 2 / on["n"]
+        rows.append(("learning_curve", "ols", f"r2_at_{10 * upto}_percent", 1.0 - M.sse_on(on, fit) / total if total > 0 else None))
+    for r in M.cv_linear(train, feats, "label", "fold", [("bayesian_ridge", {"alpha_1": a}) for a in VALIDATION_POINTS]):
+        rows.append(("validation_curve", "bayesian_ridge", f"r2_at_alpha_1_{r['params']['alpha_1']:.4f}", r["mean_r2"]))
+    for r in M.rfe_linear(train, feats, "label", "fold"):
+        rows.append(("feature_elimination", "ols", f"rmse_with_{r['n_features']}", r["cv_rmse"]))
+    return rows
+
+
+#: K12's 50 values of alpha_1 from 0 to 3.
+VALIDATION_POINTS = [3.0 * i / 49 for i in range(50)]
+
+
 __all__ = ["classification_pipeline", "regression_pipeline", "math"]
