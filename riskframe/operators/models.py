@@ -14,7 +14,6 @@ from collections.abc import Sequence
 from dataclasses import dataclass, field, replace
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import (LinearSVC, LogisticRegression, MultilayerPerceptronClassifier,
                                        RandomForestClassifier)
@@ -431,97 +430,6 @@ def fit_stacking(df: DataFrame, features: Sequence[str], label: str, fold_col: s
     return StackingModel({n: _fitted(e, data, n) for n, e in bases.items()}, meta, feats)
 
 
-# ---- J12: data-parallel MLP regression (parameter averaging) -----------------------------------------------------
-@dataclass
-class MLPRegressorModel:
-    """``weights`` are (W, b) per layer; hidden layers are rectified."""
-
-    features: list[str]
-    weights: list
-    history: list
-
-    def predict(self, x: np.ndarray) -> np.ndarray:
-        for i, (w, b) in enumerate(self.weights):
-            x = x @ w + b
-            if i < len(self.weights) - 1:
-                x = np.maximum(x, 0.0)
-        return x[:, 0]
-
-    def predict_expr(self) -> Column:
-        """The forward pass over Arrow batches (a few matrix products, whatever the width)."""
-        @F.pandas_udf("double")
-        def forward(*cols: pd.Series) -> pd.Series:
-            return pd.Series(self.predict(np.stack([c.to_numpy(dtype="float64") for c in cols], axis=1)))
-        return forward(*[F.col(f"`{c}`").cast("double") for c in self.features])
-
-
-def train_mlp_regressor(df: DataFrame, features: Sequence[str], label: str, hidden: Sequence[int] = (64, 32),
-                        rounds: int = 20, lr: float = 0.01, l1: float = 0.0, l2: float = 0.0, dropout: float = 0.0,
-                        loss: str = "mse", batch: int = 64, seed: int = 0) -> MLPRegressorModel:
-    """J12 re-aimed: each round every partition runs mini-batch gradient steps from the current weights over its own
-    rows, one Arrow batch at a time, and the weights are averaged by rows (federated averaging). The sums are a
-    grouped aggregate by position, so the driver receives one number per weight and round. The average, and so the
-    fit, depends on how the rows are partitioned. Variants: L1 / L2 penalties, dropout, absolute loss."""
-    feats, k = list(features), len(features)
-    sizes = [k, *hidden, 1]
-    rng = np.random.default_rng(seed)
-    shapes = [shape for a, b in zip(sizes, sizes[1:]) for shape in ((a, b), (b,))]
-    flat = np.concatenate([rng.normal(0, np.sqrt(2.0 / s[0]), size=s).ravel() if len(s) == 2 else np.zeros(s)
-                           for s in shapes])
-    cuts = np.cumsum([int(np.prod(s)) for s in shapes])[:-1]
-
-    def unpack(v: np.ndarray) -> list:
-        parts = [p.reshape(s) for p, s in zip(np.split(v, cuts), shapes)]
-        return list(zip(parts[::2], parts[1::2]))
-
-    data = df.select(*[F.col(f"`{c}`").cast("double").alias(f"x{i}") for i, c in enumerate(feats)],
-                     F.col(f"`{label}`").cast("double").alias("y")).dropna()
-    history = []
-    for turn in range(rounds):
-        def local(batches, start=flat, turn=turn):
-            from pyspark import TaskContext
-            layers = [(w.copy(), b.copy()) for w, b in unpack(start)]
-            r = np.random.default_rng((seed, turn, TaskContext.get().partitionId()))
-            n, total = 0, 0.0
-            for pdf in batches:
-                x_all, y_all = pdf.iloc[:, :k].to_numpy(), pdf["y"].to_numpy()[:, None]
-                order = r.permutation(len(x_all))
-                for at in range(0, len(order), batch):
-                    x, y = x_all[order[at:at + batch]], y_all[order[at:at + batch]]
-                    seen, masks = [x], []
-                    for i, (w, b) in enumerate(layers):
-                        x = x @ w + b
-                        if i < len(layers) - 1:
-                            mask = x > 0
-                            if dropout > 0:
-                                mask = mask * (r.random(x.shape) >= dropout) / (1.0 - dropout)
-                            x = x * mask
-                            masks.append(mask)
-                            seen.append(x)
-                    err = x - y
-                    n, total = n + len(err), total + float(np.abs(err).sum() if loss == "mae" else (err ** 2).sum())
-                    g = (np.sign(err) if loss == "mae" else 2.0 * err) / len(err)
-                    for i in range(len(layers) - 1, -1, -1):
-                        w, b = layers[i]
-                        step = seen[i].T @ g + 2.0 * l2 * w + l1 * np.sign(w)
-                        down = g.sum(axis=0)
-                        if i:
-                            g = (g @ w.T) * masks[i - 1]
-                        w -= lr * step
-                        b -= lr * down
-            if n:
-                v = np.concatenate([p.ravel() for layer in layers for p in layer])
-                yield pd.DataFrame({"v": [[float(n), total, *(v * n)]]})
-
-        parts = data.mapInPandas(local, "v array<double>").select(F.posexplode("v").alias("pos", "x"))
-        sums = {r["pos"]: r["x"] for r in parts.groupBy("pos").agg(F.sum("x").alias("x")).collect()}
-        if not sums:
-            break
-        flat = np.array([sums[i + 2] for i in range(len(flat))]) / sums[0]
-        history.append(sums[1] / sums[0])
-    return MLPRegressorModel(feats, unpack(flat), history)
-
-
 # ---- N2: Boruta-style shadow-feature selection --------------------------------------------------------------
 def boruta(df: DataFrame, features: Sequence[str], label: str, id_col: str, rounds: int = 10, trees: int = 20,
            seed: int = 0, alpha: float = 0.05) -> list[tuple[str, int, str]]:
