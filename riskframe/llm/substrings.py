@@ -17,7 +17,8 @@ buckets that hold all equal windows together:
    for a byte of the block.
 4. The covered bytes are merged by document and cut out.
 
-Blocks of one bucket exchange the 128-bit names of their distinct windows, so no bucket must fit one task.
+Blocks of one bucket exchange the 128-bit names of their distinct windows, so no bucket must fit one task. The names
+are dealt by their bits to as many parts as the bucket has blocks, and travel packed, one row per block and part.
 """
 
 from __future__ import annotations
@@ -336,11 +337,11 @@ class Block:
 def _cut_runs(batches):
     """Texts with their requested runs to the runs' bytes."""
     for batch in batches:
-        out = {k: [] for k in ("key", "block", "offset", "single", "uid", "start", "run")}
+        out = {k: [] for k in ("key", "block", "blocks", "offset", "single", "uid", "start", "run")}
         for uid, raw, wanted in zip(batch.column("uid").to_pylist(), batch.column("raw").to_pylist(),
                                     batch.column("wanted").to_pylist()):
             for w in wanted:
-                for k in ("key", "block", "offset", "single", "start"):
+                for k in ("key", "block", "blocks", "offset", "single", "start"):
                     out[k].append(w[k])
                 out["uid"].append(uid)
                 out["run"].append(raw[w["start"]:w["start"] + w["n"] + WINDOW - 1])
@@ -351,25 +352,28 @@ def _cut_runs(batches):
             yield pa.RecordBatch.from_pydict(out, schema=RUN_SCHEMA)
 
 
-RUN_SCHEMA = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("offset", pa.int64()), ("single", pa.bool_()),
-                        ("uid", pa.int64()), ("start", pa.int64()), ("run", pa.binary())])
-#: Places found to repeat; with names, windows that other blocks of their bucket may repeat.
-FOUND = "uid long, start long, stop long, name1 long, name2 long, single boolean"
+RUN_SCHEMA = pa.schema([("key", pa.int64()), ("block", pa.int64()), ("blocks", pa.int64()), ("offset", pa.int64()),
+                        ("single", pa.bool_()), ("uid", pa.int64()), ("start", pa.int64()), ("run", pa.binary())])
+#: Places found to repeat; or a part of a large bucket's window names, which other blocks may hold as well.
+FOUND = "uid long, start long, stop long, key long, part long, names binary"
+NAMED = np.dtype([("one", np.uint64), ("two", np.uint64), ("uid", np.int64), ("start", np.int64), ("single", np.bool_)])
 
 
 def _sort_blocks(batches):
-    """Runs sorted by (key, block) to the intervals of single runs that repeat, and to the open windows of buckets
-    with several blocks."""
-    def emit(uid, start, stop, name1=None, name2=None, single=None):
+    """Runs sorted by (key, block) to the intervals of single runs that repeat, and to the names of the distinct windows
+    of buckets with several blocks, packed by parts."""
+    def emit(uid, start, stop):
         none = pa.nulls(len(uid), pa.int64())
-        return pa.RecordBatch.from_arrays(
-            [pa.array(uid), pa.array(start), pa.array(stop), none if name1 is None else _signed(name1),
-             none if name2 is None else _signed(name2),
-             pa.nulls(len(uid), pa.bool_()) if single is None else pa.array(single)],
-            ["uid", "start", "stop", "name1", "name2", "single"])
+        return pa.RecordBatch.from_arrays([pa.array(uid), pa.array(start), pa.array(stop), none, none, pa.nulls(len(uid), pa.binary())],
+                                          ["uid", "start", "stop", "key", "part", "names"])
+
+    def packed(key, part, names):
+        none = pa.nulls(len(key), pa.int64())
+        return pa.RecordBatch.from_arrays([none, none, none, pa.array(key, pa.int64()), pa.array(part, pa.int64()), pa.array(names, pa.binary())],
+                                          ["uid", "start", "stop", "key", "part", "names"])
 
     def solve(rows):
-        cols = {k: np.concatenate([r[k] for r in rows]) for k in ("key", "block", "offset", "single", "uid", "start")}
+        cols = {k: np.concatenate([r[k] for r in rows]) for k in ("key", "block", "blocks", "offset", "single", "uid", "start")}
         runs = [x for r in rows for x in r["run"]]
         fresh = np.r_[True, (cols["key"][1:] != cols["key"][:-1]) | (cols["block"][1:] != cols["block"][:-1])]
         bucket = np.cumsum(fresh) - 1
@@ -384,23 +388,29 @@ def _sort_blocks(batches):
         run = block.run[a]
         yield emit(cols["uid"][run], cols["start"][run] + block.within[a],
                    cols["start"][run] + block.within[b] + WINDOW)
-        many = ((np.bincount(bucket) >= BLOCK_RUNS)[bucket] | (cols["block"] > 0))[block.run]
+        many = (cols["blocks"] > 1)[block.run]
         if many.any():
             at = np.flatnonzero(many)
             at = at[np.unique(group[at], return_index=True)[1]]
-            one, two = block.names(at)
             run = block.run[at]
-            pos = cols["start"][run] + block.within[at]
-            alone = (np.bincount(group)[group[at]] == 1) & cols["single"][run]
-            for i in range(0, len(at), 65536):
-                s = slice(i, i + 65536)
-                yield emit(cols["uid"][run[s]], pos[s], pos[s] + WINDOW, one[s], two[s], alone[s])
+            names = np.empty(len(at), NAMED)
+            names["one"], names["two"] = block.names(at)
+            names["uid"], names["start"] = cols["uid"][run], cols["start"][run] + block.within[at]
+            names["single"] = (np.bincount(group)[group[at]] == 1) & cols["single"][run]
+            part = (_mixed(names["two"]) % cols["blocks"][run].astype(np.uint64)).astype(np.int64)
+            order = np.lexsort((part, cols["key"][run]))
+            key, part, names = cols["key"][run][order], part[order], names[order]
+            heads = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (part[1:] != part[:-1])])
+            for i in range(0, len(heads), 64):
+                some = heads[i:i + 64]
+                ends = np.r_[heads, len(names)][i + 1:i + 1 + len(some)]
+                yield packed(key[some], part[some], [names[x:z].tobytes() for x, z in zip(some, ends)])
 
     held, size = [], 0
     for batch in batches:
         if not batch.num_rows:
             continue
-        got = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "block", "offset", "single", "uid", "start")}
+        got = {k: batch.column(k).to_numpy(zero_copy_only=False) for k in ("key", "block", "blocks", "offset", "single", "uid", "start")}
         got["run"] = batch.column("run").to_pylist()
         fresh = np.flatnonzero(np.r_[True, (got["key"][1:] != got["key"][:-1]) | (got["block"][1:] != got["block"][:-1])])
         for a, b in zip(fresh, np.r_[fresh[1:], batch.num_rows]):
@@ -415,6 +425,19 @@ def _sort_blocks(batches):
         yield from solve(held)
 
 
+def _shared_names(table: pa.Table) -> pa.Table:
+    """One part of a bucket's names, from all its blocks, to the intervals of windows that several blocks hold and that
+    are not known to repeat within their own."""
+    names = np.concatenate([np.frombuffer(x, NAMED) for x in table.column("names").to_pylist()])
+    names = names[np.lexsort((names["two"], names["one"]))]
+    same = (names["one"][1:] == names["one"][:-1]) & (names["two"][1:] == names["two"][:-1])
+    names = names[(np.r_[False, same] | np.r_[same, False]) & names["single"]]
+    names = names[np.lexsort((names["start"], names["uid"]))]
+    apart = (names["uid"][1:] != names["uid"][:-1]) | (names["start"][1:] > names["start"][:-1] + WINDOW)
+    first, last = np.flatnonzero(np.r_[len(names) > 0, apart]), np.flatnonzero(np.r_[apart, len(names) > 0])
+    return pa.table({"uid": names["uid"][first], "start": names["start"][first], "stop": names["start"][last] + WINDOW})
+
+
 def repeated(docs: DataFrame) -> DataFrame:
     """(uid, raw) to (uid, start, stop): byte intervals that repeated windows cover, as they were found."""
     runs = docs.mapInArrow(_find_runs, "key long, first long, last long, n long, offset long, "
@@ -422,16 +445,17 @@ def repeated(docs: DataFrame) -> DataFrame:
     kinds = written(runs.repartition("key").sortWithinPartitions("key", "first", "last", "n").mapInArrow(
         _sort_runs, "uid long, start long, n long, key long, block long, offset long, single boolean"), "runs")
     whole = kinds.where("block < 0").select("uid", "start", (F.col("start") + F.col("n") + WINDOW - 1).alias("stop"))
-    wanted = kinds.where("block >= 0").groupBy("uid").agg(
-        F.collect_list(F.struct("start", "n", "key", "block", "offset", "single")).alias("wanted"))
+    large = kinds.where("block > 0").groupBy("key").agg((F.max("block") + 1).alias("blocks"))
+    told = kinds.where("block >= 0").join(large, "key", "left").withColumn("blocks", F.coalesce("blocks", F.lit(1).cast("long")))
+    wanted = told.groupBy("uid").agg(
+        F.collect_list(F.struct("start", "n", "key", "block", "blocks", "offset", "single")).alias("wanted"))
     cut = docs.join(wanted, "uid").select("uid", "raw", "wanted").mapInArrow(
-        _cut_runs, "key long, block long, offset long, single boolean, uid long, start long, run binary")
+        _cut_runs, "key long, block long, blocks long, offset long, single boolean, uid long, start long, run binary")
     found = written(cut.repartition("key", "block").sortWithinPartitions("key", "block").mapInArrow(_sort_blocks, FOUND),
                     "repeats")
-    across = found.where("name1 is not null").groupBy("name1", "name2").agg(
-        F.count("*").alias("blocks"), F.collect_list(F.when(F.col("single"), F.struct("uid", "start", "stop"))).alias("places")
-        ).where("blocks > 1").select(F.explode("places").alias("p")).select("p.*")
-    return whole.unionAll(found.where("name1 is null").select("uid", "start", "stop")).unionAll(across)
+    across = found.where("names is not null").groupBy("key", "part").applyInArrow(
+        _shared_names, "uid long, start long, stop long")
+    return whole.unionAll(found.where("names is null").select("uid", "start", "stop")).unionAll(across)
 
 
 def _cut_out(batches):
