@@ -19,7 +19,7 @@ those of a group's tokens with the group's vectors, which gives the exact normal
 log-probabilities by text.
 
 Counts beyond a bounded number of frequent tokens stay distributed: what a text has of rarer tokens is joined with
-the count table.
+the count table. Texts are coded once, after the counts; training and scoring read the codes.
 """
 
 from __future__ import annotations
@@ -50,9 +50,11 @@ ROWS = 512
 RATE = 0.1
 SEED = 5
 SLICE_BYTES = 4 << 20
+SLICE_TOKENS = 1 << 19
 FAN_IN = 32
 COPY_TOKENS = 8_000_000
 PIECE = 1 << 16
+NAMES = ("context", "target", "bias", "scale", "tail", "tail_bias")
 
 
 def _slices(batch: pa.RecordBatch):
@@ -131,7 +133,7 @@ class Model:
                    np.log(inside / n[out.head + out.group]).astype(np.float32))
 
     def arrays(self) -> list[np.ndarray]:
-        return [self.context, self.target, self.bias, self.scale, self.tail, self.tail_bias]
+        return [getattr(self, x) for x in NAMES]
 
     def packed(self) -> np.ndarray:
         return np.concatenate([x.ravel() for x in self.arrays()])
@@ -170,13 +172,14 @@ class Model:
 
 
 def _log_sums(s: np.ndarray) -> np.ndarray:
-    """Log of the summed exponentials of each row; rows beyond the range of exponentials are taken from their top."""
-    with np.errstate(over="ignore", divide="ignore", under="ignore"):
-        out = np.log(np.exp(s) @ np.ones(s.shape[1], s.dtype))
-    if (far := np.flatnonzero(~(np.abs(out) < 80))).size:
-        top = s[far].max(axis=1)
-        out[far] = top + np.log(np.exp(s[far] - top[:, None]).sum(axis=1))
-    return out
+    """Log of the summed exponentials of each row, which it overwrites; where any is beyond the range of exponentials,
+    all are taken from their row's top."""
+    top = np.float32(0)
+    if max(s.max(), -s.min()) > 70:
+        top = s.max(axis=1)
+        s -= top[:, None]
+    np.exp(s, out=s)
+    return np.log(s @ np.ones(s.shape[1], s.dtype)) + top
 
 
 def contexts(classes: np.ndarray, upto: np.ndarray, end: int) -> tuple[np.ndarray, np.ndarray]:
@@ -204,16 +207,22 @@ class Trainer:
         self.log_group = np.log(GROUP_NOISE / self.out.width).astype(np.float32)
         self.sums = [np.full_like(x, 1.0) for x in self.model.arrays()]
 
-    def moved(self, k: int, row: np.ndarray, g: np.ndarray) -> None:
-        """An AdaGrad step of rows of the model's array ``k``, whose gradients are summed by row first."""
-        x, seen = self.model.arrays()[k], self.sums[k]
-        order = np.argsort(row)
+    def moved(self, row: np.ndarray, **gradients: np.ndarray) -> None:
+        """An AdaGrad step of rows of the model's arrays of these names, whose gradients are summed by row first."""
+        order = np.argsort(row.astype(np.int32))
         row = row[order]
         first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        g, row = np.add.reduceat(g[order], first, axis=0), row[first]
-        now = seen[row] + g * g
-        seen[row] = now
-        x[row] += RATE * g / np.sqrt(now)
+        row = row[first]
+        for name, g in gradients.items():
+            x, seen = getattr(self.model, name), self.sums[NAMES.index(name)]
+            g = np.add.reduceat(g.take(order, axis=0), first, axis=0)
+            now = seen.take(row, axis=0)
+            now += g * g
+            seen[row] = now
+            np.sqrt(now, out=now)
+            g *= np.float32(RATE)
+            g /= now
+            x[row] += g
 
     def step(self, one: np.ndarray, two: np.ndarray, aim: np.ndarray) -> None:
         m = self.model
@@ -230,9 +239,8 @@ class Trainer:
         np.divide(-1, taken, out=taken)
         dq = wrong[:, None] * own + taken @ other
         self.inner(q, aim, dq)
-        self.moved(1, np.r_[to, noise], np.concatenate([wrong[:, None] * q, taken.T @ q]))
-        self.moved(2, np.r_[to, noise], np.r_[wrong, taken.sum(0)])
-        self.moved(0, np.r_[one, two], np.concatenate([dq * m.scale[0], dq * m.scale[1]]))
+        self.moved(np.r_[to, noise], target=np.concatenate([wrong[:, None] * q, taken.T @ q]), bias=np.r_[wrong, taken.sum(0)])
+        self.moved(np.r_[one, two], context=np.concatenate([dq * m.scale[0], dq * m.scale[1]]))
         g = np.stack([(dq * near).sum(0), (dq * far).sum(0)])
         self.sums[3] += g * g
         m.scale += RATE * g / np.sqrt(self.sums[3])
@@ -249,13 +257,12 @@ class Trainer:
         noise = self.out.edges[group][:, None] + (self.rng.random((len(at), GROUP_NOISE)) * width).astype(np.int64)
         rows = np.concatenate([place[:, None], noise], axis=1)
         vectors = m.tail[rows]
-        s = np.matmul(vectors, q[:, :, None])[:, :, 0] + m.tail_bias[rows] - self.log_group[group][:, None]
+        s = np.einsum("ijk,ik->ij", vectors, q) + m.tail_bias[rows] - self.log_group[group][:, None]
         g = -1 / (1 + np.exp(-s))
         g[:, 0] += 1
-        dq[at] += np.matmul(g[:, None, :], vectors)[:, 0]
+        dq[at] += np.einsum("ij,ijk->ik", g, vectors)
         rows = rows.ravel()
-        self.moved(4, rows, (g[:, :, None] * q[:, None, :]).reshape(len(rows), -1))
-        self.moved(5, rows, g.ravel())
+        self.moved(rows, tail=(g[:, :, None] * q[:, None, :]).reshape(len(rows), -1), tail_bias=g.ravel())
 
     def learn(self, classes: np.ndarray, upto: np.ndarray, end: int) -> None:
         one, two = contexts(classes, upto, end)
@@ -263,17 +270,54 @@ class Trainer:
             self.step(one[i:i + BATCH], two[i:i + BATCH], classes[i:i + BATCH])
 
 
+CODED = "uid long, doc_id {kind}, train boolean, spots binary, rest array<struct<token string, n long>>"
+
+
+def _encoded(frequent: list[str]):
+    """Texts to their tokens' places in ``frequent`` (32-bit, its length for a rarer token), the end after each text;
+    the rarer tokens are listed with their number."""
+    place = {w: i for i, w in enumerate(frequent)}
+
+    def run(batches):
+        for batch in batches:
+            for at, words in _slices(batch):
+                distinct, code, upto = _coded(words)
+                spot = np.fromiter((place.get(w, len(frequent)) for w in distinct), np.int32, len(distinct))[code]
+                rare = spot == len(frequent)
+                row = np.repeat(np.arange(len(words)), np.diff(upto))
+                pair, n = np.unique(row[rare] * len(distinct) + code[rare], return_counts=True)
+                tokens = pa.array(distinct, pa.string()).take(pa.array(pair % len(distinct)))
+                ends = np.searchsorted(pair // len(distinct), np.arange(len(words) + 1)).astype(np.int32)
+                rest = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
+                    [tokens, pa.array(n.astype(np.int64))], ["token", "n"]))
+                spots = pa.Array.from_buffers(pa.binary(), len(words), [None, pa.py_buffer((4 * upto).astype(np.int32)),
+                                                                        pa.py_buffer(spot)])
+                kept = [c for c in ("uid", "doc_id", "train") if c in batch.schema.names]
+                yield pa.RecordBatch.from_arrays([*(batch.column(c).slice(at, len(words)) for c in kept), spots, rest],
+                                                 [*kept, "spots", "rest"])
+    return run
+
+
+def _decoded(batch: pa.RecordBatch):
+    """(first row, rows, places of all their tokens, where each text begins) in parts of about ``SLICE_TOKENS``."""
+    size = pc.binary_length(batch.column("spots")).to_numpy() // 4
+    part = np.cumsum(size) // SLICE_TOKENS
+    cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(size)]
+    for a, b in zip(cuts, cuts[1:]):
+        if b > a:
+            raw = b"".join(batch.column("spots").slice(a, b - a).to_pylist())
+            yield a, b - a, np.frombuffer(raw, np.int32), np.r_[0, np.cumsum(size[a:b])]
+
+
 def _trained(model: Model, counts: np.ndarray, vocabulary: dict[str, int]):
-    """A split's training texts to its trained copy and how many tokens it saw."""
+    """A split's coded training texts to its trained copy and how many tokens it saw."""
     def run(batches):
         trainer, seen = Trainer(model, counts, TaskContext.get().partitionId()), 0
         other = len(vocabulary)
         for batch in batches:
-            for _, words in _slices(batch):
-                distinct, code, upto = _coded(words)
-                classes = np.array([vocabulary.get(w, other) for w in distinct])[code]
-                trainer.learn(classes, upto, vocabulary[""])
-                seen += len(code)
+            for _, _, spot, upto in _decoded(batch):
+                trainer.learn(np.minimum(spot, other), upto, vocabulary[""])
+                seen += len(spot)
         if seen:
             flat = trainer.model.packed()
             for piece, i in enumerate(range(0, len(flat), PIECE)):
@@ -296,11 +340,11 @@ def _averaged(batches):
             ["copy", "piece", "n", "mean"])
 
 
-def train(texts: DataFrame, vocabulary: dict[str, int], counts: np.ndarray) -> Model:
-    """One pass of every copy over its texts, averaged in steps of ``FAN_IN`` copies."""
+def train(coded: DataFrame, vocabulary: dict[str, int], counts: np.ndarray) -> Model:
+    """One pass of every copy over its coded texts, averaged in steps of ``FAN_IN`` copies."""
     model, schema = Model.start(counts), "copy long, piece long, n long, mean binary"
     rows = max(1, -(-int(counts.sum()) // COPY_TOKENS))
-    copies = written(texts.coalesce(rows).mapInArrow(_trained(model, counts, vocabulary), schema), "model-copies")
+    copies = written(coded.coalesce(rows).mapInArrow(_trained(model, counts, vocabulary), schema), "model-copies")
     pieces = -(-len(model.packed()) // PIECE)
     while rows > 1:
         rows = -(-rows // FAN_IN)
@@ -313,42 +357,40 @@ def train(texts: DataFrame, vocabulary: dict[str, int], counts: np.ndarray) -> M
 
 
 def _scored(model: Model, frequent: list[str], counts: np.ndarray, other: int):
-    """Texts to sums over their tokens; tokens outside ``frequent`` are listed with their number. The end comes first
-    in ``frequent``, the neural vocabulary is its first ``other`` tokens."""
-    place = {w: i for i, w in enumerate(frequent)}
+    """Texts to sums over their tokens, in one go."""
+    encode, add = _encoded(frequent), _summed(model, counts, other)
+    return lambda batches: add(encode(batches))
+
+
+def _summed(model: Model, counts: np.ndarray, other: int):
+    """Coded texts to sums over their tokens. The end comes first in the codes, the neural vocabulary is their first
+    ``other`` tokens."""
     log_count, seen = np.r_[np.log10(counts + 0.5), 0.0], np.r_[counts > 0, False]
-    end, out = place[""], Outputs(other + 1)
+    end, out = 0, Outputs(other + 1)
 
     def run(batches):
         for batch in batches:
-            for at, words in _slices(batch):
-                distinct, code, upto = _coded(words)
-                spot = np.array([place.get(w, len(frequent)) for w in distinct])[code]
-                rare = spot == len(frequent)
+            for at, rows, spot, upto in _decoded(batch):
                 classes = np.minimum(spot, other)
                 one, two = contexts(classes, upto, end)
-                pairs, pair = np.unique(one * (other + 1) + two, return_inverse=True)
+                pairs, pair = np.unique(one.astype(np.int64) * (other + 1) + two, return_inverse=True)
                 known = model.normalisers(pairs // (other + 1), pairs % (other + 1))[pair]
-                neural = np.empty(len(code))
-                for i in range(0, len(code), 1 << 16):
+                neural = np.empty(len(spot))
+                for i in range(0, len(spot), 1 << 16):
                     s = slice(i, i + (1 << 16))
                     q, to = model.predicted(one[s], two[s]), out.of[classes[s]]
-                    neural[s] = (q * model.target[to]).sum(1) + model.bias[to] - known[s]
+                    neural[s] = np.einsum("ij,ij->i", q, model.target[to]) + model.bias[to] - known[s]
                     tail = np.flatnonzero((classes[s] >= out.head) & (classes[s] < other))
                     neural[i + tail] += model.within(q[tail], classes[s][tail] - out.head, out)
                 outside = classes == other
                 total = lambda x: np.add.reduceat(x.astype(np.float64), upto[:-1])
                 whole = lambda x: pa.array(np.add.reduceat(x.astype(np.int64), upto[:-1]))
-                row = np.repeat(np.arange(len(words)), np.diff(upto))
-                pair, n = np.unique(row[rare] * len(distinct) + code[rare], return_counts=True)
-                tokens = pa.array(distinct, pa.string()).take(pa.array(pair % len(distinct)))
-                ends = np.searchsorted(pair // len(distinct), np.arange(len(words) + 1)).astype(np.int32)
-                rest = pa.ListArray.from_arrays(pa.array(ends), pa.StructArray.from_arrays(
-                    [tokens, pa.array(n.astype(np.int64))], ["token", "n"]))
+                logs = log_count[spot]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column("uid").slice(at, len(words)), batch.column("doc_id").slice(at, len(words)),
-                     pa.array(np.diff(upto)), whole(seen[spot]), whole(outside), pa.array(total(log_count[spot])),
-                     pa.array(total(log_count[spot] * outside)), pa.array(total(neural) / math.log(10)), rest],
+                    [batch.column("uid").slice(at, rows), batch.column("doc_id").slice(at, rows),
+                     pa.array(np.diff(upto)), whole(seen[spot]), whole(outside), pa.array(total(logs)),
+                     pa.array(total(logs * outside)), pa.array(total(neural) / math.log(10)),
+                     batch.column("rest").slice(at, rows)],
                     ["uid", "doc_id", "n_tokens", "n_frequent", "n_outside", "logs", "logs_outside", "neural", "rest"])
     return run
 
@@ -390,10 +432,12 @@ def scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", held
     size = min(vocabulary, 1 + int((n[1:] >= least).sum()))
     outside = total - int(n[:size].sum())
     classes = np.r_[n[:size], outside]
-    model = train(training, {w: i for i, w in enumerate(words[:size])}, classes)
     kind = texts.schema["doc_id"].dataType.simpleString()
-    found = written(with_uid(texts).mapInArrow(
-        _scored(model, words, n, size),
+    coded = written(with_uid(texts).withColumn("train", fold("doc_id") != held_out)
+                    .mapInArrow(_encoded(words), CODED.format(kind=kind)), "coded-texts")
+    model = train(coded.where("train").select("spots"), {w: i for i, w in enumerate(words[:size])}, classes)
+    found = written(coded.mapInArrow(
+        _summed(model, n, size),
         f"uid long, doc_id {kind}, n_tokens long, n_frequent long, n_outside long, logs double, logs_outside double, "
         "neural double, rest array<struct<token string, n long>>"), "text-sums")
     rest = found.select("uid", F.explode("rest").alias("r")).select("uid", "r.token", F.col("r.n").alias("times"))
