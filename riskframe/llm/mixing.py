@@ -90,7 +90,8 @@ def copies(docs: DataFrame, budget: float | None = None, flatter: float = 0.5, r
     Tokens are words; the budget is all tokens of the input if none is given, and what is used never exceeds it.
     Null text counts as empty, a null source as the source ''. Sources without tokens have no share and are left
     out, so an input without words gives an empty result, as does an empty table. Repeated rows are rows of their
-    own. Rows of equal hash keep the order of the input.
+    own. Rows of equal hash keep the order of the input. Of the block that a source's last pass no longer has room
+    for, the shortest rows are used while they fit (ties by the hash), so a long document never costs others their place.
     """
     rows = written(with_uid(docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
@@ -129,7 +130,9 @@ def copies(docs: DataFrame, budget: float | None = None, flatter: float = 0.5, r
     whole = at.where("room >= held or room < 0").select(
         "uid", "doc_id", "source", "n_tokens", (F.floor("due") + (F.col("room") >= F.col("held")).cast("long"))
         .alias("passes"), "block", "weight", "due")
-    order = Window.partitionBy("source", "block").orderBy(F.xxhash64(F.lit(SEED), F.floor("due"), "doc_id", "uid"), "uid")
+    # of the cut block the shortest are used first, so that none that still fits is left out for one that does not
+    order = Window.partitionBy("source", "block").orderBy(
+        "n_tokens", F.xxhash64(F.lit(SEED), F.floor("due"), "doc_id", "uid"), "uid")
     cut = at.where("room < held and room >= 0").withColumn("upto", F.sum("n_tokens").over(
         order.rowsBetween(Window.unboundedPreceding, 0))).select(
         "uid", "doc_id", "source", "n_tokens", (F.floor("due") + (F.col("upto") <= F.col("room")).cast("long"))

@@ -93,3 +93,22 @@ def test_odd_and_empty_tables(table, odd_rows, no_rows):
     assert mixing.copies(no_rows).count() == 0 and mixing.mix(no_rows).count() == 0
     assert mixing.permuted(mixing.copies(table([(1, None), (2, " ")]))).count() == 0
     assert mixing.mix(docs.withColumn("passes", F.lit("x"))).columns == docs.columns
+
+
+def test_a_long_document_costs_others_no_place(table):
+    """The cut block holds one document longer than the room and many short ones: all of those that fit are used."""
+    for seed in range(6):
+        rows = [(1000 * seed + i, "w " * n, "en", "s") for i, n in enumerate([700] + [30] * 10)]
+        used = {r.doc_id: r.passes for r in mixing.copies(table(rows), budget=320).collect()}
+        assert set(used.values()) == {1} and len(used) == 10 and 1000 * seed not in used
+        rows += [(5000 + i, "w " * 50, "en", "t") for i in range(20)]
+        for budget in (300, 900, 1500):
+            got = mixing.copies(table(rows), budget=budget).collect()
+            for source in ("s", "t"):
+                own = {r.doc_id: r.n_tokens for r in got if r.source == source}
+                due = next((r.due for r in got if r.source == source), 0.0)
+                if 0 < due < 1:
+                    whole = sum(len(t.split()) for _, t, _, s in rows if s == source)
+                    rest = [len(t.split()) for d, t, _, s in rows if s == source and d not in own]
+                    room = due * whole - sum(own.values())
+                    assert room >= -1e-3 and all(n > room + 1e-3 for n in rest)
