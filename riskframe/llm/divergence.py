@@ -144,9 +144,10 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept,
     char_divergence, word_divergence.
 
-    Null text has no words. A document's own language is not asked: the nearest reference counts, so a null or
-    unlisted language is judged like any other. Without references (no listed language in the table) the divergences
-    are null and only the base rules judge. Repeated rows are judged each; an empty table gives an empty result.
+    Null text has no words. The nearest reference counts, whichever language a document names. A document that names a
+    language without a reference is judged by the base rules alone, as nothing is known of its words and letters; one
+    that names none is judged like any other. Without references the divergences are null and only the base rules
+    judge. Repeated rows are judged each and equal texts of one language alike; an empty table gives an empty result.
     """
     counted = written(counts(docs, id_col, text_col, lang_col), "text-counts")
     known = references(counted)
@@ -171,7 +172,8 @@ def rules(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             for f, c, limits in (
                 ("char_divergence", "chars", (CHARACTER_WORDS, CHARACTER_LIMIT, CHARACTER_NOISE)),
                 ("word_divergence", "common", (WORD_WORDS, WORD_LIMIT, WORD_NOISE)))})
-    kept = (~F.col("base_failed") & ~strays("char_divergence", CHARACTER_WORDS, CHARACTER_LIMIT, CHARACTER_NOISE)
-            & ~strays("word_divergence", WORD_WORDS, WORD_LIMIT, WORD_NOISE))
+    judged = F.col("lang").isNull() | F.col("lang").isin(list(known))
+    kept = (~F.col("base_failed") & ~(judged & strays("char_divergence", CHARACTER_WORDS, CHARACTER_LIMIT, CHARACTER_NOISE))
+            & ~(judged & strays("word_divergence", WORD_WORDS, WORD_LIMIT, WORD_NOISE)))
     return df.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
                      kept.alias("kept"), "char_divergence", "word_divergence")

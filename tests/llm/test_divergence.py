@@ -101,3 +101,14 @@ def test_unknown_languages_and_empty_tables(table, no_rows):
     got = divergence.rules(table(rows)).collect()
     assert all(r.char_divergence is None and r.kept == (not r.base_failed) for r in got)
     assert divergence.rules(no_rows).count() == 0
+
+
+def test_texts_of_languages_without_a_reference_are_judged_by_the_base_rules(table):
+    import random
+    rng = random.Random(6)
+    known = [(i, prose(rng, 200)) for i in range(30)]
+    made = lambda letters: " ".join("".join(rng.choice(letters) for _ in range(rng.randint(2, 9))) for _ in range(150))
+    rows = [(100 + i, made("абвгдежзиклмн"), "ru", "s") for i in range(10)] + [(200 + i, made("aeioucrtnl"), "it", "s") for i in range(10)]
+    rows += [(300, "uno due", "it", "s"), (301, "tre " * 80, "it", "s"), (302, rows[0][1], "en", "s")]
+    got = {r.doc_id: r.kept for r in divergence.rules(table(known + rows)).collect()}
+    assert all(got[d] for d in got if 100 <= d < 300) and not got[300] and not got[301] and not got[302]
