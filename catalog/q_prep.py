@@ -319,7 +319,13 @@ def n6_collinear_drops(spark, sf):
     return spark.createDataFrame([(x,) for x in encode.collinear_drops(m, t, 0.8)], "feature string")
 
 
-@q("n7_declared_roles")
+def _n7_sql():
+    from riskframe.spec import CAROC
+    roles = {"alcohol": "'categorical'", "smoke": "'categorical'", "PatientAge": "'numeric'", "bmi": "'numeric'"}
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{c}', {roles.get(c, 'NULL')})" for c in [*CAROC.columns, "bmi"]) + ") t(feature, role)"
+
+
+@q("n7_declared_roles", _n7_sql())
 def n7_declared_roles(spark, sf):
     c = encode.with_roles(clean_caroc(patients(spark, sf)), categorical=["alcohol", "smoke"], numeric=["PatientAge", "bmi"])
     return spark.createDataFrame([(f.name, f.metadata.get("role")) for f in c.schema.fields],

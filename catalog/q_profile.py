@@ -338,7 +338,13 @@ def e16_shape(spark, sf):
     return profile.shape(clean_caroc(p), p)
 
 
-@q("e17_dtypes")
+def _e17_sql():
+    double = {"PatientAge", "bmdtest_height", "bmdtest_weight", "bmdtest_tscore_fn", "bmi"}
+    kinds = {c: "bigint" if c == "PatientId" else "double" if c in double else "int" for c in [*CAROC.columns, "bmi"]}
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{c}', '{t}')" for c, t in kinds.items()) + ") t(feature, dtype)"
+
+
+@q("e17_dtypes", _e17_sql())
 def e17_dtypes(spark, sf):
     return profile.dtypes_frame(clean_caroc(patients(spark, sf)))
 

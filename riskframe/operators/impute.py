@@ -27,11 +27,24 @@ class _Imputer:
     def apply(self, df: DataFrame, stats: dict) -> DataFrame:
         raise NotImplementedError
 
+    def more_stats(self, df: DataFrame) -> dict:
+        """Statistics that are no single aggregate; most imputers have none."""
+        return {}
+
     def fit_apply(self, df: DataFrame) -> tuple[DataFrame, dict]:
-        stats = agg_row(df, self.stat_exprs())
+        stats = agg_row(df, self.stat_exprs()) | self.more_stats(df)
         return self.apply(df, stats), stats
 
 
+def modes(df: DataFrame, cols: Sequence[str], kind: str = "double") -> dict:
+    """The most frequent value of each column, the smallest on ties: counts by column and value, then one row a column."""
+    wide = df.select(*[F.col(f"`{c}`").cast(kind).alias(c) for c in cols])
+    counts = (wide.unpivot([], [f"`{c}`" for c in cols], "feature", "value").where("value IS NOT NULL")
+              .groupBy("feature", "value").agg(F.count(F.lit(1)).alias("n")))
+    best = counts.groupBy("feature").agg(F.min(F.struct((-F.col("n")).alias("n"), "value")).alias("best")).collect()
+    return {r["feature"]: r["best"]["value"] for r in best}
+
+
 @dataclass
 class MeanFill(_Imputer):
     """F1 (NULL -> mean), F2 (0 -> mean, the mean includes the zeros), F3 (both, one mean)."""
@@ -102,12 +115,22 @@ def group_mean_fill_any(df: DataFrame, columns: Sequence[str], group_col: str) -
 
 @dataclass
 class ModeFill(_Imputer):
-    """NULL -> most frequent value, the smallest value on ties (``mode(..., deterministic=True)``)."""
+    """NULL -> most frequent value, the smallest value on ties. The values are counted by group, so a column with
+    many distinct values needs no buffer that holds them all."""
 
     columns: Sequence[str]
 
     def stat_exprs(self):
-        return {_k("mode", c): F.mode(c, True) for c in self.columns}
+        return {}
+
+    def more_stats(self, df):
+        kinds = dict(df.dtypes)
+        text = [c for c in self.columns if kinds[c] in ("string", "date", "timestamp", "boolean")]
+        found = {_k("mode", c): None for c in self.columns}
+        for cols, kind in (([c for c in self.columns if c not in text], "double"), (text, "string")):
+            if cols:
+                found |= {_k("mode", c): v for c, v in modes(df, cols, kind).items()}
+        return found
 
     def apply(self, df, stats):
         types = dict(df.dtypes)
@@ -160,11 +183,14 @@ class TwoStepMeanFill(_Imputer):
 
 
 def fit_apply_all(df: DataFrame, imputers: Sequence[_Imputer]) -> tuple[DataFrame, dict]:
-    """Apply several imputers whose statistics do not depend on each other, with ONE aggregate pass."""
+    """Apply several imputers whose statistics do not depend on each other, with one aggregate pass (and one more for
+    modes, which are counted by value)."""
     exprs = {}
     for imp in imputers:
         exprs.update(imp.stat_exprs())
     stats = agg_row(df, exprs)
+    for imp in imputers:
+        stats |= imp.more_stats(df)
     for imp in imputers:
         df = imp.apply(df, stats)
     return df, stats

@@ -1,9 +1,9 @@
 """Profiling (E1-E19): every statistic comes from one aggregate over the data; outputs are small long tables.
 
 Long layout (feature, statistic...) instead of a transposed wide frame keeps the output schema fixed whatever
-the number of profiled columns. Quantiles are exact (``percentile``, linear interpolation, like pandas) by
-default; ``approx=True`` switches to ``percentile_approx`` whose memory does not grow with the number of distinct
-values (use it for very large continuous columns).
+the number of profiled columns. Quantiles are exact (linear interpolation, like pandas), from a frequency table and a
+distributed prefix sum; ``approx=True`` switches to a sketch whose memory does not grow with the number of distinct
+values.
 """
 
 from __future__ import annotations
@@ -58,8 +58,8 @@ def group_means(df: DataFrame, group: str, cols: Sequence[str]) -> DataFrame:
 
 def column_modes(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """Most frequent value per column, smallest on ties."""
-    row = agg_row(df, {f"mode__{c}": F.mode(F.col(c).cast("double"), True) for c in cols})
-    return _long(df, row, cols, ["mode"])
+    from riskframe.operators.impute import modes
+    return _long(df, {f"mode__{c}": v for c, v in modes(df, cols).items()}, cols, ["mode"])
 
 
 def column_stddevs(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
@@ -108,6 +108,19 @@ def _moments(df: DataFrame, cols: Sequence[str], keys: list[str]) -> DataFrame:
         F.when(varies, F.skewness(v)).alias("skewness"), F.when(varies, F.kurtosis(v)).alias("kurtosis"))
 
 
+def _moments_from_freq(freq: DataFrame) -> DataFrame:
+    """count, missing, mean, std, min, max per feature from a frequency table; deviations are taken from the mean, as
+    sums of squares alone would cancel."""
+    v, n = F.col("value"), F.col("cnt")
+    sums = freq.groupBy(F.col("feature").alias("f")).agg(
+        F.coalesce(F.sum(F.when(v.isNotNull(), n)), F.lit(0)).alias("count"), F.coalesce(F.sum(F.when(v.isNull(), n)), F.lit(0)).alias("missing"),
+        F.try_divide(F.sum(v * n), F.sum(F.when(v.isNotNull(), n))).alias("mean"), F.min(v).alias("min"), F.max(v).alias("max"))
+    spread = freq.join(sums.select(F.col("f").alias("g"), "mean"), F.col("feature") == F.col("g")).groupBy("feature").agg(
+        F.sum(F.pow(v - F.col("mean"), 2) * n).alias("squares"))
+    std = F.when(F.col("count") > 1, F.sqrt(F.col("squares") / (F.col("count") - 1)))
+    return sums.join(spread, F.col("f") == F.col("feature")).select("feature", "count", "missing", "mean", std.alias("std"), "min", "max")
+
+
 def _quantiles_from_freq(freq: DataFrame, ps: Sequence[float],
                          totals: dict[str, int] | None = None) -> dict[str, list[float | None]]:
     """Exact linear-interpolated quantiles (pandas / ``percentile`` semantics) per feature from a frequency
@@ -164,18 +177,19 @@ DESCRIBE_STATS = ("count", "mean", "std", "min", "p25", "p50", "p75", "max", "mi
 
 
 def describe(df: DataFrame, cols: Sequence[str] | None = None, approx: bool = False) -> DataFrame:
-    """Count, mean, std, min, quartiles, max, missing fraction and dtype per column: one aggregate of the
-    unpivoted table, and exact quartiles from its frequency table by a distributed prefix sum. ``approx=True`` takes
-    the quartiles from a sketch instead, without the frequency table."""
+    """Count, mean, std, min, quartiles, max, missing fraction and dtype per column. One scan makes the frequency
+    table, which is written; everything else is read off it, the exact quartiles by a distributed prefix sum.
+    ``approx=True`` takes one aggregate of the rows and the quartiles from a sketch, without the frequency table."""
     cols = _num(df, cols)
     spark = df.sparkSession
     dtypes = dict(df.dtypes)
-    mom = {r["feature"]: r.asDict() for r in _moments(df, cols, []).collect()}
+    freq = None if approx else materialize(frequency_table(df, cols), "frequencies")
+    mom = {r["feature"]: r.asDict() for r in (_moments(df, cols, []) if approx else _moments_from_freq(freq)).collect()}
     if approx:
         row = agg_row(df, {c: quantiles(c, (0.25, 0.5, 0.75), True) for c in cols})
         qs = {c: list(row[c] or [None] * 3) for c in cols}
     else:
-        qs = _quantiles_from_freq(frequency_table(df, cols), (0.25, 0.5, 0.75),
+        qs = _quantiles_from_freq(freq, (0.25, 0.5, 0.75),
                                   {c: m["count"] for c, m in mom.items() if m["count"]})
     recs = []
     for c in cols:
