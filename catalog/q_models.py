@@ -13,7 +13,7 @@ from catalog.q_basic import _RULE_T, rule_tscore
 from catalog.sqlparts import rd
 from riskframe.fixtures import patients
 from riskframe.functions import rules
-from riskframe.operators import boosting, evaluate, gram as G, models as M, networks, sampling, scaling
+from riskframe.operators import boosting, comparison, evaluate, gram as G, models as M, networks, sampling, scaling
 from riskframe.plans.cleaning import clean_caroc, clean_frax_dll
 from riskframe.plans.training import VALIDATION_POINTS
 from riskframe.session import materialize
@@ -304,6 +304,32 @@ def j17_leaderboard(spark, sf):
     return board.orderBy("mean_rmse", "model").limit(3)
 
 
+_BOARD = {"ols": ("ols", {}), "ridge": ("ridge", {"alpha": 1.0}), "lasso": ("lasso", {"alpha": 0.01}), "elastic_net": ("elastic_net", {"alpha": 0.01}),
+          "least_angle": ("least_angle", {}), "bayesian_ridge": ("bayesian_ridge", {}), "omp": ("omp", {"n_nonzero": 3})}
+
+
+@q("j17_full_leaderboard")
+def j17_full_leaderboard(spark, sf):
+    """RMSE, MAE and R^2 over 10 folds of the linear, sparse and robust models (Gram passes) and of forest, boosting and
+    a single tree (fitted per fold), best first."""
+    from pyspark.ml.regression import DecisionTreeRegressor
+    trees = {"random_forest": M.random_forest_regressor(trees=20, depth=6), "boosting": M.gbt_regressor(iters=10),
+             "tree": DecisionTreeRegressor(featuresCol="features", labelCol="label", maxDepth=5)}
+    return comparison.leaderboard(training_frame(spark, sf), REG_FEATURES, "label", "fold", _BOARD, trees)
+
+
+@q("j18_top_models")
+def j18_top_models(spark, sf):
+    """The three best linear models of the comparison and OMP: 100 draws each over 10 folds, then refitted on all rows."""
+    t = training_frame(spark, sf)
+    board = comparison.leaderboard(t, REG_FEATURES, "label", "fold", _BOARD, robust=False).limit(3).collect()
+    kinds = list(dict.fromkeys([*(r["model"] for r in board), "omp"]))
+    rows = [(kind, str(params), score, f, float(b)) for kind, (params, score, fit) in
+            comparison.tune_and_finalise(t, REG_FEATURES, "label", "fold", kinds).items()
+            for f, b in [*zip(REG_FEATURES, fit.coef), ("(intercept)", fit.intercept)]]
+    return spark.createDataFrame(rows, "model string, params string, cv_rmse double, feature string, coefficient double")
+
+
 @q("j18_tune_and_refit")
 def j18_tune_and_refit(spark, sf):
     """Ridge penalty chosen by 10-fold CV (one Gram pass), then refit on all rows (finalize)."""
