@@ -11,6 +11,7 @@ from riskframe.functions import rules, scalar, units
 from riskframe.operators import encode, joins, quality, sampling, scaling
 from riskframe.plans.cleaning import clean_caroc
 from riskframe.session import scratch_path
+from riskframe.streaming import scorer
 
 P = cte()
 
@@ -258,6 +259,23 @@ def i6_refit_per_batch(spark, sf):
     return rnd(out)
 
 
+def _i6_stream_sql():
+    z = lambda c: rd(f"({c} - avg({c}) OVER w) / coalesce(nullif(stddev_pop({c}) OVER w, 0), 1)")
+    return _caroc() + (", te AS (SELECT * FROM caroc WHERE PatientId IS NOT NULL) SELECT PatientId, "
+                       + ", ".join(f"{z(c)} AS {c}" for c in _SC) + " FROM te WINDOW w AS (PARTITION BY PatientId % 3)")
+
+
+@q("i6_stream_refit", _i6_stream_sql())
+def i6_stream_refit(spark, sf):
+    """Files that arrive one by one, scaled by their own batch's statistics, each batch written once."""
+    c = clean_caroc(patients(spark, sf)).select("PatientId", *_SC).where("PatientId IS NOT NULL")
+    source, sink, held = (scratch_path(spark, f"i6-{x}") for x in ("in", "out", "checkpoint"))
+    for part in range(3):
+        c.where(F.col("PatientId") % 3 == part).coalesce(1).write.mode("append").parquet(source)
+    scorer.process_batches(spark, lambda batch: scaling.scale(batch, _SC, refit=True)[0], source, c.schema, sink, held, files_per_batch=1)
+    return rnd(scorer.batch_results(spark, sink).drop("batch"))
+
+
 # ---- N ---------------------------------------------------------------------------------------------------------
 _N1 = ["PatientAge", "bmi", "bmdtest_weight"]
 
