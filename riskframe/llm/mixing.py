@@ -91,7 +91,8 @@ def copies(docs: DataFrame, budget: float | None = None, flatter: float = 0.5, r
     Null text counts as empty, a null source as the source ''. Sources without tokens have no share and are left
     out, so an input without words gives an empty result, as does an empty table. Repeated rows are rows of their
     own. Rows of equal hash keep the order of the input. Of the block that a source's last pass no longer has room
-    for, the shortest rows are used while they fit (ties by the hash), so a long document never costs others their place.
+    for, rows are used in the order of the hash while they fit, and then the shortest of the rest that still fit, so a
+    long document never costs others their place.
     """
     rows = written(with_uid(docs.select(
         F.col(id_col).alias("doc_id"), F.coalesce(F.col(source_col).cast("string"), F.lit("")).alias("source"),
@@ -130,13 +131,21 @@ def copies(docs: DataFrame, budget: float | None = None, flatter: float = 0.5, r
     whole = at.where("room >= held or room < 0").select(
         "uid", "doc_id", "source", "n_tokens", (F.floor("due") + (F.col("room") >= F.col("held")).cast("long"))
         .alias("passes"), "block", "weight", "due")
-    # of the cut block the shortest are used first, so that none that still fits is left out for one that does not
-    order = Window.partitionBy("source", "block").orderBy(
-        "n_tokens", F.xxhash64(F.lit(SEED), F.floor("due"), "doc_id", "uid"), "uid")
-    cut = at.where("room < held and room >= 0").withColumn("upto", F.sum("n_tokens").over(
-        order.rowsBetween(Window.unboundedPreceding, 0))).select(
-        "uid", "doc_id", "source", "n_tokens", (F.floor("due") + (F.col("upto") <= F.col("room")).cast("long"))
-        .alias("passes"), "block", "weight", "due")
+    # the cut block: rows that fit the room, in hash order while their sum does; then, of the rest, the shortest that
+    # fit what is left, so that no row that still fits is left out for one that does not
+    part = Window.partitionBy("source", "block")
+    turn = F.xxhash64(F.lit(SEED), F.floor("due"), "doc_id", "uid")
+    until = (Window.unboundedPreceding, 0)
+    counted = F.when(F.col("n_tokens") <= F.col("room"), F.col("n_tokens")).otherwise(0)
+    cut = at.where("room < held and room >= 0").withColumn("turn", turn)
+    cut = cut.withColumn("upto", F.sum(counted).over(part.orderBy("turn", "uid").rowsBetween(*until)))
+    cut = cut.withColumn("first", (F.col("n_tokens") <= F.col("room")) & (F.col("upto") <= F.col("room")))
+    later = F.when(F.col("first"), 0).otherwise(F.col("n_tokens"))
+    cut = cut.withColumns({
+        "left": F.col("room") - F.sum(F.when(F.col("first"), F.col("n_tokens")).otherwise(0)).over(part),
+        "upto": F.sum(later).over(part.orderBy("n_tokens", "turn", "uid").rowsBetween(*until))})
+    used = F.col("first") | (F.col("upto") <= F.col("left"))
+    cut = cut.select("uid", "doc_id", "source", "n_tokens", (F.floor("due") + used.cast("long")).alias("passes"), "block", "weight", "due")
     return whole.unionAll(cut).where("passes > 0")
 
 

@@ -56,7 +56,7 @@ def folder(spark, tmp_path_factory, odd_rows, table):
     return path, rows
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(q for q in QUERIES if not q.startswith("op13")))  # op13 reads embeddings
 def test_queries_return_a_row_per_document(spark, folder, name):
     path, rows = folder
     got = Counter(r.doc_id for r in QUERIES[name](spark, path).collect())
