@@ -12,7 +12,7 @@ INCH_RANGE = (50.0, 84.0)     # exclusive bounds, height in inches -> x2.54
 CM_LOWER = 125.0              # strictly above: already centimetres
 INCH_TO_CM = 2.54
 SUSPICION_BUFFER = 30.0
-# Height bands for the pound-suspicion rule: (lower bound exclusive, upper bound inclusive, weight limit kg).
+# Height bands for the pound-suspicion rule: (lower bound exclusive, upper bound inclusive, weight limit kg).
 # The limit is applied as weight >= limit + buffer; None = open bound.
 SUSPICION_BANDS = [
     (None, 152.4, 56.7),
