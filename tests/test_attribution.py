@@ -112,3 +112,18 @@ def test_summary_and_waterfalls(spark):
     five = sorted((r for r in w if r.id == 5), key=lambda r: r["rank"])
     assert [(r.feature, r["from"], r.to) for r in five] == [("p", 1.0, 6.0), ("q", 6.0, 4.0)]
     assert A.long_attributions(df, ["p", "q"], ["id"]).count() == 60
+
+
+def test_pattern_values_are_computed_once(data, monkeypatch):
+    """The values of a leaf's patterns don't depend on the rows, so later batches only look them up; paths with more
+    features than are tabled give the same values."""
+    model = RandomForestRegressor(featuresCol="features", labelCol="label", numTrees=3, maxDepth=5, seed=1).fit(data)
+    x = np.array([[r[f] for f in FEATURES] for r in data.limit(200).collect()], float)
+    ensemble, calls, plain = A.from_model(model), [], A._product_values
+    monkeypatch.setattr(A, "_product_values", lambda one, zero: calls.append(1) or plain(one, zero))
+    first = ensemble.attributions(x)
+    made = len(calls)
+    assert made and np.array_equal(ensemble.attributions(x), first) and len(calls) == made
+    monkeypatch.setattr(A, "MOST_TABLED", 1)
+    np.testing.assert_allclose(A.from_model(model).attributions(x), first, rtol=0, atol=1e-12)
+    np.testing.assert_allclose(first.sum(axis=1), ensemble.predict(x) - ensemble.base, rtol=0, atol=1e-9)
