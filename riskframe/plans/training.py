@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.operators import attribution, evaluate, explain, gram as G, models as M, sampling, scaling
-from riskframe.session import materialize, scratch_path
+from riskframe.session import materialize, scratch_path, spread
 from riskframe.sources import io
 
 
@@ -37,7 +37,7 @@ def classification_pipeline(clean: DataFrame, features: Sequence[str], label_col
     df = clean.withColumn("label", (F.col(label_col) == positive).cast("double")).dropna(subset=[*feats, "label"])
     df = sampling.three_way_split(df, "PatientId")
     df = sampling.kfold(df, "PatientId", folds, seed=0)
-    df = materialize(df, "p11")
+    df = materialize(spread(df, "PatientId"), "p11")
     scaler = scaling.fit_standard(df.filter(F.col("split") == "train"), ["PatientAge", "bmi"])
     df = scaler.transform(df)
     train = df.filter(F.col("split") == "train")
