@@ -10,10 +10,10 @@ compared with its whole group:
 3. Blocks, runs of blocks, runs of those and so on are boxes in a tree, with the largest radius in each. Pairs of
    boxes are followed from the top, and only a pair whose boxes are nearer than the radius is opened. A level is one
    join on the pair's parents.
-4. Of the pairs of blocks that remain, rows whose own radius reaches the other box are compared with its rows, and
-   the k nearest of all found are kept.
+4. Of the pairs of blocks that remain, rows whose own radius reaches the other box are compared with its rows, those of
+   a run of ``FAN`` blocks at a time, and the k nearest of all found are kept.
 
-Blocks bound what one task holds; nothing is capped, so the result is that of comparing all pairs, whatever the
+Blocks and runs of them bound what one task holds; nothing is capped, so the result is that of comparing all pairs, whatever the
 partitions.
 """
 
@@ -70,8 +70,9 @@ def _keys(bins: np.ndarray):
 def _held(table: pa.Table, width: int, nominal: int) -> dict[str, np.ndarray]:
     n = table.num_rows
     x = table.column("x").combine_chunks().flatten().to_numpy(zero_copy_only=False).reshape(n, width)
-    names = np.array(table.column("nominal").combine_chunks().flatten().to_pylist(), object).reshape(n, nominal)
-    return {"x": x, "names": names, "id": table.column("id").to_numpy()}
+    # one code per text, the same in every nominal feature: codes are only compared within this table
+    names = table.column("nominal").combine_chunks().flatten().dictionary_encode().indices.to_numpy(zero_copy_only=False)
+    return {"x": x, "names": names.reshape(n, nominal), "id": table.column("id").to_numpy()}
 
 
 def distances(ax: np.ndarray, an: np.ndarray, bx: np.ndarray, bn: np.ndarray, gap: float) -> np.ndarray:
@@ -81,16 +82,16 @@ def distances(ax: np.ndarray, an: np.ndarray, bx: np.ndarray, bn: np.ndarray, ga
         out += (ax[:, i, None] - bx[None, :, i]) ** 2
     differ = np.zeros_like(out)
     for j in range(an.shape[1]):
-        codes = np.unique(np.concatenate([an[:, j], bn[:, j]]), return_inverse=True)[1]
-        differ += codes[:len(an), None] != codes[None, len(an):]
+        differ += an[:, j, None] != bn[None, :, j]
     return out + differ * gap * gap
 
 
 def _nearest(far: np.ndarray, ids: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Rows, squared distances and ids of the k smallest per row (infinite ones are none); ties by the smaller id."""
-    if far.shape[1] > k:
-        far = np.where(far <= np.partition(far, k - 1, axis=1)[:, k - 1:k], far, np.inf)
-    i, j = np.nonzero(np.isfinite(far))
+    some = np.isfinite(far)
+    if far.shape[1] > k and np.count_nonzero(some) > 4 * k * len(far):  # else all are few enough to sort
+        some &= far <= np.partition(far, k - 1, axis=1)[:, k - 1:k]
+    i, j = np.nonzero(some)
     order = np.lexsort((ids[j], far[i, j], i))
     i, j = i[order], j[order]
     first = np.searchsorted(i, i, "left")
@@ -102,26 +103,32 @@ def _within(k: int, width: int, nominal: int):
     """A block searched by itself: its rows with their neighbours in it and their radius."""
     def run(table: pa.Table) -> pa.Table:
         h, gap = _held(table, width, nominal), float(table.column("gap")[0].as_py() or 0.0)
-        near, radius = [], []
+        found, sizes, radius = [], [], []
         for s in range(0, table.num_rows, SLICE):
             far = distances(h["x"][s:s + SLICE], h["names"][s:s + SLICE], h["x"], h["names"], gap)
             far[np.arange(len(far)), np.arange(s, s + len(far))] = np.inf
             i, d, ids = _nearest(far, h["id"], k)
             ends = np.searchsorted(i, np.arange(len(far) + 1))
-            for a, z in zip(ends, ends[1:]):
-                near.append([{"far": float(x), "id": int(y)} for x, y in zip(d[a:z], ids[a:z])])
-                radius.append(float(d[z - 1]) if z - a == k else float("inf"))
-        kind = pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64())]))
-        return table.append_column("near", pa.array(near, kind)).append_column("radius", pa.array(radius, pa.float64()))
+            full = np.diff(ends) == k
+            last = np.full(len(far), np.inf)
+            last[full] = d[ends[1:][full] - 1]
+            found.append((d, ids))
+            sizes.append(np.diff(ends))
+            radius.append(last)
+        far, ids = (np.concatenate(x) for x in zip(*found))
+        near = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(np.concatenate(sizes))].astype(np.int32)),
+                                        pa.StructArray.from_arrays([pa.array(far), pa.array(ids)], ["far", "id"]))
+        return table.append_column("near", near).append_column("radius", pa.array(np.concatenate(radius)))
     return run
 
 
 def _across(k: int, width: int, nominal: int):
-    """The rows of one block that reach another, compared with its rows."""
+    """The rows of a run of blocks that reach another block, compared with its rows."""
     def run(table: pa.Table) -> pa.Table:
         asks = table.column("asks").to_numpy(zero_copy_only=False)
-        a, b = (_held(table.filter(pa.array(m)), width, nominal) for m in (asks, ~asks))
-        radius = table.filter(pa.array(asks)).column("radius").to_numpy()
+        held = _held(table, width, nominal)
+        a, b = ({n: v[m] for n, v in held.items()} for m in (asks, ~asks))
+        radius = table.column("radius").to_numpy()[asks]
         gap = float(table.column("gap")[0].as_py() or 0.0)
         found = [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0, np.int64))]
         for s in range(0, len(a["id"]) if len(b["id"]) else 0, SLICE):
@@ -201,14 +208,15 @@ def k_nearest(rows: DataFrame, width: int, nominal: int, k: int = 5, block: int
         _within(k, width, nominal), fields + ", near array<struct<far: double, id: long>>, radius double"), "neighbour-blocks")
     blocks = materialize(own.groupBy("group", "node").agg(F.max("radius").alias("radius"), F.first("gap").alias("gap"),
                                                           *_box(width, nominal)), "boxes")
-    pairs = _pairs(blocks, width, nominal)
+    pairs = materialize(_pairs(blocks, width, nominal), "block-pairs")
 
     point = {"lo_p": "x", "hi_p": "x", "least_p": "nominal", "most_p": "nominal"}
+    run = F.floor(F.col("a") / FAN).cast("long").alias("a")  # a block's rows are sent once to a run of blocks that ask
     asking = (own.withColumn("a", F.col("node")).join(pairs, ["group", "a"])
               .withColumns({n: F.col(c) for n, c in point.items()})
               .where(_apart("_p", "_b", F.col("gap"), width, nominal) <= F.col("radius"))
-              .select("group", "a", "b", F.lit(True).alias("asks"), "id", "x", "nominal", "gap", "radius"))
-    asked = (own.withColumn("b", F.col("node")).join(pairs.select("group", "a", "b"), ["group", "b"])
+              .select("group", run, "b", F.lit(True).alias("asks"), "id", "x", "nominal", "gap", "radius"))
+    asked = (own.withColumn("b", F.col("node")).join(pairs.select("group", run, "b").distinct(), ["group", "b"])
              .select("group", "a", "b", F.lit(False).alias("asks"), "id", "x", "nominal", "gap", "radius"))
     kind = rows.schema["group"].dataType.simpleString()
     found = asking.unionByName(asked).groupBy("group", "a", "b").applyInArrow(
