@@ -15,8 +15,8 @@ dimension; a token's score is the product of the predicted and its own vector pl
 to about ``COPY_TOKENS`` tokens, and each trains a copy on all its training tokens, with noise drawn from the counts
 instead of a sum over the outputs, and from a token's group instead of a sum over the group. The copies are averaged
 by their tokens. Scoring multiplies the predictions of all distinct contexts of a batch with all output vectors, and
-those of a group's tokens with the group's vectors, which gives the exact normalisers, and sums the normalised
-log-probabilities by text.
+those of a group's tokens with the group's vectors, a group once for a context, which gives the exact normalisers, and
+sums the normalised log-probabilities by text.
 
 Counts beyond a bounded number of frequent tokens stay distributed: what a text has of rarer tokens is joined with
 the count table. Texts are coded once, after the counts; training and scoring read the codes.
@@ -46,7 +46,7 @@ DIMENSIONS = 24
 NOISE = 64
 GROUP_NOISE = 2
 BATCH = 4096
-ROWS = 512
+CELLS = 1 << 16
 RATE = 0.1
 SEED = 5
 SLICE_BYTES = 4 << 20
@@ -147,35 +147,50 @@ class Model:
 
     def normalisers(self, one: np.ndarray, two: np.ndarray) -> np.ndarray:
         """Log of the summed exponentials over all outputs, for each context."""
-        out = np.empty(len(one), np.float32)
-        for i in range(0, len(one), ROWS):
-            s = self.predicted(one[i:i + ROWS], two[i:i + ROWS]) @ self.target.T
-            s += self.bias
-            out[i:i + ROWS] = _log_sums(s)
-        return out
+        return _log_totals(self.predicted(one, two), self.target, self.bias)
 
-    def within(self, q: np.ndarray, place: np.ndarray, out: Outputs) -> np.ndarray:
-        """Log-probabilities within their groups of the tail places ``place`` after the predictions ``q``."""
-        group = out.group[place]
-        order = np.argsort(group, kind="stable")
-        cuts = np.searchsorted(group[order], np.arange(len(out.width) + 1))
+    def within(self, q: np.ndarray, place: np.ndarray, out: Outputs, row: np.ndarray | None = None) -> np.ndarray:
+        """Log-probabilities within their groups of the tail places ``place`` after the predictions ``q``, of which each
+        place has its own, or the one numbered in ``row``. A group is summed once for a prediction."""
+        row = np.arange(len(q)) if row is None else row
         found = np.empty(len(place), np.float32)
+        for i in range(0, len(place), CELLS):
+            s = slice(i, i + CELLS)
+            found[s] = np.einsum("ij,ij->i", q.take(row[s], axis=0), self.tail.take(place[s], axis=0))
+        found += self.tail_bias.take(place)
+        key = out.group[place] * len(q) + row
+        order = np.argsort(key)
+        new = np.r_[np.ones(min(1, len(key)), bool), np.diff(key[order]) != 0]
+        group, row = np.divmod(key[order[new]], max(1, len(q)))
+        total, cuts = np.empty(len(group), np.float32), np.searchsorted(group, np.arange(len(out.width) + 1))
         for g in np.flatnonzero(np.diff(cuts)):
-            a, b = out.edges[g], out.edges[g + 1]
-            for i in range(cuts[g], cuts[g + 1], ROWS):
-                rows = order[i:min(i + ROWS, cuts[g + 1])]
-                s = q[rows] @ self.tail[a:b].T
-                s += self.tail_bias[a:b]
-                own = s[np.arange(len(rows)), place[rows] - a]
-                found[rows] = own - _log_sums(s)
+            s, (a, b) = slice(cuts[g], cuts[g + 1]), out.edges[g:g + 2]
+            total[s] = _log_totals(q.take(row[s], axis=0), self.tail[a:b], self.tail_bias[a:b])
+        found[order] -= total[np.cumsum(new) - 1]
         return found
 
 
-def _log_sums(s: np.ndarray) -> np.ndarray:
+def _log_totals(q: np.ndarray, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Log of the summed exponentials of the products of each row of ``q`` with all vectors plus their biases."""
+    out = np.empty(len(q), np.float32)
+    if not len(q):
+        return out
+    # no product is beyond that of the greatest lengths
+    most = math.sqrt(np.einsum("ij,ij->i", q, q).max() * np.einsum("ij,ij->i", vectors, vectors).max()) + np.abs(bias).max()
+    rows = max(16, CELLS // len(bias))
+    aside, held = np.concatenate([vectors.T, bias[None]]), np.ones((rows, q.shape[1] + 1), np.float32)
+    for i in range(0, len(q), rows):
+        n = min(rows, len(q) - i)
+        held[:n, :-1] = q[i:i + n]
+        out[i:i + n] = _log_sums(held[:n] @ aside, most)
+    return out
+
+
+def _log_sums(s: np.ndarray, most: float = math.inf) -> np.ndarray:
     """Log of the summed exponentials of each row, which it overwrites; where any is beyond the range of exponentials,
-    all are taken from their row's top."""
+    all are taken from their row's top. None is beyond ``most``."""
     top = np.float32(0)
-    if max(s.max(), -s.min()) > 70:
+    if not most < 70 and max(s.max(), -s.min()) > 70:
         top = s.max(axis=1)
         s -= top[:, None]
     np.exp(s, out=s)
@@ -194,10 +209,12 @@ def contexts(classes: np.ndarray, upto: np.ndarray, end: int) -> tuple[np.ndarra
 
 
 class Trainer:
-    """Noise-contrastive steps with AdaGrad on a copy of a model."""
+    """Noise-contrastive steps with AdaGrad on a copy of a model. The rows of its tables are read and written once a
+    step, so each holds all a step needs: a vector, for outputs and the tail its bias (predictions have a one in that
+    place), and then the sums of their squared gradients. The model's arrays are views of the tables."""
 
     def __init__(self, model: Model, counts: np.ndarray, seed: int):
-        self.model = model.unpacked(model.packed())
+        self.model = m = model.unpacked(model.packed())
         self.rng = np.random.default_rng((SEED, seed))
         self.out = Outputs(len(counts))
         n = self.out.counts(counts + 0.5)
@@ -205,69 +222,133 @@ class Trainer:
         self.upto = np.cumsum(self.share)
         self.log_noise = np.log(NOISE * self.share).astype(np.float32)
         self.log_group = np.log(GROUP_NOISE / self.out.width).astype(np.float32)
-        self.sums = [np.full_like(x, 1.0) for x in self.model.arrays()]
-
-    def moved(self, row: np.ndarray, **gradients: np.ndarray) -> None:
-        """An AdaGrad step of rows of the model's arrays of these names, whose gradients are summed by row first."""
-        order = np.argsort(row.astype(np.int32))
-        row = row[order]
-        first = np.flatnonzero(np.r_[True, row[1:] != row[:-1]])
-        row = row[first]
-        for name, g in gradients.items():
-            x, seen = getattr(self.model, name), self.sums[NAMES.index(name)]
-            g = np.add.reduceat(g.take(order, axis=0), first, axis=0)
-            now = seen.take(row, axis=0)
-            now += g * g
-            seen[row] = now
-            np.sqrt(now, out=now)
-            g *= np.float32(RATE)
-            g /= now
-            x[row] += g
-
-    def step(self, one: np.ndarray, two: np.ndarray, aim: np.ndarray) -> None:
-        m = self.model
+        self.size = size = m.context.shape[1]
+        self.contexts = np.concatenate([m.context, np.ones_like(m.context)], axis=1)
+        self.outputs, self.tails = self.table(m.target, m.bias), self.table(m.tail, m.tail_bias)
+        m.context = self.contexts[:, :size]
+        m.target, m.bias = self.outputs[:, :size], self.outputs[:, size]
+        m.tail, m.tail_bias = self.tails[:, :size], self.tails[:, size]
+        self.scale_sums = np.ones_like(m.scale)
+
+    def table(self, vectors: np.ndarray, bias: np.ndarray) -> np.ndarray:
+        """Vectors with their biases, in an even number of columns, and as many for the sums."""
+        held = np.concatenate([vectors, bias[:, None], np.zeros((len(bias), (self.size + 1) % 2), np.float32)], axis=1)
+        return np.concatenate([held, np.ones_like(held)], axis=1)
+
+    def step(self, before: np.ndarray, aim: np.ndarray, first: np.ndarray, second: np.ndarray, end: int) -> None:
+        """A step over the tokens ``aim``; ``before`` begins two places earlier, and at the places ``first`` and
+        ``second`` stand the first and second tokens of texts."""
+        m, size, wide = self.model, self.size, self.outputs.shape[1] // 2
         noise = np.minimum(np.searchsorted(self.upto, self.rng.random(NOISE)), len(self.share) - 1)
-        near, far = m.context[one], m.context[two]
-        q = near * m.scale[0] + far * m.scale[1]
+        contexts = Rows(self.contexts, np.r_[before, end])
+        around = contexts.values()
+        far = around[:-2].copy()
+        around[first + 1] = far[first] = far[second] = around[-1]
+        near = around[1:-1]
+        q = np.zeros((len(aim), wide), np.float32)
+        np.add(near * m.scale[0], far * m.scale[1], out=q[:, :size])
+        q[:, size] = 1
         to = self.out.of[aim]
-        own, other = m.target[to], m.target[noise]
-        wrong = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) + m.bias[to] - self.log_noise[to]))
-        taken = q @ -other.T
-        taken += self.log_noise[noise] - m.bias[noise]
-        np.exp(taken, out=taken)
-        taken += 1
-        np.divide(-1, taken, out=taken)
-        dq = wrong[:, None] * own + taken @ other
+        vectors = np.ascontiguousarray(self.outputs[:, :wide])
+        own, other = vectors.take(to, axis=0), vectors.take(noise, axis=0)
+        wrong = 1 / (1 + np.exp(np.einsum("ij,ij->i", q, own) - self.log_noise[to]))
+        # for each drawn output -1 / (1 + exp(x)) is half of tanh(x / 2) - 1, x being the log odds against it
+        odds = -other
+        odds[:, size] += self.log_noise[noise]
+        taken = q @ (odds / 2).T
+        np.tanh(taken, out=taken)
+        taken -= 1
+        dq = taken @ (other / 2)
+        own *= wrong[:, None]
+        dq += own
         self.inner(q, aim, dq)
-        self.moved(np.r_[to, noise], target=np.concatenate([wrong[:, None] * q, taken.T @ q]), bias=np.r_[wrong, taken.sum(0)])
-        self.moved(np.r_[one, two], context=np.concatenate([dq * m.scale[0], dq * m.scale[1]]))
+        outputs = Rows(self.outputs, to)
+        g = (noise == np.arange(len(vectors))[:, None]).astype(np.float32) @ (q.T @ taken).T / 2
+        g[outputs.row] += outputs.summed(q.take(outputs.order, axis=0) * wrong[outputs.order, None])
+        _moved(self.outputs, g)
+        dq = np.ascontiguousarray(dq[:, :size])
+        at_one, at_two = dq * m.scale[0], dq * m.scale[1]
+        ends = at_one[first].sum(0) + at_two[first].sum(0) + at_two[second].sum(0)
+        at_one[first] = at_two[first] = at_two[second] = 0
+        g = np.concatenate([at_two, np.zeros_like(at_two[:1]), ends[None]])
+        g[1:-1] += at_one
+        contexts.move(g.take(contexts.order, axis=0))
         g = np.stack([(dq * near).sum(0), (dq * far).sum(0)])
-        self.sums[3] += g * g
-        m.scale += RATE * g / np.sqrt(self.sums[3])
+        self.scale_sums += g * g
+        m.scale += RATE * g / np.sqrt(self.scale_sums)
 
     def inner(self, q: np.ndarray, aim: np.ndarray, dq: np.ndarray) -> None:
         """The step within the groups, with noise evenly from each token's group; adds to ``dq``."""
-        m = self.model
-        at = np.flatnonzero((aim >= self.out.head) & (aim < len(m.context) - 1))
+        at = np.flatnonzero((aim >= self.out.head) & (aim < len(self.contexts) - 1))
         if not len(at):
             return
-        q, place = q[at], aim[at] - self.out.head
+        q, place = q.take(at, axis=0), aim[at] - self.out.head
         group = self.out.group[place]
         width = self.out.width[group][:, None]
         noise = self.out.edges[group][:, None] + (self.rng.random((len(at), GROUP_NOISE)) * width).astype(np.int64)
-        rows = np.concatenate([place[:, None], noise], axis=1)
-        vectors = m.tail[rows]
-        s = np.einsum("ijk,ik->ij", vectors, q) + m.tail_bias[rows] - self.log_group[group][:, None]
+        rows = Rows(self.tails, np.concatenate([place[:, None], noise], axis=1).ravel())
+        vectors = rows.values().reshape(len(at), 1 + GROUP_NOISE, -1)
+        s = np.einsum("ijk,ik->ij", vectors, q) - self.log_group[group][:, None]
         g = -1 / (1 + np.exp(-s))
         g[:, 0] += 1
-        dq[at] += np.einsum("ij,ijk->ik", g, vectors)
-        rows = rows.ravel()
-        self.moved(rows, tail=(g[:, :, None] * q[:, None, :]).reshape(len(rows), -1), tail_bias=g.ravel())
+        moved = dq.take(at, axis=0)
+        moved += np.einsum("ij,ijk->ik", g, vectors)
+        dq[at] = moved
+        of_rows = q.take(rows.order // (1 + GROUP_NOISE), axis=0)
+        of_rows *= g.ravel()[rows.order, None]
+        rows.move(of_rows)
 
     def learn(self, classes: np.ndarray, upto: np.ndarray, end: int) -> None:
-        one, two = contexts(classes, upto, end)
+        before, first = np.r_[end, end, classes], upto[:-1]
+        second = (first + 1)[first + 1 < upto[1:]]
         for i in range(0, len(classes), BATCH):
-            self.step(one[i:i + BATCH], two[i:i + BATCH], classes[i:i + BATCH])
+            here = [x[slice(*np.searchsorted(x, (i, i + BATCH)))] - i for x in (first, second)]
+            aim = classes[i:i + BATCH]
+            self.step(before[i:i + len(aim) + 1], aim, *here, end)
+
+
+class Rows:
+    """Rows of a table, some of them more than once: ``row`` are the distinct ones and ``order`` sorts all by row."""
+
+    def __init__(self, table: np.ndarray, rows: np.ndarray):
+        self.table = table
+        few = len(table) < 1 << 15
+        self.order = np.argsort(rows.astype(np.int16 if few else np.int32), kind="stable" if few else None)
+        ordered = rows[self.order]
+        self.new = np.r_[True, ordered[1:] != ordered[:-1]]
+        self.first = np.flatnonzero(self.new)
+        self.row = ordered[self.first]
+
+    def values(self) -> np.ndarray:
+        """The vectors of all rows, as they were asked for."""
+        self.held = self.table.take(self.row, axis=0)
+        place = np.empty(len(self.order), np.int64)
+        place[self.order] = np.cumsum(self.new) - 1
+        return np.ascontiguousarray(self.held[:, :self.table.shape[1] // 2]).take(place, axis=0)
+
+    def summed(self, g: np.ndarray) -> np.ndarray:
+        """The sums of sorted rows' gradients by row, two columns at once as a complex number."""
+        count = np.diff(np.r_[self.first, len(g)])
+        sums, many = g.take(self.first, axis=0), count > 1
+        if many.any():
+            again = g.take(np.flatnonzero(np.repeat(many, count)), axis=0)
+            pairs = again.view(np.complex64) if g.shape[1] % 2 == 0 else again
+            sums[many] = np.add.reduceat(pairs, np.cumsum(count[many]) - count[many], axis=0).view(np.float32)
+        return sums
+
+    def move(self, g: np.ndarray) -> None:
+        """An AdaGrad step by the sorted rows' gradients."""
+        _moved(self.held, self.summed(g))
+        self.table[self.row] = self.held
+
+
+def _moved(held: np.ndarray, g: np.ndarray) -> None:
+    """An AdaGrad step of rows with their sums, by their gradients, which it overwrites."""
+    size = g.shape[1]
+    held[:, size:] += g * g
+    g *= np.float32(RATE)
+    g /= np.sqrt(held[:, size:])
+    held[:, :size] += g
 
 
 CODED = "uid long, doc_id {kind}, train boolean, spots binary, rest array<struct<token string, n long>>"
@@ -369,19 +450,22 @@ def _summed(model: Model, counts: np.ndarray, other: int):
     end, out = 0, Outputs(other + 1)
 
     def run(batches):
+        near, far = model.context * model.scale[0], model.context * model.scale[1]
         for batch in batches:
             for at, rows, spot, upto in _decoded(batch):
                 classes = np.minimum(spot, other)
                 one, two = contexts(classes, upto, end)
                 pairs, pair = np.unique(one.astype(np.int64) * (other + 1) + two, return_inverse=True)
-                known = model.normalisers(pairs // (other + 1), pairs % (other + 1))[pair]
-                neural = np.empty(len(spot))
-                for i in range(0, len(spot), 1 << 16):
-                    s = slice(i, i + (1 << 16))
-                    q, to = model.predicted(one[s], two[s]), out.of[classes[s]]
-                    neural[s] = np.einsum("ij,ij->i", q, model.target[to]) + model.bias[to] - known[s]
-                    tail = np.flatnonzero((classes[s] >= out.head) & (classes[s] < other))
-                    neural[i + tail] += model.within(q[tail], classes[s][tail] - out.head, out)
+                to, neural = out.of[classes], np.empty(len(spot), np.float32)
+                told = near.take(pairs // (other + 1), axis=0)
+                told += far.take(pairs % (other + 1), axis=0)
+                known = _log_totals(told, model.target, model.bias)
+                for i in range(0, len(spot), CELLS):
+                    s = slice(i, i + CELLS)
+                    neural[s] = np.einsum("ij,ij->i", told.take(pair[s], axis=0), model.target.take(to[s], axis=0))
+                neural += model.bias[to] - known[pair]
+                tail = np.flatnonzero((classes >= out.head) & (classes < other))
+                neural[tail] += model.within(told, classes[tail] - out.head, out, pair[tail])
                 outside = classes == other
                 total = lambda x: np.add.reduceat(x.astype(np.float64), upto[:-1])
                 whole = lambda x: pa.array(np.add.reduceat(x.astype(np.int64), upto[:-1]))

@@ -133,3 +133,72 @@ def test_the_vocabulary_follows_the_corpus(table, monkeypatch):
     rows = [(d, " ".join(rng.sample(words, 900))) for d in range(12)]
     got = lm_scoring.scores(table(rows)).collect()
     assert sizes == [901] and all(np.isfinite(r.score) for r in got)
+
+
+def test_a_group_is_summed_once_for_a_context(monkeypatch):
+    rng = np.random.default_rng(4)
+    counts = np.sort(rng.integers(20, 900, 600))[::-1]
+    model, out = lm_scoring.Model.start(counts, 8), lm_scoring.Outputs(len(counts))
+    q = rng.normal(0, 1, (7, 8)).astype(np.float32)
+    place, row = rng.integers(0, len(out.group), 4000), rng.integers(0, 7, 4000)
+    want = model.within(q[row], place, out)
+    rows, real = [], lm_scoring._log_totals
+    monkeypatch.setattr(lm_scoring, "_log_totals", lambda q, *a: rows.append(len(q)) or real(q, *a))
+    got = model.within(q, place, out, row)
+    assert np.allclose(got, want, atol=1e-5)
+    assert sum(rows) == len(set(zip(row.tolist(), out.group[place].tolist()))) < 400
+    assert len(model.within(q, place[:0], out, row[:0])) == 0
+
+
+def test_a_step_reads_each_row_once_and_follows_the_plain_gradients(monkeypatch):
+    """Batches that begin inside texts, texts of one token, repeated rows: the same vectors as sums token by token."""
+    monkeypatch.setattr(lm_scoring, "BATCH", 37)
+    rng = np.random.default_rng(6)
+    counts = np.sort(rng.integers(1, 90, 200))[::-1]
+    size, text = 6, rng.integers(0, 200, 300)
+    upto = np.array([0, 1, 2, 36, 37, 38, 73, 74, 150, 300])
+    model = lm_scoring.Model.start(counts, size)
+    trainer = lm_scoring.Trainer(model, counts, 3)
+    reads, real = [], lm_scoring.Rows.values
+    monkeypatch.setattr(lm_scoring.Rows, "values", lambda r: reads.append((len(r.row), len(np.unique(r.row)))) or real(r))
+    trainer.learn(text, upto, 0)
+    assert reads and all(a == b for a, b in reads)
+
+    m, out, draw = model.unpacked(model.packed().astype(np.float64)), trainer.out, np.random.default_rng((lm_scoring.SEED, 3))
+    x = {k: getattr(m, k).astype(np.float64) for k in lm_scoring.NAMES}
+    seen = {k: np.ones_like(v) for k, v in x.items()}
+    share = out.counts(counts + 0.5) / out.counts(counts + 0.5).sum()
+    ones, twos = lm_scoring.contexts(text, upto, 0)
+    for i in range(0, len(text), 37):
+        one, two, aim = ones[i:i + 37], twos[i:i + 37], text[i:i + 37]
+        noise = np.searchsorted(np.cumsum(share), draw.random(lm_scoring.NOISE))
+        g = {k: np.zeros_like(v) for k, v in x.items()}
+        q = x["context"][one] * x["scale"][0] + x["context"][two] * x["scale"][1]
+        dq = np.zeros_like(q)
+
+        def pull(names, at, rows, odds, hit):
+            s = (q[at] * x[names[0]][rows]).sum(1) + x[names[1]][rows] - odds
+            w = hit - 1 / (1 + np.exp(-s))
+            np.add.at(g[names[0]], rows, w[:, None] * q[at])
+            np.add.at(g[names[1]], rows, w)
+            np.add.at(dq, at, w[:, None] * x[names[0]][rows])
+
+        every, log = np.arange(len(aim)), np.log(lm_scoring.NOISE * share)
+        pull(("target", "bias"), every, out.of[aim], log[out.of[aim]], 1)
+        for k in noise:
+            pull(("target", "bias"), every, np.full(len(aim), k), log[k], 0)
+        at = np.flatnonzero((aim >= out.head) & (aim < 199))
+        group = out.group[aim[at] - out.head]
+        width, odds = out.width[group], np.log(lm_scoring.GROUP_NOISE / out.width)[group]
+        drawn = out.edges[group][:, None] + (draw.random((len(at), lm_scoring.GROUP_NOISE)) * width[:, None]).astype(int)
+        pull(("tail", "tail_bias"), at, aim[at] - out.head, odds, 1)
+        for k in range(lm_scoring.GROUP_NOISE):
+            pull(("tail", "tail_bias"), at, drawn[:, k], odds, 0)
+        np.add.at(g["context"], one, dq * x["scale"][0])
+        np.add.at(g["context"], two, dq * x["scale"][1])
+        g["scale"] = np.stack([(dq * x["context"][one]).sum(0), (dq * x["context"][two]).sum(0)])
+        for k in x:
+            seen[k] += g[k] ** 2
+            x[k] += lm_scoring.RATE * g[k] / np.sqrt(seen[k])
+    for k in x:
+        assert np.allclose(getattr(trainer.model, k), x[k], atol=1e-4), k
