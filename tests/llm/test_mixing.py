@@ -112,3 +112,10 @@ def test_a_long_document_costs_others_no_place(table):
                     rest = [len(t.split()) for d, t, _, s in rows if s == source and d not in own]
                     room = due * whole - sum(own.values())
                     assert room >= -1e-3 and all(n > room + 1e-3 for n in rest)
+
+
+def test_whole_passes_use_rows_without_tokens_no_more_often(table):
+    rows = [(1, None), (2, ""), (3, " \n")] + [(10 + i, "w " * (i + 1)) for i in range(8)]
+    for share, passes in ((1.0, 1), (2.0, 2)):
+        got = mixing.copies(table(rows), budget=share * 36, block_tokens=4).collect()
+        assert {r.doc_id: r.passes for r in got} == {d: passes for d, _ in rows}
