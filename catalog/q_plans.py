@@ -10,6 +10,7 @@ from riskframe.fixtures import patients
 from riskframe.operators import sampling, smote
 from riskframe.plans import modelprep, training
 from riskframe.plans.cleaning import clean_caroc
+from riskframe.session import release
 
 
 def _caroc():
@@ -142,10 +143,12 @@ def p11_classification_pipeline(spark, sf):
 
 @q("p12_regression_pipeline")
 def p12_regression_pipeline(spark, sf):
-    prepared, _ = modelprep.model_prep(clean_caroc(patients(spark, sf)))
+    clean = clean_caroc(patients(spark, sf))
+    prepared, _ = modelprep.model_prep(clean)
+    release(clean, "cleaned-caroc")
     feats = ["PatientAge", "PatientGender", "bmi", "Age*Gender", "Age*bmi", "Gender*bmi",
              "pt_response_parentbreak_1.0", "pt_response_alcohol_1.0"]
-    return training.regression_pipeline(prepared, feats)
+    return training.regression_pipeline(prepared, feats, own=True)
 
 
 @q("p14_batch_scoring")

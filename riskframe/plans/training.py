@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from riskframe.operators import attribution, evaluate, explain, gram as G, models as M, sampling, scaling
-from riskframe.session import materialize, scratch_path
+from riskframe.session import materialize, release, scratch_path
 from riskframe.sources import io
 
 
@@ -77,12 +77,13 @@ def classification_pipeline(clean: DataFrame, features: Sequence[str], label_col
 
 
 def regression_pipeline(prepared: DataFrame, features: Sequence[str], label: str = "bmdtest_tscore_fn",
-                        trials: int = 500, repeats: int = explain.REPEATS) -> DataFrame:
+                        trials: int = 500, repeats: int = explain.REPEATS, own: bool = False) -> DataFrame:
     """Per-fold Gram matrices in one pass -> seeded search of the ridge penalty (J15) -> the linear
     family (J1-J4) on the training split -> test RMSE / MAE / R^2 (K1-K3) -> forest and boosting (J5, J6) from
     Spark ML -> learning and validation curves and feature elimination (K11-K13) -> Cook's distance summary (K14) ->
     coefficients and importances (K15) -> permutation importance (K16) -> attributions of the forest (K17, K18) ->
-    error histogram (K10) -> test rows with predictions, written (K21)."""
+    error histogram (K10) -> test rows with predictions, written (K21). With ``own`` the written table of ``prepared``
+    is removed as soon as this job has its own."""
     spark = prepared.sparkSession
     # Spark ML resolves input columns as (nested) paths: give dotted one-hot names plain aliases
     safe = {c: c.replace(".", "_") for c in prepared.columns if "." in c}
@@ -93,6 +94,8 @@ def regression_pipeline(prepared: DataFrame, features: Sequence[str], label: str
         complete = complete & F.col(f"`{c}`").isNotNull()
     df = sampling.kfold(prepared.filter(complete), "PatientId", 10, 0)
     df = materialize(df.withColumn("label", F.col(label).cast("double")), "p12")
+    if own:
+        release(prepared, "model-prep")
     train, test = df.filter(F.col("split") == "train"), df.filter(F.col("split") == "test")
     search = M.random_search_ridge(train, feats, "label", "fold", trials=trials)
     s_train = G.gram(train, feats, "label")[None]
