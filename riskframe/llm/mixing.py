@@ -113,8 +113,8 @@ def copies(docs: DataFrame, budget: float | None = None, flatter: float = 0.5, r
     dealt = written(rows.join(shares.select("source", "weight", "due", "blocks"), "source").withColumn(
         "block", F.pmod(F.xxhash64(F.lit(SEED), "doc_id", "uid"), F.col("blocks"))), "dealt")
 
-    # the partial pass: tokens before each block, by chunks of blocks in the pass's order; what is due beyond whole passes
-    # may have no room for a token, and then there is none, not even for rows without tokens
+    # the partial pass: tokens before each block, by chunks of blocks in the pass's order; where only whole passes
+    # are due there is none, not even for rows without tokens
     blocks = dealt.groupBy("source", "block", "blocks", "due").agg(F.sum("n_tokens").alias("held"))
     blocks = written(blocks.withColumn("place", _unit(F.floor("due"), "source", "block")).withColumn(
         "chunk", F.floor(F.col("place") * F.ceil(F.col("blocks") / CHUNK_BLOCKS))), "blocks")
@@ -127,7 +127,7 @@ def copies(docs: DataFrame, budget: float | None = None, flatter: float = 0.5, r
     placed = written(
         blocks.join(chunks, ["source", "chunk"]).join(shares.select("source", "tokens"), "source")
         .withColumn("before", F.col("earlier") + F.coalesce(F.sum("held").over(within), F.lit(0)))
-        .select("source", "block", F.when(rest + 1e-6 >= 1, rest + 1e-6 - F.col("before")).otherwise(-1.0).alias("room"), "held"),
+        .select("source", "block", F.when(rest > 1e-6, rest + 1e-6 - F.col("before")).otherwise(-1.0).alias("room"), "held"),
         "placed")
     at = dealt.join(placed, ["source", "block"])
     whole = at.where("room >= held or room < 0").select(
