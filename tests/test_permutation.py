@@ -1,7 +1,9 @@
 """Permutation importance: copies made per bucket against the window they stand for, areas by cells against pairs."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.ml.functions import vector_to_array
 from pyspark.sql import functions as F
 
 from riskframe.operators import explain
@@ -59,3 +61,62 @@ def test_area_deals_the_rows_once(spark):
     plan = explain._group_auc(df, ["g"], "y", "s", [0.5])._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 2      # the rows, and a row per cell
     assert "rangepartitioning" not in plan and "Scan ExistingRDD" not in plan
+
+
+@pytest.fixture(scope="module")
+def odd(spark):
+    """Rows with repeated and missing ids, missing and not-a-number values and labels."""
+    rng = np.random.default_rng(5)
+    rows = [(None if i == 11 else i // 2 if i < 60 else i, None if i % 31 == 4 else float(rng.integers(0, 6)),
+             float("nan") if i % 29 == 3 else float(rng.normal()), float(rng.integers(0, 2)), None if i % 37 == 5 else float(rng.normal() + i % 2)) for i in range(500)]
+    return spark.createDataFrame(rows, "id long, a double, b double, c double, y double").cache()
+
+
+@pytest.mark.parametrize("most", [1 << 15, 120, 0])      # all buckets in memory, some, none
+def test_trees_score_copies_where_they_are_made(odd, monkeypatch, most):
+    from riskframe.operators import attribution, models as M
+    feats = ["a", "b", "c"]
+    full = odd.dropna().withColumn("high", (F.col("y") > 0.3).cast("double"))
+    forests = [(M.random_forest_regressor("y", trees=4, depth=5), "y", lambda m: lambda d: m.transform(d)),
+               (M.random_forest_classifier("high", trees=4, depth=4), "high",
+                lambda m: lambda d: m.transform(d).withColumn("prediction", F.get(vector_to_array("probability"), F.lit(1))))]
+    for estimator, label, scoring in forests:
+        model = M.pipeline(feats, estimator).fit(full)
+        df = odd.withColumn("high", (F.col("y") > 0.3).cast("double"))
+        monkeypatch.setattr(explain, "MOST_IN_MEMORY", 1 << 15)
+        want = explain.permutation_importance(df, "id", feats, label, scoring(model), 3, buckets=4, order_hash="xxhash64").collect()
+        monkeypatch.setattr(explain, "MOST_IN_MEMORY", most)
+        monkeypatch.setattr(explain, "_donor_copies", None)      # no copy leaves its task
+        got = explain.permutation_importance(df, "id", feats, label, scoring(model), 3, buckets=4, order_hash="xxhash64",
+                                             same=explain.Trees(attribution.from_model(model.stages[-1]))).collect()
+        monkeypatch.undo()
+        pairs = {(r.feature, r.repeat): r.importance for r in got}
+        assert len(got) == len(want) == 9 and [pairs[r.feature, r.repeat] for r in want] == pytest.approx([r.importance for r in want], abs=1e-12)
+
+
+def test_predictions_for_any_value_of_a_feature(spark):
+    from riskframe.operators import attribution
+    rng = np.random.default_rng(2)
+    node = [np.array(v) for v in ([0, 1, 0, -1, -1, -1, -1], [0.5, 2.0, 0.8, 0, 0, 0, 0], [1, 3, 5, -1, -1, -1, -1], [2, 4, 6, -1, -1, -1, -1])]
+    trees = [attribution.Tree(*node, np.ones(7), rng.normal(size=7)) for _ in range(2)]
+    trees.append(attribution.Tree(*[np.array([v]) for v in (-1, 0.0, -1, -1, 1.0, 7.0)]))
+    model, x = attribution.Ensemble(trees, [0.5, 2.0, 1.0]), rng.normal(size=(50, 2))
+    for f in (0, 1):
+        cuts, table = model.swapped(x, f, [t.predict(x) for t in trees])
+        for v in (-9.0, 0.5, 0.6, 0.8, 0.9, 2.0, 2.1):
+            other = x.copy()
+            other[:, f] = v
+            assert np.allclose(table[np.searchsorted(cuts, v)], model.predict(other), atol=1e-12)
+
+
+def test_orders_equal_the_whole_keys():
+    from hashlib import md5
+    ids = [None, b"", b"7", b"a" * 30, b"b" * 60] + [str(i).encode() for i in [*range(5, 400), 77, 77, 10 ** 7]]
+    starts = [b"" if i is None else i + b":" for i in ids]
+    for n in (len(ids), 4):      # with and without an id that is longer than a block
+        keys = explain._md5_keys(pa.array([i for i in ids if i is None or n > 4 or len(i) < 50], pa.binary()), 3)
+        held = [s for s in starts if n > 4 or len(s) < 50]
+        for feature, repeat in (("age", 0), ("x" * 12, 49)):
+            assert list(keys(feature, repeat)) == sorted(range(len(held)), key=lambda i: (md5(held[i] + f"{feature}:{repeat}:3".encode()).digest(), i))
+    near = np.array([5, 4, 3, 4, 2 ** 63 + 1, 2 ** 63, 5], "u8")
+    assert list(explain._order(near)) == [2, 1, 3, 0, 6, 5, 4]
