@@ -120,3 +120,31 @@ def test_orders_equal_the_whole_keys():
             assert list(keys(feature, repeat)) == sorted(range(len(held)), key=lambda i: (md5(held[i] + f"{feature}:{repeat}:3".encode()).digest(), i))
     near = np.array([5, 4, 3, 4, 2 ** 63 + 1, 2 ** 63, 5], "u8")
     assert list(explain._order(near)) == [2, 1, 3, 0, 6, 5, 4]
+
+
+@pytest.mark.parametrize("most", [1 << 15, 120, 0])
+def test_rules_share_their_copies(odd, monkeypatch, most):
+    rules = {"one": explain.Rule(("a", "b"), (-0.04, 0.3), (3.0, 0.5), -1.5), "two": explain.Rule(("a", "b"), (1.0, 2.0), (0.0, 0.0))}
+    df, feats = odd.where("b is null or not isnan(b)"), ["a", "b"]
+    want = {(n, r.feature, r.repeat): r.importance for n, rule in rules.items() for r in explain.permutation_importance(
+        df, "id", feats, "y", lambda d, rule=rule: d.withColumn("prediction", rule.expr()), 3, buckets=4).collect()}
+    calls, keys = [], explain._split_large
+    monkeypatch.setattr(explain, "MOST_IN_MEMORY", most)
+    monkeypatch.setattr(explain, "_split_large", lambda *a: (calls.append(1), keys(*a))[1])
+    got = {(r.model, r.feature, r.repeat): r.importance for r in explain.permutation_importance_many(
+        df, "id", feats, "y", rules, 3, buckets=4, order_hash="md5").collect()}
+    assert len(calls) == 1 and len(want) == 12 and got == pytest.approx(want, abs=1e-12)
+
+
+@pytest.mark.parametrize(("most", "rows_per_cell", "factor"), [(1 << 15, 1 << 16, None), (120, 64, None), (0, 64, None), (1 << 15, 64, -3.0), (120, 64, -3.0)])
+def test_areas_of_copies_scored_where_they_are_made(odd, monkeypatch, most, rows_per_cell, factor):
+    rule = explain.Rule(("a", "b"), (0.4, 1.0), (3.0, 0.5), -1.5, factor)
+    df = odd.withColumn("high", F.when(F.col("y").isNotNull(), (F.col("y") > 0.3).cast("int")))
+    args = (df, "id", ["a", "b"], "high", lambda d: d.withColumn("prediction", rule.expr()), 3)
+    want = {(r.feature, r.repeat): r.importance for r in explain.permutation_importance(*args, buckets=4, scorer="roc_auc").collect()}
+    for name, value in (("MOST_IN_MEMORY", most), ("ROWS_PER_CELL", rows_per_cell), ("SCORES_PER_CELL", rows_per_cell)):
+        monkeypatch.setattr(explain, name, value)
+    monkeypatch.setattr(explain, "_score_cuts", lambda scored, score, rows: [] if rows_per_cell > 64 else [-4.0, -2.0, -1.5, 0.0, 3.0])
+    monkeypatch.setattr(explain, "_donor_copies", None)
+    got = {(r.feature, r.repeat): r.importance for r in explain.permutation_importance(*args, buckets=4, scorer="roc_auc", same=rule).collect()}
+    assert len(want) == 6 and got == pytest.approx(want, abs=1e-12)
