@@ -45,6 +45,8 @@ def classification_pipeline(clean: DataFrame, features: Sequence[str], label_col
         from riskframe.operators.smote import smote_nc
         train = smote_nc(train, "label", "PatientId", numeric=["PatientAge", "bmi"],
                          nominal=[c for c in feats if c not in ("PatientAge", "bmi")])
+    # the forest reads its rows in several passes, and each would make the synthetic ones anew
+    train = train.select("label", *feats).persist()
     val = M.assemble(feats).transform(df.filter(F.col("split") == "validation"))
     rf = M.random_forest_classifier(trees=20)
     maps = M.random_param_maps(rf, {"maxDepth": [4, 6, 8], "numTrees": [10, 20, 30]}, n_iter, seed)
@@ -62,16 +64,18 @@ def classification_pipeline(clean: DataFrame, features: Sequence[str], label_col
     for r in evaluate.predicted_counts(pred, "prediction").collect():
         rows.append(("test", "random_forest", f"predicted_{int(r['prediction'])}", float(r["count"])))
     test = df.filter(F.col("split") == "test").select("PatientId", "label", *feats)
-    phi = attribution.tree_attributions(test, feats, attribution.from_model(model.stages[-1]))
+    trees = attribution.from_model(model.stages[-1])
+    phi = attribution.tree_attributions(test, feats, trees)
     for r in attribution.summary(phi, feats).collect():
         rows.append(("explain", "random_forest", f"mean_abs_phi_{r['feature']}", r["mean_abs_phi"]))
     pi = explain.permutation_importance(test, "PatientId", feats, "label",
                                         lambda d: model.transform(d).withColumn("prediction",
                                                                                 vector_to_array("probability")[1]),
-                                        repeats=repeats, order_hash="xxhash64")
+                                        repeats=repeats, order_hash="xxhash64", same=explain.Trees(trees))
     for r in pi.groupBy("feature").agg(F.avg("increase").alias("v")).collect():
         rows.append(("explain", "random_forest", f"perm_increase_{r['feature']}", r["v"]))
     rows.append(("train", "random_forest", "rows_after_rebalance", float(train.count())))
+    train.unpersist()
     rows.append(("model", "random_forest", "saved", 1.0 if path else 0.0))
     return _frame(spark, rows)
 
