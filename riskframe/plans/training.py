@@ -45,8 +45,9 @@ def classification_pipeline(clean: DataFrame, features: Sequence[str], label_col
         from riskframe.operators.smote import smote_nc
         train = smote_nc(train, "label", "PatientId", numeric=["PatientAge", "bmi"],
                          nominal=[c for c in feats if c not in ("PatientAge", "bmi")])
-    # the forest reads its rows in several passes, and each would make the synthetic ones anew
-    train = train.select("label", *feats).persist()
+        # the forest reads its rows in several passes, and each would make the synthetic ones anew; its draws go by
+        # partition, so these stay as they are
+        train = materialize(train.select("label", *feats), columnar=False)
     val = M.assemble(feats).transform(df.filter(F.col("split") == "validation"))
     rf = M.random_forest_classifier(trees=20)
     maps = M.random_param_maps(rf, {"maxDepth": [4, 6, 8], "numTrees": [10, 20, 30]}, n_iter, seed)
@@ -75,7 +76,6 @@ def classification_pipeline(clean: DataFrame, features: Sequence[str], label_col
     for r in pi.groupBy("feature").agg(F.avg("increase").alias("v")).collect():
         rows.append(("explain", "random_forest", f"perm_increase_{r['feature']}", r["v"]))
     rows.append(("train", "random_forest", "rows_after_rebalance", float(train.count())))
-    train.unpersist()
     rows.append(("model", "random_forest", "saved", 1.0 if path else 0.0))
     return _frame(spark, rows)
 
